@@ -26,6 +26,9 @@ PIECE = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
 #: Bytes of spans that may be broadcast; beyond that they are joined by a shuffle.
 BROADCAST_BYTES = 24 << 20
+SHAPE = 1 << 16
+#: Windows of a cell: runs that differ are compared cell by cell before single windows are.
+CELL = 16
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S = np.uint64(29)
@@ -72,10 +75,10 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first, last, name, kind) of the runs of windows that share their sampled position.
+    """(first, shape, name, kind) of the runs of windows that share their sampled position.
 
-    first and last are window starts; name is the 64-byte name sampled; kind names all bytes of the run's windows
-    and where in them the sampled position is.
+    first is a window start; shape holds how far behind it the sampled position (times 65536) and the last window
+    are; name is the 64-byte name sampled; kind names all bytes of the run's windows, with the shape.
     """
     for base in range(0, len(data) - length + 1, PIECE):
         names = Names(data[base : base + PIECE + length - 1], length)
@@ -86,8 +89,9 @@ def segments(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         last = np.concatenate([first[1:], [len(at)]]) - 1
         place = at[first]
         whole = names.at(length)
-        kind = _mix(_mix(whole[first], whole[last]), ((place - first) * 65536 + (last - first)).astype(np.uint64))
-        yield first + base, last + base, grams[place], kind
+        shape = (place - first) * SHAPE + (last - first)
+        kind = _mix(_mix(whole[first], whole[last]), shape.astype(np.uint64))
+        yield first + base, shape, grams[place], kind
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,52 +112,41 @@ def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
             for batch in batches:
                 out: list[list[np.ndarray]] = []
                 for key, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                    for first, last, name, kind in segments(data, length) if len(data) >= length else ():
-                        out.append([name] if only_names else [np.full(len(first), key, np.int64), first, last, name, kind])
+                    for first, shape, name, kind in segments(data, length) if len(data) >= length else ():
+                        out.append([name] if only_names else [np.full(len(first), key, np.int64), first, shape, name, kind])
                 if out:
                     cols = [np.concatenate(c) for c in zip(*out, strict=True)]
                     if only_names:
                         yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64))], names=["name"])
                     else:
-                        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].view(np.int64)), pa.array(cols[4].view(np.int64))], names=["row", "first", "last", "name", "kind"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].view(np.int64)), pa.array(cols[4].view(np.int64))], names=["row", "first", "shape", "name", "kind"])
 
         return run
 
     # 64 bytes: positions of unique names go
     named = texts.mapInArrow(scan(True), "name bigint").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    left = texts.mapInArrow(scan(False), "row bigint, first int, last int, name bigint, kind bigint").join(named, "name")
+    left = texts.mapInArrow(scan(False), "row bigint, first int, shape int, name bigint, kind bigint").join(named, "name")
     left = stored(left, "repeat-segments")
 
-    # whole runs: those that occur twice are repeats; a name with runs that differ needs its single windows
-    kinds = stored(left.groupBy("name", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("one")), "repeat-kinds")
-    whole = left.join(kinds.where("n > 1").select("name", "kind"), ["name", "kind"]).select("row", "first", "last")
+    # all bytes of a run: runs that occur twice are repeats; where runs of a name differ, their cells are compared
+    kinds = stored(left.groupBy("name", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "shape")).alias("one")), "repeat-kinds")
+    whole = left.join(kinds.where("n > 1").select("name", "kind"), ["name", "kind"]).select("row", "first", (F.col("first") + F.col("shape") % SHAPE).alias("last"))
     mixed = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("name")
-    open_ = kinds.join(mixed, "name").select("one.*", (F.col("n") == 1).alias("single"))
-    windows = _attach(texts, open_.groupBy("row").agg(F.collect_list(F.struct("first", "last", "single")).alias("runs")), "runs", "inner")
+    runs = kinds.join(mixed, "name").select("one.*", (F.col("n") == 1).alias("single")).groupBy("row").agg(F.collect_list(F.struct("first", "shape", "single")).alias("runs"))
 
-    half = length // 2
-
-    def pairs(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for key, data, runs in zip(batch.column("row").to_pylist(), utf8(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
-                out = []
-                for run in runs:
-                    for a in range(run["first"], run["last"] + 1, PIECE):
-                        b = min(run["last"] + 1, a + PIECE)
-                        h = Names(data[a : b + length - 1], half).at(half)
-                        m = b - a
-                        out.append([np.arange(a, b, dtype=np.int32), h[:m], h[length - half : length - half + m], np.full(m, run["single"])])
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), key, np.int64)), pa.array(cols[0]), pa.array(cols[1].view(np.int64)), pa.array(cols[2].view(np.int64)), pa.array(cols[3])], names=["row", "at", "low", "high", "single"])
+    # bytes that all windows of a cell share: cells of a unique core go, cells that occur twice are repeats
+    cells = stored(_attach(texts, runs, "runs", "inner").mapInArrow(_cells(length), "row bigint, first int, last int, low bigint, high bigint, hull bigint, single boolean"), "repeat-cells")
+    hulls = stored(cells.groupBy("low", "high", "hull").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "single")).alias("one")), "repeat-hulls")
+    parts = cells.where("single").join(hulls.where("n > 1").select("low", "high", "hull"), ["low", "high", "hull"]).select("row", "first", "last")
+    mixed = hulls.groupBy("low", "high").agg(F.count("*").alias("hulls"), F.bool_or((F.col("n") == 1) & F.col("one.single")).alias("open")).where("hulls > 1 and open").select("low", "high")
+    runs = hulls.join(mixed, ["low", "high"]).select("one.row", "one.first", "one.last", ((F.col("n") == 1) & F.col("one.single")).alias("single")).groupBy("row").agg(F.collect_list(F.struct("first", "last", "single")).alias("runs"))
 
-    # the threshold: pairs of names at the offset; unique pairs go
-    paired = stored(windows.mapInArrow(pairs, "row bigint, at int, low bigint, high bigint, single boolean"), "repeat-windows")
+    # the threshold: single windows by pairs of names at the offset; unique pairs go
+    paired = stored(_attach(texts, runs, "runs", "inner").mapInArrow(_pairs(length), "row bigint, at int, low bigint, high bigint, single boolean"), "repeat-windows")
     twice = paired.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").select("low", "high")
     ones = paired.where("single").join(twice, ["low", "high"]).select("row", F.col("at").alias("first"), F.col("at").alias("last"))
 
-    covered = whole.unionByName(ones).groupBy("row").agg(F.collect_list(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("stop"))).alias("spans"))
+    covered = whole.unionByName(parts).unionByName(ones).groupBy("row").agg(F.collect_list(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("stop"))).alias("spans"))
 
     def merge(batches):
         import pyarrow as pa
@@ -173,6 +166,68 @@ def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
     return covered.mapInArrow(merge, covered.schema)
 
 
+def _cells(length: int):
+    """Cells of runs: windows whose distance to the sampled position is the same, up to CELL.
+
+    low and high name the core, the bytes that all windows of a whole cell share; hull names all bytes of the windows that the run has there.
+    """
+    core = length - CELL + 1
+    half = core // 2
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for key, data, runs in zip(batch.column("row").to_pylist(), utf8(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
+                for base, some in _near(runs):
+                    names = Names(data[base : base + PIECE + 2 * length], length)
+                    halves, whole = names.at(half), names.at(length)
+                    first, shape, single = (np.array([r[k] for r in some]) for k in ("first", "shape", "single"))
+                    first, last, place = first - base, first - base + shape % SHAPE, first - base + shape // SHAPE
+                    for c in range(int(((place - first) // CELL).max()) + 1):
+                        low, high = np.maximum(first, place - CELL * c - CELL + 1), np.minimum(last, place - CELL * c)
+                        some_here = np.flatnonzero(low <= high)
+                        a, b, at = low[some_here], high[some_here], (place - CELL * c)[some_here]
+                        hull = _mix(_mix(whole[a], whole[b]), ((at - a) * SHAPE + (b - a)).astype(np.uint64))
+                        out.append([np.full(len(a), key, np.int64), (a + base).astype(np.int32), (b + base).astype(np.int32), halves[at].view(np.int64), halves[at + core - half].view(np.int64), hull.view(np.int64), single[some_here]])
+            if out:
+                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "first", "last", "low", "high", "hull", "single"])
+
+    return run
+
+
+def _near(runs: list[dict]) -> Iterator[tuple[int, list[dict]]]:
+    """The runs by the piece of the text that holds their first window, with its place."""
+    pieces: dict[int, list[dict]] = {}
+    for r in runs:
+        pieces.setdefault(r["first"] // PIECE * PIECE, []).append(r)
+    return iter(sorted(pieces.items()))
+
+
+def _pairs(length: int):
+    """Single windows of runs, with the names of their halves."""
+    half = length // 2
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for key, data, runs in zip(batch.column("row").to_pylist(), utf8(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
+                for base, some in _near(runs):
+                    h = Names(data[base : base + PIECE + 2 * length], half).at(half)
+                    at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in some]) - base
+                    single = np.repeat([r["single"] for r in some], [r["last"] - r["first"] + 1 for r in some])
+                    out.append([np.full(len(at), key, np.int64), (at + base).astype(np.int32), h[at].view(np.int64), h[at + length - half].view(np.int64), single])
+            if out:
+                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "at", "low", "high", "single"])
+
+    return run
+
+
 def _attach(rows: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
     """rows joined with lists(row, array) by row: lists of a checked size are broadcast, so the texts stay where they are."""
     lists = stored(lists, f"repeat-{column}")
