@@ -15,7 +15,7 @@ from booktext_spark.llm.common import space_words, stored
 #: Words with the largest counts that each task holds: a bound on what is broadcast.
 HEAD = 1 << 18
 #: Prior weight of the lattice beside the counts, as a number of tokens for each distinct word.
-PRIOR = 0.5
+PRIOR = 0.8
 LOG10 = math.log(10)
 
 
@@ -49,90 +49,80 @@ def normalised(pieces: dict[str, float], by_byte: list[float]) -> tuple[dict[str
 class Lattice:
     """Marginal probability of a word: its pieces are drawn one by one, the last followed by the end of the word.
 
-    The forward sums are kept as logs of scaled sums, so that long words do not underflow.
+    The forward sums of a position are kept with the log of a common scale, so that long words do not underflow.
     """
 
     def __init__(self, pieces: dict[str, float], by_byte: list[float], stop: float):
-        self.p = {k: math.exp(w) for k, w in pieces.items()}
+        self.p: dict[str, float] = {}
+        for piece in pieces:  # all beginnings of pieces, so that a search along a word can end early
+            for k in range(1, len(piece)):
+                self.p.setdefault(piece[:k], 0.0)
+        self.p |= {k: math.exp(w) for k, w in pieces.items()}
+        self.longest = max(map(len, pieces), default=1)
         self.by_byte = by_byte
-        self.longest = max(map(len, self.p), default=1)
         self.log_stop, self.log_go = math.log(stop), math.log1p(-stop)
         self.go = 1 - stop
-        self.single = {c: self._bytes(c) for c in ("▁",)}
+        self.single: dict[str, float] = {}
 
     def _bytes(self, c: str) -> float:
         """Probability of a character spelt in byte pieces."""
-        data = c.encode()
-        return math.exp(sum(self.by_byte[b] for b in data) + (len(data) - 1) * self.log_go)
+        data = c.encode(errors="replace")
+        self.single[c] = w = math.exp(sum(self.by_byte[b] for b in data) + (len(data) - 1) * self.log_go)
+        return w
 
-    def forward(self, word: str) -> tuple[list[float], list[float]]:
-        """Scaled forward sums at each position, and the log scale of each."""
-        text = "▁" + word
-        p, single, go, longest = self.p, self.single, self.go, self.longest
-        sums, scale = [1.0], 0.0
-        scales = [0.0]
-        for j in range(1, len(text) + 1):
-            c = text[j - 1]
-            by_bytes = single.get(c)
-            if by_bytes is None:
-                by_bytes = single[c] = self._bytes(c)
-            total = sums[j - 1] * by_bytes
-            for i in range(max(0, j - longest), j):
+    def arcs(self, text: str) -> list[tuple[int, int, float]]:
+        """(from, to, weight) of every piece in the text, bytes too, by place."""
+        p, single, n, out = self.p, self.single, len(text), []
+        for i in range(n):
+            c = text[i]
+            out.append((i, i + 1, single.get(c) or self._bytes(c)))
+            for j in range(i + 1, n + 1):
                 w = p.get(text[i:j])
-                if w is not None:
-                    total += sums[i] * w
-            total *= go
-            if total < 1e-100:
-                up = 1 / total if total > 0 else 1.0
-                scale -= math.log(up)
-                low = max(0, j - longest)
-                sums[low:] = [s * up for s in sums[low:]]
-                total *= up
-            sums.append(total)
-            scales.append(scale)
-        return sums, scales
+                if w is None:
+                    break
+                if w:
+                    out.append((i, j, w))
+        return out
+
+    def forward(self, text: str, arcs: list[tuple[int, int, float]]) -> tuple[list[float], float]:
+        """Scaled sums over all paths to each position, and the log of the scale at the end."""
+        go, scale, last = self.go, 0.0, 0
+        sums = [1.0] + [0.0] * len(text)
+        for i, j, w in arcs:
+            s = sums[i]
+            if s < 1e-150 and i > last:
+                last, f = i, 1 / (s or 1e-300)
+                for k in range(i, min(len(text), i + self.longest) + 1):
+                    sums[k] *= f
+                scale -= math.log(f)
+                s = sums[i]
+            sums[j] += s * w * go
+        return sums, scale
 
     def log_probability(self, word: str) -> float:
         """Natural log of the marginal probability."""
-        sums, scales = self.forward(word)
-        return math.log(sums[-1]) + scales[-1] - self.log_go + self.log_stop
+        text = "▁" + word
+        sums, scale = self.forward(text, self.arcs(text))
+        return math.log(sums[-1] or 1e-300) + scale - self.log_go + self.log_stop
 
-    def expected(self, word: str, into: Counter) -> int:
-        """Adds the expected number of each piece in the word; returns the rounded number of pieces, 1 at least."""
-        if len(word) > 64:
-            return 1
+    def expected(self, word: str, into: Counter) -> float:
+        """Adds the expected number of each piece in the word; returns the expected number of pieces."""
         text = "▁" + word
-        n = len(text)
-        sums, scales = self.forward(word)
-        if scales[-1]:
-            return 1  # too improbable to tell its pieces
-        p, go, longest = self.p, self.go, self.longest
-        back = [0.0] * (n + 1)
-        back[n] = 1.0
-        for i in range(n - 1, -1, -1):
-            total = 0.0
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if back[j]:
-                    w = p.get(text[i:j])
-                    if j == i + 1:
-                        w = (w or 0.0) + self.single[text[i]]
-                    if w:
-                        total += w * back[j]
-            back[i] = total * go
-        whole, pieces = back[0], 0.0
-        if whole <= 0:
-            return 1
-        for i in range(n):
-            if not sums[i]:
-                continue
-            for j in range(i + 1, min(n, i + longest) + 1):
-                w = p.get(text[i:j])
-                if w and back[j]:
-                    share = sums[i] * w * go * back[j] / whole
-                    if share > 1e-4:
-                        into[text[i:j]] += share
-                        pieces += share
-        return max(1, round(pieces))
+        arcs = self.arcs(text)
+        sums, scale = self.forward(text, arcs)
+        if scale:
+            return 1.0  # too improbable to tell its pieces
+        go, n = self.go, len(text)
+        back = [0.0] * n + [1.0]
+        whole, drawn = sums[n], 0.0
+        for i, j, w in reversed(arcs):
+            share = w * go * back[j]
+            back[i] += share
+            share *= sums[i] / whole
+            drawn += share
+            if share > 1e-3:
+                into[text[i:j]] += share
+        return drawn
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -164,7 +154,7 @@ def _words(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
 
 
-def score_texts(docs: DataFrame, vocabulary: str, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
+def score_texts(docs: DataFrame, vocabulary: str, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score for each row.
 
     Tokens are runs without ASCII white space, A-Z lower-cased, and one end for each text; null is an empty text.
