@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
@@ -22,8 +23,10 @@ HOMOGLYPHS = dict(
         strict=True,
     )
 )
-#: Digits and signs that stand for letters.
-SUBSTITUTES = dict(zip("013457@$!|", "oieastasii", strict=True))
+#: Digits that stand for letters, and signs that do where a letter follows.
+SUBSTITUTES = dict(zip("013457", "oieast", strict=True))
+SIGNS = dict(zip("@$!|", "asii", strict=True))
+SIGN = re.compile(r"[@$!|](?=[^\W\d_])")
 #: Letters that one sign stands for are one letter, in texts and in the lexicon alike.
 MERGED = {"l": "i"}
 
@@ -53,6 +56,8 @@ def fold(text: str) -> str:
 
     The result begins and ends with a space and has no two in a row.
     """
+    if SIGN.search(text):
+        text = SIGN.sub(lambda m: SIGNS[m[0]], text)
     return f" {' '.join(text.translate(_FOLD).split())} "
 
 
@@ -116,10 +121,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return w
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 60_000, stem: int = 4, longest: int = 24, share: float = 0.004, weight: float = 3.0, terms: int = 4000, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 60_000, stem: int = 4, longest: int = 24, share: float = 0.01, weight: float = 3.0, terms: int = 4000, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learns terms, weights, exception phrases and the score's scale from labelled rows.
 
-    At most about `sample` labelled rows are used, chosen by hash. Candidates are the prefixes of folded
+    At most about `sample` labelled rows are used, chosen by hash, equal texts once. Candidates are the prefixes of folded
     words, from `stem` letters on, that occur in `share` of the toxic rows or more. A term's weight is its
     log odds; terms below `weight` go, as do stems that a longer one replaces at the same frequency and
     extensions that add no weight to their stem. Bigrams of words that hold a term but were seen in
@@ -133,7 +138,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 60_000, stem
     if total > sample:
         toxic = toxic.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
     # about `sample` labels at most: a broadcast of known size
-    known = stored(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(toxic), "doc_id"), "toxicity-sample")
+    known = stored(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(toxic), "doc_id").dropDuplicates(["text"]), "toxicity-sample")
 
     def prefixes(batches):
         import pyarrow as pa
@@ -152,7 +157,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 60_000, stem
     positive = known.where("toxic = 1").select("text")
     n_pos = known.where("toxic = 1").count()
     n_neg = known.where("toxic = 0").count()
-    least = max(3, math.ceil(share * n_pos))
+    least = max(5, math.ceil(share * n_pos))
     counted = positive.mapInArrow(prefixes, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     candidates = {r.term: r.n for r in counted.collect()}  # at most longest / share for each toxic row's mean number of words
 
