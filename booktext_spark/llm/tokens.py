@@ -73,7 +73,7 @@ class Encoder:
         rest = []
         for c in chunks:
             mark = self.marks.get(c[-1])
-            core = c[:-1] if mark is not None and len(c) > 1 else c
+            core = c[:-1] if mark is not None and c[:-1].lstrip(" ").isalpha() else c
             if (got := self.known.get(core)) is None:
                 got = self._word(core)
             if got is None:
