@@ -5,7 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from booktext_spark.llm.common import alnum_words, utf8
@@ -147,24 +147,31 @@ def shards(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Ite
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """Adds n_words, spans (hit words as array of start, stop) and items (sorted ids as strings) to docs.
+    """docs with n_words, spans (hit words as array of start, stop) and items (sorted ids as strings).
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. Every
     `window` consecutive words of an item are a window, as is the whole of a shorter item that has words.
     The items go through in automata of bounded size, each broadcast in turn: one pass over the documents
     for each shard. Null and empty texts have no words; items of null id or text are skipped; of equal
-    items each is named; repeated rows are judged each; an empty benchmark hits nothing.
+    items each is named; repeated rows are judged each; an empty benchmark hits nothing. Columns of docs
+    that have the names of new ones are replaced.
     """
+    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
+    return _hits(docs, benchmark, window, text_col, item_col).select(*kept, f"{HITS}.n_words", f"{HITS}.spans", f"{HITS}.items")
+
+
+HITS = "__hits"
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str) -> DataFrame:
+    """docs with n_words, spans and items in one struct."""
     spark = docs.sparkSession
-    out = docs.withColumn("__hits", F.lit(None).cast("struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<string>>"))
+    out = docs.withColumn(HITS, F.lit(None).cast("struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<string>>"))
     found = False
     for automaton in shards(benchmark, window, item_col, text_col):
         out = _with_shard(out, spark.sparkContext.broadcast(pickle.dumps(automaton)), text_col)
         found = True
-    if not found:
-        out = _with_shard(out, spark.sparkContext.broadcast(pickle.dumps(Automaton([], window))), text_col)
-    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    return out.select(*kept, "__hits.n_words", "__hits.spans", "__hits.items")
+    return out if found else _with_shard(out, spark.sparkContext.broadcast(pickle.dumps(Automaton([], window))), text_col)
 
 
 def _with_shard(docs: DataFrame, shipped, text_col: str) -> DataFrame:
@@ -200,8 +207,8 @@ def _with_shard(docs: DataFrame, shipped, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def hit_words() -> F.Column:
-    return F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
+def hit_words(spans: str = "spans") -> Column:
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -211,9 +218,9 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13
     span's first and last word goes, with one space in its place.
     """
     columns = docs.columns
-    found = find_contamination(docs, benchmark, window, text_col=text_col, item_col=item_col)
-    marked = found.withColumn("spans", F.when((F.size("spans") > 0) & (hit_words() >= F.lit(share) * F.col("n_words")), F.col("spans")))
-    marked = marked.select(*columns, F.col("spans").alias("__spans"))
+    spans = F.col(f"{HITS}.spans")
+    wrong = (F.size(spans) > 0) & (hit_words(f"{HITS}.spans") >= F.lit(share) * F.col(f"{HITS}.n_words"))
+    marked = _hits(docs, benchmark, window, text_col, item_col).select(*columns, F.when(wrong, spans).alias("__spans"))
     at = columns.index(text_col)
 
     def run(batches):
