@@ -1,0 +1,468 @@
+"""The ten training-data operators against brute force, round trips and odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from booktext_spark.llm import ann, chat, decontam, graph, lattice, packing, repeats, simhash, tokenbin, tokens, toxicity, urls
+from booktext_spark.llm.common import alnum_words
+
+DOCS = "doc_id bigint, text string"
+BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+#: Null, empty, blank and repeated texts and ids, a long text, and columns whose names clash with those made.
+ODD = [(1, None, 0), (2, "", 0), (3, " \n", 0), (None, "some text here", 0), (4, "a b c", 0), (4, "a b c", 0), (5, "xy " * 20000, 0), (6, "déjà\U0001f600 vu", 0)]
+
+
+def odd(spark, *clashing):
+    df = spark.createDataFrame(ODD, "doc_id bigint, text string, n int")
+    for c in clashing:
+        df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+def words(rng, n, size=6):
+    return " ".join("".join(rng.choices("abcdeé", k=rng.randrange(1, size))) for _ in range(n))
+
+
+# 1: decontamination
+
+
+def hits(text, items, window):
+    ws = alnum_words(text.encode() if text else None)
+    hit, found = set(), set()
+    for name, item in items:
+        iw = alnum_words(item.encode() if item else None)
+        for k in range(max(1, len(iw) - window + 1)) if iw else ():
+            w = iw[k : k + window]
+            for at in range(len(ws) - len(w) + 1):
+                if ws[at : at + len(w)] == w:
+                    hit.update(range(at, at + len(w)))
+                    found.add(str(name))
+    return len(ws), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 30])
+def test_decontamination_is_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontam, "SHARD_BYTES", shard)
+    rng = random.Random(1)
+    items = [(i, " ".join(rng.choices("abc", k=rng.randrange(0, 8)))) for i in range(12)] + [(99, None), (98, "...")]
+    docs = [(i, " ".join(rng.choices("abcD,", k=rng.randrange(0, 60)))) for i in range(40)]
+    found = decontam.find_contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string"), 4)
+    for r in found.collect():
+        assert (r.n_words, sum(s.stop - s.start for s in r.spans), r["items"]) == hits(dict(docs)[r.doc_id], items, 4)
+
+
+def test_decontamination_removes_spans_only(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"Before, {item.upper()}! after", "x"), (2, "clean text", "x"), (3, None, "x"), (4, f"{'w ' * 400}{item}", "x")], "doc_id bigint, text string, spans string")
+    got = {r.doc_id: r.text for r in decontam.remove_contamination(docs, bench).collect()}
+    assert got == {1: "Before,  ! after", 2: "clean text", 3: None, 4: f"{'w ' * 400}{item}"}
+    none = decontam.find_contamination(odd(spark, "spans", "items"), bench.limit(0))
+    assert none.count() == len(ODD) and none.where("size(spans) > 0").count() == 0
+    assert decontam.find_contamination(docs.limit(0), bench).count() == 0
+
+
+# 2: toxicity
+
+
+def test_fold():
+    assert toxicity.fold("1d10t, ІDІOТ") == " idiot idiot "
+    assert toxicity.fold("pläĭn!! $tu\u200bpid") == " piain stupid "
+    assert toxicity.fold("") == "  "
+
+
+def test_toxicity_learns_and_spares_exceptions(spark):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        text = words(rng, 40) + (" moron scumbag " if bad else " ") + words(rng, 10)
+        rows.append((i, text))
+        labels.append((i, int(bad)))
+    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, (9999, None)], "doc_id bigint, toxic int")
+    lexicon = toxicity.learn_lexicon(docs, toxicity.training_labels(lab), exceptions=("moron valley",))
+    new = spark.createDataFrame([(1, f"{words(rng, 30)} m0r0n"), (2, words(rng, 30)), (3, "moron valley " + words(rng, 30)), (4, None), (5, "")], DOCS)
+    got = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(new, lexicon).collect()}
+    assert got[1] > 0.7 > got[2] == got[3] == got[4] == got[5]
+    assert toxicity.score_toxicity(odd(spark, "toxicity"), lexicon).count() == len(ODD)
+    blank = toxicity.learn_lexicon(docs.limit(0), lab.limit(0))
+    assert {r.toxicity < 0.5 for r in toxicity.score_toxicity(new, blank).collect()} == {True}
+
+
+# 3: packing
+
+
+def check_packed(rows, docs, size, end):
+    enc = tokens.load(BYTE)
+    ids = Counter(tuple(enc.encode(t or "", add_special_tokens=False).ids + end) for _, t in docs)
+    made, sequences = Counter(), {}
+    rows = sorted(rows, key=lambda r: (r.sequence_id, r.offset))
+    for r in rows:
+        assert r.offset == sequences.get(r.sequence_id, 0)
+        sequences[r.sequence_id] = r.offset + r.length
+    for n in sequences.values():
+        assert n <= size and (n == size or n & (n - 1) == 0)
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    if len({d for d, _ in docs}) == len(docs):
+        for pieces in by_doc.values():
+            pieces.sort(key=lambda r: r.start)
+            whole = b"".join(bytes(p.ids) for p in pieces)
+            assert len(whole) // 4 == pieces[0].doc_tokens
+            made[tuple(np.frombuffer(whole, "<u4").tolist())] += 1
+        assert made == ids
+    assert sum(sequences.values()) == sum(len(k) * n for k, n in ids.items())
+
+
+def test_packing(spark):
+    rng = random.Random(3)
+    docs = [(i, words(rng, rng.randrange(0, 120))) for i in range(90)] + [(1000, None), (1001, words(rng, 2000))]
+    out = packing.pack_documents(spark.createDataFrame(docs, DOCS), BYTE, 64)
+    check_packed(out.collect(), docs, 64, [0])
+    check_packed(packing.pack_documents(odd(spark, "ids", "offset"), BYTE, 64).collect(), [o[:2] for o in ODD], 64, [0])
+    assert packing.pack_documents(spark.createDataFrame([], DOCS), BYTE, 64).count() == 0
+
+
+def test_levels_take_the_least_sum_of_squares():
+    rng = random.Random(4)
+    levels = packing.Levels(16)
+    counts = np.zeros(17, int)
+    for k in range(300):
+        s = rng.randrange(1, 16)
+        options = {}
+        for h in range(0, 17 - s):
+            if h == 0 or counts[h]:
+                c = counts.copy()
+                if h:
+                    c[h] -= 1
+                if h + s < 16:
+                    c[h + s] += 1
+                options[h] = int((c[:16] ** 2).sum())
+        _, level = levels.place(s, k)
+        assert options[level] == min(options.values())
+        if level:
+            counts[level] -= 1
+        if level + s < 16:
+            counts[level + s] += 1
+        assert (counts == levels.counts).all()
+
+
+# 4: SimHash
+
+
+def plain_fingerprint(text, k=3):
+    import xxhash
+
+    ws = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    shingles = [b" ".join(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))] if ws else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints():
+    rng = random.Random(5)
+    for n in [0, 1, 2, 3, 4, 50, 301]:
+        text = words(rng, n)
+        assert simhash.fingerprint(text.encode()) == plain_fingerprint(text)
+    assert simhash.fingerprint(None) == simhash.fingerprint(b" \n") == 0
+
+
+@pytest.mark.parametrize("small", [16, 1])
+def test_near_links_join_as_all_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL_BUCKET", small)
+    rng = random.Random(6)
+    prints = set()
+    for _ in range(30):
+        x = rng.getrandbits(64)
+        for _ in range(rng.randrange(1, 12)):
+            prints.add(x)
+            for b in rng.sample(range(64), rng.randrange(1, 4)):
+                x ^= 1 << b
+    prints = sorted(prints)
+    signed = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    root = list(range(len(prints)))
+    for i, p in enumerate(prints):
+        for j in range(i):
+            if (p ^ prints[j]).bit_count() <= 2:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    found = graph.components(simhash.near_links(spark.createDataFrame(signed, "node bigint, print bigint")))
+    got = {r.node: r.root for r in found.collect()}
+    assert [got.get(i, i) for i in range(len(prints))] == root
+
+
+def test_components_of_a_long_chain(spark):
+    ids = list(range(40))
+    random.Random(7).shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids, ids[1:], strict=False), (100, 101), (5, 5)], "u bigint, v bigint")
+    got = {r.node: r.root for r in graph.components(edges).collect()}
+    assert got == dict.fromkeys(range(40), 0) | {100: 100, 101: 100}
+    assert graph.components(edges.limit(0)).count() == 0
+
+
+def test_simhash_rows(spark):
+    got = simhash.simhash_components(odd(spark, "fingerprint", "component_id")).collect()
+    assert len(got) == len(ODD)
+    assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
+    kept = simhash.drop_near_copies(odd(spark))
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 6]
+    assert kept.where("doc_id is null").count() == 1
+
+
+# 5: repeats
+
+
+def plain_repeats(texts, length):
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[p : p + length] for d in data for p in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        gone = bytearray(len(d))
+        for p in range(len(d) - length + 1):
+            if seen[d[p : p + length]] > 1:
+                gone[p : p + length] = b"\x01" * length
+        out.append((len(d), sum(gone), len(re.findall(rb"\x01+", gone)), hashlib.sha256(bytes(b for b, g in zip(d, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+def test_repeats_are_brute_force(spark):
+    rng = random.Random(8)
+    shared = [words(rng, n) for n in (30, 60, 100, 200)]
+    texts = [None, "", "a" * 900, "ab" * 300]
+    for _ in range(60):
+        parts = [rng.choice(shared) if rng.random() < 0.5 else words(rng, rng.randrange(1, 60)) for _ in range(rng.randrange(1, 5))]
+        t = " ".join(parts)
+        if rng.random() < 0.5 and t:  # an edit inside
+            k = rng.randrange(len(t))
+            t = t[:k] + "é" + t[k + 1 :]
+        texts.append(t)
+    texts += [texts[10], texts[10], texts[11][:150]]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.sha256_of_kept(repeats.find_repeats(docs, 200)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_repeats(texts, 200)
+
+
+def test_repeats_across_pieces_by_shuffle(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(repeats, "BROADCAST_BYTES", -1)
+    shared = words(rng, 120)
+    long = words(rng, 4 * repeats.PIECE // 16)[: repeats.PIECE - 150]
+    texts = [long + shared + words(rng, 40), shared + words(rng, 200), words(rng, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: tuple(r)[1:] for r in repeats.sha256_of_kept(repeats.find_repeats(docs, 200)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_repeats(texts, 200)
+    assert got[0][1] >= len(shared)
+
+
+def test_repeats_odd_rows(spark):
+    found = repeats.find_repeats(odd(spark, "row", "spans", "kept"), 200)
+    assert found.count() == len(ODD)
+    assert repeats.find_repeats(odd(spark).limit(0), 200).count() == 0
+    kept = repeats.remove_repeats(odd(spark, "spans"), 200)
+    assert kept.columns == ["doc_id", "text", "n", "spans"]
+    assert {r.doc_id: r.text for r in kept.collect()}[1] is None
+    with pytest.raises(ValueError):
+        repeats.find_repeats(odd(spark), 64)
+
+
+# 6: urls
+
+
+def plain_rule(host, path):
+    best = None
+    for h, p, v in urls.RULES:
+        if (host == h or host.endswith(f".{h}")) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
+            best = (h + p, v)
+    return best
+
+
+def test_urls(spark):
+    rng = random.Random(10)
+    hosts = ["example.com", "WWW.Example.com", "com", "xcom", "a.net", "b.org", "net", "example.net:80"]
+    pages = [(i, f"{rng.choice(['http', 'ftp'])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/1', '/es/2.html', '/fr', '/fr/', '?q=/en/', '#x', '/es/a?b#c'])}") for i in range(200)]
+    pages += [(900, None), (901, "no url"), (902, ""), (900, "http://b.org/es/1")]
+    got = urls.filter_urls(spark.createDataFrame(pages, "page_id bigint, url string").withColumn("verdict", F.lit(1)), support=0.02)
+    rows = got.collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        rule = plain_rule(r.host, r.path)
+        assert r.rule == (rule and rule[0])
+        assert r.verdict in ("allow", "block") and (rule is None or r.verdict == rule[1])
+    parts = {r.page_id: (r.host, r.path) for r in rows}
+    for i, url in pages[:200]:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        assert parts[i] == (host.lower(), re.match(r"[^?#]*", rest[len(host) :])[0])
+    assert urls.filter_urls(got.select("page_id", F.lit("").alias("url")).limit(0)).count() == 0
+
+
+def test_mined_rules_need_all_tokens(spark):
+    rows = [(i, f"http://a.net/{'es' if i % 2 else 'de'}/x") for i in range(40)] + [(i, "http://c.com/es/x") for i in range(40, 60)] + [(100, "http://q.org/es/x")]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), support=0.1, confidence=0.9)
+    by = {r.page_id: (r.rule, r.verdict) for r in got.collect()}
+    # all labelled pages of net are blocked, those of /es/ only in part
+    assert by[0] == (None, "block") and by[1] == ("net/es/", "block") and by[40] == ("com/", "allow") and by[100] == (None, "allow")
+
+
+# 7: language model
+
+
+def test_lattice_sums_all_segmentations():
+    pieces, by_byte = lattice.normalised({"▁": 0.0, "▁a": -1.0, "a": -1.5, "ab": -0.5, "b": -2.0, "▁ab": -3.0}, [-6.0] * 256)
+    model = lattice.Lattice(pieces, by_byte, 0.4)
+
+    def every(text, used):
+        if not text:
+            return used * 0.4 / 0.6
+        total = every(text[1:], used * 0.6 * np.exp(sum(by_byte[b] for b in text[0].encode()) + (len(text[0].encode()) - 1) * np.log(0.6)))
+        for k in range(1, len(text) + 1):
+            if text[:k] in pieces:
+                total += every(text[k:], used * 0.6 * np.exp(pieces[text[:k]]))
+        return total
+
+    for w in ["", "a", "ab", "abba", "éb"]:
+        assert model.log_probability(w) == pytest.approx(np.log(every("▁" + w, 1.0)))
+    assert model.log_probability("ab" * 5000) < -1000
+    got = Counter()
+    assert model.expected("ab", got) > 1
+
+
+def test_language_model_counts(spark):
+    rng = random.Random(11)
+    docs = [(i, words(rng, rng.randrange(0, 30), 4)) for i in range(60)] + [(70, None), (71, "OnlyHere twice OnlyHere")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    df = spark.createDataFrame(docs, DOCS).withColumn("score", F.lit("clash"))
+    for head in (1 << 18, 4):
+        old, lattice.HEAD = lattice.HEAD, head
+        rows = lattice.score_texts(df, PIECE, F.crc32(F.col("doc_id").cast("string")) % 7 == 2, rounds=1).collect()
+        lattice.HEAD = old
+        split = {i: (t or "").encode().lower().split() + [None] for i, t in docs}
+        c = Counter(w for i, ws in split.items() if not held(i) for w in ws)
+        n, v = sum(c.values()), len(c)
+        for r in rows:
+            ws = split[r.doc_id]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(ws), sum(c[w] > 0 for w in ws), n)
+            assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws))
+            assert r.score < 0 and r.lattice_score < 0
+    assert lattice.score_texts(df.limit(0), PIECE, F.lit(True)).count() == 0
+    assert lattice.score_texts(odd(spark), PIECE, F.lit(True)).count() == len(ODD)
+
+
+# 8: token files
+
+
+@pytest.mark.parametrize("bits", [1, 7, 16, 17, 20])
+def test_bit_packing(bits):
+    import io
+
+    rng = np.random.default_rng(1)
+    sink = io.BytesIO()
+    writer = tokenbin.Writer(sink, bits, 64)
+    docs = [rng.integers(0, 1 << bits, n).astype("<u4") for n in (0, 1, 63, 64, 65, 1000, 0, 5)]
+    for i, d in enumerate(docs):
+        writer.add(None if i == 3 else i, d)
+    writer.close()
+    reader = tokenbin.Reader(io.BytesIO(sink.getvalue()), len(sink.getvalue()))
+    assert [(d, s, x.tolist()) for d, s, x in reader.documents(3)] == [(None if i == 3 else i, sum(map(len, docs[:i])), d.tolist()) for i, d in enumerate(docs)]
+    flat = np.concatenate(docs)
+    assert reader.ids(70, 190).tolist() == flat[70:190].tolist() and reader.ids(5, 5).tolist() == []
+
+
+def test_token_files(spark):
+    enc = tokens.load(WORD)
+    got = tokenbin.round_trip(odd(spark, "start"), WORD, 1).orderBy("start").collect()
+    at = 0
+    for r, (doc, text, _) in zip(got, sorted(ODD, key=lambda o: -1 if o[0] is None else o[0]), strict=True):
+        ids = enc.encode(text or "", add_special_tokens=False).ids + [1]
+        assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (doc, at, len(ids), np.array(ids, "<u4").tobytes())
+        at += len(ids)
+    assert tokenbin.round_trip(odd(spark).limit(0), WORD, 1).count() == 0
+
+
+def test_encoder_equals_the_library():
+    rng = random.Random(12)
+    odd_texts = ["", " ", "a  b\n\n c", "it's \x1c x\x1dy <|endoftext|>", "déja\u0301 Σας ΟΔΟΣ İx ١٢ ½", "\x85x ", "\n", "A.B,c!! d.", " lead", "trail "]
+    for path in (BYTE, WORD):
+        enc = tokens.Encoder(path, room=4000)
+        for text in odd_texts + ["".join(rng.choices("aB é.,\n'\U0001f600 ", k=60)) for _ in range(200)]:
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.ids(text), text
+
+
+# 9: chat
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(13)
+    texts = ["", "\\", "</turn>\n", "<turn>assistant\n", "a\nb", "é\U0001f600 x", "\\</turn>", "<tur", "  "] + ["".join(rng.choices(["<turn>", "</turn>", "\\", "\n", "x ", "語"], k=8)) for _ in range(60)]
+    rows = [(k // 4, k % 4, rng.choice(["user", "assistant", "system"]), t, "clash") for k, t in enumerate(texts)] + [(50, 0, None, None, ""), (50, 0, None, None, ""), (None, 1, "assistant", "z", ""), (51, 1, "ro\nle\\", "x" * 30000, "")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, ids string")
+    out = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df, BYTE)).collect()}
+    for conv in {r[0] for r in rows}:
+        want = [(r[2] or "", r[3] or "") for r in sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1], x[2] or "", x[3] or ""))]
+        assert [(t.role, t.text) for t in out[conv].turns] == want
+        assert out[conv].loss_text == "".join(t for role, t in want if role == "assistant")
+    assert chat.format_conversations(df.limit(0), BYTE).count() == 0
+
+
+def test_loss_mask_is_every_overlapping_token():
+    token_spans = [(0, 2), (2, 5), (5, 6), (5, 6), (6, 9)]
+    mask, ranges = chat.loss_spans(token_spans, [(1, 3), (4, 4), (5, 7)])
+    assert mask == [True, True, True, True, True]
+    assert ranges == [(1, 3), (5, 7)]
+    assert chat.loss_spans([], [(0, 1)]) == ([], [])
+
+
+# 10: neighbours
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 24)) + rng.normal(size=(20, 24))[rng.integers(0, 20, 3000)]
+    rows = [(int(i), [float(v) for v in row], "clash") for i, row in enumerate(x)]
+    rows += [(3000, None, ""), (3050, [0.0] * 24, ""), (3100, [float("nan")] + [1.0] * 23, ""), (3150, [None] + [1.0] * 23, ""), (3200, [1e300] * 24, ""), (3201, [2e-300] * 24, ""), (3202, [1.0, 2.0], "")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score string")
+    got = ann.search(df, 50, 5, keep=100).collect()
+    ids = np.array([*range(3000), 3200, 3201])
+    unit = np.vstack([x, np.ones((2, 24))])
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert set(found) == {*range(0, 3000, 50), 3200}
+    right = 0
+    for q, ranks in found.items():
+        at = int(np.flatnonzero(ids == q)[0])
+        s = unit @ unit[at]
+        s[at] = -9
+        best = {int(ids[k]) for k in np.lexsort((ids, -np.round(s, 12)))[:5]}
+        right += len(best & {v for v, _ in ranks.values()})
+        assert sorted(ranks) == [1, 2, 3, 4, 5] and q not in {v for v, _ in ranks.values()}
+        assert [sc for _, sc in (ranks[k] for k in range(1, 6))] == sorted((sc for _, sc in ranks.values()), reverse=True)
+        for v, sc in ranks.values():
+            assert sc == pytest.approx(s[int(np.flatnonzero(ids == v)[0])])
+    assert right / (5 * len(found)) >= 0.9
+    few = ann.search(df.where("vec_id in (0, 1)"), 50, 5).collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 1)]
+    assert ann.search(df.limit(0), 50, 5).count() == 0
+
+
+def test_beam_encoding_is_no_worse_than_greedy():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 8)).astype(np.float32)
+    fitted = ann.fit_codebooks(x, 4, 16)
+    errors = []
+    for beam in (1, 8):
+        codes, norms = fitted.encode(x, beam)
+        sums = sum(fitted.books[m][codes[:, m]] for m in range(4))
+        assert norms == pytest.approx((sums**2).sum(-1), rel=1e-3, abs=1e-3)
+        errors.append(float(((x - sums) ** 2).sum()))
+    assert errors[1] <= errors[0]
