@@ -124,7 +124,8 @@ def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
         return run
 
     # 64 bytes: positions of unique names go
-    named = texts.mapInArrow(scan(True), "name bigint").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    # (stored, so that the join after it may split the names that many texts have)
+    named = stored(texts.mapInArrow(scan(True), "name bigint").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "repeat-names")
     left = texts.mapInArrow(scan(False), "row bigint, first int, shape int, name bigint, kind bigint").join(named, "name")
     left = stored(left, "repeat-segments")
 
