@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from booktext_spark.functions.ids import pair_hash
@@ -60,6 +60,15 @@ def dedup_pairs(pairs: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, D
     return first.select("pair_hash", "row.*"), counts
 
 
+def first_occurrence_distinct(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """by, value, position: the distinct values of each group in order of their first occurrence.
+
+    Only the first place of a value is kept before groups are ordered. For an array column, array_distinct does the same.
+    """
+    first = rows.groupBy(by, value).agg(F.min(order).alias("__at"))
+    return first.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("__at"))).drop("__at")
+
+
 def dedup_stats(texts: DataFrame, by: str, text_col: str = "text") -> DataFrame:
     """by, total_blocks, unique_blocks, deduplicated_blocks and, of the distinct texts, one hash over their sorted hashes."""
     distinct = texts.where(F.col(text_col).isNotNull()).groupBy(by, F.sha2(text_col, 256).alias("h")).agg(F.count("*").alias("n"))

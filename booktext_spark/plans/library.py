@@ -30,6 +30,15 @@ def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("source", F.col("total_blocks").cast("bigint").alias("total_blocks"), "unique_blocks", F.col("deduplicated_blocks").cast("bigint").alias("deduplicated_blocks"))
 
 
+@register(
+    f"""WITH {LINES_SQL}, f AS (SELECT source, text, min(doc_id * 100000 + ordinal) AS pos FROM lines GROUP BY ALL)
+SELECT source, sha256(text) AS h, row_number() OVER (PARTITION BY source ORDER BY pos)::INT AS position FROM f"""
+)
+def first_occurrence_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("at", F.col("doc_id") * 100000 + F.col("ordinal"))
+    return library.first_occurrence_distinct(rows, "source", "text", "at").select("source", F.sha2("text", 256).alias("h"), "position")
+
+
 @register(f"WITH {LINES_SQL} SELECT DISTINCT source, sha256(text) AS content_hash FROM lines WHERE text IS NOT NULL")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.content_hashes(lines(spark, sf_dir), "source")

@@ -156,6 +156,19 @@ def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.export_report(exports, texts, assets).drop("format").withColumn("omitted_non_text_assets", F.col("omitted_non_text_assets").cast("bigint"))
 
 
+BOOK_JSON = "struct<book_id:string,title:string,sections:array<struct<ordinal:int,section_id:string,title:string,blocks:array<struct<ordinal:int,stable_id:string,kind:string,source_text:string,locator:string,metadata:string>>>>>"
+
+
+@register(BLOCKS_SQL)
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as nested JSON and back: the blocks as they were."""
+    blocks = files.split_text_blocks(table(spark, sf_dir, "documents"), r"\n+", "doc_id")
+    sections = blocks.select("book_id", "section_id", F.lit(0).alias("ordinal"), F.lit("").alias("title")).distinct()
+    books = sections.select("book_id", "title")
+    back = files.documents_from_json(files.documents_to_json(books, sections, blocks), BOOK_JSON)
+    return back["blocks"].select("book_id", "ordinal", "stable_id", F.sha2("source_text", 256).alias("h"))
+
+
 @register("""SELECT 'book_' || substring(sha256(to_json([doc_id::VARCHAR])::VARCHAR), 1, 24) AS book_id, 1::BIGINT AS n_sections, len(string_split_regex(regexp_replace(regexp_replace(text, '^\\n+', ''), '\\n+$', ''), '\\n+'))::BIGINT AS n_blocks FROM documents""")
 def parse_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editions.parse_counts(files.split_text_blocks(table(spark, sf_dir, "documents"), r"\n+", "doc_id"))
@@ -210,6 +223,18 @@ def copy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copying.copy_candidates(ours, theirs).select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), "shared")
 
 
+@register(
+    f"""WITH {TEXTS_SQL}, ol AS (SELECT id, {GRAMS.format(t="t", n=8)} AS l FROM o), og AS (SELECT id, len(l) AS size, unnest(l) AS g FROM ol), rg AS (SELECT id, unnest({GRAMS.format(t="t", n=8)}) AS g FROM r),
+m AS (SELECT og.id AS doc_id, rg.id AS item_id, any_value(size) AS size, count(*) AS shared FROM og JOIN rg USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, floor(shared / size * 1000000)::BIGINT AS millionths FROM m WHERE shared / size >= 0.02"""
+)
+def ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which a fiftieth of the document's 8-grams or more are the item's."""
+    ours, theirs = copying.copying_texts(table(spark, sf_dir, "documents"), "doc_id"), copying.copying_texts(table(spark, sf_dir, "benchmark"), "item_id")
+    rows = copying.ngram_overlap(copying.copy_candidates(ours, theirs)).where("overlap >= 0.02")
+    return rows.select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), F.floor(F.col("overlap") * 1000000).alias("millionths"))
+
+
 @register(AUDIT_SQL.split("x AS (")[0].rstrip(",\n ") + "\nSELECT doc_id, item_id, lcs FROM l")
 def longest_common_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest common run, 28 or more, by built-in operators only."""
