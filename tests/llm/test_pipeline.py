@@ -55,3 +55,25 @@ def test_run_returns_the_last_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "sequence_id", "offset", "ids_crc32"} <= set(out.columns)
     assert out.where(F.crc32("ids") != F.col("ids_crc32")).count() == 0
+
+
+def test_stages_on_odd_and_empty_rows(spark, tmp_path):
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string"
+    rows = [(1, None, None, None, None, "x"), (2, "", "en", "s", 0, None), (None, "no id here", "en", "s", 10, "x"), (3, "a b c", "en", "s", 5, "x"), (3, "a b c", "en", "s", 5, "x"), (4, "long " * 9000, "en", "s", 45000, "x")]
+    sf = write(
+        spark, tmp_path,
+        documents=spark.createDataFrame(rows, kinds), labels=spark.createDataFrame([(3, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int"),
+        benchmark=spark.createDataFrame([(None, "a b c"), (1, None)], "item_id bigint, text string"),
+    )
+    at = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for empty in (True, False):
+            out = stage(spark, at.limit(0) if empty else at, sf)
+            path = f"{sf}/{k}-{empty}"
+            out.write.parquet(path)
+            got = spark.read.schema(out.schema).parquet(path)
+            if name != "packing":
+                assert got.columns == at.columns
+            assert got.count() == 0 if empty else got.count() > 0
+        at = got
+    assert {r.doc_id for r in at.collect()} == {1, 3, 4, None}
