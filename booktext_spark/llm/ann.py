@@ -88,6 +88,17 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _largest(scores: np.ndarray, keep: int) -> np.ndarray:
+    """Columns of the `keep` largest scores of each row; of equal ones the first, so that copies of a vector go by id."""
+    n = scores.shape[1]
+    if keep >= n:
+        return np.broadcast_to(np.arange(n), scores.shape)
+    least = np.partition(scores, n - keep, axis=1)[:, n - keep, None]
+    over, equal = scores > least, scores == least
+    chosen = over | equal & (equal.cumsum(1) <= keep - over.sum(1, keepdims=True))
+    return np.nonzero(chosen)[1].reshape(len(scores), keep)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow of squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -158,17 +169,17 @@ def _search_block(coded: DataFrame, ship, asked, k: int, keep: int) -> DataFrame
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 n = part.num_rows
-                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, -1)
-                norms = part.column(3).to_numpy()
-                own, vectors = part.column(0).to_numpy(), _matrix(part.column(1))
-                exact = _unit(vectors)
+                by_id = np.argsort(part.column(0).to_numpy(), kind="stable")
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, -1)[by_id]
+                norms, own = part.column(3).to_numpy()[by_id], part.column(0).to_numpy()[by_id]
+                exact = _unit(_matrix(part.column(1)))[by_id]
                 for at in range(0, len(ids), QUERY_BLOCK):
                     block = tables[at : at + QUERY_BLOCK]
                     guess = np.zeros((len(block), n), np.float32)
                     for m in range(codes.shape[1]):
                         guess += block[:, m, :][:, codes[:, m]]
                     guess /= norms
-                    top = np.argpartition(-guess, min(keep, n) - 1, axis=1)[:, :keep]
+                    top = _largest(guess, keep)
                     score = np.einsum("qkd,qd->qk", exact[top], unit[at : at + len(block)])
                     for i in range(len(block)):
                         here = own[top[i]]

@@ -455,6 +455,14 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), 50, 5).count() == 0
 
 
+def test_copies_of_a_vector_go_by_id(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 2 else [float(v) for v in rng.normal(size=3)]) for i in rng.permutation(1200).tolist()] + [(1250, [2.0, 4.0, 6.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = ann.search(df, 1250, 5, keep=20).where("query_id = 1250").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 3, 5, 7, 9]
+
+
 def test_beam_encoding_is_no_worse_than_greedy():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 8)).astype(np.float32)
