@@ -71,5 +71,22 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_packing, op4_simhash, op5_suffix_dedup, op6_url_filter, op7_lm_scoring, op8_token_binary, op9_chat_format, op10_ann)}
 
-#: SQL states these as they are; the other operators are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ESCAPED = r"regexp_replace(replace(coalesce({c}, ''), '\', '\\'), '<(/?turn>)', '\\<\1', 'g')"
+
+#: The operators whose results SQL can state; the others are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT item_id::VARCHAR AS id, {WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT id, n, array_to_string(w[k + 1 : k + n], ' ') AS g FROM (SELECT id, w, least(len(w), 13) AS n, unnest(range(greatest(len(w) - 12, least(len(w), 1)))) AS k FROM b)),
+p AS (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+m AS (SELECT doc_id, k, n, id FROM (SELECT doc_id, k, n, array_to_string(w[k + 1 : k + n], ' ') AS g FROM p) JOIN win USING (n, g)),
+h AS (SELECT doc_id, count(DISTINCT at_word) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS at_word FROM m) GROUP BY 1),
+i AS (SELECT doc_id, count(DISTINCT id) AS n_items, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM m GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op9_chat_format": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length({ESCAPED.format(c="role")}) + length({ESCAPED.format(c="text")}) + 15)::BIGINT AS formatted_chars FROM c GROUP BY 1""",
+}
