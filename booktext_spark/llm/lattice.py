@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from booktext_spark.llm.common import space_words, stored
+from booktext_spark.llm.common import space_words, stored, utf8
 
 #: Words with the largest counts that each task holds: a bound on what is broadcast.
 HEAD = 1 << 18
@@ -53,75 +53,77 @@ class Lattice:
     """
 
     def __init__(self, pieces: dict[str, float], by_byte: list[float], stop: float):
-        self.p: dict[str, float] = {}
+        self.go = 1 - stop
+        self.p: dict[str, float] = {}  # weights times the probability to go on
         for piece in pieces:  # all beginnings of pieces, so that a search along a word can end early
             for k in range(1, len(piece)):
                 self.p.setdefault(piece[:k], 0.0)
-        self.p |= {k: math.exp(w) for k, w in pieces.items()}
+        self.p |= {k: math.exp(w) * self.go for k, w in pieces.items()}
         self.longest = max(map(len, pieces), default=1)
         self.by_byte = by_byte
         self.log_stop, self.log_go = math.log(stop), math.log1p(-stop)
-        self.go = 1 - stop
         self.single: dict[str, float] = {}
 
     def _bytes(self, c: str) -> float:
         """Probability of a character spelt in byte pieces."""
         data = c.encode(errors="replace")
-        self.single[c] = w = math.exp(sum(self.by_byte[b] for b in data) + (len(data) - 1) * self.log_go)
+        self.single[c] = w = math.exp(sum(self.by_byte[b] + self.log_go for b in data))
         return w
 
-    def arcs(self, text: str) -> list[tuple[int, int, float]]:
-        """(from, to, weight) of every piece in the text, bytes too, by place."""
-        p, single, n, out = self.p, self.single, len(text), []
+    def log_probability(self, word: str) -> float:
+        """Natural log of the marginal probability."""
+        text = "▁" + word
+        n, p, single, scale = len(text), self.p, self.single, 0.0
+        sums = [1.0] + [0.0] * n
         for i in range(n):
+            s = sums[i]
+            if s < 1e-150:
+                f = 1 / (s or 1e-300)
+                for k in range(i, min(n, i + self.longest) + 1):
+                    sums[k] *= f
+                scale -= math.log(f)
+                s = sums[i]
             c = text[i]
-            out.append((i, i + 1, single.get(c) or self._bytes(c)))
+            sums[i + 1] += s * (single.get(c) or self._bytes(c))
             for j in range(i + 1, n + 1):
                 w = p.get(text[i:j])
                 if w is None:
                     break
                 if w:
-                    out.append((i, j, w))
-        return out
-
-    def forward(self, text: str, arcs: list[tuple[int, int, float]]) -> tuple[list[float], float]:
-        """Scaled sums over all paths to each position, and the log of the scale at the end."""
-        go, scale, last = self.go, 0.0, 0
-        sums = [1.0] + [0.0] * len(text)
-        for i, j, w in arcs:
-            s = sums[i]
-            if s < 1e-150 and i > last:
-                last, f = i, 1 / (s or 1e-300)
-                for k in range(i, min(len(text), i + self.longest) + 1):
-                    sums[k] *= f
-                scale -= math.log(f)
-                s = sums[i]
-            sums[j] += s * w * go
-        return sums, scale
-
-    def log_probability(self, word: str) -> float:
-        """Natural log of the marginal probability."""
-        text = "▁" + word
-        sums, scale = self.forward(text, self.arcs(text))
-        return math.log(sums[-1] or 1e-300) + scale - self.log_go + self.log_stop
+                    sums[j] += s * w
+        return math.log(sums[n] or 1e-300) + scale - self.log_go + self.log_stop
 
     def expected(self, word: str, into: Counter) -> float:
         """Adds the expected number of each piece in the word; returns the expected number of pieces."""
         text = "▁" + word
-        arcs = self.arcs(text)
-        sums, scale = self.forward(text, arcs)
-        if scale:
+        n, p, single = len(text), self.p, self.single
+        sums = [1.0] + [0.0] * n
+        arcs = []
+        for i in range(n):
+            s, c = sums[i], text[i]
+            w = single.get(c) or self._bytes(c)
+            sums[i + 1] += s * w
+            arcs.append((i, i + 1, w, ""))
+            for j in range(i + 1, n + 1):
+                piece = text[i:j]
+                w = p.get(piece)
+                if w is None:
+                    break
+                if w:
+                    sums[j] += s * w
+                    arcs.append((i, j, w, piece))
+        whole = sums[n]
+        if whole < 1e-280:
             return 1.0  # too improbable to tell its pieces
-        go, n = self.go, len(text)
-        back = [0.0] * n + [1.0]
-        whole, drawn = sums[n], 0.0
-        for i, j, w in reversed(arcs):
-            share = w * go * back[j]
-            back[i] += share
-            share *= sums[i] / whole
-            drawn += share
-            if share > 1e-3:
-                into[text[i:j]] += share
+        back = [0.0] * n + [1 / whole]
+        drawn = 0.0
+        for i, j, w, piece in reversed(arcs):
+            b = w * back[j]
+            back[i] += b
+            b *= sums[i]
+            drawn += b
+            if piece and b > 1e-3:
+                into[piece] += b
         return drawn
 
 
@@ -132,28 +134,38 @@ def _words(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         def out():
-            names = list(every)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([train[w] for w in names], pa.int64()), pa.array([every[w] for w in names], pa.int64())], names=["word", "n_train", "n_all"])
+            names = list(train.keys() | held.keys())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([train[w] for w in names], pa.int64()), pa.array([train[w] + held[w] for w in names], pa.int64())], names=["word", "n_train", "n_all"])
 
         train: Counter[bytes] = Counter()
-        every: Counter[bytes] = Counter()
+        held: Counter[bytes] = Counter()
         for batch in batches:
-            for text, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = space_words(text.encode())
-                every.update(words)
-                if not held:
-                    train.update(words)
-            if len(every) > 400_000:
+            for text, out_of_it in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                (held if out_of_it else train).update(space_words(text))
+            if len(train) + len(held) > 400_000:
                 yield out()
                 train.clear()
-                every.clear()
-        if every:
+                held.clear()
+        if train or held:
             yield out()
 
     counted = docs.select("text", "held_out").mapInArrow(run, "word binary, n_train bigint, n_all bigint")
     return counted.groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all"))
 
 
+def _spread(words: DataFrame) -> DataFrame:
+    """words in as many partitions as there are cores, at least: a few megabytes of words are much work."""
+    cores = words.sparkSession.sparkContext.defaultParallelism
+    return words if words.rdd.getNumPartitions() >= cores else words.repartition(cores)
+
+
+class _Places(dict):
+    """Places of words; -1 for all others, without keeping them."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def score_texts(docs: DataFrame, vocabulary: str, held_out: F.Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score for each row.
 
@@ -167,7 +179,7 @@ def score_texts(docs: DataFrame, vocabulary: str, held_out: F.Column, id_col: st
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    words = stored(_words(rows), "lm-words")
+    words = _spread(stored(_words(rows), "lm-words"))
     texts = rows.where("not held_out").count()
     n, v = words.where("n_train > 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count("*")).first()
     n, v = n + texts, v + (texts > 0)
@@ -204,7 +216,7 @@ def score_texts(docs: DataFrame, vocabulary: str, held_out: F.Column, id_col: st
         return int(c > 0), math.log10(c + 1) - base_log, math.log10((c + a * math.exp(log_lattice)) / (n + a)) if c else (math.log(a / (n + a)) + log_lattice) / LOG10, log_lattice / LOG10
 
     # the end of a text is no string; its lattice probability is its share of the training tokens, or of one in 100
-    of_end = value(texts, math.log(texts / n) if texts else math.log(0.01))
+    of_end = np.array(value(texts, math.log(texts / n) if texts else math.log(0.01)))
 
     def partial(batches):
         import pyarrow as pa
@@ -212,17 +224,18 @@ def score_texts(docs: DataFrame, vocabulary: str, held_out: F.Column, id_col: st
         from pyspark import TaskContext
 
         names, counts, logs = pickle.loads(ship.value)
-        known = {w: value(c, x) for w, c, x in zip(names, counts, logs, strict=True)}
+        values = np.array([*(value(c, x) for c, x in zip(counts, logs, strict=True)), (0.0, 0.0, 0.0, 0.0)]).T.copy()
+        place = _Places(zip(names, range(len(names)), strict=True))
+        del names, counts, logs
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
-                found = space_words(text.encode())
-                got = list(map(known.get, found))
-                rest = [w for w, g in zip(found, got, strict=True) if g is None]
-                have = [g for g in got if g is not None] + [of_end]
-                k, b, s, x = zip(*have, strict=True)
-                out.append((at, len(found) + 1, sum(k), math.fsum(b), math.fsum(s), math.fsum(x), np.array([xxhash.xxh64_intdigest(w, 42) for w in rest], np.uint64).view(np.int64)))
+            for text in utf8(batch.column(1)):
+                found = space_words(text)
+                places = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
+                k, b, s, x = (values[:, places].sum(1) + of_end).tolist()
+                rest = [xxhash.xxh64_intdigest(found[i], 42) for i in np.flatnonzero(places < 0)]
+                out.append((at, len(found) + 1, round(k), b, s, x, np.array(rest, np.uint64).view(np.int64)))
                 at += 1
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
