@@ -121,12 +121,12 @@ o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 9)
 """
 
 
-@register(SEARCH_SQL + "SELECT item_id AS query_id, pair_id, matched, floor(bm25 * 1000)::BIGINT AS milli FROM o WHERE position <= 32 AND item_id >= 0")
+@register(SEARCH_SQL + "SELECT item_id AS query_id, pair_id, matched, floor(bm25 * 1000 + 1e-6)::BIGINT AS milli FROM o WHERE position <= 32 AND item_id >= 0")
 def ranked_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranked candidates of each test item among the conversation pairs."""
     pairs = _turn_pairs(spark, sf_dir).withColumns({"priority": F.lit(20), "external_allowed": F.lit(True)})
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("zh-CN").alias("target_locale"), "text")
-    return search.ranked(queries, pairs).select("query_id", "pair_id", "matched", F.floor(F.col("bm25") * 1000).alias("milli"))
+    return search.ranked(queries, pairs).select("query_id", "pair_id", "matched", F.floor(F.col("bm25") * 1000 + 1e-6).alias("milli"))
 
 
 @register()

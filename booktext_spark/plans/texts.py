@@ -78,7 +78,7 @@ f AS (SELECT conv_id, turn, greatest(length(regexp_replace(s, '\\s', '', 'g')),
   regexp_matches(trim(s), '^[「『“"]') = regexp_matches(trim(t), '^[「『“"]') AND regexp_matches(trim(s), '[」』”"]$') = regexp_matches(trim(t), '[」』”"]$') AS same,
   regexp_matches(trim(s), '[。！？!?]$') = regexp_matches(trim(t), '[。！？!?]$') AS ends FROM p WHERE s IS NOT NULL),
 c AS (SELECT conv_id, turn, least(abs(ln(lt / greatest(0.72 * ls, 1.0))), 2.5) + CASE WHEN same THEN 0.0 ELSE 0.28 END + CASE WHEN ends THEN 0.0 ELSE 0.12 END AS cost FROM f)
-SELECT conv_id, turn, floor(cost * 1000)::BIGINT AS cost_milli, floor(exp(-cost) * 1000)::BIGINT AS confidence_milli, exp(-cost) < 0.64 AS needs_review FROM c"""
+SELECT conv_id, turn, floor(cost * 1000 + 1e-6)::BIGINT AS cost_milli, floor(exp(-cost) * 1000 + 1e-6)::BIGINT AS confidence_milli, exp(-cost) < 0.64 AS needs_review FROM c"""
 
 
 @register(MATCH_SQL)
@@ -87,7 +87,7 @@ def match_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("s"), F.col("text").alias("t")).where("s is not null")
     rows = turns.select("conv_id", "turn", T.match_cost(F.col("s"), F.col("t")).alias("cost")).withColumn("c", T.confidence(F.col("cost")))
-    return rows.select("conv_id", "turn", F.floor(F.col("cost") * 1000).alias("cost_milli"), F.floor(F.col("c") * 1000).alias("confidence_milli"), T.needs_review(F.col("c")).alias("needs_review"))
+    return rows.select("conv_id", "turn", F.floor(F.col("cost") * 1000 + 1e-6).alias("cost_milli"), F.floor(F.col("c") * 1000 + 1e-6).alias("confidence_milli"), T.needs_review(F.col("c")).alias("needs_review"))
 
 
 @register(f"""WITH {LINES_SQL} SELECT doc_id, ordinal, 'blk_' || substring(sha256(to_json([doc_id::VARCHAR, ordinal::VARCHAR, {CANONICAL}])::VARCHAR), 1, 24) AS id FROM lines""")
