@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Lower-cases A-Z and turns every ASCII byte that is not a letter or digit into a space.
 WORD_BYTES = bytes(
@@ -25,7 +24,13 @@ def space_words(data: bytes | None) -> list[bytes]:
     return data.lower().split() if data else []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand texts to Python by the thousand: a batch of ten thousand can be most of a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,13 +56,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(*cols: str | Column) -> Column:
-    """Two 64-bit hashes: an identity for rows whose own ids may repeat or be null."""
-    return F.struct(F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols))
-
-
 def utf8(column) -> list[bytes | None]:
     """An Arrow string column as UTF-8 bytes."""
     import pyarrow as pa
 
     return column.cast(pa.binary()).to_pylist()
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of at most so many rows, so that what is made of a part at once is small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from booktext_spark.llm.common import stored, utf8
+from booktext_spark.llm.common import slices, stored, utf8
 
 GRAM = 64
 #: Positions of a text that are named at a time.
@@ -109,7 +109,7 @@ def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
         def run(batches):
             import pyarrow as pa
 
-            for batch in batches:
+            for batch in slices(batches):
                 out: list[list[np.ndarray]] = []
                 for key, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                     for first, shape, name, kind in segments(data, length) if len(data) >= length else ():
@@ -152,7 +152,7 @@ def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
     def merge(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             merged = []
             for spans in batch.column(1).to_pylist():
                 one: list[dict] = []
@@ -178,7 +178,7 @@ def _cells(length: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for key, data, runs in zip(batch.column("row").to_pylist(), utf8(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
                 for base, some in _near(runs):
@@ -214,7 +214,7 @@ def _pairs(length: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for key, data, runs in zip(batch.column("row").to_pylist(), utf8(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
                 for base, some in _near(runs):
@@ -258,7 +258,7 @@ def find_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             data, spans = utf8(batch.column(1)), batch.column(2).to_pylist()
             kept = [cut_spans(d, s) for d, s in zip(data, spans, strict=True)]
             arrays = [batch.column(0), pa.array(map(len, data), pa.int64()), pa.array([s or [] for s in spans], batch.column(2).type), pa.array(kept, pa.binary())]
@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if spans:

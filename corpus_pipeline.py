@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from booktext_spark.llm import decontam, packing, repeats, simhash, toxicity
-from booktext_spark.llm.common import shared_dir, table
+from booktext_spark.llm.common import shared_dir, small_batches, table
 
 #: A document of this score or more goes.
 TOXIC = 0.7
@@ -24,11 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of linked fingerprints."""
+    small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 200 bytes that occur twice; n_chars follows the text."""
+    small_batches(spark)
     return recounted(repeats.remove_repeats(docs, 200))
 
 
@@ -39,6 +41,7 @@ def remove_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with the checksum of their ids."""
+    small_batches(spark)
     pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 0)
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
