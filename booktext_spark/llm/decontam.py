@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -163,18 +164,33 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 HITS = "__hits"
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str) -> DataFrame:
-    """docs with n_words, spans and items in one struct."""
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, share: float | None = None) -> DataFrame:
+    """docs with n_words, spans and items in one struct; with a share, the last pass takes wrong spans out of the texts."""
     spark = docs.sparkSession
     out = docs.withColumn(HITS, F.lit(None).cast("struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<string>>"))
-    found = False
+    last = None
     for automaton in shards(benchmark, window, item_col, text_col):
-        out = _with_shard(out, spark.sparkContext.broadcast(pickle.dumps(automaton)), text_col)
-        found = True
-    return out if found else _with_shard(out, spark.sparkContext.broadcast(pickle.dumps(Automaton([], window))), text_col)
+        if last is not None:
+            out = _with_shard(out, spark.sparkContext.broadcast(pickle.dumps(last)), text_col)
+        last = automaton
+    return _with_shard(out, spark.sparkContext.broadcast(pickle.dumps(last or Automaton([], window))), text_col, share)
 
 
-def _with_shard(docs: DataFrame, shipped, text_col: str) -> DataFrame:
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without what lies from the first to the last word of each span; a space is in its place."""
+    data = text.encode()
+    places = [m.span() for m in WORD.finditer(data.lower())]
+    parts, done = [], 0
+    for start, stop in spans:
+        parts.append(data[done : places[start][0]])
+        done = places[stop - 1][1]
+    return b" ".join([*parts, data[done:]]).decode()
+
+
+def _with_shard(docs: DataFrame, shipped, text_col: str, share: float | None = None) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def merged(a, b):
@@ -193,16 +209,22 @@ def _with_shard(docs: DataFrame, shipped, text_col: str) -> DataFrame:
         for batch in batches:
             before = batch.column(batch.num_columns - 1)
             kind = before.type
-            rows = []
-            for data, old in zip(utf8(batch.column(at)), before.to_pylist(), strict=True):
+            rows, changed = [], {}
+            for k, (data, old) in enumerate(zip(utf8(batch.column(at)), before.to_pylist(), strict=True)):
                 words = alnum_words(data)
                 spans, items = automaton.scan(words)
                 names = {automaton.names[n] for n in items}
                 if old:
                     spans = merged(spans, [(s["start"], s["stop"]) for s in old["spans"]])
                     names |= set(old["items"])
+                if share is not None and spans and sum(b - a for a, b in spans) >= share * len(words):
+                    changed[k] = without_words(data.decode(), spans)
                 rows.append({"n_words": len(words), "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted(names)})
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], schema=batch.schema)
+            arrays = list(batch.columns)
+            if changed:
+                arrays[at] = pa.array([changed.get(k, t) for k, t in enumerate(arrays[at].to_pylist())], arrays[at].type)
+            arrays[-1] = pa.array(rows, kind)
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -217,31 +239,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13
     A document is contaminated if hit words are at least `share` of its words. The text between a hit
     span's first and last word goes, with one space in its place.
     """
-    columns = docs.columns
-    spans = F.col(f"{HITS}.spans")
-    wrong = (F.size(spans) > 0) & (hit_words(f"{HITS}.spans") >= F.lit(share) * F.col(f"{HITS}.n_words"))
-    marked = _hits(docs, benchmark, window, text_col, item_col).select(*columns, F.when(wrong, spans).alias("__spans"))
-    at = columns.index(text_col)
-
-    def run(batches):
-        import re
-
-        import pyarrow as pa
-
-        word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if spans:
-                    data = texts[i].encode()
-                    places = [m.span() for m in word.finditer(data.lower())]
-                    parts, done = [], 0
-                    for s in spans:
-                        parts.append(data[done : places[s["start"]][0]])
-                        done = places[s["stop"] - 1][1]
-                    texts[i] = b" ".join([*parts, data[done:]]).decode()
-            arrays = list(batch.columns[:-1])
-            arrays[at] = pa.array(texts, arrays[at].type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(list(batch.schema)[:-1]))
-
-    return marked.mapInArrow(run, docs.schema)
+    return _hits(docs, benchmark, window, text_col, item_col, share).select(*docs.columns)
