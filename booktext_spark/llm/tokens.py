@@ -30,7 +30,7 @@ class Encoder:
     of chunks is emptied when it holds `room` bytes.
     """
 
-    def __init__(self, path: str, room: int = 160 << 20):
+    def __init__(self, path: str, room: int = 48 << 20):
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
         self.room = room
