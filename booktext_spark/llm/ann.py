@@ -63,7 +63,7 @@ def fit_codebooks(x: np.ndarray, books: int = 8, entries: int = 256, rounds: int
         out.append(centres)
     fitted = Codebooks(np.stack(out).astype(np.float32))
     if len(x) >= 4 * entries:
-        codes = fitted.encode(x)[0].astype(np.int64) + np.arange(books) * entries
+        codes = np.concatenate([fitted.encode(x[i : i + 1024])[0] for i in range(0, len(x), 1024)]).astype(np.int64) + np.arange(books) * entries
         gram = np.zeros((books * entries,) * 2, np.float32)
         side = np.zeros((books * entries, x.shape[1]), np.float32)
         for i in range(books):
