@@ -208,9 +208,9 @@ SELECT doc_id, item_id, lcs, shared::BIGINT AS shared, size::BIGINT AS size, CAS
 
 @register(AUDIT_SQL)
 def copying_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against test items: every pair with a common run of 28 characters or more, with its verdict."""
+    """Documents against test items: every pair with a common run of 28 characters or more or a suspicious overlap, with its verdict."""
     found = copying.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
-    return found.where("lcs >= 28").select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), "lcs", "shared", "size", "suspicious")
+    return found.where("lcs >= 28 or suspicious").select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), "lcs", "shared", "size", "suspicious")
 
 
 @register(
