@@ -242,4 +242,22 @@ def longest_common_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copying.longest_common_run(ours, theirs, 28).select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), "lcs")
 
 
+@register(
+    f"""WITH {TEXTS_SQL}, ol AS (SELECT id, {GRAMS.format(t="t", n=8)} AS l FROM o), og AS (SELECT id, len(l) AS size, unnest(l) AS g FROM ol), rg AS (SELECT id, unnest({GRAMS.format(t="t", n=8)}) AS g FROM r)
+SELECT og.id AS doc_id, rg.id AS item_id, floor(count(*) / any_value(size) * 1000000)::BIGINT AS millionths FROM og JOIN rg USING (g) GROUP BY ALL"""
+)
+def ngram_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap of every pair that shares an 8-gram, however small its share."""
+    ours, theirs = copying.copying_texts(table(spark, sf_dir, "documents"), "doc_id"), copying.copying_texts(table(spark, sf_dir, "benchmark"), "item_id")
+    rows = copying.ngram_overlap(copying.copy_candidates(ours, theirs))
+    return rows.select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), F.floor(F.col("overlap") * 1000000).alias("millionths"))
+
+
+@register()
+def longest_common_run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest common run of every pair that shares an 8-gram, by built-in operators only."""
+    ours, theirs = copying.copying_texts(table(spark, sf_dir, "documents"), "doc_id"), copying.copying_texts(table(spark, sf_dir, "benchmark"), "item_id")
+    return copying.longest_common_run(ours, theirs).select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), "lcs")
+
+
 QUERIES, ORACLE_SQL = register, register.sql

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from booktext_spark.functions.text import common_run
 from booktext_spark.plans import registry
 
 
@@ -29,3 +30,19 @@ def test_audit_keeps_copies_with_an_edit_every_twenty_characters(spark, put):
     found = registry.QUERIES["copying_audit"](spark, put("benchmark", [(7, item)], "item_id bigint, text string")).collect()
     assert [(r.doc_id, r.item_id, r.lcs, r.suspicious) for r in found] == [(1, 7, 19, True)]
     assert found[0].shared / found[0].size >= 0.44
+
+
+def test_overlaps_and_runs_of_all_pairs_are_brute_force(spark, put):
+    items = [(7, prose(60, 3)), (8, prose(40, 4))]
+    docs = [(1, prose(5000, 5) + items[0][1] + prose(5000, 6)), (2, prose(300, 7) + items[1][1][5:16] + prose(200, 8)), (3, prose(100, 9) + items[1][1][:7])]
+    put("documents", docs, "doc_id bigint, text string")
+    sf = put("benchmark", items, "item_id bigint, text string")
+    grams = lambda t: {t[i : i + 8] for i in range(len(t) - 7)}
+    met = [(d, i, a, b) for d, a in docs for i, b in items if grams(a) & grams(b)]
+    assert {(d, i) for d, i, *_ in met} == {(1, 7), (2, 8)}
+    shares = {(d, i): len(grams(a) & grams(b)) * 1000000 // len(grams(a)) for d, i, a, b in met}
+    assert 0 < shares[1, 7] < 20000
+    assert {(r.doc_id, r.item_id): r.millionths for r in registry.QUERIES["ngram_overlap_all"](spark, sf).collect()} == shares
+    runs = {(d, i): common_run(a, b) for d, i, a, b in met}
+    assert 8 <= runs[2, 8] < 28
+    assert {(r.doc_id, r.item_id): r.lcs for r in registry.QUERIES["longest_common_run_all"](spark, sf).collect()} == runs
