@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from booktext_spark.functions.text import nfkc, search_tokens
 
 #: The usual BM25 constants, the least inverse document frequency, query tokens, ranked candidates for each wanted row.
 K1, B, LEAST_IDF, MAX_TOKENS, PER_WANTED, LEAST_RANKED, MOST_WANTED = 1.2, 0.75, 1e-6, 96, 8, 24, 4
+#: Parts of a query's candidates that are ranked by themselves.
+SALTS = 64
 
 
 def with_tokens(df: DataFrame, text_col: str) -> DataFrame:
@@ -60,8 +62,12 @@ def ranked(queries: DataFrame, pairs: DataFrame, limit: int = 4, max_tokens: int
     weight = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("n_tokens") / (stats.mean_tokens or 1.0)))
     scored = met.groupBy("query_id", "pair_id").agg(F.first("priority").alias("priority"), F.sum(weight).alias("bm25"), F.count("*").alias("matched"))
     wanted = max(PER_WANTED * min(max(limit, 0), MOST_WANTED), LEAST_RANKED)
-    best = scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("priority")).alias("p"), (-F.col("bm25")).alias("s"), "pair_id", "matched"))), 1, wanted).alias("top"))
-    return best.select("query_id", F.posexplode("top").alias("at", "c")).select("query_id", (F.col("at") + 1).alias("position"), F.col("c.pair_id").alias("pair_id"), (-F.col("c.p")).alias("priority"), (-F.col("c.s")).alias("bm25"), F.col("c.matched").alias("matched"))
+    best = [F.desc_nulls_first("priority"), F.desc("bm25"), F.asc("pair_id")]
+    # first in each of SALTS parts of a query's candidates, then in what is left of them: no task holds all of a query's
+    parts = scored.withColumn("__part", F.pmod(F.xxhash64("pair_id"), F.lit(SALTS)))
+    left = parts.withColumn("position", F.row_number().over(Window.partitionBy("query_id", "__part").orderBy(*best))).where(F.col("position") <= wanted)
+    final = left.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("position") <= wanted)
+    return final.select("query_id", "position", "pair_id", "priority", "bm25", "matched")
 
 
 def search_references(queries: DataFrame, pairs: DataFrame, limit: int = 4, max_tokens: int = MAX_TOKENS, external_only: bool = True, k1: float = K1, b: float = B, side: int = 300, total: int = 2400) -> DataFrame:

@@ -1,10 +1,12 @@
 """Registered queries on tables with rows that the driver's smallest tables do not have."""
 
 import random
+from collections import Counter
 
 import pytest
 
 from booktext_spark.functions.text import common_run
+from booktext_spark.operators import search
 from booktext_spark.plans import registry
 
 
@@ -46,3 +48,20 @@ def test_overlaps_and_runs_of_all_pairs_are_brute_force(spark, put):
     runs = {(d, i): common_run(a, b) for d, i, a, b in met}
     assert 8 <= runs[2, 8] < 28
     assert {(r.doc_id, r.item_id): r.lcs for r in registry.QUERIES["longest_common_run_all"](spark, sf).collect()} == runs
+
+
+def test_candidates_are_ranked_in_parts(spark, put, monkeypatch):
+    """No list of all candidates of a query: the plan ranks within parts, and the outcome is that of one sort."""
+    random.seed(3)
+    said = [(c, t, "user", prose(12, random.randrange(40))) for c in range(60) for t in range(4)]
+    put("conversations", said, "conv_id bigint, turn bigint, role string, text string")
+    sf = put("benchmark", [(i, prose(12, i) + prose(12, i + 1)) for i in range(5)], "item_id bigint, text string")
+    ranked = registry.QUERIES["ranked_references"](spark, sf)
+    assert "collect_list" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    got = {tuple(r) for r in ranked.collect()}
+    monkeypatch.setattr(search, "SALTS", 1)
+    monkeypatch.setattr(search, "LEAST_RANKED", 100_000)
+    whole = registry.QUERIES["ranked_references"](spark, sf).collect()
+    assert max(Counter(r.query_id for r in whole).values()) > 32
+    by_query = {q: sorted((-r.milli, r.pair_id, r.matched) for r in whole if r.query_id == q)[:32] for q in {r.query_id for r in whole}}
+    assert got == {(q, p, m, -s) for q, rows in by_query.items() for s, p, m in rows}
