@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,15 @@ class Register(dict):
         return add
 
 
+def number(of: str, at: str) -> Column:
+    """One number for a row `at` of a group `of`, both 0 or more: of * 1000 + at below 1,000, which is what the SQL has.
+
+    From 1,000 on it is negative, so that it meets no row of another group. Groups whose numbers do not fit end in an error.
+    """
+    far = -(F.col(of).cast("bigint") * F.lit(1 << 31) + F.col(at))
+    return F.when(F.col(at) < 1000, F.col(of) * 1000 + F.col(at)).otherwise(far)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of documents as blocks: doc_id, source, lang, ordinal, text."""
     docs = table(spark, sf_dir, "documents")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from booktext_spark.functions.ids import stable_identifier
 from booktext_spark.operators import align, library, search
-from booktext_spark.plans.base import LINES_SQL, Register, lines, table
+from booktext_spark.plans.base import LINES_SQL, Register, lines, number, table
 from booktext_spark.streaming import feeds
 
 register = Register()
@@ -56,7 +56,7 @@ def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn with the one before: conversations as libraries of pairs."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lag("text").over(w).alias("source_text"), F.col("text").alias("target_text"))
-    return rows.where("source_text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "conv_id", F.concat(F.lit("lib"), F.col("conv_id") % 7).alias("library_id"), "source_text", "target_text", F.lit("zh-CN").alias("target_locale"))
+    return rows.where("source_text is not null").select(number("conv_id", "turn").alias("pair_id"), "conv_id", "turn", F.concat(F.lit("lib"), F.col("conv_id") % 7).alias("library_id"), "source_text", "target_text", F.lit("zh-CN").alias("target_locale"))
 
 
 PAIRS_SQL = """pairs AS (SELECT conv_id * 1000 + turn AS pair_id, conv_id, 'lib' || (conv_id % 7) AS library_id, s AS source_text, t AS target_text
@@ -68,7 +68,7 @@ PAIRS_SQL = """pairs AS (SELECT conv_id * 1000 + turn AS pair_id, conv_id, 'lib'
 SELECT pair_hash, min(pair_id) AS pair_id, arg_min(library_id, pair_id) AS library_id FROM h GROUP BY 1"""
 )
 def dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.dedup_pairs(_turn_pairs(spark, sf_dir), ["pair_id"])[0].select("pair_hash", "pair_id", "library_id")
+    return library.dedup_pairs(_turn_pairs(spark, sf_dir), ["conv_id", "turn"])[0].select("pair_hash", "pair_id", "library_id")
 
 
 @register(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from booktext_spark.functions.text import text_for
 from booktext_spark.operators import editions, revisions
-from booktext_spark.plans.base import LINES_SQL, Register, lines, table
+from booktext_spark.plans.base import LINES_SQL, Register, lines, number, table
 
 register = Register()
 #: system: locked human, user: human; assistant: by turn, a model draft, review or candidate.
@@ -98,7 +98,7 @@ FROM p LEFT JOIN eff e ON e.block_id = p.id WHERE position BETWEEN 51 AND 100"""
 )
 def segment_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of 50 lines of every source."""
-    blocks = lines(spark, sf_dir).select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("section_ordinal"), "ordinal", (F.col("doc_id") * 1000 + F.col("ordinal")).alias("stable_id"), F.col("text").alias("source_text"))
+    blocks = lines(spark, sf_dir).select(F.col("source").alias("book_id"), F.col("doc_id").cast("int").alias("section_ordinal"), "ordinal", number("doc_id", "ordinal").alias("stable_id"), F.col("text").alias("source_text"))
     effective = revisions.effective_revision(_revisions(spark, sf_dir))
     return editions.segment_page(blocks, effective, None, 2, 50).select("book_id", F.col("stable_id").alias("id"), "position", "total", "status")
 

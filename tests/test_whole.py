@@ -65,3 +65,19 @@ def test_candidates_are_ranked_in_parts(spark, put, monkeypatch):
     assert max(Counter(r.query_id for r in whole).values()) > 32
     by_query = {q: sorted((-r.milli, r.pair_id, r.matched) for r in whole if r.query_id == q)[:32] for q in {r.query_id for r in whole}}
     assert got == {(q, p, m, -s) for q, rows in by_query.items() for s, p, m in rows}
+
+
+def test_long_conversations_and_documents_keep_their_rows_apart(spark, put):
+    said = [(c, t, "user", prose(10, 2000 * c + t)) for c, n in ((0, 1100), (1, 60)) for t in range(n)]
+    put("conversations", said, "conv_id bigint, turn bigint, role string, text string")
+    put("benchmark", [(5, said[1049][3])], "item_id bigint, text string")
+    documents = [(d, "\n".join(f"{d} {k}" for k in range(n)), "en", f"s{d}", 1) for d, n in ((0, 1100), (1, 120))]
+    sf = put("documents", documents, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    pairs = registry.QUERIES["dedup_pairs"](spark, sf).collect()
+    assert len(pairs) == len({r.pair_id for r in pairs}) == 1099 + 59
+    ranked = registry.QUERIES["ranked_references"](spark, sf).collect()
+    assert len(ranked) == len({r.pair_id for r in ranked}) and max(ranked, key=lambda r: r.milli).matched == len({said[1049][3][i : i + n] for n in (2, 3) for i in range(11 - n)}) + 1
+    shown = registry.QUERIES["search_references"](spark, sf).collect()
+    assert shown == [] or len({r.pair_id for r in shown}) == len(shown)
+    page = registry.QUERIES["segment_page"](spark, sf).collect()
+    assert len(page) == len({r.id for r in page}) == 100
