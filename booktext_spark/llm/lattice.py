@@ -93,8 +93,9 @@ class Lattice:
                     sums[j] += s * w
         return math.log(sums[n] or 1e-300) + scale - self.log_go + self.log_stop
 
-    def expected(self, word: str, into: Counter) -> float:
-        """Adds the expected number of each piece in the word; returns the expected number of pieces."""
+    def expected(self, word: str, into: Counter, spelt: Counter | None = None) -> float:
+        """Adds the expected number of each piece in the word, and of each character spelt in bytes; returns that of all pieces."""
+        spelt = Counter() if spelt is None else spelt
         text = "▁" + word
         n, p, single = len(text), self.p, self.single
         sums = [1.0] + [0.0] * n
@@ -114,7 +115,7 @@ class Lattice:
                     arcs.append((i, j, w, piece))
         whole = sums[n]
         if whole < 1e-280:
-            return 1.0  # too improbable to tell its pieces
+            return self._expected_by_logs(text, arcs, into, spelt)
         back = [0.0] * n + [1 / whole]
         drawn = 0.0
         for i, j, w, piece in reversed(arcs):
@@ -122,10 +123,39 @@ class Lattice:
             back[i] += b
             b *= sums[i]
             drawn += b
-            if piece and b > 1e-3:
+            if not piece:
+                c = text[i]
+                spelt[c] += b
+                if c > "\x7f":  # more bytes than one
+                    drawn += b * (len(c.encode(errors="replace")) - 1)
+            elif b > 1e-3:
                 into[piece] += b
         return drawn
 
+    def _expected_by_logs(self, text: str, arcs: list[tuple[int, int, float, str]], into: Counter, spelt: Counter) -> float:
+        """expected() with logs of the sums, for words whose sums underflow."""
+        ahead, back = [0.0] + [-math.inf] * len(text), [-math.inf] * len(text) + [0.0]
+        logs = [math.log(w or 5e-324) for _, _, w, _ in arcs]
+        for (i, j, _, _), x in zip(arcs, logs, strict=True):
+            ahead[j] = _log_plus(ahead[j], ahead[i] + x)
+        drawn = 0.0
+        for (i, j, _, piece), x in zip(reversed(arcs), reversed(logs), strict=True):
+            x += back[j]
+            back[i] = _log_plus(back[i], x)
+            b = math.exp(min(0.0, ahead[i] + x - ahead[-1]))
+            drawn += b if piece else b * len(text[i].encode(errors="replace"))
+            if not piece:
+                spelt[text[i]] += b
+            elif b > 1e-3:
+                into[piece] += b
+        return drawn
+
+
+def _log_plus(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    a, b = max(a, b), min(a, b)
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
 
 def _words(docs: DataFrame) -> DataFrame:
     """word (null: end of text), n_train, n_all; a task's words are counted before they are shuffled."""
@@ -263,19 +293,23 @@ def _fit(words: DataFrame, pieces: dict[str, float], by_byte: list[float], stop:
 
         lattice = Lattice(*pickle.loads(ship.value))
         total: Counter[str] = Counter()
+        spelt: Counter[str] = Counter()
         drawn = seen = 0
         for batch in batches:
             for w in batch.column(0).to_pylist():
-                drawn += lattice.expected(w.decode(errors="replace"), total)
+                drawn += lattice.expected(w.decode(errors="replace"), total, spelt)
                 seen += 1
+        for c, k in spelt.items():  # words, so pieces in them, have no spaces
+            for byte in c.encode(errors="replace"):
+                total[f" {byte}"] += k
         names = [*total, "", " "]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*total.values(), drawn, seen], pa.float64())], names=["piece", "n"])
 
-    got = {r.piece: r.n for r in words.select("word").mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # at most the vocabulary
+    got = {r.piece: r.n for r in words.select("word").mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # at most the vocabulary and 256 bytes
     drawn, seen = got.pop("", 0.0), got.pop(" ", 0.0)
     if not drawn:
         return pieces, by_byte, stop
     spread = 0.01 * drawn  # the old weights keep a hundredth
     new = {p: math.log(got.get(p, 0.0) + spread * math.exp(w)) for p, w in pieces.items()}
-    new_bytes = [math.log(spread) + w for w in by_byte]
+    new_bytes = [math.log(got.get(f" {i}", 0.0) + spread * math.exp(w)) for i, w in enumerate(by_byte)]
     return *normalised(new, new_bytes), min(0.9, max(0.05, seen / drawn))
