@@ -128,25 +128,34 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = 1, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _files(rows: DataFrame, file_bytes: int) -> int:
+    """Files for rows(text): one for each `file_bytes` of UTF-8, a few for each core at least."""
+    found = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    return max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-found // file_bytes))
+
+
+def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = 1, files: int | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 128 << 20, memory: int = 160 << 20) -> DataFrame:
     """Encodes every text and writes the ids, in ascending doc_id order, into `files` files.
 
-    The order is that of a range partition by doc_id (nulls first, ties by text). Ids take the fewest
+    Where `files` is None, there is a file for each `file_bytes` of text, so that files keep their size as the
+    corpus grows. The order is that of a range partition by doc_id (nulls first, ties by text). Ids take the fewest
     bits that hold the vocabulary. A task writes under a name of its own and renames at its end, so a
-    repeated task replaces equal bytes. Returns the manifest, one row for each file: file_no, path,
-    n_docs, n_ids. A null or empty text has its end id alone; an empty table gives files without documents
-    or no file.
+    repeated task replaces equal bytes. memory: bytes that a worker's memory of encoded words takes. Returns the
+    manifest, one row for each file: file_no, path, n_docs, n_ids. A null or empty text has its end id alone; an
+    empty table gives files without documents or no file.
     """
     spark = docs.sparkSession
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
+    n = files or _files(rows, file_bytes)
 
     def run(batches):
         import pyarrow as pa
+        from pyarrow import fs
         from pyspark import TaskContext
 
         from booktext_spark.llm.tokens import encoder
 
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, memory)
         bits = max(1, (enc.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         end = [] if end_id is None else [end_id]
         tail = np.array(end, "<u4").tobytes()
@@ -161,10 +170,11 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     writer.add(doc, np.frombuffer(enc.encode(text.as_py()) + tail, "<u4"))
             writer.close()
+        if store.get_file_info(path).type != fs.FileType.NotFound:  # of a lost try of this task; not every store moves onto a file
+            store.delete_file(path)
         store.move(trial, path)
         yield pa.RecordBatch.from_pydict({"file_no": pa.array([part], pa.int32()), "path": [path], "n_docs": pa.array([len(writer.ends)], pa.int64()), "n_ids": pa.array([writer.n], pa.int64())})
 
-    rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, "file_no int, path string, n_docs bigint, n_ids bigint")
 
@@ -213,4 +223,5 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int | None = 1) -> Data
 
 
 def with_crc(read: DataFrame) -> DataFrame:
+    """read with the checksum of the ids in their place; no ids have the checksum 0, and an empty table stays empty."""
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

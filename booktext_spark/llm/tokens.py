@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
+from array import array
 
 #: White space as the vocabulary files' patterns see it: Python's, without U+001C to U+001F.
 SPACE = r"[^\S\x1c-\x1f]"
 CHUNK = re.compile(rf"{SPACE}*(?:\S|[\x1c-\x1f])+|{SPACE}+")
-ODD_SPACE = re.compile(r"[^\S ]|  | $|^ ")
-MARKS = frozenset(".,;:!?")
+CONTROL = re.compile(r"[\x1c-\x1f]")
+#: A line end or a space or neither, letters, and ASCII signs: the patterns of both kinds of files part these.
+PARTS = re.compile(r"(\n?)( ?[^\W\d_]+)([!-/:-@\[-^`{-~]*)")
+#: Bytes that a chunk in memory takes besides its letters and ids.
+ENTRY = 190
 
 
 def load(path: str):
@@ -22,22 +26,34 @@ def load(path: str):
     return tokenizer
 
 
+def packed(ids: list[int]) -> bytes:
+    """ids as little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids.
 
     No merge crosses from a word into the white space after it, so a text is the concatenation of its
-    chunks (white space and the word behind it), and each distinct chunk is encoded once. The memory
-    of chunks is emptied when it holds `room` bytes.
+    chunks (white space and the word behind it), and each distinct chunk is encoded once. Chunks are remembered
+    in two generations of `room` / 2 bytes each: when the younger one is full it becomes the older one, whose chunks
+    go unless they are met again, so that frequent words stay and rare ones leave.
     """
 
     def __init__(self, path: str, room: int = 48 << 20):
         self.tokenizer = load(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.room = room
         #: Whether this vocabulary drops white space, so that " a" and "a" have the same ids.
         self.spaceless = self.ids(" a") == self.ids("a") and self.ids("\n") == []
         self.letters = self._byte_letters()
-        self.clear()
+        self.signs: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.left = room // 2
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -49,58 +65,70 @@ class Encoder:
         others = (b for b in range(256) if b not in plain)
         return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    def clear(self) -> None:
-        self.known: dict[str, bytes] = {}
-        self.left = self.room
-        self.marks = {m: self.pack(self.ids(m)) for m in MARKS}
-
-    @staticmethod
-    def pack(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, chunk: str) -> bytes | None:
-        """Ids of a chunk that is one run of letters, if that is certain; the whole path else."""
-        word = chunk[1:] if chunk[0] == " " else chunk
-        if not word.isalpha() or max(word) >= "İ":
+    def _letters(self, chunk: str) -> bytes | None:
+        """Ids of a chunk that is one run of letters, with one space before it or none, if that is certain; None else."""
+        if not chunk.isascii() and max(chunk) >= "İ":
             return None
         if self.spaceless:
-            word = word.lower()
-        else:
-            word = chunk
-        return self.pack([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+            chunk = chunk.lstrip(" ").lower()
+        chunk = chunk.encode().decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.tokenize(chunk)])
+
+    def _sign(self, signs: str) -> bytes:
+        """Ids of a run of signs or of a line end, which are few."""
+        got = self.signs.get(signs)
+        if got is None:
+            got = packed(self.ids(signs))
+            if len(self.signs) < 4096 and len(signs) < 16:
+                self.signs[signs] = got
+        return got
+
+    def _parts(self, chunk: str) -> bytes | None:
+        """Ids of a chunk by its parts, where these are certain; None else."""
+        if (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+            return self._letters(chunk)
+        found = PARTS.fullmatch(chunk)
+        if not found:
+            return None
+        line, core, signs = found.groups()
+        if line and core[0] == " " or signs and signs[0] == "'" or not core.lstrip(" ").isalpha():
+            return None
+        got = self.known.get(core) or self.older.get(core) or self._letters(core)
+        if got is None:
+            return None
+        if signs:
+            got += self._sign(signs)
+        return self._sign(line) + got if line else got
 
     def _learn(self, chunks: set[str]) -> None:
-        rest = []
+        """Puts chunks into the younger generation."""
+        known, older, parts, rest, left = self.known, self.older, self._parts, [], self.left
         for c in chunks:
-            mark = self.marks.get(c[-1])
-            core = c[:-1] if mark is not None and c[:-1].lstrip(" ").isalpha() else c
-            if (got := self.known.get(core)) is None:
-                got = self._word(core)
+            got = older.get(c) or parts(c)
             if got is None:
                 rest.append(c)
             else:
-                self._keep(c, got if core is c else got + mark)
+                known[c] = got
+                left -= len(c) + len(got) + ENTRY
         if rest:
             for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                self._keep(c, self.pack(e.ids))
-
-    def _keep(self, chunk: str, ids: bytes) -> None:
-        self.known[chunk] = ids
-        self.left -= len(chunk) + len(ids) + 190
+                known[c] = got = packed(e.ids)
+                left -= len(c) + len(got) + ENTRY
+        self.left = left
 
     def chunks(self, text: str) -> list[str]:
-        if self.spaceless and text.isascii() and not re.search(r"[\x1c-\x1f]", text):
-            return text.split()
-        if ODD_SPACE.search(text):
-            return CHUNK.findall(text)
-        first, *others = text.split(" ")
-        return [first, *map(" ".__add__, others)] if first else CHUNK.findall(text)
+        words = text.split()
+        if " ".join(words) == text:  # words apart by one space
+            return words if self.spaceless else [words[0], *map(" ".__add__, words[1:])]
+        if self.spaceless and text.isascii() and not CONTROL.search(text):
+            return words
+        return CHUNK.findall(text)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.left < 0:
-            self.clear()
+            self.known, self.older, self.left = {}, self.known, self.room // 2
         chunks = self.chunks(text)
         out = list(map(self.known.get, chunks))
         if None in out:
@@ -110,11 +138,11 @@ class Encoder:
         return b"".join(out)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary file and worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, room: int = 48 << 20) -> Encoder:
+    """One encoder for each vocabulary file and worker process; `room` bounds its memory of chunks, in bytes."""
+    if (path, room) not in _ENCODERS:
+        _ENCODERS[path, room] = Encoder(path, room)
+    return _ENCODERS[path, room]

@@ -132,6 +132,37 @@ def test_packing(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS), BYTE, 64).count() == 0
 
 
+@pytest.mark.parametrize("open_tokens", [1 << 22, 200])
+def test_windows_stay_as_the_level_array_filled_them(open_tokens):
+    rng = random.Random(14)
+    docs = [(i, np.arange(rng.choice([3, 9, 30, 31, 64, 65, 150]) + rng.randrange(3), dtype="<u4").tobytes()) for i in range(500)]
+    rows = list(packing.pack_stream(iter(docs), 64, 1 << 36, open_tokens))
+    levels, filled = packing.Levels(64), {}
+    for k, (i, ids) in enumerate(docs):
+        if rest := len(ids) // 4 % 64:
+            window, _ = levels.place(rest, k)
+            filled.setdefault(window, []).append(i)
+    together = {}
+    for doc, _, length, _, sequence, offset, donated, ids in rows:
+        assert len(ids) == 4 * length and offset + length <= 64
+        if not donated and length < 64:
+            together.setdefault(sequence, []).append(doc)
+    donated = sum(r[2] for r in rows if r[6])
+    assert 0 < donated < 0.2 * sum(r[2] for r in rows)
+    if open_tokens > 200:
+        whole = {tuple(x) for x in filled.values()}
+        assert all(tuple(x) in whole for x in together.values())
+    by_doc = {}
+    for doc, start, _, total, _, _, _, ids in sorted(rows, key=lambda r: (r[0], r[1])):
+        by_doc[doc] = by_doc.get(doc, b"") + ids
+        assert total == len(dict(docs)[doc]) // 4
+    assert by_doc == dict(docs)
+    ends = {}
+    for r in rows:
+        ends[r[4]] = max(ends.get(r[4], 0), r[5] + r[2])
+    assert all(n == 64 or n & (n - 1) == 0 for n in ends.values()) and sum(ends.values()) == sum(len(ids) // 4 for _, ids in docs)
+
+
 def test_levels_take_the_least_sum_of_squares():
     rng = random.Random(4)
     levels = packing.Levels(16)
@@ -390,11 +421,12 @@ def test_token_files(spark):
 
 def test_encoder_equals_the_library():
     rng = random.Random(12)
-    odd_texts = ["", " ", "a  b\n\n c", "it's \x1c x\x1dy <|endoftext|>", "déja\u0301 Σας ΟΔΟΣ İx ١٢ ½", "\x85x ", "\n", "A.B,c!! d.", " lead", "trail "]
+    odd_texts = ["", " ", "a  b\n\n c", "it's \x1c x\x1dy <|endoftext|>", "déja\u0301 Σας ΟΔΟΣ İx ١٢ ½", "\x85x ", "\n", "A.B,c!! d.", " lead", "trail ", "x's '' 's x'", "\nAb*** \n Ab***\nab_c d-e", "a\n b", "Ĳ ß'S ŉx,"]
     for path in (BYTE, WORD):
         enc = tokens.Encoder(path, room=4000)
         for text in odd_texts + ["".join(rng.choices("aB é.,\n'\U0001f600 ", k=60)) for _ in range(200)]:
             assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.ids(text), text
+            assert len(enc.known) + len(enc.older) < 100
 
 
 # 9: chat
