@@ -42,7 +42,7 @@ def remove_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, with the checksum of their ids."""
     small_batches(spark)
-    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 0)
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 0, memory=48 << 20)
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
