@@ -445,12 +445,38 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0), BYTE).count() == 0
 
 
+def test_masked_tokens_hold_the_wanted_texts_only(spark):
+    rng = random.Random(15)
+    pieces = ["<turn>", "</turn>", "\\", "\n", " x", "語", "é\U0001f600", "</", "turn>", "<\\turn>", "user\n", "a.", "<|endoftext|>", "  "]
+    rows = [(c, t, rng.choice(["user", "assistant", "assi\n<turn>"]), "".join(rng.choices(pieces, k=rng.randrange(8)))) for c in range(60) for t in range(5)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), BYTE)
+    tokenizer = chat.chat_tokenizer(BYTE)
+    opening, closing = tokenizer.token_to_id(chat.OPEN), tokenizer.token_to_id(chat.CLOSE)
+    for r in made.collect():
+        own = [x for x in rows if x[0] == r.conv_id]
+        assert r.ids.count(opening) == r.ids.count(closing) == len(own)
+        assert chat.parse(r.formatted) == [x[2:] for x in own]
+        masked = [i for i, m in zip(r.ids, r.loss_mask, strict=True) if m]
+        wanted = "".join(chat.escape(x[3]) for x in own if x[2] == "assistant")
+        assert not {opening, closing} & set(masked) and tokenizer.decode(masked, skip_special_tokens=False) == wanted
+        assert chat.masked_text(r.formatted, r.token_starts, r.token_stops, r.loss_mask) == wanted
+        texts = [r.formatted[s.start : s.stop] for s in r.turn_spans]
+        assert texts == [chat.escape(x[3]) for x in own]
+
+
+def test_escapes():
+    rng = random.Random(16)
+    for _ in range(300):
+        text = "".join(rng.choices(["<", "\\", "/", "turn>", "<turn>", "</turn>", "\n", "x"], k=rng.randrange(9)))
+        assert chat.unescape(chat.escape(text)) == text
+        assert chat.OPEN not in chat.escape(text) and chat.CLOSE not in chat.escape(text)
+
+
 def test_loss_mask_is_every_overlapping_token():
-    token_spans = [(0, 2), (2, 5), (5, 6), (5, 6), (6, 9)]
-    mask, ranges = chat.loss_spans(token_spans, [(1, 3), (4, 4), (5, 7)])
-    assert mask == [True, True, True, True, True]
-    assert ranges == [(1, 3), (5, 7)]
-    assert chat.loss_spans([], [(0, 1)]) == ([], [])
+    token_spans = [(0, 2), (2, 5), (5, 6), (5, 6), (6, 9), (9, 10)]
+    assert chat.loss_mask(token_spans, [(1, 3), (4, 4), (5, 7)]) == [True, True, True, True, True, False]
+    assert chat.masked_text("abcdefghij", [0, 2, 5, 5, 6], [2, 5, 6, 6, 9], [True, False, True, True, False]) == "abf"
+    assert chat.loss_mask([], [(0, 1)]) == []
 
 
 # 10: neighbours
