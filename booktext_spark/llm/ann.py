@@ -6,15 +6,15 @@ import pickle
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from booktext_spark.llm.common import cut, stored
 
 #: Rows that the codebooks are fitted on, at most (about; chosen by hash).
 SAMPLE = 20_000
-#: Queries that one task holds at a time.
-QUERY_BLOCK = 512
+#: Queries that are scored together, and those that are broadcast at once.
+QUERY_BLOCK, QUERIES_AT_ONCE = 512, 8192
 
 
 @dataclass
@@ -88,29 +88,59 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _largest(scores: np.ndarray, keep: int) -> np.ndarray:
-    """Columns of the `keep` largest scores of each row; of equal ones the first, so that copies of a vector go by id."""
-    n = scores.shape[1]
-    if keep >= n:
-        return np.broadcast_to(np.arange(n), scores.shape)
-    least = np.partition(scores, n - keep, axis=1)[:, n - keep, None]
-    over, equal = scores > least, scores == least
-    chosen = over | equal & (equal.cumsum(1) <= keep - over.sum(1, keepdims=True))
-    return np.nonzero(chosen)[1].reshape(len(scores), keep)
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow of squares
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _first_of_equal(same: np.ndarray, number: int) -> np.ndarray:
+    """For each row of keys in order, which ones are among the first `number` with their key."""
+    order = np.argsort(same, axis=-1, kind="stable")
+    ranked = np.take_along_axis(same, order, -1)
+    out = np.ones(same.shape, bool)
+    late = np.zeros(same.shape, bool)
+    late[..., number:] = ranked[..., number:] == ranked[..., :-number] if number < same.shape[-1] else False
+    np.put_along_axis(out, order, ~late, -1)
+    return out
+
+
+class Best:
+    """The `keep` rows of largest lookup score of each query so far, ties to the smaller id.
+
+    Of rows with one vector the `copies` of the smallest ids are kept: no other of them can be among as many neighbours.
+    """
+
+    def __init__(self, queries: int, keep: int, copies: int):
+        self.keep, self.copies = keep, copies
+        self.scores = np.full((queries, 0), -np.inf, np.float32)
+        self.ids = np.zeros((queries, 0), np.int64)
+        self.same = np.zeros((queries, 0), np.int64)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, same: np.ndarray) -> None:
+        """scores (queries, rows) of rows with these ids and vector keys."""
+        if self.scores.shape[1] == self.keep:  # what is under the worst so far cannot enter
+            columns = np.flatnonzero((scores >= self.scores[:, -1:]).any(0))
+            scores, ids, same = scores[:, columns], ids[columns], same[columns]
+        if scores.shape[1] > self.keep:
+            some = np.argpartition(-scores, self.keep - 1, axis=1)[:, : self.keep]
+        else:
+            some = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+        scores = np.concatenate([self.scores, np.take_along_axis(scores, some, 1)], 1)
+        ids, same = np.concatenate([self.ids, ids[some]], 1), np.concatenate([self.same, same[some]], 1)
+        order = np.lexsort((ids, -scores), axis=-1)
+        scores, ids, same = (np.take_along_axis(x, order, 1) for x in (scores, ids, same))
+        scores = np.where(_first_of_equal(same, self.copies), scores, -np.inf)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, : self.keep]
+        self.scores, self.ids, self.same = (np.take_along_axis(x, order, 1) for x in (scores, ids, same))
+
+
 def search(vectors: DataFrame, query_every: int = 50, k: int = 5, keep: int = 160, books: int = 8, entries: int = 256, beam: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of largest cosine found for each row whose id is divisible by query_every.
 
-    Unit vectors are coded as sums of one entry of each codebook. Each task scores its rows for blocks of
-    queries by table lookups (dot product over the stored norm of the sum), keeps the `keep` best of each query,
-    and scores these exactly; the k best of every task meet for each query. All rows are candidates but those of
-    the query's id. Ties go to the smaller id. Rows of another length than the most frequent one
+    Unit vectors are coded as sums of one entry of each codebook. Each task scores its rows for blocks of queries by
+    table lookups alone (dot product over the stored norm of the sum) and keeps the `keep` best of each query; these
+    meet, the `keep` best of all tasks stay for each query, and only they are scored exactly. All rows are candidates but
+    those of the query's id. Ties go to the smaller id. Rows of another length than the most frequent one
     have no cosine with the rest and take no part. Rows that repeat an id count once, by the least vector. Empty tables give no rows.
     """
     spark = vectors.sparkSession
@@ -134,61 +164,73 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, keep: int = 16
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                codes, norms = fitted.encode(_unit(_matrix(part.column(1))).astype(np.float32), beam)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt(np.maximum(norms, 1e-12)), pa.float32())], names=["vec_id", "v", "codes", "norm"])
+                codes, norms = fitted.encode(_unit(_matrix(part.column(2))).astype(np.float32), beam)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt(np.maximum(norms, 1e-12)), pa.float32())], names=["vec_id", "same", "codes", "norm"])
 
-    coded = stored(rows.mapInArrow(code, "vec_id bigint, v array<double>, codes binary, norm float"), "ann-codes")
+    coded = stored(rows.select("vec_id", F.xxhash64("v").alias("same"), "v").mapInArrow(code, "vec_id bigint, same bigint, codes binary, norm float"), "ann-codes")
     queries = cut(rows.where(F.col("vec_id") % query_every == 0))
     number = queries.count()
     out = None
-    for block in range(-(-number // (QUERY_BLOCK * 16))):
-        # 16 blocks of queries at a time, chosen by hash: at most some 8,000 vectors are broadcast at once
-        parts = -(-number // (QUERY_BLOCK * 16))
+    parts = -(-number // QUERIES_AT_ONCE)
+    for block in range(parts):
         mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == block).toArrow()
         if not mine.num_rows:
             continue
-        found = _search_block(coded, ship, spark.sparkContext.broadcast(pickle.dumps((mine.column(0).to_numpy(), _matrix(mine.column(1).combine_chunks())))), k, keep)
-        best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("away"), "vec_id"))), 1, k).alias("top"))
-        best = best.select("query_id", F.posexplode("top").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.away")).alias("score"))
+        asked = spark.sparkContext.broadcast(pickle.dumps((mine.column(0).to_numpy(), _unit(_matrix(mine.column(1).combine_chunks())))))
+        best = _exact(_shortlist(coded, ship, asked, k, keep), rows, asked, k)
         out = best if out is None else out.unionByName(best)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _search_block(coded: DataFrame, ship, asked, k: int, keep: int) -> DataFrame:
-    """query_id, vec_id, score: each task's k best rows for each query, scored exactly."""
+def _shortlist(coded: DataFrame, ship, asked, k: int, keep: int) -> DataFrame:
+    """query_id, vec_id: the `keep` rows of largest lookup score for each query, of all tasks."""
 
     def run(batches):
         import pyarrow as pa
 
         fitted: Codebooks = pickle.loads(ship.value)
-        ids, queries = pickle.loads(asked.value)
-        unit = _unit(queries)
-        tables = fitted.tables(unit.astype(np.float32))
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        ids, unit = pickle.loads(asked.value)
+        blocks = [slice(at, at + QUERY_BLOCK) for at in range(0, len(ids), QUERY_BLOCK)]
+        tables = [fitted.tables(unit[b].astype(np.float32)) for b in blocks]
+        best = [Best(len(ids[b]), keep + 1, k + 1) for b in blocks]  # the query itself may be one
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                n = part.num_rows
-                by_id = np.argsort(part.column(0).to_numpy(), kind="stable")
-                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, -1)[by_id]
-                norms, own = part.column(3).to_numpy()[by_id], part.column(0).to_numpy()[by_id]
-                exact = _unit(_matrix(part.column(1)))[by_id]
-                for at in range(0, len(ids), QUERY_BLOCK):
-                    block = tables[at : at + QUERY_BLOCK]
-                    guess = np.zeros((len(block), n), np.float32)
+                own, same = part.column(0).to_numpy(), part.column(1).to_numpy()
+                first = np.argsort(own, kind="stable")
+                first = first[_first_of_equal(same[first], k + 1)]
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(own), -1)[first]
+                norms, own, same = part.column(3).to_numpy()[first], own[first], same[first]
+                for table, top in zip(tables, best, strict=True):
+                    guess = np.zeros((len(table), len(own)), np.float32)
                     for m in range(codes.shape[1]):
-                        guess += block[:, m, :][:, codes[:, m]]
-                    guess /= norms
-                    top = _largest(guess, keep)
-                    score = np.einsum("qkd,qd->qk", exact[top], unit[at : at + len(block)])
-                    for i in range(len(block)):
-                        here = own[top[i]]
-                        fine = here != ids[at + i]
-                        pairs = sorted(zip((-score[i][fine]).tolist(), here[fine].tolist(), strict=True))[: k + 3]
-                        best[at + i] = sorted(best[at + i] + pairs)[: k + 3]
-        rows = [(int(q), v, -s) for q, top in zip(ids, best, strict=True) for s, v in top]
-        if rows:
-            q, v, s = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    return coded.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+                        guess += table[:, m, :][:, codes[:, m]]
+                    top.add(guess / norms, own, same)
+        for b, top in zip(blocks, best, strict=True):
+            rows, columns = np.nonzero(np.isfinite(top.scores) & (top.ids != ids[b][:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[b][rows]), pa.array(top.ids[rows, columns]), pa.array(top.same[rows, columns]), pa.array(top.scores[rows, columns])], names=["query_id", "vec_id", "same", "guess"])
+
+    found = coded.mapInArrow(run, "query_id bigint, vec_id bigint, same bigint, guess float")
+    copies = found.withColumn("copy", F.row_number().over(Window.partitionBy("query_id", "same").orderBy("vec_id"))).where(F.col("copy") <= k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id")
+    return copies.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).select("query_id", "vec_id")
+
+
+def _exact(pairs: DataFrame, rows: DataFrame, asked, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest of the pairs, by cosines of the vectors themselves."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, unit = pickle.loads(asked.value)
+        order = np.argsort(ids)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                place = order[np.searchsorted(ids, part.column(0).to_numpy(), sorter=order)]
+                score = np.einsum("nd,nd->n", _unit(_matrix(part.column(2))), unit[place])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    scored = stored(pairs, "ann-pairs").join(rows, "vec_id").select("query_id", "vec_id", "v").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

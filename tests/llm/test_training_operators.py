@@ -360,11 +360,39 @@ def test_lattice_sums_all_segmentations():
                 total += every(text[k:], used * 0.6 * np.exp(pieces[text[:k]]))
         return total
 
-    for w in ["", "a", "ab", "abba", "éb"]:
-        assert model.log_probability(w) == pytest.approx(np.log(every("▁" + w, 1.0)))
-    assert model.log_probability("ab" * 5000) < -1000
-    got = Counter()
-    assert model.expected("ab", got) > 1
+    words = ["", "a", "ab", "abba", "éb", "b" * 12, "ab"]
+    for part in (model.PART, 3):
+        model.PART = part
+        assert model.log_probabilities(words) == pytest.approx([np.log(every("▁" + w, 1.0)) for w in words])
+    assert model.log_probabilities(["ab" * 5000])[0] < -1000
+    assert model.log_probabilities([]).tolist() == []
+
+
+def check_lattice_scores(spark, df, rows, split, held):
+    """score against the marginal of each word, one by one, with the fit taken as it is."""
+    c = Counter(w for i, ws in split.items() if not held(i) for w in ws)
+    n, end = sum(c.values()), c[None] / sum(c.values())
+    pieces, by_byte = lattice.vocabulary_pieces(PIECE)
+    seen = spark.createDataFrame([(bytearray(w), k) for w, k in c.items() if w], "word binary, n_train bigint")
+    model = lattice.Lattice(*lattice._fit(seen, pieces, by_byte, 0.3))
+    weights = dict(zip(model.names, model.weights.tolist(), strict=True))
+
+    def marginal(word):
+        text = "▁" + word
+        sums = [0.0] + [-np.inf] * len(text)
+        for i in range(len(text)):
+            sums[i + 1] = np.logaddexp(sums[i + 1], sums[i] + sum(model.by_byte[b] for b in text[i].encode()))
+            for j in range(i + 1, len(text) + 1):
+                if (w := weights.get(text[i:j])) is not None:
+                    sums[j] = np.logaddexp(sums[j], sums[i] + w)
+        return sums[-1] - model.log_go + model.log_stop
+
+    a = max(1.0, lattice.PRIOR * len(c))
+    for r in rows:
+        ws = [w for w in split[r.doc_id] if w]
+        logs = [np.log1p(-end) + marginal(w.decode()) for w in ws] + [np.log(end)]
+        assert r.score == pytest.approx(sum(logs) / np.log(10))
+        assert r.blend_score == pytest.approx(sum(np.log10((c[w] + a * np.exp(x)) / (n + a)) for w, x in zip([*ws, None], logs, strict=True)))
 
 
 def test_language_model_counts(spark):
@@ -383,7 +411,8 @@ def test_language_model_counts(spark):
             ws = split[r.doc_id]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(ws), sum(c[w] > 0 for w in ws), n)
             assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws))
-            assert r.score < 0 and r.lattice_score < 0
+            assert r.score < 0 and r.blend_score < 0
+        check_lattice_scores(spark, df, rows, split, held)
     assert lattice.score_texts(df.limit(0), PIECE, F.lit(True)).count() == 0
     assert lattice.score_texts(odd(spark), PIECE, F.lit(True)).count() == len(ODD)
 
@@ -521,6 +550,28 @@ def test_copies_of_a_vector_go_by_id(spark):
     assert [r.vec_id for r in got] == [1, 3, 5, 7, 9]
 
 
+def test_the_shortlist_is_that_of_all_lookup_scores():
+    rng = np.random.default_rng(5)
+    scores = rng.integers(0, 60, (7, 400)).astype(np.float32)
+    same = rng.integers(0, 90, 400)
+    for q in range(7):  # equal vectors have equal scores
+        scores[q] = scores[q][np.unique(same, return_index=True)[1]][np.unique(same, return_inverse=True)[1]]
+    ids = rng.permutation(400)
+    best = ann.Best(7, 25, 3)
+    for at in range(0, 400, 40):
+        best.add(scores[:, at : at + 40], ids[at : at + 40], same[at : at + 40])
+    for q in range(7):
+        seen, want = Counter(), []
+        for j in np.lexsort((ids, -scores[q])):
+            seen[same[j]] += 1
+            want += [float(scores[q, j])] * (seen[same[j]] <= 3)
+        assert best.scores[q].tolist() == want[:25]
+        kept = {s: sorted(i for i, t in zip(best.ids[q].tolist(), best.same[q].tolist(), strict=True) if t == s) for s in set(best.same[q].tolist())}
+        for s, got in kept.items():
+            if scores[q, np.flatnonzero(same == s)[0]] > want[24]:  # not cut at the end of the list
+                assert got == sorted(ids[same == s].tolist())[:3]
+
+
 def test_beam_encoding_is_no_worse_than_greedy():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 8)).astype(np.float32)
