@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -12,12 +13,14 @@ from booktext_spark.llm.common import cut, space_words, utf8
 from booktext_spark.llm.graph import components
 
 BITS = 64
-#: Reference fingerprints; distances to all of them are precomputed.
+#: Reference fingerprints; distances to all of them are tabled for each print that is compared.
 PIVOTS = 16
 #: Blocks of a fingerprint. At most 2 differing bits leave 2 of 4 blocks as they are.
 BLOCK_PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
-#: Members of a bucket that are compared with each other; larger buckets take the exact path by flipped bits.
-SMALL_BUCKET = 16
+#: Prints that a task compares as one group; a bucket of more is dealt out by pivot distance.
+GROUP = 2048
+#: Pairs, and prints, that are looked at together.
+PAIRS, MEMBERS = 1 << 21, 1 << 17
 
 
 def fingerprint(data: bytes | None, words: int = 3) -> int:
@@ -41,7 +44,10 @@ def fingerprint(data: bytes | None, words: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
-    """docs without its text, with the fingerprint as a long (the bits of the unsigned number)."""
+    """docs without its text, with the fingerprint as a long (the bits of the unsigned number).
+
+    A column of that name is replaced; null and empty texts have the fingerprint 0; an empty table gives no rows.
+    """
     docs = docs.drop(out_col).withColumn(out_col, F.lit(0).cast("bigint"))
     kept = [c for c in docs.columns if c != text_col]
     docs = docs.select(*kept, text_col)
@@ -56,43 +62,117 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "f
     return docs.mapInArrow(run, docs.select(*kept).schema)
 
 
-def _pivot_distances(column: str) -> Column:
-    return F.array(*[F.bit_count(F.col(column).bitwiseXOR(F.xxhash64(F.lit(i)))).cast("tinyint") for i in range(PIVOTS)])
+def pivot(k: int) -> int:
+    """Reference fingerprint k, a fixed pseudo-random number of 64 bits."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42)
 
 
-def near_links(prints: DataFrame, bits: int = 2) -> DataFrame:
-    """Links (u, v) that join exactly the fingerprints of prints(node, print) within `bits` differing bits.
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    prints has distinct prints. The links have the same connected components as all pairs within the
-    distance, at most 2. Prints meet in buckets of two equal 16-bit blocks. In a bucket of at most
-    SMALL_BUCKET prints, pairs whose pivot distances differ by more than `bits` in any coordinate are
-    discarded and the rest verified. The prints of larger buckets are joined, exactly too, by the prints
-    that one flipped bit makes of them: two prints differ in 2 bits or fewer just if they share one,
-    and at most 65 prints can share one, so no group is large.
+
+def near_pairs(prints: np.ndarray, group: np.ndarray, bits: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of prints of one group that differ in `bits` bits or fewer; prints are unsigned, groups ascend.
+
+    The prints of a group go by their distance to the first pivot, so that partners lie within `bits` of it. Pairs
+    whose distances to any other pivot differ by more are discarded, one coordinate after another, and the rest verified.
+    """
+    table = [np.bitwise_count(prints ^ np.uint64(pivot(k))).astype(np.int16) for k in range(PIVOTS)]
+    key = group.astype(np.int64) * 256 + table[0]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    partners = np.searchsorted(key, key + bits, "right") - np.arange(len(key)) - 1
+    partners = np.minimum(partners, np.searchsorted(group, group[order], "right") - np.arange(len(key)) - 1)
+    ends = np.cumsum(partners)
+    at = 0
+    while at < len(key):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        n = partners[at:upto]
+        i = np.repeat(np.arange(at, upto), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = order[i], order[j]
+        for distance in table[1:]:
+            close = np.abs(distance[i] - distance[j]) <= bits
+            i, j = i[close], j[close]
+        near = np.bitwise_count(prints[i] ^ prints[j]) <= bits
+        yield i[near], j[near]
+        at = upto
+
+
+def _stars(prints: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) that join the prints as their near pairs do: each print with the first one that it reaches here."""
+    names, node = np.unique(prints, return_inverse=True)
+    root = np.arange(len(names))
+    for i, j in near_pairs(prints, group, bits):
+        a, b = node[i], node[j]
+        while len(a):
+            least = np.minimum(root[a], root[b])
+            if (root[a] == least).all() and (root[b] == least).all():
+                break
+            for side in (a, b):
+                np.minimum.at(root, root[side], least)
+            while (root[root] != root).any():
+                root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return names[root[moved]], names[moved]
+
+
+def near_links(prints: DataFrame, bits: int = 2, group: int | None = None) -> DataFrame:
+    """Links (u, v) between prints(print) that join exactly those that `bits` differing bits or fewer connect.
+
+    prints has distinct fingerprints as longs. The links have the same connected components as all pairs within the
+    distance, at most 2. Prints meet in buckets of two equal 16-bit blocks; within a bucket, near_pairs
+    finds the pairs by pivot distances, and a task gives the components of what it finds, not the pairs. A bucket of more
+    than `group` prints is dealt out into cells by its distance to the first pivot, a crowded cell by hash, and every two
+    cells whose distances differ by `bits` or less meet in a group of their own. So no group grows with the
+    data, and all pairs of a bucket that pivots leave are compared whatever its size. An empty table gives no rows.
     """
     if bits != 2:
         raise ValueError("the buckets are made for 2 differing bits")
+    group = group or GROUP
     block = lambda k: F.shiftrightunsigned("print", 16 * k).bitwiseAND(F.lit(0xFFFF))
     keys = F.array(*[(F.lit(t).cast("bigint") * F.lit(1 << 32)) + F.shiftleft(block(a), 16) + block(b) for t, (a, b) in enumerate(BLOCK_PAIRS)])
-    placed = prints.select("node", "print", F.explode(keys).alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    placed = cut(placed.join(sizes, "bucket"))
+    placed = prints.select("print", F.explode(keys).alias("bucket"))
+    placed = cut(placed.join(placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket"))
+    whole = placed.where(F.col("size") <= group).select(F.struct("bucket", F.lit("").alias("cells")).alias("group"), "print")
+
+    far = F.bit_count(F.col("print").bitwiseXOR(F.lit(_signed(pivot(0))))).alias("far")
+    crowded = placed.where(F.col("size") > group).select("bucket", "print", far)
+    counted = crowded.groupBy("bucket", "far").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
+    cells = counted.groupBy("bucket").agg(F.collect_list(F.struct("far", "parts")).alias("cells"))  # at most 65 of a bucket
+    own = F.filter("cells", lambda c: c["far"] == F.col("far"))[0]["parts"]
+    mine = F.struct("far", F.pmod(F.xxhash64("print"), own).cast("int").alias("part"))
+    around = F.filter("cells", lambda c: F.abs(c["far"] - F.col("far")) <= bits)
+    others = F.flatten(F.transform(around, lambda c: F.transform(F.sequence(F.lit(0), c["parts"] - 1), lambda p: F.struct(c["far"].alias("far"), p.alias("part")))))
+    met = crowded.join(cells, "bucket").select("bucket", "print", mine.alias("mine"), F.explode(others).alias("other"))
+    split = met.select(F.struct("bucket", F.to_json(F.array_sort(F.array("mine", "other"))).alias("cells")).alias("group"), "print")
 
-    member = F.struct("print", "node", _pivot_distances("print").alias("away"))
-    groups = placed.where(F.col("size") <= SMALL_BUCKET).groupBy("bucket").agg(F.collect_list(member).alias("g"))
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            column = batch.column(0)
+            size = np.diff(column.offsets.to_numpy())
+            ends = np.cumsum(size)
+            at = 0
+            while at < len(size):
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MEMBERS, "right")))
+                values = column.slice(at, upto - at).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                u, v = _stars(values, np.repeat(np.arange(upto - at), size[at:upto]), bits)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+                at = upto
 
-    def near(x: Column, y: Column) -> Column:
-        close = F.forall(F.zip_with(x["away"], y["away"], lambda a, b: F.abs(a - b)), lambda d: d <= bits)
-        return (x["print"] < y["print"]) & close & (F.bit_count(x["print"].bitwiseXOR(y["print"])) <= bits)
+    groups = whole.unionByName(split).groupBy("group").agg(F.collect_list("print").alias("prints"))  # at most twice `group`, or so
+    return groups.select("prints").mapInArrow(run, "u bigint, v bigint").distinct()
 
-    pairs = F.transform("g", lambda x: F.transform(F.filter("g", lambda y: near(x, y)), lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v"))))
-    links = groups.select(F.explode(F.flatten(pairs)).alias("p")).select("p.u", "p.v").distinct()
 
-    crowded = placed.where(F.col("size") > SMALL_BUCKET).select("node", "print").distinct()
-    flips = F.concat(F.array("print"), F.array(*[F.col("print").bitwiseXOR(F.lit(1).cast("bigint") if b == 0 else F.shiftleft(F.lit(1).cast("bigint"), b)) for b in range(BITS)]))
-    shared = crowded.select("node", F.explode(flips).alias("key")).groupBy("key").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
-    stars = shared.select(F.array_min("nodes").alias("u"), F.explode("nodes").alias("v")).where("u <> v").distinct()
-    return links.unionByName(stars)
+def _classes(prints: DataFrame, first: Column) -> DataFrame:
+    """print, root, first: the component of each fingerprint and the least `first` of its rows; a root names a component."""
+    distinct = cut(prints.groupBy("print").agg(first.alias("first")))
+    found = components(near_links(distinct)).select(F.col("node").alias("print"), "root")
+    return distinct.join(found, "print", "left").select("print", F.coalesce("root", "print").alias("root"), "first")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,19 +180,26 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A text's words are its runs without ASCII white space, A-Z lower-cased; its shingles are all runs of 3
     words. Texts without words, null or empty, have fingerprint 0 and link like any other. Repeated rows and equal
-    texts share a fingerprint; a null doc_id is in its fingerprint's component and names none, unless no row has an id.
+    texts share a fingerprint; rows that repeat a doc_id with other texts are judged each. A null doc_id links like any other but
+    names no component, unless none of its rows has an id. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     prints = cut(with_fingerprints(rows, "text", "print"))
-    distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("node")))
-    found = components(near_links(distinct.where("node is not null")))
-    classes = distinct.join(found, "node", "left").select("print", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = cut(_classes(prints, F.min("doc_id")))
+    named = classes.join(classes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("print", "component_id")
+    return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of each component's smallest id; one of the rows that repeat that id; rows of null id stay."""
-    kept = simhash_components(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    """One row of each component: that of the smallest id, of several texts of this id the one of least hash.
+
+    Of rows that repeat id and text one stays. Rows of null id stay all and take no part. An empty table gives no rows.
+    """
     named = docs.where(F.col(id_col).isNotNull())
-    first = named.join(kept, F.col(id_col) == F.col("__id"), "left_semi")
-    return first.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    text = F.col(text_col).cast("string")
+    rows = named.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    classes = _classes(cut(with_fingerprints(rows, "text", "print")), F.min(F.struct("id", "hash")))
+    kept = classes.groupBy("root").agg(F.min("first").alias("one")).select(F.col("one.id").alias("__id"), F.col("one.hash").alias("__hash"))
+    hashed = named.withColumn("__text", F.xxhash64(text))
+    first = hashed.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
+    return first.dropDuplicates([id_col, "__text"]).drop("__text").unionByName(docs.where(F.col(id_col).isNull()))

@@ -207,28 +207,52 @@ def test_fingerprints():
     assert simhash.fingerprint(None) == simhash.fingerprint(b" \n") == 0
 
 
-@pytest.mark.parametrize("small", [16, 1])
-def test_near_links_join_as_all_pairs(spark, monkeypatch, small):
-    monkeypatch.setattr(simhash, "SMALL_BUCKET", small)
-    rng = random.Random(6)
+def print_clusters(rng, clusters, most):
     prints = set()
-    for _ in range(30):
+    for _ in range(clusters):
         x = rng.getrandbits(64)
-        for _ in range(rng.randrange(1, 12)):
+        for _ in range(rng.randrange(1, most)):
             prints.add(x)
             for b in rng.sample(range(64), rng.randrange(1, 4)):
                 x ^= 1 << b
-    prints = sorted(prints)
-    signed = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    centre = rng.getrandbits(64)  # a crowd around one print
+    prints |= {centre ^ sum(1 << b for b in rng.sample(range(20), rng.randrange(6))) for _ in range(8 * most)}
+    return sorted(prints)
+
+
+def signed(p):
+    return p - (1 << 64) if p >> 63 else p
+
+
+@pytest.mark.parametrize("group", [2048, 6])
+def test_near_links_join_as_all_pairs(spark, monkeypatch, group):
+    prints = print_clusters(random.Random(6), 30, 12)
     root = list(range(len(prints)))
     for i, p in enumerate(prints):
         for j in range(i):
             if (p ^ prints[j]).bit_count() <= 2:
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
-    found = graph.components(simhash.near_links(spark.createDataFrame(signed, "node bigint, print bigint")))
+    found = graph.components(simhash.near_links(spark.createDataFrame([(signed(p),) for p in prints], "print bigint"), group=group))
     got = {r.node: r.root for r in found.collect()}
-    assert [got.get(i, i) for i in range(len(prints))] == root
+    classes = {}
+    for p, r in zip(prints, root, strict=True):
+        classes.setdefault(r, set()).add(signed(p))
+    for members in classes.values():
+        assert {got.get(m, m) for m in members} == {min(members)}
+
+
+@pytest.mark.parametrize("pairs", [1 << 21, 7])
+def test_pivots_lose_no_near_pair(monkeypatch, pairs):
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    rng = random.Random(17)
+    prints = np.array(print_clusters(rng, 20, 10), np.uint64)
+    rng2 = np.random.default_rng(1)
+    prints = prints[rng2.permutation(len(prints))]
+    group = np.sort(rng2.integers(0, 3, len(prints)))
+    got = {tuple(sorted(x)) for i, j in simhash.near_pairs(prints, group) for x in zip(i.tolist(), j.tolist(), strict=True)}
+    want = {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if group[i] == group[j] and (int(prints[i]) ^ int(prints[j])).bit_count() <= 2}
+    assert got == want and len(want) > 50
 
 
 def test_components_of_a_long_chain(spark):
@@ -244,6 +268,10 @@ def test_simhash_rows(spark):
     got = simhash.simhash_components(odd(spark, "fingerprint", "component_id")).collect()
     assert len(got) == len(ODD)
     assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
+    twice = spark.createDataFrame([(7, "one two three four"), (7, "nothing alike is in this other text"), (8, "one two three four"), (9, "nothing alike is in this other text"), (7, "one two three four")], DOCS)
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_near_copies(twice).collect()) == [(7, "nothing alike is in this other text"), (7, "one two three four")]
+    assert {(r.doc_id, r.component_id) for r in simhash.simhash_components(twice).collect()} == {(7, 7), (8, 7), (9, 7)}
+    assert simhash.drop_near_copies(twice.limit(0)).count() == simhash.simhash_components(twice.limit(0)).count() == 0
     kept = simhash.drop_near_copies(odd(spark))
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 6]
     assert kept.where("doc_id is null").count() == 1
