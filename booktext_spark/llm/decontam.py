@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from booktext_spark.llm.common import alnum_words, utf8
+from booktext_spark.llm.common import alnum_words, stored, utf8
 
 #: UTF-8 bytes of test items in one automaton (about 100 bytes of memory for each).
 SHARD_BYTES = 2 << 20
@@ -35,7 +35,7 @@ class Automaton:
             paths.append((len(self.names), ids))
             self.names.append(name)
         seen: list[set[int]] = [set() for _ in self.next]  # items of each state
-        short: dict[int, set[int]] = {}  # shorter items that a state holds whole
+        short: dict[int, dict[int, list[int]]] = {}  # by state, the shorter items that it holds whole, by length
         for number, ids in paths:
             state = 0
             for c in ids:
@@ -45,21 +45,16 @@ class Automaton:
                     seen[up].add(number)
                     up = self.link[up]
             if len(ids) < window:
-                short.setdefault(state, set()).add(number)  # an item's last state holds it whole
-        short_length = {s: {n: len(paths[n][1]) for n in names} for s, names in short.items()}
-        #: For each state: the longest window that ends there once `matched` words match, with items.
-        self.ends: list[list[tuple[int, tuple[int, ...]]]] = []
-        for state in range(len(self.next)):
-            found: list[tuple[int, tuple[int, ...]]] = []
-            up = state
-            while up > 0:
-                below = self.longest[self.link[up]]
-                if below < window <= self.longest[up]:
-                    found.append((window, tuple(sorted(n for n in seen[up] if len(paths[n][1]) >= window))))
-                for n, length in short_length.get(up, {}).items():
-                    found.append((length, (n,)))
-                up = self.link[up]
-            self.ends.append(sorted(found, reverse=True))
+                short.setdefault(state, {}).setdefault(len(ids), []).append(number)  # an item's last state holds it whole
+        #: For each state: the lengths of the windows that end there once as many words match, longest first, with items.
+        #: A state has its own and those of its link, which are shorter, so states go by their longest strings.
+        self.ends: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in self.next]
+        for state in sorted(range(1, len(self.next)), key=self.longest.__getitem__):
+            own = [(length, tuple(numbers)) for length, numbers in short.get(state, {}).items()]
+            if self.longest[self.link[state]] < window <= self.longest[state]:
+                own.append((window, tuple(sorted(n for n in seen[state] if len(paths[n][1]) >= window))))
+            above = self.ends[self.link[state]]
+            self.ends[state] = sorted(own, reverse=True) + above if own else above
         self.shortest = min([window, *(len(ids) for _, ids in paths)])
 
     def _extend(self, last: int, c: int) -> int:
@@ -152,8 +147,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. Every
     `window` consecutive words of an item are a window, as is the whole of a shorter item that has words.
-    The items go through in automata of bounded size, each broadcast in turn: one pass over the documents
-    for each shard. Null and empty texts have no words; items of null id or text are skipped; of equal
+    The items go through in automata of bounded size, each broadcast in turn: one pass over the texts
+    for each, one automaton at a time in a worker. Null and empty texts have no words; items of null id or text are skipped; of equal
     items each is named; repeated rows are judged each; an empty benchmark hits nothing. Columns of docs
     that have the names of new ones are replaced.
     """
@@ -162,18 +157,47 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
 
 HITS = "__hits"
+HITS_TYPE = "struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<string>>"
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, share: float | None = None) -> DataFrame:
-    """docs with n_words, spans and items in one struct; with a share, the last pass takes wrong spans out of the texts."""
+    """docs with n_words, spans and items in one struct; with a share, wrong spans are taken out of the texts.
+
+    One automaton is matched in the pass that makes the result. Of several, each is matched in a pass of its own, whose hits
+    are stored by the text's hashes before the next is made; the last pass joins them.
+    """
     spark = docs.sparkSession
-    out = docs.withColumn(HITS, F.lit(None).cast("struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<string>>"))
-    last = None
+    ship = lambda automaton: spark.sparkContext.broadcast(pickle.dumps(automaton))
+    nothing = F.lit(None).cast(HITS_TYPE)
+    found, last = None, None
     for automaton in shards(benchmark, window, item_col, text_col):
         if last is not None:
-            out = _with_shard(out, spark.sparkContext.broadcast(pickle.dumps(last)), text_col)
+            part = _hit_texts(docs, ship(last), text_col)
+            found = part if found is None else found.unionByName(part)
         last = automaton
-    return _with_shard(out, spark.sparkContext.broadcast(pickle.dumps(last or Automaton([], window))), text_col, share)
+    if found is None:
+        return _with_shard(docs.withColumn(HITS, nothing), ship(last or Automaton([], window)), text_col, share)
+    found = found.unionByName(_hit_texts(docs, ship(last), text_col))
+    # a text has a row for each automaton that hits it
+    lists = found.groupBy("__a", "__b").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    hits = F.struct(F.lit(0).cast("bigint").alias("n_words"), "spans", "items")
+    lists = lists.select("__a", "__b", hits.alias(HITS))
+    a, b = _text_hashes(text_col)
+    joined = docs.withColumns({"__a": a, "__b": b}).join(lists, ["__a", "__b"], "left").select(*docs.columns, HITS)
+    return _with_shard(joined, ship(Automaton([], window)), text_col, share)
+
+
+def _text_hashes(text_col: str) -> tuple[Column, Column]:
+    text = F.col(text_col).cast("string")
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def _hit_texts(docs: DataFrame, shipped, text_col: str) -> DataFrame:
+    """Hashes, spans and items of the texts that an automaton hits, stored."""
+    a, b = _text_hashes(text_col)
+    texts = docs.select(a.alias("__a"), b.alias("__b"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast(HITS_TYPE).alias(HITS))
+    hit = _with_shard(texts, shipped, "text").where(F.size(f"{HITS}.items") > 0)
+    return stored(hit.select("__a", "__b", f"{HITS}.spans", f"{HITS}.items").dropDuplicates(["__a", "__b"]), "decontamination-hits")
 
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -230,6 +254,7 @@ def _with_shard(docs: DataFrame, shipped, text_col: str, share: float | None = N
 
 
 def hit_words(spans: str = "spans") -> Column:
+    """The number of words in merged spans; 0 for none, null for null."""
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from booktext_spark.llm.common import slices, stored, utf8
@@ -27,6 +27,8 @@ PLACE = np.uint64((1 << 20) - 1)
 #: Bytes of spans that may be broadcast; beyond that they are joined by a shuffle.
 BROADCAST_BYTES = 24 << 20
 SHAPE = 1 << 16
+#: Type of what stands for a row.
+KEY = "struct<a:bigint,b:bigint>"
 #: Windows of a cell: runs that differ are compared cell by cell before single windows are.
 CELL = 16
 
@@ -94,9 +96,14 @@ def segments(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield first + base, shape, grams[place], kind
 
 
+def _key(id_col: str, text: str | Column) -> Column:
+    """128 bits that stand for a row: its id and text."""
+    return F.struct(F.xxhash64(id_col, text).alias("a"), F.xxhash64(F.lit(1), id_col, text).alias("b"))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("row", _key("id", "text"))
 
 
 def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
@@ -111,40 +118,40 @@ def repeated_spans(rows: DataFrame, length: int = 200) -> DataFrame:
 
             for batch in slices(batches):
                 out: list[list[np.ndarray]] = []
-                for key, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                for k, data in enumerate(utf8(batch.column(1))):
                     for first, shape, name, kind in segments(data, length) if len(data) >= length else ():
-                        out.append([name] if only_names else [np.full(len(first), key, np.int64), first, shape, name, kind])
+                        out.append([name] if only_names else [np.full(len(first), k), first, shape, name, kind])
                 if out:
                     cols = [np.concatenate(c) for c in zip(*out, strict=True)]
                     if only_names:
                         yield pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64))], names=["name"])
                     else:
-                        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].view(np.int64)), pa.array(cols[4].view(np.int64))], names=["row", "first", "shape", "name", "kind"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].view(np.int64)), pa.array(cols[4].view(np.int64))], names=["row", "first", "shape", "name", "kind"])
 
         return run
 
     # 64 bytes: positions of unique names go
-    # (stored, so that the join after it may split the names that many texts have)
+    # (what is counted is counted in each task before it is dealt out, and stored, so that the joins after it may split hot names)
     named = stored(texts.mapInArrow(scan(True), "name bigint").groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "repeat-names")
-    left = texts.mapInArrow(scan(False), "row bigint, first int, shape int, name bigint, kind bigint").join(named, "name")
+    left = texts.mapInArrow(scan(False), f"row {KEY}, first int, shape int, name bigint, kind bigint").join(named, "name")
     left = stored(left, "repeat-segments")
 
     # all bytes of a run: runs that occur twice are repeats; where runs of a name differ, their cells are compared
     kinds = stored(left.groupBy("name", "kind").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "shape")).alias("one")), "repeat-kinds")
     whole = left.join(kinds.where("n > 1").select("name", "kind"), ["name", "kind"]).select("row", "first", (F.col("first") + F.col("shape") % SHAPE).alias("last"))
-    mixed = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("name")
+    mixed = stored(kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("name"), "repeat-mixed")
     runs = kinds.join(mixed, "name").select("one.*", (F.col("n") == 1).alias("single")).groupBy("row").agg(F.collect_list(F.struct("first", "shape", "single")).alias("runs"))
 
     # bytes that all windows of a cell share: cells of a unique core go, cells that occur twice are repeats
-    cells = stored(_attach(texts, runs, "runs", "inner").mapInArrow(_cells(length), "row bigint, first int, last int, low bigint, high bigint, hull bigint, single boolean"), "repeat-cells")
+    cells = stored(_attach(texts, runs, "runs", "inner").mapInArrow(_cells(length), f"row {KEY}, first int, last int, low bigint, high bigint, hull bigint, single boolean"), "repeat-cells")
     hulls = stored(cells.groupBy("low", "high", "hull").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "single")).alias("one")), "repeat-hulls")
     parts = cells.where("single").join(hulls.where("n > 1").select("low", "high", "hull"), ["low", "high", "hull"]).select("row", "first", "last")
-    mixed = hulls.groupBy("low", "high").agg(F.count("*").alias("hulls"), F.bool_or((F.col("n") == 1) & F.col("one.single")).alias("open")).where("hulls > 1 and open").select("low", "high")
+    mixed = stored(hulls.groupBy("low", "high").agg(F.count("*").alias("hulls"), F.bool_or((F.col("n") == 1) & F.col("one.single")).alias("open")).where("hulls > 1 and open").select("low", "high"), "repeat-mixed")
     runs = hulls.join(mixed, ["low", "high"]).select("one.row", "one.first", "one.last", ((F.col("n") == 1) & F.col("one.single")).alias("single")).groupBy("row").agg(F.collect_list(F.struct("first", "last", "single")).alias("runs"))
 
     # the threshold: single windows by pairs of names at the offset; unique pairs go
-    paired = stored(_attach(texts, runs, "runs", "inner").mapInArrow(_pairs(length), "row bigint, at int, low bigint, high bigint, single boolean"), "repeat-windows")
-    twice = paired.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").select("low", "high")
+    paired = stored(_attach(texts, runs, "runs", "inner").mapInArrow(_pairs(length), f"row {KEY}, at int, low bigint, high bigint, single boolean"), "repeat-windows")
+    twice = stored(paired.groupBy("low", "high").agg(F.count("*").alias("n")).where("n > 1").select("low", "high"), "repeat-pairs")
     ones = paired.where("single").join(twice, ["low", "high"]).select("row", F.col("at").alias("first"), F.col("at").alias("last"))
 
     covered = whole.unionByName(parts).unionByName(ones).groupBy("row").agg(F.collect_list(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("stop"))).alias("spans"))
@@ -180,21 +187,21 @@ def _cells(length: int):
 
         for batch in slices(batches):
             out = []
-            for key, data, runs in zip(batch.column("row").to_pylist(), utf8(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
+            for k, (data, runs) in enumerate(zip(utf8(batch.column("text")), batch.column("runs").to_pylist(), strict=True)):
                 for base, some in _near(runs):
                     names = Names(data[base : base + PIECE + 2 * length], length)
                     halves, whole = names.at(half), names.at(length)
-                    first, shape, single = (np.array([r[k] for r in some]) for k in ("first", "shape", "single"))
+                    first, shape, single = (np.array([r[c] for r in some]) for c in ("first", "shape", "single"))
                     first, last, place = first - base, first - base + shape % SHAPE, first - base + shape // SHAPE
                     for c in range(int(((place - first) // CELL).max()) + 1):
                         low, high = np.maximum(first, place - CELL * c - CELL + 1), np.minimum(last, place - CELL * c)
                         some_here = np.flatnonzero(low <= high)
                         a, b, at = low[some_here], high[some_here], (place - CELL * c)[some_here]
                         hull = _mix(_mix(whole[a], whole[b]), ((at - a) * SHAPE + (b - a)).astype(np.uint64))
-                        out.append([np.full(len(a), key, np.int64), (a + base).astype(np.int32), (b + base).astype(np.int32), halves[at].view(np.int64), halves[at + core - half].view(np.int64), hull.view(np.int64), single[some_here]])
+                        out.append([np.full(len(a), k), (a + base).astype(np.int32), (b + base).astype(np.int32), halves[at].view(np.int64), halves[at + core - half].view(np.int64), hull.view(np.int64), single[some_here]])
             if out:
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "first", "last", "low", "high", "hull", "single"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(cols[0])), *(pa.array(c) for c in cols[1:])], names=["row", "first", "last", "low", "high", "hull", "single"])
 
     return run
 
@@ -216,15 +223,15 @@ def _pairs(length: int):
 
         for batch in slices(batches):
             out = []
-            for key, data, runs in zip(batch.column("row").to_pylist(), utf8(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
+            for k, (data, runs) in enumerate(zip(utf8(batch.column("text")), batch.column("runs").to_pylist(), strict=True)):
                 for base, some in _near(runs):
                     h = Names(data[base : base + PIECE + 2 * length], half).at(half)
                     at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in some]) - base
                     single = np.repeat([r["single"] for r in some], [r["last"] - r["first"] + 1 for r in some])
-                    out.append([np.full(len(at), key, np.int64), (at + base).astype(np.int32), h[at].view(np.int64), h[at + length - half].view(np.int64), single])
+                    out.append([np.full(len(at), k), (at + base).astype(np.int32), h[at].view(np.int64), h[at + length - half].view(np.int64), single])
             if out:
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "at", "low", "high", "single"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(cols[0])), *(pa.array(c) for c in cols[1:])], names=["row", "at", "low", "high", "single"])
 
     return run
 
@@ -269,13 +276,14 @@ def find_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
 
 
 def sha256_of_kept(found: DataFrame) -> DataFrame:
+    """The digest columns of find_repeats: a row for each of its rows; a row without bytes has the digest of none."""
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated strings taken out of the texts; parts of characters that a cut leaves go too, null stays null."""
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    key = _key(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     spans = repeated_spans(_rows(docs, id_col, text_col), length).withColumnsRenamed({"row": "__row", "spans": "__spans"})
     lists = stored(spans, "repeat-texts")
     n, items = lists.agg(F.count("*"), F.sum(F.size("__spans"))).first()

@@ -6,6 +6,7 @@ import math
 import pickle
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -99,7 +100,14 @@ class Lexicon:
                 shields.append((start, end))
             elif start not in best or best[start][0] < length:
                 best[start] = (length, weight)
-        hits = [w for at, (_, w) in best.items() if not any(a <= at < b for a, b in shields)]
+        starts, stops = [], []  # of merged shields
+        for a, b in sorted(shields):
+            if stops and a < stops[-1]:
+                stops[-1] = max(stops[-1], b)
+            else:
+                starts.append(a)
+                stops.append(b)
+        hits = [w for at, (_, w) in best.items() if not starts or at < starts[0] or at >= stops[bisect_right(starts, at) - 1]]
         total = math.fsum(hits)
         words = max(1, folded.count(" ") - 1)
         return math.log1p(total), math.log1p(100 * total / words), len(hits)
@@ -124,11 +132,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
 def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 60_000, stem: int = 4, longest: int = 24, share: float = 0.01, weight: float = 3.0, terms: int = 4000, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learns terms, weights, exception phrases and the score's scale from labelled rows.
 
-    At most about `sample` labelled rows are used, chosen by hash, equal texts once. Candidates are the prefixes of folded
+    At most about `sample` labelled rows are used, chosen by hash, equal texts once; an id or text with several labels is
+    toxic if one is. Candidates are the prefixes of folded
     words, from `stem` letters on, that occur in `share` of the toxic rows or more. A term's weight is its
     log odds; terms below `weight` go, as do stems that a longer one replaces at the same frequency and
     extensions that add no weight to their stem. Bigrams of words that hold a term but were seen in
-    several clean rows and no toxic one become exceptions. Null labels and texts teach nothing.
+    several clean rows and no toxic one become exceptions. The `terms` of largest weight times frequency are kept, a bound
+    on the lexicon; prefixes end at `longest` letters, where stems of any language have parted. Null labels and texts
+    teach nothing; without labels the lexicon has no term.
     """
     spark = docs.sparkSession
     toxic = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -138,7 +149,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 60_000, stem
     if total > sample:
         toxic = toxic.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
     # about `sample` labels at most: a broadcast of known size
-    known = stored(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(toxic), "doc_id").dropDuplicates(["text"]), "toxicity-sample")
+    known = stored(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(toxic), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
 
     def prefixes(batches):
         import pyarrow as pa

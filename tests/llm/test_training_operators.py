@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +49,14 @@ def hits(text, items, window):
     return len(ws), len(hit), sorted(found)
 
 
+def test_an_item_that_repeats_one_word(spark):
+    items = [("long", ["w"] * 40_000), ("other", "w w w x".split()), ("short", ["w"] * 3)]
+    automaton = decontam.Automaton([(n, [w.encode() for w in ws]) for n, ws in items], 13)
+    assert max(map(len, automaton.ends)) <= 3
+    spans, found = automaton.scan([b"y", *[b"w"] * 14, b"x"])
+    assert spans == [(1, 16)] and {automaton.names[i] for i in found} == {"long", "other", "short"}
+
+
 @pytest.mark.parametrize("shard", [1 << 20, 30])
 def test_decontamination_is_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(decontam, "SHARD_BYTES", shard)
@@ -65,6 +74,10 @@ def test_decontamination_removes_spans_only(spark):
     docs = spark.createDataFrame([(1, f"Before, {item.upper()}! after", "x"), (2, "clean text", "x"), (3, None, "x"), (4, f"{'w ' * 400}{item}", "x")], "doc_id bigint, text string, spans string")
     got = {r.doc_id: r.text for r in decontam.remove_contamination(docs, bench).collect()}
     assert got == {1: "Before,  ! after", 2: "clean text", 3: None, 4: f"{'w ' * 400}{item}"}
+    with pytest.MonkeyPatch.context() as m:  # several automata
+        m.setattr(decontam, "SHARD_BYTES", 5)
+        more = bench.unionByName(spark.createDataFrame([(2, "clean text here"), (3, "clean")], bench.schema))
+        assert {r.doc_id: r.text for r in decontam.remove_contamination(docs, more).collect()} == got | {2: "  text"}
     none = decontam.find_contamination(odd(spark, "spans", "items"), bench.limit(0))
     assert none.count() == len(ODD) and none.where("size(spans) > 0").count() == 0
     assert decontam.find_contamination(docs.limit(0), bench).count() == 0
@@ -97,6 +110,35 @@ def test_toxicity_learns_and_spares_exceptions(spark):
     assert {r.toxicity < 0.5 for r in toxicity.score_toxicity(new, blank).collect()} == {True}
 
 
+def test_shields_and_scores_are_a_naive_scan():
+    rng = random.Random(18)
+    for _ in range(200):
+        letters = lambda n: "".join(rng.choices("ab", k=n))
+        lexicon = toxicity.Lexicon({letters(rng.randrange(1, 5)): rng.random() for _ in range(6)}, [f"{letters(2)} {letters(3)}" for _ in range(4)])
+        text = " ".join(letters(rng.randrange(1, 7)) for _ in range(rng.randrange(30)))
+        folded = toxicity.fold(text)
+        shielded = set()
+        for e in lexicon.exceptions:
+            for at in range(len(folded)):
+                if folded.startswith(f" {e} ", at):
+                    shielded.update(range(at, at + len(e) + 1))  # the space behind it belongs to the next word
+        total, hits, ws = 0.0, 0, folded.split()
+        for at in range(len(folded) - 1):
+            if folded[at] == " " and at not in shielded:
+                terms = [t for t in lexicon.terms if folded.startswith(t, at + 1)]
+                if terms:
+                    hits, total = hits + 1, total + lexicon.terms[max(terms, key=len)]
+        a, b, n = lexicon.features(folded, lexicon.automaton())
+        assert n == hits and a == pytest.approx(np.log1p(total)) and b == pytest.approx(np.log1p(100 * total / max(1, len(ws))))
+
+
+def test_labels_that_differ_for_equal_texts(spark):
+    docs = [(i, "moron scum here" if i < 40 else f"fine words {i % 7}") for i in range(120)]
+    labels = [(i, int(i % 2 == 0 and i < 40)) for i in range(120)]
+    learnt = [toxicity.learn_lexicon(spark.createDataFrame(docs[::k], DOCS), spark.createDataFrame(labels[::k], "doc_id bigint, toxic int")) for k in (1, -1)]
+    assert learnt[0] == learnt[1]
+
+
 # 3: packing
 
 
@@ -372,6 +414,55 @@ def test_mined_rules_need_all_tokens(spark):
     assert by[0] == (None, "block") and by[1] == ("net/es/", "block") and by[40] == ("com/", "allow") and by[100] == (None, "allow")
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mined_verdicts_are_those_of_all_itemsets(spark, seed):
+    rng = random.Random(seed)
+    deep = "/".join(f"f{i}" for i in range(18))  # one long path of many rows: its folders are one item
+    rows = []
+    for i in range(160):
+        host = rng.choice(["a.com", "b.net", "b.net", "www.example.com", "example.com"])
+        path = rng.choice(["", "en/x.html", "es/x", "fr/y.pdf?q", "es/en/x", deep])
+        rows.append((i, f"http{rng.choice(['', 's'])}://{host}/{path}"))
+    rows += [(1000 + i, f"https://{h}/{p}") for i, (h, p) in enumerate((h, p) for h in ("q.org", "x.b.net", "a.com.q") for p in ("es/x", "en/x.html", "fr/y.pdf?q", deep, "f3/z", ""))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    support, confidence = 0.05, 0.7
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(pages, support=support, confidence=confidence).collect()}
+
+    host, path = urls.url_parts("url")
+    tokens_of = {r.page_id: set(r.t) for r in pages.withColumns({"host": host, "path": path}).select("page_id", urls.url_tokens().alias("t")).collect()}
+    judged = {i: got[i][1] for i in tokens_of if got[i][0]}
+    n = len(judged)
+    holders = {}
+    for i in judged:
+        for t in tokens_of[i]:
+            holders.setdefault(t, set()).add(i)
+    same = {}
+    for t, rows_of in holders.items():
+        if len(rows_of) >= support * n:
+            same.setdefault(frozenset(rows_of), []).append(t)
+    one = {t: min(ts, key=lambda t: (len(t), t)) for ts in same.values() for t in ts}
+    baskets = [(frozenset(one[t] for t in tokens_of[i] if t in one), v) for i, v in judged.items()]
+    items = sorted({t for b, _ in baskets for t in b})
+    rules = []
+    for size in range(1, len(items) + 1):
+        level = 0
+        for some in map(frozenset, combinations(items, size)):
+            holding = [v for b, v in baskets if some <= b]
+            for v in set(holding):
+                k = holding.count(v)
+                level += k >= support * n
+                if k >= support * n and k / len(holding) >= confidence:
+                    rules.append((k / len(holding), k / n, size, v, some))
+        if not level:
+            break
+    assert len(rules) > 10
+    for i, tokens_here in tokens_of.items():
+        if got[i][0] is None:
+            met = {one[t] for t in tokens_here if t in one}
+            fits = [r for r in rules if r[4] <= met]
+            assert got[i][1] == (max(fits)[3] if fits else "allow"), (i, met)
+
+
 # 7: language model
 
 
