@@ -2,29 +2,71 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from booktext_spark.functions.text import char_ngrams, lcs_length, normalize_for_copying, windows
+from booktext_spark.functions.text import lcs_length, normalize_for_copying
 
 #: Fixed values: (shorter than, least run, least share of the shorter text, least overlap or none) of the verdict.
 LADDER = ((80, 28, 0.58, None), (200, 42, 0.40, 0.55), (None, 64, 0.30, 0.44))
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
 
 def copying_texts(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """id, text in copying form; texts without letters and numbers go."""
     return df.select(F.col(id_col).alias("id"), normalize_for_copying(F.col(text_col)).alias("text")).where(F.length("text") > 0)
 
 
-def gram_hashes(c: Column, n: int) -> Column:
-    """64-bit hashes of all runs of n characters, in order."""
-    return F.transform(windows(c, n), lambda g: F.xxhash64(g))
-
-
-def gram_counts(texts: DataFrame, n: int) -> DataFrame:
-    """id, gram, size: the distinct n-grams of each text as 64-bit hashes, and their number."""
-    grams = texts.select("id", F.array_distinct(gram_hashes(F.col("text"), n)).alias("grams"))
-    return grams.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+def gram_names(text: str, n: int) -> np.ndarray:
+    """64-bit names of all runs of n characters of a text, in order; equal runs have equal names."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < n:
+        return np.zeros(0, np.int64)
+    names, size = (codes + np.uint64(1)) * _ODD, 1
+    while size < n:  # a run is its first and its last part, which may overlap
+        step = min(size, n - size)
+        first = names[: len(names) - step]
+        names = (first ^ (first >> np.uint64(31))) * _ODD + names[step:]
+        names ^= names >> np.uint64(29)
+        size += step
+    return names.view(np.int64)
+
+
+def gram_rows(texts: DataFrame, n: int, distinct: bool = True) -> DataFrame:
+    """id, gram and size: the distinct runs of n characters of each text(id, text), by name, and their number; or with `distinct` off
+    id, gram and at: all runs with their places. Texts that are null or shorter have no row."""
+    kind = texts.schema["id"].dataType.simpleString()
+    more = "size int" if distinct else "at int"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                named = [gram_names(t or "", n) for t in part.column(1).to_pylist()]
+                if distinct:
+                    named = [np.unique(x) for x in named]
+                size = np.array([len(x) for x in named], np.int64)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
+                last = np.repeat(size, size) if distinct else np.concatenate([np.arange(k) for k in size.tolist()])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(named)), pa.array(last.astype(np.int32))], names=["id", "gram", more.split()[0]])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, gram bigint, {more}")
+
+
+@F.pandas_udf(StructType([StructField("shared", LongType()), StructField("size", LongType())]))
+def shared_grams(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Distinct n-grams that both texts have, and those that the first has."""
+    rows = []
+    for x, y, k in zip(a, b, n, strict=True):
+        ours = np.unique(gram_names(x, k))
+        rows.append((np.isin(ours, gram_names(y, k)).sum(), len(ours)))
+    return pd.DataFrame(rows, columns=["shared", "size"], dtype="int64")
 
 
 def copy_candidates(outputs: DataFrame, refs: DataFrame, n: int = 8) -> DataFrame:
@@ -33,8 +75,8 @@ def copy_candidates(outputs: DataFrame, refs: DataFrame, n: int = 8) -> DataFram
     outputs and refs are in copying form. Grams that no reference has leave before the join, and pairs are counted before
     they are shuffled.
     """
-    ours = gram_counts(outputs, n).withColumnRenamed("id", "output_id")
-    theirs = gram_counts(refs, n).select(F.col("id").alias("ref_id"), "gram")
+    ours = gram_rows(outputs, n).withColumnRenamed("id", "output_id")
+    theirs = gram_rows(refs, n).select(F.col("id").alias("ref_id"), "gram")
     met = ours.join(theirs, "gram")
     return met.groupBy("output_id", "ref_id").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
 
@@ -56,11 +98,11 @@ def longest_common_substring(pairs: DataFrame) -> DataFrame:
 
 
 def longest_common_run(outputs: DataFrame, refs: DataFrame, n: int = 8) -> DataFrame:
-    """output_id, ref_id, lcs in built-in operators only, exact wherever the run has n characters or more.
+    """output_id, ref_id, lcs by joins of n-grams, exact wherever the run has n characters or more.
 
     Shared grams lie on the diagonal i - j; a run of neighbours on one gives its length.
     """
-    placed = lambda df, name, at: df.select(F.col("id").alias(name), F.posexplode(gram_hashes(F.col("text"), n)).alias(at, "gram"))
+    placed = lambda df, name, at: gram_rows(df, n, distinct=False).withColumnsRenamed({"id": name, "at": at})
     met = placed(outputs, "output_id", "i").join(placed(refs, "ref_id", "j"), "gram").withColumn("d", F.col("i") - F.col("j"))
     order = Window.partitionBy("output_id", "ref_id", "d").orderBy("i")
     runs = met.withColumn("island", F.col("i") - F.row_number().over(order)).groupBy("output_id", "ref_id", "d", "island").agg(F.count("*").alias("n"))
@@ -84,29 +126,39 @@ def copying_verdict(pairs: DataFrame) -> DataFrame:
 
 
 def long_overlaps(outputs: DataFrame, refs: DataFrame, n: int) -> DataFrame:
-    """output_id, ref_id of pairs whose n-gram overlap reaches the least share of the ladder.
+    """output_id, ref_id of all pairs whose n-gram overlap reaches the least share of the ladder, and of some others.
 
-    A reference has to have that share of the output's n-grams itself, so sizes are compared in the join already.
+    Such a pair shares at least that share of the output's n-grams, so it shares one of those that are left when, of the grams that any
+    reference has, all but one of so many are set aside. The most frequent ones are, so that hot grams meet nothing; most outputs have
+    too few grams of references and meet nothing at all.
     """
     least = min(over for *_, over in LADDER if over)
-    ours = gram_counts(outputs.where(F.length("text") >= LADDER[0][0]), n).withColumnRenamed("id", "output_id")
-    theirs = gram_counts(refs, n).select(F.col("id").alias("ref_id"), "gram", F.col("size").alias("ref_size"))
-    met = ours.join(theirs, (ours["gram"] == theirs["gram"]) & (theirs["ref_size"] >= least * ours["size"]))
-    pairs = met.groupBy("output_id", "ref_id").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
-    return pairs.where(F.col("shared") >= least * F.col("size")).select("output_id", "ref_id")
+    ours = gram_rows(outputs.where(F.length("text") >= LADDER[0][0]), n).withColumnRenamed("id", "output_id")
+    theirs = gram_rows(refs, n).select(F.col("id").alias("ref_id"), "gram", F.col("size").alias("ref_size"))
+    common = theirs.groupBy("gram").agg(F.count("*").alias("df"), F.max("ref_size").alias("largest"))
+    need = F.ceil(F.col("size") * least)
+    met = ours.join(common, "gram").where(F.col("largest") >= need)
+    enough = met.groupBy("output_id").agg(F.count("*").alias("held"), F.first(need).alias("need")).where("held >= need")
+    place = F.row_number().over(Window.partitionBy("output_id").orderBy("df", "gram"))
+    rare = met.select("output_id", "gram", "df").join(enough, "output_id").withColumn("place", place).where("place <= held - need + 1")
+    return rare.join(theirs, "gram").where("ref_size >= need").select("output_id", "ref_id").distinct()
 
 
 def audit(outputs: DataFrame, refs: DataFrame, output_id: str, ref_id: str, n: int = 8) -> DataFrame:
     """Findings of all outputs against all references: every pair that can be suspicious, and all with a run of 28.
 
     A verdict needs a common run of 28 characters, so a shared 28-gram, or an overlap of the ladder's least share. Pairs with
-    neither are clean without being looked at.
+    neither are clean without being looked at. Null texts, and texts without letters and numbers, have no findings; repeated ids
+    count as texts of their own.
     """
     ours, theirs = copying_texts(outputs, output_id), copying_texts(refs, ref_id)
-    runs = copy_candidates(ours, theirs, LADDER[0][1]).select("output_id", "ref_id")
-    pairs = with_texts(runs.unionByName(long_overlaps(ours, theirs, n)).distinct(), ours, theirs)
-    grams = lambda c: char_ngrams(F.col(c), n)
-    counted = pairs.withColumns({"shared": F.size(F.array_intersect(grams("output_text"), grams("ref_text"))).cast("bigint"), "size": F.size(grams("output_text")).cast("bigint")})
+    least = min(over for *_, over in LADDER if over)
+    runs = copy_candidates(ours, theirs, LADDER[0][1]).select("output_id", "ref_id", F.lit(True).alias("run"))
+    near = long_overlaps(ours, theirs, n).withColumn("run", F.lit(False))
+    met = runs.unionByName(near).groupBy("output_id", "ref_id").agg(F.max("run").alias("run"))
+    counted = with_texts(met, ours, theirs).withColumn("__n", shared_grams("output_text", "ref_text", F.lit(n)))
+    counted = counted.withColumns({"shared": F.col("__n.shared"), "size": F.col("__n.size")}).drop("__n")
+    counted = counted.where(F.col("run") | (F.col("shared") >= least * F.col("size")))
     return copying_verdict(longest_common_substring(ngram_overlap(counted)))
 
 

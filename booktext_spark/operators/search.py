@@ -6,24 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from booktext_spark.functions.text import nfkc, search_tokens
+from booktext_spark.storage import kept
 
 #: The usual BM25 constants, the least inverse document frequency, query tokens, ranked candidates for each wanted row.
 K1, B, LEAST_IDF, MAX_TOKENS, PER_WANTED, LEAST_RANKED, MOST_WANTED = 1.2, 0.75, 1e-6, 96, 8, 24, 4
-#: Parts of a query's candidates that are ranked by themselves.
-SALTS = 64
+#: Query tokens that are broadcast at once.
+TOKENS_AT_ONCE = 1 << 20
 
 
 def with_tokens(df: DataFrame, text_col: str) -> DataFrame:
-    """df with the search tokens of a text in place of the text; null is empty."""
+    """df with the search tokens of a text in place of the text; null is empty and has none."""
     return df.withColumn(text_col, nfkc(F.coalesce(text_col, F.lit("")))).withColumn("tokens", search_tokens(F.col(text_col))).drop(text_col)
 
 
 def postings(pairs: DataFrame) -> DataFrame:
-    """pair_id, token, n_tokens for each token of the source side."""
+    """pair_id, token, n_tokens for each token of the source side; a pair without tokens has no row."""
     tokens = with_tokens(pairs.select("pair_id", "source_text"), "source_text")
     return tokens.select("pair_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
 
 
+def indexed(pairs: DataFrame) -> DataFrame:
+    """pairs with the tokens of the source side in place of both texts, made once and kept by pair."""
+    rows = with_tokens(pairs.drop("target_text"), "source_text")
+    return kept(rows.withColumn("n_tokens", F.size("tokens")).repartition("pair_id"))
+
+
 def corpus_stats(posted: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(token, df; one row with n_pairs and mean_tokens), over the whole index, before any filter."""
     frequency = posted.groupBy("token").agg(F.count("*").alias("df"))
@@ -32,42 +39,51 @@ def corpus_stats(posted: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def query_tokens(queries: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """The first distinct tokens of each query."""
+    """The first distinct tokens of each query, a row each."""
     return with_tokens(queries, "text").withColumn("token", F.explode(F.slice("tokens", 1, max_tokens))).drop("tokens")
 
 
-def candidate_join(asked: DataFrame, posted: DataFrame, pairs: DataFrame, external_only: bool = True) -> DataFrame:
-    """Postings that share a token with a query, of its locale, of libraries it names (any if null), and allowed outside."""
-    wanted = asked.select("token").distinct()
-    some = posted.join(wanted, "token", "left_semi")  # hot tokens that nobody asks for stay behind
-    met = asked.join(some, "token")
-    known = pairs.select("pair_id", F.col("target_locale").alias("__locale"), F.col("library_id").alias("__library"), "external_allowed", "priority")
-    joined = met.join(known, "pair_id").where("target_locale = __locale")
-    if external_only:
-        joined = joined.where("external_allowed")
+def candidate_join(asked: DataFrame, index: DataFrame, external_only: bool = True) -> DataFrame:
+    """Pairs that share a token with a query, of its locale, of libraries it names (any if null or empty), and allowed outside: a row for each shared token.
+
+    asked comes from query_tokens, index from indexed. Pairs that are not allowed go before their tokens are looked at. Where asked is
+    broadcast, the tokens of a pair are looked up where the pair is, and no posting is shuffled.
+    """
+    rows = index.where("external_allowed") if external_only else index
+    met = rows.select("pair_id", F.col("target_locale").alias("__locale"), F.col("library_id").alias("__library"), "priority", "n_tokens", F.explode("tokens").alias("token")).join(asked, "token").where("target_locale = __locale")
     if "library_ids" in asked.columns:
         ids = F.col("library_ids")
-        joined = joined.where(ids.isNull() | (F.size(ids) == 0) | F.array_contains(ids, F.col("__library")))
-    return joined.drop("__locale", "__library", "external_allowed")
+        met = met.where(ids.isNull() | (F.size(ids) == 0) | F.array_contains(ids, F.col("__library")))
+    return met.drop("__locale", "__library")
 
 
 def ranked(queries: DataFrame, pairs: DataFrame, limit: int = 4, max_tokens: int = MAX_TOKENS, external_only: bool = True, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, position, pair_id, priority, bm25 (larger is better), matched: the ranked candidates of each query."""
-    posted = postings(pairs)
-    frequency, whole = corpus_stats(posted, pairs)
-    stats = whole.first()  # one row
-    met = candidate_join(query_tokens(queries, max_tokens), posted, pairs, external_only).join(frequency, "token")
-    idf = F.log((stats.n_pairs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-    weight = idf * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("n_tokens") / (stats.mean_tokens or 1.0)))
-    scored = met.groupBy("query_id", "pair_id").agg(F.first("priority").alias("priority"), F.sum(weight).alias("bm25"), F.count("*").alias("matched"))
+    """query_id, position, pair_id, priority, bm25 (larger is better), matched: the ranked candidates of each query.
+
+    Query tokens are broadcast, TOKENS_AT_ONCE at a time. The index is dealt out by pair, so a pair's score is summed where its tokens
+    are, and each task keeps the best of a query before these are shuffled. Larger priorities go first (null before all), then larger
+    scores as rounded to nine places, then smaller pair ids. Queries without tokens give no rows.
+    """
+    index = indexed(pairs)
+    asked = kept(query_tokens(queries, max_tokens))
+    whole = index.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+    mean = whole.tokens / max(whole.n, 1) or 1.0
+    parts = -(-asked.count() // TOKENS_AT_ONCE)
     wanted = max(PER_WANTED * min(max(limit, 0), MOST_WANTED), LEAST_RANKED)
-    best = [F.desc_nulls_first("priority"), F.desc("bm25"), F.asc("pair_id")]
-    # first in each of SALTS parts of a query's candidates, then in what is left of them: no task holds all of a query's
-    parts = scored.withColumn("__part", F.pmod(F.xxhash64("pair_id"), F.lit(SALTS)))
-    left = parts.withColumn("position", F.row_number().over(Window.partitionBy("query_id", "__part").orderBy(*best))).where(F.col("position") <= wanted)
-    final = left.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("position") <= wanted)
-    return final.select("query_id", "position", "pair_id", "priority", "bm25", "matched")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_first("priority"), F.desc(F.round("bm25", 9)), F.asc("pair_id"))
+    out = None
+    for part in range(max(parts, 1)):
+        some = asked if parts <= 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        posted = index.select(F.explode("tokens").alias("token"))
+        frequency = posted.join(F.broadcast(some.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+        idf = F.log((whole.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weighed = kept(some.join(frequency, "token").withColumn("idf", F.when(idf <= 0, LEAST_IDF).otherwise(idf)).drop("df"))
+        met = candidate_join(F.broadcast(weighed), index, external_only)
+        weight = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("n_tokens") / mean))
+        scored = met.groupBy("query_id", "pair_id").agg(F.first("priority").alias("priority"), F.sum(weight).alias("bm25"), F.count("*").alias("matched"))
+        best = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= wanted)
+        out = best if out is None else out.unionByName(best)
+    return out.select("query_id", "position", "pair_id", "priority", "bm25", "matched")
 
 
 def search_references(queries: DataFrame, pairs: DataFrame, limit: int = 4, max_tokens: int = MAX_TOKENS, external_only: bool = True, k1: float = K1, b: float = B, side: int = 300, total: int = 2400) -> DataFrame:

@@ -129,11 +129,22 @@ def ranked_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(queries, pairs).select("query_id", "pair_id", "matched", F.floor(F.col("bm25") * 1000 + 1e-6).alias("milli"))
 
 
-@register()
+REFERENCES_SQL = SEARCH_SQL.replace(
+    "FROM q JOIN post USING (token) JOIN df USING (token), stats)", "FROM q JOIN (SELECT p.* FROM post p WHERE (pair_id // 1000) % 5 <> 0) USING (token) JOIN df USING (token), stats)"
+) + """, cand AS (SELECT s.*, (s.pair_id // 1000) % 3 AS priority, library_id, substring(source_text, 1, 300) AS st, substring(coalesce(target_text, ''), 1, 300) AS tt FROM s JOIN pairs USING (pair_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY priority DESC, round(bm25, 9) DESC, pair_id) AS place FROM cand),
+t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY place) AS position FROM r WHERE place <= 32 AND length(st) + length(tt) > 0)
+SELECT item_id AS query_id, position::INT AS position, pair_id, library_id, sha256(st || chr(31) || tt) AS h, priority::INT AS priority, floor((priority * 1000 + bm25) * 1000 + 1e-6)::BIGINT AS milli
+FROM t WHERE position <= 4"""
+
+
+@register(REFERENCES_SQL)
 def search_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The references of each test item among the pairs that may leave: four pairs of 600 characters always fit the budget of 2,400."""
     pairs = _turn_pairs(spark, sf_dir).withColumns({"priority": (F.col("conv_id") % 3).cast("int"), "external_allowed": F.col("conv_id") % 5 != 0})
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("zh-CN").alias("target_locale"), "text")
-    return search.search_references(queries, pairs)
+    found = search.search_references(queries, pairs)
+    return found.select("query_id", "position", "pair_id", "library_id", F.sha2(F.concat_ws("\u001f", "source_text", "target_text"), 256).alias("h"), "priority", F.floor(F.col("score") * 1000 + 1e-6).alias("milli"))
 
 
 @register(

@@ -237,7 +237,7 @@ def ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(AUDIT_SQL.split("x AS (")[0].rstrip(",\n ") + "\nSELECT doc_id, item_id, lcs FROM l")
 def longest_common_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest common run, 28 or more, by built-in operators only."""
+    """The longest common run, 28 or more, by joins of n-grams."""
     ours, theirs = copying.copying_texts(table(spark, sf_dir, "documents"), "doc_id"), copying.copying_texts(table(spark, sf_dir, "benchmark"), "item_id")
     return copying.longest_common_run(ours, theirs, 28).select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), "lcs")
 
@@ -255,7 +255,7 @@ def ngram_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def longest_common_run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest common run of every pair that shares an 8-gram, by built-in operators only."""
+    """The longest common run of every pair that shares an 8-gram, by joins of n-grams."""
     ours, theirs = copying.copying_texts(table(spark, sf_dir, "documents"), "doc_id"), copying.copying_texts(table(spark, sf_dir, "benchmark"), "item_id")
     return copying.longest_common_run(ours, theirs).select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), "lcs")
 

@@ -51,15 +51,16 @@ def test_overlaps_and_runs_of_all_pairs_are_brute_force(spark, put):
 
 
 def test_candidates_are_ranked_in_parts(spark, put, monkeypatch):
-    """No list of all candidates of a query: the plan ranks within parts, and the outcome is that of one sort."""
+    """No list of all candidates of a query: each task keeps its best, and the outcome is that of one sort, for queries in parts too."""
     random.seed(3)
     said = [(c, t, "user", prose(12, random.randrange(40))) for c in range(60) for t in range(4)]
     put("conversations", said, "conv_id bigint, turn bigint, role string, text string")
     sf = put("benchmark", [(i, prose(12, i) + prose(12, i + 1)) for i in range(5)], "item_id bigint, text string")
     ranked = registry.QUERIES["ranked_references"](spark, sf)
-    assert "collect_list" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "WindowGroupLimit" in plan
     got = {tuple(r) for r in ranked.collect()}
-    monkeypatch.setattr(search, "SALTS", 1)
+    monkeypatch.setattr(search, "TOKENS_AT_ONCE", 40)
     monkeypatch.setattr(search, "LEAST_RANKED", 100_000)
     whole = registry.QUERIES["ranked_references"](spark, sf).collect()
     assert max(Counter(r.query_id for r in whole).values()) > 32
