@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from booktext_spark.functions.text import strip
+from booktext_spark.operators.numbering import numbered
 from booktext_spark.operators.revisions import candidates_per_segment
 
 LARGEST_PAGE = 200
 
 
 def ordered_blocks(sections: DataFrame, blocks: DataFrame) -> DataFrame:
-    """blocks with section_ordinal and position in the book, by section and block ordinals."""
+    """blocks with section_ordinal and position in the book, by section and block ordinals; a book may be in many tasks.
+
+    Blocks of unknown sections go; blocks that share both ordinals go in no fixed order; an empty table stays empty.
+    """
     rows = blocks.drop("section_ordinal").join(sections.select("book_id", "section_id", F.col("ordinal").alias("section_ordinal")), ["book_id", "section_id"])
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("book_id").orderBy("section_ordinal", "ordinal")))
+    return numbered(rows, "book_id", ["section_ordinal", "ordinal"])
 
 
 def section_title(blocks: DataFrame) -> DataFrame:
@@ -34,14 +38,16 @@ def parse_counts(blocks: DataFrame, assets: DataFrame | None = None) -> DataFram
 def segment_page(blocks: DataFrame, effective: DataFrame, revisions: DataFrame | None, page: int, size: int) -> DataFrame:
     """The rows of one page of every book: position, total, source, text, status and candidates.
 
-    blocks: book_id, section_ordinal, ordinal, stable_id, source_text; effective: block_id, revision_kind, locked, text. Pages count from 1.
+    blocks: book_id, section_ordinal, ordinal, stable_id (its own for each block), source_text; effective: block_id, revision_kind, locked, text.
+    Pages count from 1; a page beyond the end has no rows; blocks that share both ordinals go by stable_id.
     """
     if not 1 <= size <= LARGEST_PAGE or page < 1:
         raise ValueError(f"page must be 1 or more and size from 1 to {LARGEST_PAGE}")
-    book = Window.partitionBy("book_id")
-    # ids and ordinals are ranked; texts are joined to the page's rows only
-    ranked = blocks.select("book_id", "section_ordinal", "ordinal", "stable_id").withColumns({"position": F.row_number().over(book.orderBy("section_ordinal", "ordinal")), "total": F.count("*").over(book)})
-    rows = ranked.where(F.col("position").between((page - 1) * size + 1, page * size)).join(blocks.select("stable_id", "source_text"), "stable_id")
+    # ids and ordinals are ranked, the last wanted place first, so that each task leaves no more than these; texts are joined to the page's rows only
+    book = Window.partitionBy("book_id").orderBy("section_ordinal", "ordinal", "stable_id")
+    ranked = blocks.select("book_id", "section_ordinal", "ordinal", "stable_id").withColumn("position", F.row_number().over(book)).where(F.col("position") <= page * size)
+    totals = blocks.groupBy("book_id").agg(F.count("*").alias("total"))
+    rows = ranked.where(F.col("position") > (page - 1) * size).join(totals, "book_id").join(blocks.select("stable_id", "source_text"), "stable_id")
     shown = effective.select(F.col("block_id").alias("stable_id"), F.col("text").alias("translation"), "revision_kind", "locked")
     rows = rows.join(shown, "stable_id", "left").withColumn("status", segment_status())
     if revisions is None:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from booktext_spark.functions.ids import pair_hash
 from booktext_spark.functions.text import PROFILE_MARKS, canonical_text, needs_review, nfkc, occurrences, strip
+from booktext_spark.operators.numbering import numbered
 
 
 def building_libraries(libraries: DataFrame) -> DataFrame:
@@ -63,10 +64,11 @@ def dedup_pairs(pairs: DataFrame, order_by: Sequence[str]) -> tuple[DataFrame, D
 def first_occurrence_distinct(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
     """by, value, position: the distinct values of each group in order of their first occurrence.
 
-    Only the first place of a value is kept before groups are ordered. For an array column, array_distinct does the same.
+    Only the first place of a value is kept before groups are ordered; a group may be in many tasks. A null value is one value; values
+    that share their first place go in no fixed order. For an array column, array_distinct does the same.
     """
     first = rows.groupBy(by, value).agg(F.min(order).alias("__at"))
-    return first.withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("__at"))).drop("__at")
+    return numbered(first, by, ["__at"]).drop("__at")
 
 
 def dedup_stats(texts: DataFrame, by: str, text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from booktext_spark.functions.ids import stable_identifier
 from booktext_spark.operators import align, library, search
+from booktext_spark.operators.numbering import numbered
 from booktext_spark.plans.base import LINES_SQL, Register, lines, number, table
 from booktext_spark.streaming import feeds
 
@@ -31,11 +32,11 @@ def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {LINES_SQL}, f AS (SELECT source, text, min(doc_id * 100000 + ordinal) AS pos FROM lines GROUP BY ALL)
+    f"""WITH {LINES_SQL}, f AS (SELECT source, text, min((doc_id, ordinal)) AS pos FROM lines GROUP BY ALL)
 SELECT source, sha256(text) AS h, row_number() OVER (PARTITION BY source ORDER BY pos)::INT AS position FROM f"""
 )
 def first_occurrence_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).withColumn("at", F.col("doc_id") * 100000 + F.col("ordinal"))
+    rows = lines(spark, sf_dir).withColumn("at", F.struct("doc_id", "ordinal"))
     return library.first_occurrence_distinct(rows, "source", "text", "at").select("source", F.sha2("text", 256).alias("h"), "position")
 
 
@@ -174,9 +175,9 @@ def align_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def align_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as books; neighbours of a source as pairings of its library."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.col("source").alias("library_id"))
-    order = Window.partitionBy("library_id").orderBy("book_id")
-    at = docs.withColumns({"n": F.row_number().over(order) - 1, "target_book_id": F.lead("book_id").over(order)})
-    specs = at.where("n % 2 = 0 and target_book_id is not null").select("library_id", F.col("n").alias("position"), F.col("book_id").alias("source_book_id"), "target_book_id")
+    at = numbered(docs, "library_id", ["book_id"], "n").withColumn("position", F.col("n") - 1 - (F.col("n") - 1) % 2)
+    pairs = at.groupBy("library_id", "position").agg(F.min_by("book_id", "n").alias("source_book_id"), F.max_by("book_id", "n").alias("target_book_id"), F.count("*").alias("books"))
+    specs = pairs.where("books = 2").drop("books")
     libraries = docs.select("library_id").distinct().select("library_id", F.lit("building").alias("status"), F.lit(True).alias("rights_confirmed"))
     blocks = lines(spark, sf_dir).select(F.col("doc_id").alias("book_id"), F.lit(0).alias("section_ordinal"), "ordinal", F.col("text").alias("source_text"))
     accepted, review = align.align_libraries(libraries, specs, blocks)

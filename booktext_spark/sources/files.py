@@ -88,8 +88,9 @@ def split_text_blocks(df: DataFrame, separator: str = r"\n{2,}", id_col: str = "
     n = F.size("parts")
     parts = F.when((n > 1) & (F.element_at("parts", -1) == ""), F.slice("parts", 1, n - 1)).otherwise(F.col("parts"))
     rows = rows.withColumn("parts", parts)
-    blocks = rows.select("source_hash", "leading", "trailing", "gaps", F.size("parts").alias("n"), F.posexplode("parts").alias("ordinal", "source_text"))
     section, locator = F.lit(TEXT_SECTION), F.concat(F.lit("paragraph:"), F.col("ordinal").cast("string"))
+    rows = rows.withColumns({"book_id": stable_identifier("book", F.col("source_hash")), "section_id": stable_identifier("sec", F.col("source_hash"), section)})  # once for each text
+    blocks = rows.select("source_hash", "book_id", "section_id", "leading", "trailing", "gaps", F.size("parts").alias("n"), F.posexplode("parts").alias("ordinal", "source_text"))
     metadata = F.map_from_entries(
         F.filter(
             F.array(
@@ -101,8 +102,8 @@ def split_text_blocks(df: DataFrame, separator: str = r"\n{2,}", id_col: str = "
         )
     )
     return blocks.select(
-        stable_identifier("book", F.col("source_hash")).alias("book_id"),
-        stable_identifier("sec", F.col("source_hash"), section).alias("section_id"),
+        "book_id",
+        "section_id",
         F.lit(0).alias("section_ordinal"),
         "ordinal",
         block_identifier(F.col("source_hash"), section, locator, F.col("source_text")).alias("stable_id"),

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from booktext_spark.operators import align, copying, editions, layout, library, reports, requests, revisions, search, uploads
+from booktext_spark.operators import align, copying, editions, layout, library, numbering, reports, requests, revisions, search, uploads
 
 
 def plain_alignment(source, target):
@@ -207,3 +207,13 @@ def test_reports(spark):
     jobs = spark.createDataFrame([("j", "p", "odd", 0.55, '{"total_blocks":10}', "E"), ("k", "gone", "queued", 0.5, None, None)], "job_id string, project_id string, state string, progress double, checkpoint string, error_code string")
     got = {r.job_id: (r.state, r.completed_blocks, r.issue_count, r.locale) for r in reports.job_summary(jobs, projects, books).collect()}
     assert got == {"j": ("failed", 5, 1, "zh-TW"), "k": ("queued", 0, 0, "zh-CN")}
+
+
+def test_places_in_groups_of_any_size(spark):
+    random.seed(11)
+    rows = [(random.choice(["hot", "hot", "hot", "b", None]), k) for k in random.sample(range(9000), 3000)]
+    df = spark.createDataFrame(rows, "g string, k int")
+    got = numbering.numbered(df, "g", ["k"], "at").collect()
+    want = {g: {k: i + 1 for i, k in enumerate(sorted(k for h, k in rows if h == g))} for g in ("hot", "b", None)}
+    assert len(got) == len(rows) and all(want[r.g][r.k] == r["at"] for r in got)
+    assert numbering.numbered(df.limit(0), "g", ["k"]).count() == 0
