@@ -15,7 +15,7 @@ NO_TITLE = "书稿信息不可用"
 
 
 def stalled_jobs(jobs: DataFrame, now: Column, max_attempts: int = 5) -> DataFrame:
-    """Jobs with attempts left that are queued, or in work with an expired lease; the oldest first within each partition's order."""
+    """Jobs with attempts left that are queued, or in work with an expired lease; all in order of creation, the oldest first. Null states and attempts are not stalled."""
     expired = F.col("state").isin(*PROCESSING) & F.col("lease_expires_at").isNotNull() & (F.col("lease_expires_at") < now)
     return jobs.where((F.col("attempts") < max_attempts) & ((F.col("state") == "queued") | expired)).orderBy("created_at", "job_id")
 

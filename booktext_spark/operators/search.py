@@ -25,10 +25,15 @@ def postings(pairs: DataFrame) -> DataFrame:
     return tokens.select("pair_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token"))
 
 
+def index_rows(pairs: DataFrame) -> DataFrame:
+    """pair_id, library_id, target_locale, priority, external_allowed, tokens of the source side and their number."""
+    rows = with_tokens(pairs.select("pair_id", "library_id", "target_locale", "priority", "external_allowed", "source_text"), "source_text")
+    return rows.withColumn("n_tokens", F.size("tokens"))
+
+
 def indexed(pairs: DataFrame) -> DataFrame:
-    """pairs with the tokens of the source side in place of both texts, made once and kept by pair."""
-    rows = with_tokens(pairs.drop("target_text"), "source_text")
-    return kept(rows.withColumn("n_tokens", F.size("tokens")).repartition("pair_id"))
+    """index_rows, made once and kept by pair."""
+    return kept(index_rows(pairs).repartition("pair_id"))
 
 
 def corpus_stats(posted: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,14 +62,15 @@ def candidate_join(asked: DataFrame, index: DataFrame, external_only: bool = Tru
     return met.drop("__locale", "__library")
 
 
-def ranked(queries: DataFrame, pairs: DataFrame, limit: int = 4, max_tokens: int = MAX_TOKENS, external_only: bool = True, k1: float = K1, b: float = B) -> DataFrame:
+def ranked(queries: DataFrame, pairs: DataFrame, limit: int = 4, max_tokens: int = MAX_TOKENS, external_only: bool = True, k1: float = K1, b: float = B, index: DataFrame | None = None) -> DataFrame:
     """query_id, position, pair_id, priority, bm25 (larger is better), matched: the ranked candidates of each query.
 
     Query tokens are broadcast, TOKENS_AT_ONCE at a time. The index is dealt out by pair, so a pair's score is summed where its tokens
     are, and each task keeps the best of a query before these are shuffled. Larger priorities go first (null before all), then larger
-    scores as rounded to nine places, then smaller pair ids. Queries without tokens give no rows.
+    scores as rounded to nine places, then smaller pair ids. Queries without tokens give no rows. index: index_rows of all pairs where
+    they are stored, as append_new_pairs does; else they are made.
     """
-    index = indexed(pairs)
+    index = indexed(pairs) if index is None else kept(index.repartition("pair_id"))
     asked = kept(query_tokens(queries, max_tokens))
     whole = index.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
     mean = whole.tokens / max(whole.n, 1) or 1.0
@@ -86,14 +92,14 @@ def ranked(queries: DataFrame, pairs: DataFrame, limit: int = 4, max_tokens: int
     return out.select("query_id", "position", "pair_id", "priority", "bm25", "matched")
 
 
-def search_references(queries: DataFrame, pairs: DataFrame, limit: int = 4, max_tokens: int = MAX_TOKENS, external_only: bool = True, k1: float = K1, b: float = B, side: int = 300, total: int = 2400) -> DataFrame:
+def search_references(queries: DataFrame, pairs: DataFrame, limit: int = 4, max_tokens: int = MAX_TOKENS, external_only: bool = True, k1: float = K1, b: float = B, side: int = 300, total: int = 2400, index: DataFrame | None = None) -> DataFrame:
     """The references of each query within the budget: query_id, position, pair_id, library_id, source_text, target_text, priority, score.
 
     queries: query_id, target_locale, text and perhaps library_ids; pairs: pair_id, library_id, target_locale, source_text,
-    target_text, priority, external_allowed. Queries without tokens, and limit 0, give no rows.
+    target_text, priority, external_allowed. Queries without tokens, and limit 0, give no rows. index: see ranked.
     """
     limit = min(max(limit, 0), MOST_WANTED)
-    found = ranked(queries, pairs, limit, max_tokens, external_only, k1, b)
+    found = ranked(queries, pairs, limit, max_tokens, external_only, k1, b, index)
     texts = pairs.select("pair_id", "library_id", "source_text", "target_text")
     rows = found.join(texts, "pair_id").withColumn("score", F.col("priority") * 1000.0 + F.col("bm25"))
     return fill_budget(rows, limit, side, total)

@@ -65,7 +65,7 @@ def assembled_file_hash(uploads: DataFrame, chunks: DataFrame) -> DataFrame:
     """upload_id, sha256, n_bytes, status (ok or HASH_MISMATCH) of the chunks in index order.
 
     A task folds the chunks of an upload into one running hash, batch by batch, so a file is never held whole: rows
-    are range-placed and sorted by upload and index.
+    are dealt out by a hash of the upload and sorted by upload and index. An upload without chunks has no row.
     """
 
     def run(batches):

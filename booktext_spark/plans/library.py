@@ -16,13 +16,21 @@ NORMAL = r"trim(regexp_replace({t}, '\s+', ' ', 'g'))"
 
 
 @register(
-    f"""WITH {LINES_SQL}, n AS (SELECT source, {NORMAL.format(t="text")} AS t FROM lines WHERE trim(text) <> '')
-SELECT source, count(*) AS sample_count, sum(length(t))::BIGINT AS total_chars, sum(length(t) - length(replace(replace(t, '「', ''), '『', '')))::BIGINT AS dialogue_marks,
-  floor(100 * sum(length(t)) / count(*))::BIGINT AS centi_length, sum(length(t) - length(replace(t, '。', '')))::BIGINT AS stops FROM n GROUP BY 1"""
+    f"""WITH {LINES_SQL}, j AS (SELECT source, translate(text, '.,!?"', '。、！？「') AS t, text FROM lines), n AS (SELECT source, {NORMAL.format(t="translate(t, '！？', '!?')")} AS t FROM j WHERE trim(text) <> '')
+SELECT source, count(*) AS sample_count, sum(length(t))::BIGINT AS total_chars, sum(length(t) - length(replace(t, '「', '')))::BIGINT AS dialogue_marks,
+  floor(100 * sum(length(t)) / count(*))::BIGINT AS centi_length, floor(1e6 * sum(length(t) - length(replace(t, '「', ''))) / greatest(sum(length(t)), 1) + 1e-6)::BIGINT AS dialogue_millionths,
+  sum(length(t) - length(replace(t, '。', '')))::BIGINT AS stops, sum(length(t) - length(replace(t, '、', '')))::BIGINT AS commas, 0::BIGINT AS others FROM n GROUP BY 1"""
 )
 def style_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = library.style_profile(lines(spark, sf_dir), "source")
-    return p.select("source", "sample_count", "total_chars", "dialogue_marks", F.floor(100 * F.col("total_chars") / F.col("sample_count")).alias("centi_length"), F.element_at("punctuation", "。").alias("stops"))
+    """Lines with Japanese marks in place of Western ones; NFKC makes two of these Western again, so they count 0."""
+    rows = lines(spark, sf_dir).withColumn("text", F.translate("text", '.,!?"', "。、！？「"))
+    p = library.style_profile(rows, "source")
+    mark = lambda m: F.element_at("punctuation", m)
+    return p.select(
+        "source", "sample_count", "total_chars", "dialogue_marks", F.floor(100 * F.col("total_chars") / F.col("sample_count")).alias("centi_length"),
+        F.floor(F.lit(1e6) * F.col("dialogue_marks") / F.greatest("total_chars", F.lit(1)) + 1e-6).alias("dialogue_millionths"),
+        mark("。").alias("stops"), mark("、").alias("commas"), (mark("！") + mark("？") + mark("……") + mark("——")).alias("others"),
+    )
 
 
 @register(f"WITH {LINES_SQL} SELECT source, count(*) AS total_blocks, count(DISTINCT text) AS unique_blocks, count(*) - count(DISTINCT text) AS deduplicated_blocks FROM lines WHERE text IS NOT NULL GROUP BY 1")
@@ -73,10 +81,11 @@ def dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {PAIRS_SQL}, h AS (SELECT DISTINCT sha256('zh-cn' || chr(31) || {NORMAL.format(t="source_text")} || chr(31) || {NORMAL.format(t="target_text")}) AS pair_hash FROM pairs) SELECT pair_hash FROM h"""
+    f"""WITH {PAIRS_SQL}, h AS (SELECT *, sha256('zh-cn' || chr(31) || {NORMAL.format(t="source_text")} || chr(31) || {NORMAL.format(t="target_text")}) AS pair_hash FROM pairs)
+SELECT pair_hash, min(pair_id) AS pair_id, sha256(arg_min(source_text, pair_id)) AS h FROM h GROUP BY 1"""
 )
 def incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feeds.incremental_dedup(_turn_pairs(spark, sf_dir)).select("pair_hash")
+    return feeds.incremental_dedup(_turn_pairs(spark, sf_dir), order_by=["conv_id", "turn"]).select("pair_hash", "pair_id", F.sha2("source_text", 256).alias("h"))
 
 
 def _rights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,9 +93,10 @@ def job_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.job_changes(rows, "user_id", ["ts", "event_id"], "event_type", ["purchase"]).select("user_id", "event_id", "event_type")
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lines of an order as chunks of 8 bytes of an upload of 4 chunks, the last of 5 bytes."""
+def _chunks(spark: SparkSession, sf_dir: str, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Lines of an order as chunks of 8 bytes of an upload of 4 chunks, the last of 5 bytes; `once`: of lines that share a number, that of the least part."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("upload_id"), (F.col("l_linenumber") - 1).cast("int").alias("index"), F.col("l_partkey").alias("part"))
+    rows = rows.groupBy("upload_id", "index").agg(F.min("part").alias("part")) if once else rows
     chunks = rows.select("upload_id", "index", F.when(F.col("index") == 3, 5).otherwise(8).alias("size"), F.concat_ws("-", "upload_id", F.col("part") % 5).alias("idempotency_key"), F.sha2((F.col("part") % 3).cast("string"), 256).alias("sha256"), F.col("index").alias("arrival"))
     ids = rows.select("upload_id").distinct()
     return ids.select("upload_id", F.lit(29).alias("expected_size"), F.lit(8).alias("chunk_size")), chunks
@@ -109,10 +110,19 @@ def chunk_manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uploads.chunk_manifest_check(*_chunks(spark, sf_dir))
 
 
-@register()
+@register(
+    """WITH c AS (SELECT l_orderkey AS upload_id, (l_linenumber - 1)::INT AS "index", min(l_partkey) % 5 AS k FROM lineitem GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN "index" >= 4 THEN 'VALIDATION_ERROR' WHEN row_number() OVER (PARTITION BY upload_id, k, "index" >= 4 ORDER BY "index") = 1 THEN 'accepted' ELSE 'CONFLICT' END AS outcome FROM c)
+SELECT upload_id, "index", outcome, 0 AS wave FROM f UNION ALL SELECT upload_id, "index", CASE outcome WHEN 'accepted' THEN 'duplicate' ELSE outcome END, 1 FROM f WHERE "index" % 2 = 0
+UNION ALL SELECT upload_id, "index", CASE outcome WHEN 'accepted' THEN 'CONFLICT' ELSE outcome END, 2 FROM f WHERE "index" % 2 = 1"""
+)
 def check_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ups, chunks = _chunks(spark, sf_dir)
-    return feeds.check_chunks(chunks, ups)
+    """Chunks in order of index; then those of even index once more, then those of odd index with other content."""
+    ups, chunks = _chunks(spark, sf_dir, once=True)
+    again = chunks.where("index % 2 = 0").withColumn("arrival", F.col("arrival") + 100)
+    other = chunks.where("index % 2 = 1").withColumns({"arrival": F.col("arrival") + 200, "sha256": F.sha2("sha256", 256)})
+    judged = feeds.check_chunks(chunks.unionByName(again).unionByName(other), ups)
+    return judged.select("upload_id", "index", "outcome", F.floor(F.col("arrival") / 100).cast("int").alias("wave"))
 
 
 @register("""SELECT conv_id::VARCHAR AS upload_id, sha256(string_agg(text, '' ORDER BY turn)) AS sha256, sum(strlen(text))::BIGINT AS n_bytes, CASE WHEN conv_id % 4 = 0 THEN 'HASH_MISMATCH' ELSE 'ok' END AS status FROM conversations GROUP BY conv_id""")

@@ -41,28 +41,34 @@ def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batches(spark, sf_dir).select("section_id", "batch_no", F.array_join("block_ids", ",").alias("ids"), "n_chars")
 
 
-@register(BATCH_SQL + "SELECT conv_id || '/' || batch AS batch_id, count(*)::INT AS n, 'zh-TW' AS locale, sha256(arg_min(text, b.r)) AS first_text FROM b JOIN conversations USING (conv_id, turn) GROUP BY ALL")
+def _listed(field: str):
+    """A digest of the ids and texts that a payload lists, in order."""
+    blocks = F.from_json(F.get_json_object("payload", "$.blocks"), f"array<struct<block_id:string,{field}:string>>")
+    return F.sha2(F.array_join(F.transform(blocks, lambda b: F.concat_ws("\n", b["block_id"], b[field])), "\n"), 256)
+
+
+@register(BATCH_SQL + "SELECT conv_id || '/' || batch AS batch_id, count(*)::INT AS n, 'zh-TW' AS locale, sha256(string_agg(conv_id || ':' || turn || chr(10) || text, chr(10) ORDER BY b.r)) AS texts, 't' AS reference, true AS told FROM b JOIN conversations USING (conv_id, turn) GROUP BY ALL")
 def build_translation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = _batches(spark, sf_dir)
     references = batches.select("batch_id", F.array(F.struct(F.lit("s").alias("source"), F.lit("t").alias("target"))).alias("pairs"))
     made = requests.build_translation_requests(batches, _blocks(spark, sf_dir), references, "zh-TW")
-    return made.select("batch_id", F.size("expected_ids").alias("n"), F.get_json_object("payload", "$.locale").alias("locale"), F.sha2(F.get_json_object("payload", "$.blocks[0].source"), 256).alias("first_text"))
+    return made.select("batch_id", F.size("expected_ids").alias("n"), F.get_json_object("payload", "$.locale").alias("locale"), _listed("source").alias("texts"), F.get_json_object("payload", "$.reference_pairs[0].target").alias("reference"), F.contains("system", F.lit("Taiwan")).alias("told"))
 
 
-@register(BATCH_SQL + "SELECT conv_id || '/' || batch AS batch_id, count(*)::INT AS n, sha256(arg_min('draft of ' || text, b.r)) AS first_draft FROM b JOIN conversations USING (conv_id, turn) GROUP BY ALL")
+@register(BATCH_SQL + "SELECT conv_id || '/' || batch AS batch_id, count(*)::INT AS n, sha256(string_agg(conv_id || ':' || turn || chr(10) || text, chr(10) ORDER BY b.r)) AS texts, sha256(string_agg(conv_id || ':' || turn || chr(10) || 'draft of ' || text, chr(10) ORDER BY b.r)) AS drafts FROM b JOIN conversations USING (conv_id, turn) GROUP BY ALL")
 def build_review_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _blocks(spark, sf_dir)
     draft = blocks.select("stable_id", F.concat(F.lit("draft of "), "source_text").alias("text"))
     made = requests.build_review_requests(_batches(spark, sf_dir), blocks, draft, "zh-CN")
-    return made.select("batch_id", F.size("expected_ids").alias("n"), F.sha2(F.get_json_object("payload", "$.blocks[0].draft"), 256).alias("first_draft"))
+    return made.select("batch_id", F.size("expected_ids").alias("n"), _listed("japanese").alias("texts"), _listed("draft").alias("drafts"))
 
 
-@register(BATCH_SQL + "SELECT conv_id || '/' || batch AS batch_id, count(*)::INT AS n FROM b JOIN conversations USING (conv_id, turn) WHERE role = 'assistant' GROUP BY ALL")
+@register(BATCH_SQL + "SELECT conv_id || '/' || batch AS batch_id, count(*)::INT AS n, sha256(string_agg(conv_id || ':' || turn || chr(10) || text, chr(10) ORDER BY b.r)) AS texts FROM b JOIN conversations USING (conv_id, turn) WHERE role = 'assistant' GROUP BY ALL")
 def build_rewrite_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _blocks(spark, sf_dir)
     current = blocks.select("stable_id", F.col("source_text").alias("text"))
     made = requests.build_rewrite_requests(_batches(spark, sf_dir), blocks, current, blocks.where("role = 'assistant'"), "zh-CN")
-    return made.select("batch_id", F.size("expected_ids").alias("n"))
+    return made.select("batch_id", F.size("expected_ids").alias("n"), _listed("current").alias("texts"))
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -92,11 +98,11 @@ def parse_structured_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(rejects.select("batch_id", F.lit("").alias("stable_id"), F.lit("").alias("h"), F.substring_index("reason", ";", 1).alias("reason")))
 
 
-@register("SELECT DISTINCT conv_id AS batch_id, 1 AS attempt FROM conversations WHERE conv_id % 7 >= 2")
+@register(f"SELECT conv_id AS batch_id, 1 AS attempt, {REASON_SQL} AS reason, count(*)::INT AS n_expected FROM conversations WHERE conv_id % 7 >= 2 GROUP BY 1")
 def build_repair_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses, batches = _responses(spark, sf_dir)
     rejects = requests.parse_structured_output(responses, batches)[1]
-    return requests.build_repair_requests(rejects, batches.select("batch_id", F.to_json("expected_ids").alias("payload"))).select("batch_id", "attempt")
+    return requests.build_repair_requests(rejects, batches.select("batch_id", F.to_json("expected_ids").alias("payload"))).select("batch_id", "attempt", F.substring_index("reason", ";", 1).alias("reason"), F.json_array_length("payload").alias("n_expected"))
 
 
 @register(

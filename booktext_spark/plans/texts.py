@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from booktext_spark.functions import text as T
 from booktext_spark.operators import copying, editions, search, uploads
 from booktext_spark.plans.base import LINES_SQL, Register, lines, table
 from booktext_spark.sources import epub, files
+from booktext_spark.storage import shared_dir
 
 register = Register()
 CANONICAL = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -48,11 +51,17 @@ def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """SELECT doc_id, CASE WHEN visible > 0 THEN 0.0 ELSE 1.0 END AS japanese, 0.0::DOUBLE AS control, 0.0::DOUBLE AS replacement FROM (
-  SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS visible FROM documents)"""
+    """WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN text || 'あ漢' WHEN 2 THEN chr(1) || text WHEN 3 THEN '\ufffd' || text ELSE text END AS t FROM documents),
+v AS (SELECT *, regexp_replace(t, '\\s', '', 'g') AS visible FROM t)
+SELECT doc_id, CASE WHEN visible = '' THEN 1000000 ELSE floor(1e6 * (length(visible) - length(regexp_replace(visible, '[\\x{3040}-\\x{30ff}\\x{3400}-\\x{9fff}]', '', 'g'))) / length(visible) + 1e-6) END::BIGINT AS japanese,
+  floor(1e6 * (doc_id % 4 = 2)::INT / greatest(length(t), 1) + 1e-6)::BIGINT AS control, floor(1e6 * (doc_id % 4 = 3)::INT / greatest(length(t), 1) + 1e-6)::BIGINT AS replacement FROM v""".replace("\\ufffd", "\ufffd")
 )
 def char_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.char_ratios(F.col("text")).alias("r")).select("doc_id", "r.*")
+    """Documents, a fourth each with Japanese characters, a control character and U+FFFD added; shares in millionths."""
+    way, text = F.col("doc_id") % 4, F.col("text")
+    more = F.when(way == 1, F.concat(text, F.lit("あ漢"))).when(way == 2, F.concat(F.lit("\x01"), text)).when(way == 3, F.concat(F.lit("\ufffd"), text)).otherwise(text)
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.char_ratios(more).alias("r"))
+    return rows.select("doc_id", *[F.floor(F.lit(1e6) * F.col(f"r.{c}") + 1e-6).alias(c) for c in ("japanese", "control", "replacement")])
 
 
 @register(
@@ -260,4 +269,109 @@ def longest_common_run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copying.longest_common_run(ours, theirs).select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), "lcs")
 
 
+@register(BLOCKS_SQL)
+def write_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of documents, written in two runs of which the second holds all: what is stored, each book once."""
+    blocks = files.split_text_blocks(table(spark, sf_dir, "documents"), r"\n+", "doc_id")
+    path = f"{shared_dir(spark)}/parsed-{uuid.uuid4().hex}"
+    for part in (blocks.where(F.crc32("book_id") % 2 == 0), blocks):
+        files.write_parsed({"blocks": part}, path)
+    return spark.read.parquet(f"{path}/blocks").select("book_id", "ordinal", "stable_id", F.sha2("source_text", 256).alias("h"))
+
+
+@register(
+    """SELECT source, 'txt' AS extension, (sum(strlen(coalesce(text, ''))) + count(*))::BIGINT AS n_bytes FROM documents GROUP BY 1
+UNION ALL SELECT 'rejected', 'UNSUPPORTED_FORMAT', 0::BIGINT"""
+)
+def read_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as text files in a folder for each source, and a table of another format beside them: bytes that are read, and the rejects' code."""
+    folder = f"{shared_dir(spark)}/books-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    docs.select("source", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("source").text(f"{folder}/texts")
+    docs.select("doc_id").write.parquet(f"{folder}/others")
+    found, rejects = files.read_books(spark, folder)
+    source = F.regexp_extract("path", "source=([^/]+)", 1)
+    read = found.select(source.alias("source"), "extension", F.octet_length("content").cast("bigint").alias("n")).groupBy("source", "extension").agg(F.sum("n").alias("n_bytes"))
+    return read.unionByName(rejects.select(F.lit("rejected").alias("source"), F.col("error_code").alias("extension"), F.lit(0).cast("bigint").alias("n_bytes")).distinct())
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as EPUB archives: each turn is a chapter, its role the heading and its text a paragraph."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+    def run(batches):
+        import io
+        import zipfile
+        from html import escape
+
+        import pyarrow as pa
+
+        page = '<html xmlns="http://www.w3.org/1999/xhtml"><body>{}</body></html>'
+        for batch in batches:
+            out = []
+            for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names = [f"t{t['turn']}" for t in turns]
+                items = "".join(f'<item id="{n}" href="{n}.xhtml" media-type="application/xhtml+xml"/>' for n in names)
+                links = "".join(f'<a href="{n}.xhtml#{n}">{escape(t["role"] or "")}</a>' for n, t in zip(names, turns, strict=True))
+                parts = {
+                    "META-INF/container.xml": '<container><rootfiles><rootfile full-path="book.opf"/></rootfiles></container>',
+                    "book.opf": f'<package version="3.0"><metadata><title>{conv}</title><language>en</language></metadata><manifest>{items}'
+                    f'<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/></manifest><spine>{"".join(f"<itemref idref={chr(34)}{n}{chr(34)}/>" for n in names)}</spine></package>',
+                    "nav.xhtml": page.format(links),
+                } | {f"{n}.xhtml": page.format(f"<h1>{escape(t['role'] or '')}</h1><p>{escape(t['text'] or '')}</p>") for n, t in zip(names, turns, strict=True)}
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as archive:
+                    for name, text in parts.items():
+                        archive.writestr(zipfile.ZipInfo(name), text)  # equal bytes whenever it is made
+                out.append(data.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([f"{c}.epub" for c in batch.column(0).to_pylist()]), pa.array(out, pa.binary())], names=["path", "content"])
+
+    return turns.mapInArrow(run, "path string, content binary")
+
+
+TURNS_SQL = "t AS (SELECT conv_id, role, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS section, turn FROM conversations)"
+
+
+@register(
+    f"""WITH {TURNS_SQL} SELECT conv_id::VARCHAR AS title, section AS section_ordinal, 'heading' AS kind, sha256(role) AS h FROM t
+UNION ALL SELECT conv_id::VARCHAR, section, 'paragraph', sha256(text) FROM t WHERE trim(text) <> ''"""
+)
+def read_epub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = epub.read_epub(_archives(spark, sf_dir))
+    return t["blocks"].join(t["books"].select("book_id", "title"), "book_id").select("title", "section_ordinal", "kind", F.sha2("source_text", 256).alias("h"))
+
+
+@register(f"WITH {TURNS_SQL} SELECT conv_id::VARCHAR AS book, section AS toc_ordinal, role AS title, 't' || turn AS fragment, section AS section_ordinal FROM t")
+def toc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = epub.read_epub(_archives(spark, sf_dir))
+    rows = t["toc"].join(t["books"].select("book_id", F.col("title").alias("book")), "book_id").join(t["sections"].select("section_id", F.col("ordinal").alias("section_ordinal")), "section_id")
+    return rows.select("book", "toc_ordinal", "title", "fragment", "section_ordinal")
+
+
+def _turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as pages without end tags: roles are headings, texts are paragraphs and, every third, list items with ruby."""
+    turn = table(spark, sf_dir, "conversations")
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("<ul><li>"), text, F.lit("<li><ruby>b<rt>r</ruby>c</ul>"))).otherwise(F.concat(F.lit("<p>"), text, F.lit("<br>")))
+    part = F.struct("turn", F.concat(F.lit("<h2>"), "role", F.lit("</h2>"), body).alias("html"))
+    return turn.groupBy(F.col("conv_id").alias("page_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["html"]), "").alias("html"))
+
+
+@register(
+    """WITH b AS (SELECT conv_id AS page_id, turn, 0 AS k, 'heading' AS kind, role AS text FROM conversations
+UNION ALL SELECT conv_id, turn, 1, CASE WHEN turn % 3 = 2 THEN 'list_item' ELSE 'paragraph' END, CASE WHEN turn % 3 = 2 THEN text ELSE text || chr(10) END FROM conversations WHERE trim(text) <> ''
+UNION ALL SELECT conv_id, turn, 2, 'list_item', 'bc' FROM conversations WHERE turn % 3 = 2)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY turn, k) - 1)::INT AS ordinal, kind, sha256(text) AS h FROM b"""
+)
+def html_turn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epub.html_page_blocks(_turn_pages(spark, sf_dir)).select("page_id", "ordinal", "kind", F.sha2("text", 256).alias("h"))
+
+
+@register("SELECT conv_id AS page_id, arg_min(role, turn) AS title FROM conversations GROUP BY 1")
+def html_turn_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = epub.html_page_blocks(_turn_pages(spark, sf_dir))
+    titles = editions.section_title(blocks.select(F.col("page_id").alias("section_id"), "ordinal", "kind", F.col("text").alias("source_text")))
+    return titles.select(F.col("section_id").alias("page_id"), "title")
+
+
 QUERIES, ORACLE_SQL = register, register.sql

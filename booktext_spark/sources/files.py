@@ -157,8 +157,12 @@ def export_report(exports: DataFrame, texts: DataFrame, assets: DataFrame | None
     return rows.select("export_id", "book_id", "format", F.col("text").isNotNull().alias("valid"), F.octet_length(data).alias("n_bytes"), F.sha2(data, 256).alias("sha256"), F.when(F.col("format") == "txt", n_assets).otherwise(0).alias("omitted_non_text_assets"))
 
 
-def documents_to_json(books: DataFrame, sections: DataFrame, blocks: DataFrame, assets: DataFrame | None = None) -> DataFrame:
-    """book_id, json: the whole nested book; asset bytes as lower-case hex."""
+def documents_to_json(books: DataFrame, sections: DataFrame, blocks: DataFrame, assets: DataFrame | None = None, toc: DataFrame | None = None) -> DataFrame:
+    """book_id, json: the whole nested book; asset bytes as lower-case hex, the contents as a list by toc_ordinal.
+
+    toc has book_id, toc_ordinal and other columns; entries of a tree name their parent's toc_ordinal in one of them. A book
+    without sections, assets or contents has a null there.
+    """
     block = [c for c in blocks.columns if c not in ("book_id", "section_id", "section_ordinal")]
     inner = blocks.groupBy("book_id", "section_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", *[c for c in block if c != "ordinal" and c != "metadata"], *([F.to_json("metadata").alias("metadata")] if "metadata" in block else [])))).alias("blocks"))
     section = [c for c in sections.columns if c != "book_id" and c != "ordinal" and c != "metadata"]
@@ -167,20 +171,25 @@ def documents_to_json(books: DataFrame, sections: DataFrame, blocks: DataFrame,
     if assets is not None:
         asset = [F.lower(F.hex("data")).alias("data") if c == "data" else F.col(c) for c in assets.columns if c != "book_id"]
         out = out.join(assets.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct(*asset))).alias("assets")), "book_id", "left")
+    if toc is not None:
+        entry = F.struct("toc_ordinal", *[c for c in toc.columns if c not in ("book_id", "toc_ordinal")])
+        out = out.join(toc.groupBy("book_id").agg(F.sort_array(F.collect_list(entry)).alias("toc")), "book_id", "left")
     return out.select("book_id", F.to_json(F.struct(*out.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def documents_from_json(df: DataFrame, schema: str) -> dict[str, DataFrame]:
-    """books, sections, blocks and assets of documents_to_json; schema is that of the nested JSON."""
+    """books, sections, blocks and, where the schema has them, assets and toc of documents_to_json; schema is that of the nested JSON."""
     rows = df.select(F.from_json("json", schema).alias("d"))
     top = rows.select("d.*")
     sections = top.select("book_id", F.explode("sections").alias("s"))
     tables = {
-        "books": top.drop("sections", "assets"),
+        "books": top.drop("sections", "assets", "toc"),
         "sections": sections.select("book_id", "s.*").drop("blocks"),
         "blocks": sections.select("book_id", "s.section_id", F.col("s.ordinal").alias("section_ordinal"), F.explode("s.blocks").alias("b")).select("book_id", "section_id", "section_ordinal", "b.*"),
     }
     if "assets" in top.columns:
         assets = top.select("book_id", F.explode("assets").alias("a")).select("book_id", "a.*")
         tables["assets"] = assets.withColumn("data", F.unhex("data")) if "data" in assets.columns else assets
+    if "toc" in top.columns:
+        tables["toc"] = top.select("book_id", F.explode("toc").alias("t")).select("book_id", "t.*")
     return tables

@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from booktext_spark.functions.ids import pair_hash
 from booktext_spark.operators.reports import TERMINAL
+from booktext_spark.operators.search import index_rows
+from booktext_spark.storage import kept
 
 
 def job_changes(snapshots: DataFrame, key: str, order: Sequence[str], state: str, terminal: Sequence[str] = TERMINAL) -> DataFrame:
@@ -112,26 +114,42 @@ def ingest_chunks(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("upload_id").applyInPandasWithState(run, schema, "indices array<bigint>, keys array<string>, hashes array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def incremental_dedup(pairs: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
-    """Stream (or batch) form: the first pair of each hash; with a watermark (column, delay), repeats within it only."""
+def incremental_dedup(pairs: DataFrame, watermark: tuple[str, str] | None = None, order_by: Sequence[str] = ()) -> DataFrame:
+    """The first pair of each hash. Batch form: the first by order_by, any where there is none. Stream form: the first to arrive, with a
+    watermark (column, delay) of those within it only. An empty table gives no rows."""
     hashed = pairs.withColumn("pair_hash", pair_hash(F.col("source_text"), F.col("target_text"), F.col("target_locale")))
-    if watermark is None:
+    if watermark is not None:
+        return hashed.withWatermark(*watermark).dropDuplicatesWithinWatermark(["pair_hash"])
+    if pairs.isStreaming or not order_by:
         return hashed.dropDuplicates(["pair_hash"])
-    return hashed.withWatermark(*watermark).dropDuplicatesWithinWatermark(["pair_hash"])
+    first = hashed.groupBy("pair_hash").agg(F.min_by(F.struct(*pairs.columns), F.struct(*order_by)).alias("row"))
+    return first.select("row.*", "pair_hash")
 
 
-def append_new_pairs(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends the pairs of a batch whose hash is not stored yet; a repeated batch adds nothing."""
+def append_new_pairs(path: str, index_path: str | None = None, order_by: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends the pairs of a batch whose hash is not stored yet; a repeated batch adds nothing.
 
-    def write(batch: DataFrame, _: int) -> None:
-        hashed = batch.withColumn("pair_hash", pair_hash(F.col("source_text"), F.col("target_text"), F.col("target_locale"))).dropDuplicates(["pair_hash"])
+    With index_path, the search tokens of what is new are appended there, as `ranked` takes them for its index, so that no search has
+    to make those of all pairs; what is in the index already is not added again. Pairs then have the columns of search_references.
+    """
+
+    def stored(spark, at: str, column: str) -> DataFrame | None:
         try:
-            old = batch.sparkSession.read.parquet(path).select("pair_hash")
+            return spark.read.parquet(at).select(column)
         except Exception as e:  # nothing is stored yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            old = None
-        (hashed if old is None else hashed.join(old, "pair_hash", "left_anti")).write.mode("append").parquet(path)
+            return None
+
+    def write(batch: DataFrame, _: int) -> None:
+        first = incremental_dedup(batch, order_by=order_by)
+        old = stored(batch.sparkSession, path, "pair_hash")
+        new = kept(first if old is None else first.join(old, "pair_hash", "left_anti"))
+        new.write.mode("append").parquet(path)
+        if index_path is not None:
+            mine = batch.sparkSession.read.parquet(path).join(first.select("pair_hash"), "pair_hash", "left_semi")  # a batch that broke off before its index too
+            old = stored(batch.sparkSession, index_path, "pair_id")
+            index_rows(mine if old is None else mine.join(old, "pair_id", "left_anti")).write.mode("append").parquet(index_path)
 
     return write
 

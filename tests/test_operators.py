@@ -45,10 +45,10 @@ def test_alignment_is_optimal():
 
 
 def test_alignment_of_dialogue(spark):
-    df = spark.createDataFrame([("p", ["「今日はいい天気だね」", "彼女は笑った。"], ["“今天天气真好。”", "她笑了。"]), ("q", [], ["x"]), ("r", None, None)], "pairing_id string, source_paragraphs array<string>, target_paragraphs array<string>")
+    df = spark.createDataFrame([("p", ["「明日も山に登ろうか」", "弟はうなずいた。"], ["“明天也去爬山吧。”", "弟弟点了点头。"]), ("q", [], ["x"]), ("r", None, None)], "pairing_id string, source_paragraphs array<string>, target_paragraphs array<string>")
     rows = align.align_paragraphs(df).orderBy("group_no").collect()
     assert [(r.pairing_id, r.source_indices, r.target_indices) for r in rows] == [("p", [0], [0]), ("p", [1], [1])]
-    assert rows[1].content_hash == hashlib.sha256("彼女は笑った。\x1f她笑了。".encode()).hexdigest()
+    assert rows[1].content_hash == hashlib.sha256("弟はうなずいた。\x1f弟弟点了点头。".encode()).hexdigest()
 
 
 def test_copying(spark):
@@ -217,3 +217,22 @@ def test_places_in_groups_of_any_size(spark):
     want = {g: {k: i + 1 for i, k in enumerate(sorted(k for h, k in rows if h == g))} for g in ("hot", "b", None)}
     assert len(got) == len(rows) and all(want[r.g][r.k] == r["at"] for r in got)
     assert numbering.numbered(df.limit(0), "g", ["k"]).count() == 0
+
+
+def test_columns_are_those_of_a_plain_walk():
+    random.seed(12)
+    for _ in range(200):
+        rows = [(random.choice([10.0, 12.0, 30.0, 31.0, 50.0]) + random.randrange(4), float(random.randrange(60)), float(random.randrange(-1, 9))) for _ in range(random.randrange(12))]
+        wide = sorted(w for _, _, w in rows if w > 0)
+        middle = (wide[(len(wide) - 1) // 2] + wide[len(wide) // 2]) / 2 if wide else 8.0
+        columns = []
+        for i in sorted(range(len(rows)), key=lambda i: (-rows[i][0], rows[i][1])):
+            for c in columns:
+                if abs(sum(rows[j][0] for j in c) / len(c) - rows[i][0]) <= max(middle * 0.8, 3.0):
+                    c.append(i)
+                    break
+            else:
+                columns.append([i])
+        columns.sort(key=lambda c: -sum(rows[j][0] for j in c) / len(c))
+        want = [i for c in columns for i in sorted(c, key=lambda i: (rows[i][1], -rows[i][0], i))]
+        assert layout.columns_right_to_left(rows) == want

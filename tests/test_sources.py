@@ -166,12 +166,15 @@ def test_json_round_trip(spark):
     books = blocks.select("book_id", F.lit("t").alias("title")).distinct()
     sections = blocks.select("book_id", "section_id", F.lit(0).alias("ordinal"), F.lit("s").alias("title")).distinct()
     assets = books.select("book_id", F.lit("p").alias("path"), F.lit(b"\x00\xff").alias("data"))
-    schema = "struct<book_id:string,title:string,sections:array<struct<ordinal:int,section_id:string,title:string,blocks:array<struct<ordinal:int,stable_id:string,kind:string,source_text:string,locator:string>>>>,assets:array<struct<path:string,data:string>>>"
-    made = files.documents_to_json(books, sections, blocks.drop("metadata"), assets)
+    toc = books.select("book_id", F.explode(F.array(F.struct(F.lit(1).alias("toc_ordinal"), F.lit("in it").alias("title"), F.lit(0).alias("parent")), F.struct(F.lit(0).alias("toc_ordinal"), F.lit("part").alias("title"), F.lit(None).cast("int").alias("parent")))).alias("e")).select("book_id", "e.*")
+    schema = "struct<book_id:string,title:string,sections:array<struct<ordinal:int,section_id:string,title:string,blocks:array<struct<ordinal:int,stable_id:string,kind:string,source_text:string,locator:string>>>>,assets:array<struct<path:string,data:string>>,toc:array<struct<toc_ordinal:int,title:string,parent:int>>>"
+    made = files.documents_to_json(books, sections, blocks.drop("metadata"), assets, toc)
     back = files.documents_from_json(made, schema)
     want = sorted((r.stable_id, r.source_text) for r in blocks.collect())
     assert sorted((r.stable_id, r.source_text) for r in back["blocks"].collect()) == want
     assert bytes(back["assets"].first().data) == b"\x00\xff"
+    assert sorted(map(tuple, back["toc"].drop("book_id").collect())) == [(0, "part", None), (1, "in it", 0)]
+    assert back["books"].columns == ["book_id", "title"]
 
 
 def test_read_books(spark, tmp_path):

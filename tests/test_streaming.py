@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from booktext_spark.operators import search
 from booktext_spark.streaming import feeds
 
 SNAP = "job string, at timestamp, state string, progress int"
@@ -56,3 +57,24 @@ def test_resumable(spark):
     sections = spark.createDataFrame([("p", "s1"), ("p", "s2"), ("q", "s1")], "project_id string, section_id string")
     done = spark.createDataFrame([("p", ["s1"])], "project_id string, completed_section_ids array<string>")
     assert sorted(tuple(r) for r in feeds.resumable_sections(sections, done).collect()) == [("p", "s2"), ("q", "s1")]
+
+
+def test_append_new_pairs_keeps_the_search_index(spark, tmp_path):
+    kinds = "pair_id int, library_id string, target_locale string, source_text string, target_text string, priority int, external_allowed boolean"
+    first = spark.createDataFrame([(1, "l", "zh-CN", "川沿いの道", "a", 1, True), (2, "l", "zh-CN", "川沿いの道", "a", 1, True), (3, "l", "zh-CN", "古い橋", "b", 1, True)], kinds)
+    more = spark.createDataFrame([(4, "l", "zh-CN", "古い橋", "b", 1, True), (5, "l", "zh-CN", "橋の上の道", "c", 1, True)], kinds)
+    write = feeds.append_new_pairs(f"{tmp_path}/pairs", f"{tmp_path}/index", order_by=["pair_id"])
+    for batch in (first, first, more, more):
+        write(batch, 0)
+    stored, index = spark.read.parquet(f"{tmp_path}/pairs"), spark.read.parquet(f"{tmp_path}/index")
+    assert sorted(r.pair_id for r in stored.collect()) == sorted(r.pair_id for r in index.collect()) == [1, 3, 5]
+    asked = spark.createDataFrame([("q", "zh-CN", "橋の道")], "query_id string, target_locale string, text string")
+    by_index, made = (search.search_references(asked, stored, index=i).orderBy("position").collect() for i in (index, None))
+    assert by_index == made and [r.pair_id for r in made] == [5, 1]
+
+
+def test_first_pair_of_a_hash_is_that_of_least_order(spark):
+    rows = [(k, "s", "t", "x", f"row {k}") for k in (5, 3, 9)]
+    df = spark.createDataFrame(rows, "k int, source_text string, target_text string, target_locale string, more string")
+    assert [(r.k, r.more) for r in feeds.incremental_dedup(df, order_by=["k"]).collect()] == [(3, "row 3")]
+    assert feeds.incremental_dedup(df.limit(0), order_by=["k"]).count() == 0
