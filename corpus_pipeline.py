@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from booktext_spark.llm import decontam, packing, repeats, simhash, toxicity
-from booktext_spark.llm.common import shared_dir, small_batches, table
+from booktext_spark.llm.common import STORED, discard, small_batches, table
+from booktext_spark.storage import shared_dir
 
 #: A document of this score or more goes.
 TOXIC = 0.7
@@ -65,11 +66,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each is written to the shared folder and read again.
+
+    Once a stage is written, what it stored on its way goes, and so does its input, unless that is the table itself.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{k}-{name}"
+        path, first = f"{base}/{k}-{name}", len(STORED)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        discard(spark, STORED[first:] + ([before] if before else []))
+        del STORED[first:]
+        before = path
     return docs
