@@ -691,6 +691,31 @@ def test_the_shortlist_is_that_of_all_lookup_scores():
                 assert got == sorted(ids[same == s].tolist())[:3]
 
 
+def test_smallest_costs():
+    rng = np.random.default_rng(6)
+    for width in (5, 32, 256, 1024):
+        cost = rng.integers(0, 40, (30, width)).astype(np.float32)
+        got = ann._smallest(cost, 4)
+        assert np.sort(np.take_along_axis(cost, got, 1), 1).tolist() == np.sort(cost, 1)[:, :4].tolist()
+        assert all(len(set(r)) == 4 for r in got.tolist())
+
+
+def test_recall_of_vectors_without_structure(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8000, 64))
+    df = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in ann.search(df, 100, 5).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    right = 0
+    for q in range(0, 8000, 100):
+        s = unit @ unit[q]
+        s[q] = -9
+        right += len(found[q] & set(np.argpartition(-s, 5)[:5].tolist()))
+    assert right / (5 * len(found)) >= 0.97
+
+
 def test_beam_encoding_is_no_worse_than_greedy():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 8)).astype(np.float32)
