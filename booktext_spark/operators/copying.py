@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from booktext_spark.functions.text import lcs_length, normalize_for_copying
+from booktext_spark.storage import stored
 
 #: Fixed values: (shorter than, least run, least share of the shorter text, least overlap or none) of the verdict.
 LADDER = ((80, 28, 0.58, None), (200, 42, 0.40, 0.55), (None, 64, 0.30, 0.44))
@@ -46,8 +47,8 @@ def gram_rows(texts: DataFrame, n: int, distinct: bool = True) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low in range(0, batch.num_rows, 100):
+                part = batch.slice(low, 100)
                 named = [gram_names(t or "", n) for t in part.column(1).to_pylist()]
                 if distinct:
                     named = [np.unique(x) for x in named]
@@ -151,7 +152,8 @@ def audit(outputs: DataFrame, refs: DataFrame, output_id: str, ref_id: str, n: i
     neither are clean without being looked at. Null texts, and texts without letters and numbers, have no findings; repeated ids
     count as texts of their own.
     """
-    ours, theirs = copying_texts(outputs, output_id), copying_texts(refs, ref_id)
+    # made once, so that what reads them needs no second Python worker
+    ours, theirs = stored(copying_texts(outputs, output_id), "copying-outputs"), stored(copying_texts(refs, ref_id), "copying-references")
     least = min(over for *_, over in LADDER if over)
     runs = copy_candidates(ours, theirs, LADDER[0][1]).select("output_id", "ref_id", F.lit(True).alias("run"))
     near = long_overlaps(ours, theirs, n).withColumn("run", F.lit(False))

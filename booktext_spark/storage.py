@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,10 @@ def kept(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder, so that lost executors cost nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Like kept, as compressed columns: for tables that grow with the text."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
