@@ -93,7 +93,9 @@ def fit_codebooks(x: np.ndarray, books: int = 16, entries: int = 256, rounds: in
             side[i] = _sums(x, codes[:, i], entries)
             for j in range(books):
                 gram[i, :, j] = np.bincount(codes[:, i] * entries + codes[:, j], minlength=entries * entries).reshape(entries, entries)
-        solved = np.linalg.solve(gram.reshape(number, number) + np.eye(number, dtype=np.float32), side.reshape(number, -1) + fitted.books.reshape(number, -1))
+        square = gram.reshape(number, number)
+        square.flat[:: number + 1] += 1
+        solved = np.linalg.solve(square, side.reshape(number, -1) + fitted.books.reshape(number, -1))
         fitted = Codebooks(solved.reshape(fitted.books.shape).astype(np.float32))
     return fitted
 
