@@ -55,13 +55,17 @@ def book_summary(books: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def job_summary(jobs: DataFrame, projects: DataFrame, books: DataFrame) -> DataFrame:
-    """job_id, project_id, book_id, book_title, locale, state, completed_blocks, total_blocks, issue_count with their defaults."""
+    """job_id, project_id, book_id, book_title, locale, state, completed_blocks, total_blocks, issue_count with their defaults.
+
+    book_id is a string, empty where the project or its book is unknown; an unknown or null state is failed; a checkpoint that is null or no JSON
+    has no counts; repeated projects and books repeat the job's row.
+    """
     number = lambda name: F.get_json_object("checkpoint", f"$.{name}").cast("int")
     rows = jobs.join(projects.select("project_id", "book_id", F.col("name").alias("project_name"), F.col("target_locale").alias("locale")), "project_id", "left").join(books.select("book_id", F.col("title").alias("book_title")), "book_id", "left")
     rows = rows.withColumn("total_blocks", number("total_blocks"))
     reckoned = F.when(F.coalesce("total_blocks", F.lit(0)) > 0, F.floor(F.col("progress") * F.col("total_blocks"))).otherwise(0)
     return rows.select(
-        "job_id", "project_id", F.coalesce("book_id", F.lit("")).alias("book_id"), F.coalesce("book_title", "project_name", F.lit(NO_TITLE)).alias("book_title"), F.coalesce("locale", F.lit("zh-CN")).alias("locale"),
+        "job_id", "project_id", F.coalesce(F.col("book_id").cast("string"), F.lit("")).alias("book_id"), F.coalesce("book_title", "project_name", F.lit(NO_TITLE)).alias("book_title"), F.coalesce("locale", F.lit("zh-CN")).alias("locale"),
         job_state(F.col("state")).alias("state"), F.coalesce(number("completed_blocks"), reckoned).cast("bigint").alias("completed_blocks"), "total_blocks",
         F.coalesce(number("issue_count"), F.when(F.length(F.coalesce("error_code", F.lit(""))) > 0, 1).otherwise(0)).alias("issue_count"),
     )

@@ -48,7 +48,7 @@ FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_na
 def job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("book_id"), F.col("n_name").alias("title"))
     rows = reports.job_summary(_jobs(spark, sf_dir), _projects(spark, sf_dir), books)
-    return rows.select("job_id", F.col("book_id").cast("bigint").alias("book_id"), "book_title", "locale", "state", "completed_blocks", "total_blocks", "issue_count")
+    return rows.select("job_id", F.col("book_id").try_cast("bigint").alias("book_id"), "book_title", "locale", "state", "completed_blocks", "total_blocks", "issue_count")
 
 
 @register(
