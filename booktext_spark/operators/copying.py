@@ -138,8 +138,9 @@ def long_overlaps(outputs: DataFrame, refs: DataFrame, n: int) -> DataFrame:
     theirs = gram_rows(refs, n).select(F.col("id").alias("ref_id"), "gram", F.col("size").alias("ref_size"))
     common = theirs.groupBy("gram").agg(F.count("*").alias("df"), F.max("ref_size").alias("largest"))
     need = F.ceil(F.col("size") * least)
-    met = ours.join(common, "gram").where(F.col("largest") >= need)
-    enough = met.groupBy("output_id").agg(F.count("*").alias("held"), F.first(need).alias("need")).where("held >= need")
+    met = ours.join(common, "gram").where(F.col("largest") >= need).select("output_id", "gram", "df", need.alias("need"))
+    met = stored(met, "copying-grams")  # read twice, and a small part of the outputs' grams
+    enough = met.groupBy("output_id").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held >= need")
     place = F.row_number().over(Window.partitionBy("output_id").orderBy("df", "gram"))
     rare = met.select("output_id", "gram", "df").join(enough, "output_id").withColumn("place", place).where("place <= held - need + 1")
     return rare.join(theirs, "gram").where("ref_size >= need").select("output_id", "ref_id").distinct()
