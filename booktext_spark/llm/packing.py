@@ -122,13 +122,14 @@ def pack_stream(docs: Iterator[tuple[int | None, bytes]], size: int, first_seque
     yield from closed()
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", memory: int = 160 << 20, open_tokens: int = 1 << 22) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", memory: int = 160 << 20, open_tokens: int = 1 << 22, specials: bool = True) -> DataFrame:
     """Packs every document into sequences of at most `size` tokens; one row for each piece.
 
     docs: any DataFrame with an integer id and a text; other columns are ignored. vocabulary: a file of
     the tokenizers library. end_id follows each document (none if None). Each task packs what it reads,
     online, and closes its windows at its end; nothing is shuffled. memory: bytes that a worker's memory of
-    encoded words takes; open_tokens: tokens in windows that are not full yet, see pack_stream.
+    encoded words takes; open_tokens: tokens in windows that are not full yet, see pack_stream. specials: whether the string of a
+    special token inside a text has that token's id, as in the library's plain call (else it is ordinary text).
 
     Returns doc_id, start (the document's ids before the piece), length, doc_tokens, sequence_id, offset
     (in the sequence, gapless), donated (whether the piece fills a gap that the level array left) and ids
@@ -143,7 +144,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: i
 
         from booktext_spark.llm.tokens import encoder
 
-        enc = encoder(vocabulary, memory)
+        enc = encoder(vocabulary, memory, specials)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         kinds = {"donated": pa.bool_(), "ids": pa.binary()}
         schema = pa.schema([(n, kinds.get(n, pa.int64())) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "donated", "ids")])

@@ -134,13 +134,14 @@ def _files(rows: DataFrame, file_bytes: int) -> int:
     return max(4 * rows.sparkSession.sparkContext.defaultParallelism, -(-found // file_bytes))
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = 1, files: int | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 128 << 20, memory: int = 160 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = 1, files: int | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 128 << 20, memory: int = 160 << 20, specials: bool = True) -> DataFrame:
     """Encodes every text and writes the ids, in ascending doc_id order, into `files` files.
 
     Where `files` is None, there is a file for each `file_bytes` of text, so that files keep their size as the
     corpus grows. The order is that of a range partition by doc_id (nulls first, ties by text). Ids take the fewest
     bits that hold the vocabulary. A task writes under a name of its own and renames at its end, so a
-    repeated task replaces equal bytes. memory: bytes that a worker's memory of encoded words takes. Returns the
+    repeated task replaces equal bytes. memory: bytes that a worker's memory of encoded words takes. specials: whether the string
+    of a special token inside a text has that token's id, as in the library's plain call (else it is ordinary text). Returns the
     manifest, one row for each file: file_no, path, n_docs, n_ids. A null or empty text has its end id alone; an
     empty table gives files without documents or no file.
     """
@@ -155,7 +156,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
 
         from booktext_spark.llm.tokens import encoder
 
-        enc = encoder(vocabulary, memory)
+        enc = encoder(vocabulary, memory, specials)
         bits = max(1, (enc.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         end = [] if end_id is None else [end_id]
         tail = np.array(end, "<u4").tobytes()

@@ -17,12 +17,14 @@ PARTS = re.compile(r"(\n?)( ?[^\W\d_]+)([!-/:-@\[-^`{-~]*)")
 ENTRY = 190
 
 
-def load(path: str):
+def load(path: str, specials: bool = False):
+    """A tokenizer; `specials`: whether a special token's string inside a text has that token's id, as the library's plain
+    call gives it, or is ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
+    tokenizer.encode_special_tokens = not specials
     return tokenizer
 
 
@@ -43,8 +45,8 @@ class Encoder:
     go unless they are met again, so that frequent words stay and rare ones leave.
     """
 
-    def __init__(self, path: str, room: int = 48 << 20):
-        self.tokenizer = load(path)
+    def __init__(self, path: str, room: int = 48 << 20, specials: bool = False):
+        self.tokenizer = load(path, specials)
         self.tokenize = self.tokenizer.model.tokenize
         self.room = room
         #: Whether this vocabulary drops white space, so that " a" and "a" have the same ids.
@@ -65,9 +67,14 @@ class Encoder:
         others = (b for b in range(256) if b not in plain)
         return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
+    @staticmethod
+    def _plain(chunk: str) -> bool:
+        """Whether no letter of a chunk may fall apart, or meet its neighbour, when it is normalised."""
+        return chunk.isascii() or max(chunk) < "İ"
+
     def _letters(self, chunk: str) -> bytes | None:
         """Ids of a chunk that is one run of letters, with one space before it or none, if that is certain; None else."""
-        if not chunk.isascii() and max(chunk) >= "İ":
+        if not self._plain(chunk):
             return None
         if self.spaceless:
             chunk = chunk.lstrip(" ").lower()
@@ -91,7 +98,7 @@ class Encoder:
         if not found:
             return None
         line, core, signs = found.groups()
-        if line and core[0] == " " or signs and signs[0] == "'" or not core.lstrip(" ").isalpha():
+        if line and core[0] == " " or signs and signs[0] == "'" or not core.lstrip(" ").isalpha() or not self._plain(core):
             return None
         got = self.known.get(core) or self.older.get(core) or self._letters(core)
         if got is None:
@@ -138,11 +145,11 @@ class Encoder:
         return b"".join(out)
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def encoder(path: str, room: int = 48 << 20) -> Encoder:
-    """One encoder for each vocabulary file and worker process; `room` bounds its memory of chunks, in bytes."""
-    if (path, room) not in _ENCODERS:
-        _ENCODERS[path, room] = Encoder(path, room)
-    return _ENCODERS[path, room]
+def encoder(path: str, room: int = 48 << 20, specials: bool = False) -> Encoder:
+    """One encoder for each vocabulary file, reading of special strings and worker process; `room` bounds its memory of chunks, in bytes."""
+    if (path, room, specials) not in _ENCODERS:
+        _ENCODERS[path, room, specials] = Encoder(path, room, specials)
+    return _ENCODERS[path, room, specials]

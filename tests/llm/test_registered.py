@@ -9,8 +9,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 from test_training_operators import plain_fingerprint, plain_repeats, plain_rule
+from tokenizers import Tokenizer
 
-from booktext_spark.llm import queries, tokens
+from booktext_spark.llm import queries
 
 
 @pytest.fixture(scope="module")
@@ -53,7 +54,7 @@ def test_op2_scores_all_rows_and_learns_nothing_from_what_is_held_out(spark, sf_
 
 def test_op3_pieces_are_all_ids_once(spark, sf_dir, docs):
     _, rows = made(spark, sf_dir, "op3_packing")
-    enc = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {d: enc.encode(t or "", add_special_tokens=False).ids + [0] for d, t in docs.items()}
     ends, at = {}, Counter()
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
@@ -126,7 +127,7 @@ def test_op7_counts_and_scores(spark, sf_dir, docs):
 
 def test_op8_reads_back_what_was_written(spark, sf_dir, docs):
     _, rows = made(spark, sf_dir, "op8_token_binary")
-    enc = tokens.load(public_tokenizers.path("word_bpe_49k.json"))
+    enc = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     at = 0
     for r, d in zip(sorted(rows, key=lambda r: r.doc_id), sorted(docs), strict=True):
         ids = enc.encode(docs[d] or "", add_special_tokens=False).ids + [1]

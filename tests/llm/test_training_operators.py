@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from booktext_spark.llm import ann, chat, decontam, graph, lattice, packing, repeats, simhash, tokenbin, tokens, toxicity, urls
 from booktext_spark.llm.common import alnum_words
@@ -18,7 +19,7 @@ from booktext_spark.llm.common import alnum_words
 DOCS = "doc_id bigint, text string"
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 #: Null, empty, blank and repeated texts and ids, a long text, and columns whose names clash with those made.
-ODD = [(1, None, 0), (2, "", 0), (3, " \n", 0), (None, "some text here", 0), (4, "a b c", 0), (4, "a b c", 0), (5, "xy " * 20000, 0), (6, "déjà\U0001f600 vu", 0)]
+ODD = [(1, None, 0), (2, "", 0), (3, " \n", 0), (None, "some text here", 0), (4, "a b c", 0), (4, "a b c", 0), (5, "xy " * 20000, 0), (6, "déjà\U0001f600 vu", 0), (7, "a<|endoftext|>b İ İ. <|startoftext|>", 0)]
 
 
 def odd(spark, *clashing):
@@ -143,7 +144,7 @@ def test_labels_that_differ_for_equal_texts(spark):
 
 
 def check_packed(rows, docs, size, end):
-    enc = tokens.load(BYTE)
+    enc = Tokenizer.from_file(BYTE)
     ids = Counter(tuple(enc.encode(t or "", add_special_tokens=False).ids + end) for _, t in docs)
     made, sequences = Counter(), {}
     rows = sorted(rows, key=lambda r: (r.sequence_id, r.offset))
@@ -557,7 +558,7 @@ def test_bit_packing(bits):
 
 
 def test_token_files(spark):
-    enc = tokens.load(WORD)
+    enc = Tokenizer.from_file(WORD)
     got = tokenbin.round_trip(odd(spark, "start"), WORD, 1).orderBy("start").collect()
     at = 0
     for r, (doc, text, _) in zip(got, sorted(ODD, key=lambda o: -1 if o[0] is None else o[0]), strict=True):
@@ -577,6 +578,21 @@ def test_encoder_equals_the_library():
             assert len(enc.known) + len(enc.older) < 100
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("specials", [True, False])
+def test_encoder_equals_the_library_whatever_came_before(path, specials):
+    """Letters that fall apart when normalised, alone and before signs, and special strings, in any order."""
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = not specials
+    parts = ["İ", "İ.", " İ", "ﬁ", "e\u0301", "é", "é.", "e\u0301,", "Å", "\u212b", "\u212b!", "ǅ", "ǅ.", "ß.", "Σ", "ΑΣ", "ΑΣ.", "가", "\u1100\u1161", "\u1100\u1161.", "漢", "漢,", "<|endoftext|>", "<|startoftext|>", "x<|endoftext|>y", "<|endoftext|>'s", "word", "word.", "\nword", "'s"]
+    for seed in range(30):
+        rng = random.Random(seed)
+        enc = tokens.Encoder(path, room=100_000, specials=specials)
+        for _ in range(40):
+            text = "".join(p + rng.choice(["", " ", " ", "\n", "  "]) for p in rng.choices(parts, k=rng.randrange(1, 6)))
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, (seed, text)
+
+
 # 9: chat
 
 
