@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from booktext_spark.llm import ann, chat, decontam, lattice, packing, repeats, simhash, tokenbin, toxicity, urls
+from booktext_spark.llm import ann, chat, decontam, lattice, packing, repeats, shards, simhash, tokenbin, toxicity, urls
 from booktext_spark.llm.common import table
 
 
@@ -69,11 +69,25 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), 50, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_packing, op4_simhash, op5_suffix_dedup, op6_url_filter, op7_lm_scoring, op8_token_binary, op9_chat_format, op10_ann)}
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"), 16, ("lang", "source", "size"), 5)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_packing, op4_simhash, op5_suffix_dedup, op6_url_filter, op7_lm_scoring, op8_token_binary, op9_chat_format, op10_ann, op13_sharding)}
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ESCAPED = r"regexp_replace(replace(coalesce({c}, ''), '\', '\\'), '<(/?turn>)', '\\<\1', 'g')"
 
+#: Unsigned CRC-32 of a list of bytes that follows 4294967295.
+CRC_TABLE = """tab AS (SELECT 0 AS k, i::BIGINT AS i, i::BIGINT AS c FROM range(256) t(i) UNION ALL SELECT k + 1, i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM tab WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM tab WHERE k = 8)"""
+CRC_STEP = "lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])"
+#: One level of the curve after another, from the highest bit: state, and place so far.
+CURVE = "\n".join(
+    f"k{level} AS (SELECT * EXCLUDE (s, h, f), f >> 3 AS s, h * 8 + (f & 7) AS h FROM (SELECT *, tb[s * 8 + (((c2 >> {level}) & 1) * 4 + ((c1 >> {level}) & 1) * 2 + ((c0 >> {level}) & 1)) + 1] AS f FROM k{level + 1})),"
+    for level in range(4, -1, -1)
+)
+
 #: The operators whose results SQL can state; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT item_id::VARCHAR AS id, {WORDS} AS w FROM benchmark),
@@ -89,4 +103,11 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length({ESCAPED.format(c="role")}) + length({ESCAPED.format(c="text")}) + 15)::BIGINT AS formatted_chars FROM c GROUP BY 1""",
+    "op13_sharding": f"""WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, lang, source, strlen(coalesce(text, ''))::BIGINT + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS l FROM documents),
+k5 AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_concat([4294967295], l), {CRC_STEP}))::BIGINT AS text_crc32, 0::BIGINT AS s, 0::BIGINT AS h, {shards.hilbert_table(3)} AS tb, count(*) OVER () AS n,
+  (rank() OVER (ORDER BY lang NULLS FIRST) - 1) * 32 // count(*) OVER () AS c0, (rank() OVER (ORDER BY source NULLS FIRST) - 1) * 32 // count(*) OVER () AS c1, (rank() OVER (ORDER BY size NULLS FIRST) - 1) * 32 // count(*) OVER () AS c2 FROM d, crcs),
+{CURVE}
+r AS (SELECT *, row_number() OVER (ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1 AS place FROM k0)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 16 // n)::INT AS shard, row_number() OVER (PARTITION BY place * 16 // n ORDER BY place) - 1 AS slot, NULL::INT AS grown_shard, h AS curve FROM r""",
 }
