@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from booktext_spark.llm import ann, chat, decontam, lattice, packing, repeats, shards, simhash, tokenbin, toxicity, urls
+from booktext_spark.llm import ann, chat, decontam, lattice, packing, repeats, runs, shards, simhash, tokenbin, toxicity, urls
 from booktext_spark.llm.common import table
 
 
@@ -69,11 +69,33 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), 50, 5)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: rows of which one in ten, by the checksum of the id, repeats a period of words from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("w")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w"), g.alias("g"))
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int")).withColumn("p", F.expr("cast(1 + (size(w) - a) div (3 + g % 8) as int)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast((size(w) - a) div p as int) + 1)), 1, size(w) - a)")
+    return rows.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(F.concat(F.expr("slice(w, 1, a)"), tail), " ")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")), 6, 4)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    rows = found.withColumn("best", best).withColumn("lines", F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")))
+    length, period = F.col("best.length"), -F.col("best.col3")
+    return rows.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.col2")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"), 16, ("lang", "source", "size"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_packing, op4_simhash, op5_suffix_dedup, op6_url_filter, op7_lm_scoring, op8_token_binary, op9_chat_format, op10_ann, op13_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_packing, op4_simhash, op5_suffix_dedup, op6_url_filter, op7_lm_scoring, op8_token_binary, op9_chat_format, op10_ann, op12_periodic_runs, op13_sharding)}
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ESCAPED = r"regexp_replace(replace(coalesce({c}, ''), '\', '\\'), '<(/?turn>)', '\\<\1', 'g')"
@@ -110,4 +132,20 @@ k5 AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_concat([4294967295]
 {CURVE}
 r AS (SELECT *, row_number() OVER (ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1 AS place FROM k0)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (place * 16 // n)::INT AS shard, row_number() OVER (PARTITION BY place * 16 // n ORDER BY place) - 1 AS slot, NULL::INT AS grown_shard, h AS curve FROM r""",
+    "op12_periodic_runs": f"""WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+  xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), {CRC_STEP})) AS h FROM documents, crcs),
+g AS (SELECT r, doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 % len(w) END AS a, h // 10 AS g FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+o AS (SELECT r, n, w, a, p, unnest(range(n)) AS i FROM p),
+t AS (SELECT r, n, i, w[1 + CASE WHEN i < a OR a IS NULL THEN i ELSE a + (i - a) % p END] AS x FROM o),
+m AS (SELECT a.r, a.i, b.i - a.i AS q FROM t a JOIN t b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+s AS (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m),
+l AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY r, q, island HAVING count(*) >= 3 * q AND count(*) + q >= 6),
+u AS (SELECT r, start, length, min(q) AS q FROM l GROUP BY ALL),
+gone AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM u),
+c AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS text FROM t ANTI JOIN gone USING (r, i) GROUP BY 1),
+e AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines, max({{'length': length, 'start': -start, 'q': -q}}) AS best FROM u GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -best.start AS start, best.length AS length, -best.q AS period, 1000 * best.length // -best.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c.text, '')) AS collapsed_sha256 FROM p LEFT JOIN e USING (r) LEFT JOIN c USING (r)""",
 }
