@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from booktext_spark.llm import ann, chat, decontam, lattice, packing, repeats, runs, shards, simhash, tokenbin, toxicity, urls
+from booktext_spark.llm import ann, chat, crosstok, decontam, lattice, packing, repeats, runs, shards, simhash, tokenbin, toxicity, urls
 from booktext_spark.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), 50, 5)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.align_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id, text: rows of which one in ten, by the checksum of the id, repeats a period of words from some word on."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -95,7 +99,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"), 16, ("lang", "source", "size"), 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_packing, op4_simhash, op5_suffix_dedup, op6_url_filter, op7_lm_scoring, op8_token_binary, op9_chat_format, op10_ann, op12_periodic_runs, op13_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_packing, op4_simhash, op5_suffix_dedup, op6_url_filter, op7_lm_scoring, op8_token_binary, op9_chat_format, op10_ann, op11_token_alignment, op12_periodic_runs, op13_sharding)}
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ESCAPED = r"regexp_replace(replace(coalesce({c}, ''), '\', '\\'), '<(/?turn>)', '\\<\1', 'g')"
