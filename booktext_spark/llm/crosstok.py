@@ -15,7 +15,7 @@ from booktext_spark.llm.common import slices, stored
 #: A space or line end after a sign that is no white space, and all up to the next one: neither tokenizer has a token across.
 CHUNK = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 #: Bytes of text of which the links are counted together, non-zero elements of a product at a time, and bytes that a chunk in memory takes besides its links and groups.
-BLOCK_BYTES, NONZEROS, ENTRY = 8 << 20, 1 << 18, 420
+BLOCK_BYTES, NONZEROS, ENTRY = 8 << 20, 1 << 18, 360
 #: Code of a linked pair: id of A times this, plus id of B.
 PAIR = 1 << 20
 
@@ -110,9 +110,10 @@ class Tokens:
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
 
-        from booktext_spark.llm.tokens import Encoder, load
+        from booktext_spark.llm.tokens import Encoder
 
-        self.a, self.b = load(a_path), SentencePieceProcessor(model_file=b_path)
+        self.encoder = Encoder(a_path)
+        self.a, self.b = self.encoder.tokenizer, SentencePieceProcessor(model_file=b_path)
         byte = {letter: b for b, letter in Encoder._byte_letters().items()}
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
@@ -126,21 +127,19 @@ class Tokens:
         # a group's text: ids of A, a bar, ids of B, a semicolon; commas between ids
         self.parts = [f"{i}{end}" for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(n)]
 
-    def ids(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of strings that begin with a space or line end. B puts a space before what it encodes, which is the string's own or goes again."""
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+    def ids(self, chunks: list[str]) -> tuple[list, list]:
+        """Ids of strings that begin with a space or line end, arrays or lists. B puts a space before what it encodes, which is the string's own or goes again."""
+        parts = self.encoder._parts
+        a = [None if got is None else np.frombuffer(got, "<u4") for got in map(parts, chunks)]
+        rest = [k for k, ids in enumerate(a) if ids is None]
+        for k, e in zip(rest, self.a.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False) if rest else [], strict=True):
+            a[k] = e.ids
         b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
         return a, [self.space if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, b, strict=True)]
 
 
-@dataclass
-class Aligned:
-    """Links and groups of a chunk: numbers of tokens, codes of the pairs that end together, and the groups' text."""
-
-    n_a: int
-    n_b: int
-    pairs: bytes
-    groups: str
+#: Links and groups of a chunk: numbers of tokens, codes of the pairs that end together, and the groups' text.
+Aligned = tuple[int, int, bytes, str]
 
 
 class Aligner:
@@ -185,28 +184,27 @@ class Aligner:
 
     def _keep(self, chunk: str, found: Aligned | None) -> Aligned | None:
         self.known[chunk] = found
-        self.left -= len(chunk) + ENTRY + (len(found.pairs) + len(found.groups) if found else 0)
+        self.left -= len(chunk) + ENTRY + (len(found[2]) + len(found[3]) if found else 0)
         return found
 
     def _learn(self, chunks: list[str]):
         """(chunk, links and groups) of chunks: one product of the matrices of all of them, which lie on its diagonal."""
-        t = self.tokens
-        good, all_a, all_b = [], [], []
-        for c, a, b in zip(chunks, *t.ids(chunks), strict=True):
-            data = c.encode()
-            if b"".join([t.bytes_a[i] for i in a]) == data == b"".join([t.bytes_b[i] for i in b]):
-                good.append(c)
-                all_a.append(a)
-                all_b.append(b)
-            else:
-                yield c, None
-        if not good:
-            return
-        n_a, n_b = ([len(x) for x in ids] for ids in (all_a, all_b))
-        ids_a, ids_b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (all_a, all_b))
+        t, good = self.tokens, chunks
+        all_a, all_b = t.ids(chunks)
+        flat = lambda ids: np.concatenate([np.asarray(x, np.int64) for x in ids])
+        ids_a, ids_b = flat(all_a), flat(all_b)
+        spelt = lambda ids, table: b"".join(map(table.__getitem__, ids.tolist()))
+        if not spelt(ids_a, t.bytes_a) == "".join(chunks).encode() == spelt(ids_b, t.bytes_b):
+            same = [spelt(np.asarray(a), t.bytes_a) == c.encode() == spelt(np.asarray(b), t.bytes_b) for c, a, b in zip(chunks, all_a, all_b, strict=True)]
+            yield from ((c, None) for c, ok in zip(chunks, same, strict=True) if not ok)
+            good, all_a, all_b = ([x for x, ok in zip(xs, same, strict=True) if ok] for xs in (chunks, all_a, all_b))
+            if not good:
+                return
+            ids_a, ids_b = flat(all_a), flat(all_b)
+        n_a, n_b = (list(map(len, ids)) for ids in (all_a, all_b))
         ends_a, ends_b = np.cumsum(t.size_a[ids_a]), np.cumsum(t.size_b[ids_b])
         i, j = end_links(ends_a, ends_b)
-        pairs = (ids_a[i] * PAIR + ids_b[j]).astype("<i8")
+        pairs = (ids_a[i] * PAIR + ids_b[j]).astype("<i8").tobytes()
         a, b = group_matrices(ends_a, ends_b, ends_a[i])
         first_a, first_b = (m.transposed().indptr for m in (a, b))
         text = np.empty(len(ids_a) + len(ids_b), np.int64)
@@ -217,11 +215,11 @@ class Aligner:
         text[np.arange(len(ids_b)) + first_a[b.indices + 1]] = ids_b + last_b + 2 * len(t.bytes_a)
         parts = [t.parts[k] for k in text.tolist()]
         at_a, at_b = np.cumsum(n_a), np.cumsum(n_b)
-        ends = np.searchsorted(i, at_a).tolist()
+        ends, tops = np.searchsorted(i, at_a).tolist(), (at_a + at_b).tolist()
         low = link = 0
         for k, c in enumerate(good):
-            high = int(at_a[k] + at_b[k])
-            yield c, Aligned(n_a[k], n_b[k], pairs[link : ends[k]].tobytes(), "".join(parts[low:high]))
+            high = tops[k]
+            yield c, (n_a[k], n_b[k], pairs[8 * link : 8 * ends[k]], "".join(parts[low:high]))
             low, link = high, ends[k]
 
 
@@ -257,7 +255,7 @@ def token_links(docs: DataFrame, a_path: str, b_path: str, kind: str = "overlap"
             if not text:
                 continue
             chunks = CHUNK.findall(f" {text}")
-            a, b = (np.array([i for ids in x for i in ids], np.int64) for x in tokens.ids(chunks))
+            a, b = (np.concatenate([np.asarray(ids, np.int64) for ids in x]) for x in tokens.ids(chunks))
             if not b"".join(tokens.bytes_a[i] for i in a) == f" {text}".encode() == b"".join(tokens.bytes_b[i] for i in b):
                 continue
             i, j, n = find(np.cumsum(tokens.size_a[a]), np.cumsum(tokens.size_b[b]))
@@ -289,11 +287,10 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
             texts = part.column(1).to_pylist()
             rows, pairs, sizes = [], [], []
             for text, found in zip(texts, both.align(texts), strict=True):
-                found = found or []
-                joined = b"".join([x.pairs for x in found])
-                groups = "".join([x.groups for x in found])
+                n_a, n_b, codes, groups = zip(*found, strict=True) if found else ((), (), (), ())
+                joined, groups = b"".join(codes), "".join(groups)
                 n = len(joined) // 8
-                rows.append((block, sum(x.n_a for x in found), sum(x.n_b for x in found), groups.count(";"), n, hashlib.sha256(groups[:-1].encode()).hexdigest() if found else ""))
+                rows.append((block, sum(n_a), sum(n_b), groups.count(";"), n, hashlib.sha256(groups[:-1].encode()).hexdigest() if found else ""))
                 pairs.append(joined)
                 sizes.append(n)
                 held += len(text or "")

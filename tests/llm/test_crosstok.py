@@ -76,9 +76,9 @@ def test_chunks_give_what_whole_texts_give():
         found = aligner.align([text])[0]
         assert (found is None) == (not n_a), text
         found = found or []
-        assert (sum(x.n_a for x in found), sum(x.n_b for x in found)) == (n_a, n_b)
-        assert "".join(x.groups for x in found)[:-1] == ";".join(groups), text
-        assert np.frombuffer(b"".join(x.pairs for x in found), "<i8").tolist() == [i * crosstok.PAIR + j for i, j in links]
+        assert (sum(x[0] for x in found), sum(x[1] for x in found)) == (n_a, n_b)
+        assert "".join(x[3] for x in found)[:-1] == ";".join(groups), text
+        assert np.frombuffer(b"".join(x[2] for x in found), "<i8").tolist() == [i * crosstok.PAIR + j for i, j in links]
 
 
 def test_products_are_plain_ones():
