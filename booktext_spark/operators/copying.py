@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from booktext_spark.functions.automaton import SuffixAutomaton
 from booktext_spark.functions.text import lcs_length, normalize_for_copying
 from booktext_spark.storage import stored
 
 #: Fixed values: (shorter than, least run, least share of the shorter text, least overlap or none) of the verdict.
 LADDER = ((80, 28, 0.58, None), (200, 42, 0.40, 0.55), (None, 64, 0.30, 0.44))
 
+#: Bits of a filter of grams (16 MB), a fixed size; characters of references in an automaton, of outputs that meet one at a time, and rows of a gram in a task.
+FILTER_BITS, SHARD_CHARS, PORTION, HEAVY = 1 << 27, 1 << 16, 1 << 22, 20_000
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,11 +41,13 @@ def gram_names(text: str, n: int) -> np.ndarray:
     return names.view(np.int64)
 
 
-def gram_rows(texts: DataFrame, n: int, distinct: bool = True) -> DataFrame:
+def gram_rows(texts: DataFrame, n: int, distinct: bool = True, keep=None) -> DataFrame:
     """id, gram and size: the distinct runs of n characters of each text(id, text), by name, and their number; or with `distinct` off
-    id, gram and at: all runs with their places. Texts that are null or shorter have no row."""
+    id, gram and at: all runs with their places. Texts that are null or shorter have no row. keep: gram_filter of other texts,
+    none of whose grams has no row; most others have none either, and do not leave the task."""
     kind = texts.schema["id"].dataType.simpleString()
     more = "size int" if distinct else "at int"
+    bits = None if keep is None else texts.sparkSession.sparkContext.broadcast(keep)
 
     def run(batches):
         import pyarrow as pa
@@ -53,13 +59,30 @@ def gram_rows(texts: DataFrame, n: int, distinct: bool = True) -> DataFrame:
                 if distinct:
                     named = [np.unique(x) for x in named]
                 size = np.array([len(x) for x in named], np.int64)
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
-                last = np.repeat(size, size) if distinct else np.concatenate([np.arange(k) for k in size.tolist()])
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(named)), pa.array(last.astype(np.int32))], names=["id", "gram", more.split()[0]])
+                row, grams = np.repeat(np.arange(len(size)), size), np.concatenate(named)
+                last = size[row] if distinct else np.concatenate([np.arange(k) for k in size.tolist()])
+                if bits is not None:
+                    at = grams & (FILTER_BITS - 1)
+                    some = np.flatnonzero(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                    row, grams, last = row[some], grams[some], last[some]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(grams), pa.array(last.astype(np.int32))], names=["id", "gram", more.split()[0]])
 
     return texts.select("id", "text").mapInArrow(run, f"id {kind}, gram bigint, {more}")
 
 
+def gram_filter(grams: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits for gram_rows: one for each name of grams(gram), by its lowest bits.
+
+    Bits are set where the grams are, in maps of 4 KB, so that no more than the filter itself is shuffled for a task and collected.
+    """
+    at = F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    maps = grams.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(FILTER_BITS >> 3, np.uint8)
+    for bucket, bits in maps.toLocalIterator():
+        out[(bucket - 1) * len(bits) : bucket * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
 @F.pandas_udf(StructType([StructField("shared", LongType()), StructField("size", LongType())]))
 def shared_grams(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.DataFrame:
     """Distinct n-grams that both texts have, and those that the first has."""
@@ -73,11 +96,11 @@ def shared_grams(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.DataFrame:
 def copy_candidates(outputs: DataFrame, refs: DataFrame, n: int = 8) -> DataFrame:
     """output_id, ref_id, shared, size: pairs that share an n-gram. No pair without one can be suspicious for n of 28 or less.
 
-    outputs and refs are in copying form. Grams that no reference has leave before the join, and pairs are counted before
-    they are shuffled.
+    outputs and refs are in copying form. Grams that no reference has leave before they are joined, most of them in the task that finds
+    them, and pairs are counted before they are shuffled.
     """
-    ours = gram_rows(outputs, n).withColumnRenamed("id", "output_id")
-    theirs = gram_rows(refs, n).select(F.col("id").alias("ref_id"), "gram")
+    theirs = stored(gram_rows(refs, n).select(F.col("id").alias("ref_id"), "gram"), "copying-grams")
+    ours = gram_rows(outputs, n, keep=gram_filter(theirs)).withColumnRenamed("id", "output_id")
     met = ours.join(theirs, "gram")
     return met.groupBy("output_id", "ref_id").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
 
@@ -99,15 +122,43 @@ def longest_common_substring(pairs: DataFrame) -> DataFrame:
 
 
 def longest_common_run(outputs: DataFrame, refs: DataFrame, n: int = 8) -> DataFrame:
-    """output_id, ref_id, lcs by joins of n-grams, exact wherever the run has n characters or more.
+    """output_id, ref_id, lcs: the longest common run of each pair that shares one of n characters or more.
 
-    Shared grams lie on the diagonal i - j; a run of neighbours on one gives its length.
+    References lie in shards of about SHARD_CHARS characters. A shard's suffix automaton is built in the task that needs it, and each output that
+    shares an n-gram with the shard is read through it once, whatever the number of common places. Outputs of a shard that many meet go in portions of about
+    PORTION characters, each with the shard's references. outputs and refs are in copying form; rows of equal ids give one row, of the longest. A task takes
+    some 500 bytes for each character of a shard, so one reference should not be a whole book.
     """
-    placed = lambda df, name, at: gram_rows(df, n, distinct=False).withColumnsRenamed({"id": name, "at": at})
-    met = placed(outputs, "output_id", "i").join(placed(refs, "ref_id", "j"), "gram").withColumn("d", F.col("i") - F.col("j"))
-    order = Window.partitionBy("output_id", "ref_id", "d").orderBy("i")
-    runs = met.withColumn("island", F.col("i") - F.row_number().over(order)).groupBy("output_id", "ref_id", "d", "island").agg(F.count("*").alias("n"))
-    return runs.groupBy("output_id", "ref_id").agg((F.max("n") + (n - 1)).cast("int").alias("lcs"))
+    total = refs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+    shards = max(1, -(-total // SHARD_CHARS))
+    theirs = stored(refs.withColumn("shard", F.pmod(F.xxhash64("text", "id"), F.lit(shards)).cast("int")), "copying-shards")
+    grams = gram_rows(theirs.select(F.struct("shard", "id").alias("id"), "text"), n).select("gram", "id.shard").distinct()
+    grams = stored(grams, "copying-grams")
+    ours = outputs.select("id", "text", F.struct("id", F.xxhash64("text").alias("name"), F.length("text").alias("chars")).alias("row")).dropDuplicates(["row"])
+    met = gram_rows(ours.select(F.col("row").alias("id"), "text"), n, keep=gram_filter(grams)).join(grams, "gram").select(F.col("id").alias("row"), "shard").distinct()
+    met = stored(met, "copying-met")
+    crowd = met.groupBy("shard").agg(F.sum("row.chars").alias("chars"))
+    parts = crowd.select("shard", F.ceil(F.col("chars") / PORTION).cast("int").alias("parts"))
+    placed = met.join(parts, "shard").withColumn("portion", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    texts = placed.join(ours.select("row", "id", "text"), "row").select("shard", "portion", "id", "text")
+    sources = theirs.join(parts, "shard").withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shard", "portion", "id", "text")
+    kinds = [df.schema["id"].dataType.simpleString() for df in (outputs, refs)]
+
+    def run(texts, sources):
+        import pyarrow as pa
+
+        known = SuffixAutomaton(sources.column("text").to_pylist())
+        at, ref, lcs = [], [], []
+        for k, text in enumerate(texts.column("text")):
+            for number, size in known.common_runs(text.as_py(), n).items():
+                at.append(k)
+                ref.append(number)
+                lcs.append(size)
+        ids = [t.column("id").combine_chunks().take(pa.array(x, pa.int64())) for t, x in ((texts, at), (sources, ref))]
+        return pa.table([*ids, pa.array(lcs, pa.int32())], names=["output_id", "ref_id", "lcs"])
+
+    found = texts.groupBy("shard", "portion").cogroup(sources.groupBy("shard", "portion")).applyInArrow(run, f"output_id {kinds[0]}, ref_id {kinds[1]}, lcs int")
+    return found.groupBy("output_id", "ref_id").agg(F.max("lcs").alias("lcs"))
 
 
 def verdict(size: Column, lcs: Column, share: Column, overlap: Column) -> Column:
@@ -126,24 +177,47 @@ def copying_verdict(pairs: DataFrame) -> DataFrame:
     return pairs.select("output_id", "ref_id", "lcs", "shared", "size", F.bround(share, 6).alias("lcs_ratio"), F.bround("overlap", 6).alias("ngram_overlap_ratio"), verdict(size, F.col("lcs"), share, F.col("overlap")).alias("suspicious"))
 
 
-def long_overlaps(outputs: DataFrame, refs: DataFrame, n: int) -> DataFrame:
-    """output_id, ref_id of all pairs whose n-gram overlap reaches the least share of the ladder, and of some others.
+def overlap_candidates(outputs: DataFrame, refs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """output_id, ref_id of all pairs of which `threshold` of the output's n-grams or more are the reference's, and of some others.
 
-    Such a pair shares at least that share of the output's n-grams, so it shares one of those that are left when, of the grams that any
-    reference has, all but one of so many are set aside. The most frequent ones are, so that hot grams meet nothing; most outputs have
-    too few grams of references and meet nothing at all.
+    A set-similarity join. Grams are ordered by the number of references that have them, rare ones first. An output of which `need` grams must be
+    common has one of these among its grams that references have, without the last need - 1 (prefix filter); the reference has
+    need grams (length filter); and behind the first common gram both have need - 1 more (position filter). So frequent grams meet
+    only where a text has little else. A gram that still has over HEAVY outputs is dealt out in as many parts.
     """
-    least = min(over for *_, over in LADDER if over)
-    ours = gram_rows(outputs.where(F.length("text") >= LADDER[0][0]), n).withColumnRenamed("id", "output_id")
-    theirs = gram_rows(refs, n).select(F.col("id").alias("ref_id"), "gram", F.col("size").alias("ref_size"))
+    theirs = stored(gram_rows(refs, n).select(F.col("id").alias("ref_id"), "gram", F.col("size").alias("ref_size")), "copying-grams")
+    ours = gram_rows(outputs, n, keep=gram_filter(theirs)).withColumnRenamed("id", "output_id")
     common = theirs.groupBy("gram").agg(F.count("*").alias("df"), F.max("ref_size").alias("largest"))
-    need = F.ceil(F.col("size") * least)
+    need = F.greatest(F.ceil(F.col("size") * threshold - 1e-9), F.lit(1))
     met = ours.join(common, "gram").where(F.col("largest") >= need).select("output_id", "gram", "df", need.alias("need"))
     met = stored(met, "copying-grams")  # read twice, and a small part of the outputs' grams
     enough = met.groupBy("output_id").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held >= need")
-    place = F.row_number().over(Window.partitionBy("output_id").orderBy("df", "gram"))
-    rare = met.select("output_id", "gram", "df").join(enough, "output_id").withColumn("place", place).where("place <= held - need + 1")
-    return rare.join(theirs, "gram").where("ref_size >= need").select("output_id", "ref_id").distinct()
+    place = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("df", "gram"))
+    rare = met.select("output_id", "gram", "df").join(enough, "output_id").withColumn("place", place("output_id")).where("place <= held - need + 1").drop("df")
+    rare = stored(rare, "copying-prefixes")
+    heavy = rare.groupBy("gram").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    ranked = theirs.join(common.select("gram", "df"), "gram").withColumn("ref_place", place("ref_id")).drop("df")
+    right = ranked.join(heavy, "gram", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    left = rare.join(heavy, "gram", "left").withColumn("part", F.pmod(F.xxhash64("output_id"), parts).cast("int")).drop("parts")
+    left_over = F.least(F.col("held") - F.col("place"), F.col("ref_size") - F.col("ref_place"))
+    return left.join(right, ["gram", "part"]).where((F.col("ref_size") >= F.col("need")) & (left_over + 1 >= F.col("need"))).select("output_id", "ref_id").distinct()
+
+
+def similar_pairs(outputs: DataFrame, refs: DataFrame, n: int = 8, threshold: float = 0.44) -> DataFrame:
+    """output_id, ref_id, shared, size, overlap of all pairs of which `threshold` of the output's n-grams or more are the reference's.
+
+    outputs and refs are in copying form, their ids told apart. Texts that are equal meet once: the join is one of different texts, whose pairs are then given to all that
+    have them. threshold must be above 0; copy_candidates has the pairs with any common gram.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
+    named = [stored(df.withColumn("name", F.sha2("text", 256)), "copying-texts") for df in (outputs, refs)]
+    ours, theirs = (df.groupBy("name").agg(F.first("text").alias("text")).select(F.col("name").alias("id"), "text") for df in named)
+    near = with_texts(overlap_candidates(ours, theirs, n, threshold), ours, theirs).withColumn("__n", shared_grams("output_text", "ref_text", F.lit(n)))
+    found = ngram_overlap(near.select("output_id", "ref_id", "__n.*")).where(F.col("shared") >= threshold * F.col("size") - 1e-9)
+    members = [df.select(F.col("name").alias(f"{side}_id"), F.col("id").alias(f"{side}_row")) for df, side in zip(named, ("output", "ref"), strict=True)]
+    return found.join(members[0], "output_id").join(members[1], "ref_id").select(F.col("output_row").alias("output_id"), F.col("ref_row").alias("ref_id"), "shared", "size", "overlap")
 
 
 def audit(outputs: DataFrame, refs: DataFrame, output_id: str, ref_id: str, n: int = 8) -> DataFrame:
@@ -157,7 +231,7 @@ def audit(outputs: DataFrame, refs: DataFrame, output_id: str, ref_id: str, n: i
     ours, theirs = stored(copying_texts(outputs, output_id), "copying-outputs"), stored(copying_texts(refs, ref_id), "copying-references")
     least = min(over for *_, over in LADDER if over)
     runs = copy_candidates(ours, theirs, LADDER[0][1]).select("output_id", "ref_id", F.lit(True).alias("run"))
-    near = long_overlaps(ours, theirs, n).withColumn("run", F.lit(False))
+    near = overlap_candidates(ours.where(F.length("text") >= LADDER[0][0]), theirs, n, least).withColumn("run", F.lit(False))
     met = runs.unionByName(near).groupBy("output_id", "ref_id").agg(F.max("run").alias("run"))
     counted = with_texts(met, ours, theirs).withColumn("__n", shared_grams("output_text", "ref_text", F.lit(n)))
     counted = counted.withColumns({"shared": F.col("__n.shared"), "size": F.col("__n.size")}).drop("__n")

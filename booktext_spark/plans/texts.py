@@ -246,11 +246,21 @@ def ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(AUDIT_SQL.split("x AS (")[0].rstrip(",\n ") + "\nSELECT doc_id, item_id, lcs FROM l")
 def longest_common_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest common run, 28 or more, by joins of n-grams."""
+    """The longest common run, 28 or more, by suffix automata of the items."""
     ours, theirs = copying.copying_texts(table(spark, sf_dir, "documents"), "doc_id"), copying.copying_texts(table(spark, sf_dir, "benchmark"), "item_id")
     return copying.longest_common_run(ours, theirs, 28).select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), "lcs")
 
 
+@register(
+    f"""WITH {TEXTS_SQL}, rg AS (SELECT id, unnest({GRAMS.format(t="t", n=8)}) AS g FROM o)
+SELECT og.id AS item_id, rg.id AS doc_id, floor(count(*) / any_value(size) * 1000000)::BIGINT AS millionths FROM (SELECT r.id, len(l) AS size, unnest(l) AS g FROM (SELECT id, {GRAMS.format(t="t", n=8)} AS l FROM r) r) og JOIN rg USING (g) GROUP BY ALL HAVING count(*) >= 0.44 * any_value(size)"""
+)
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items of which 44 in 100 different 8-grams or more are a document's: a set-similarity join with documents as references."""
+    ours, theirs = copying.copying_texts(table(spark, sf_dir, "benchmark"), "item_id"), copying.copying_texts(table(spark, sf_dir, "documents"), "doc_id")
+    return copying.similar_pairs(ours, theirs).select(F.col("output_id").alias("item_id"), F.col("ref_id").alias("doc_id"), F.floor(F.col("overlap") * 1000000).alias("millionths"))
+
+
 @register(
     f"""WITH {TEXTS_SQL}, ol AS (SELECT id, {GRAMS.format(t="t", n=8)} AS l FROM o), og AS (SELECT id, len(l) AS size, unnest(l) AS g FROM ol), rg AS (SELECT id, unnest({GRAMS.format(t="t", n=8)}) AS g FROM r)
 SELECT og.id AS doc_id, rg.id AS item_id, floor(count(*) / any_value(size) * 1000000)::BIGINT AS millionths FROM og JOIN rg USING (g) GROUP BY ALL"""
@@ -262,9 +272,12 @@ def ngram_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), F.floor(F.col("overlap") * 1000000).alias("millionths"))
 
 
-@register()
+RUNS_SQL = AUDIT_SQL.split("x AS (")[0].rstrip(",\n ") + "\nSELECT doc_id, item_id, lcs FROM l"
+
+
+@register(RUNS_SQL.replace("length(t) - 26", "length(t) - 6").replace(">= 28", ">= 8").replace("substring(t, i, 28)", "substring(t, i, 8)").replace("substring(t, j, 28)", "substring(t, j, 8)").replace("max(n) + 27", "max(n) + 7"))
 def longest_common_run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest common run of every pair that shares an 8-gram, by joins of n-grams."""
+    """The longest common run of every pair that shares an 8-gram, by suffix automata of the items."""
     ours, theirs = copying.copying_texts(table(spark, sf_dir, "documents"), "doc_id"), copying.copying_texts(table(spark, sf_dir, "benchmark"), "item_id")
     return copying.longest_common_run(ours, theirs).select(F.col("output_id").alias("doc_id"), F.col("ref_id").alias("item_id"), "lcs")
 
