@@ -35,52 +35,117 @@ def _costs(source: tuple, target: tuple) -> np.ndarray:
     return length + np.where(sign >> 1 == signs >> 1, 0.0, DIALOGUE_COST) + np.where((sign & 1) == (signs & 1), 0.0, END_COST)
 
 
-def align(source: list[str], target: list[str]) -> list[tuple[list[int], list[int], str, str, float, str]]:
-    """(source indices, target indices, texts, confidence, hash) of the matched groups, in order.
+def _with_skips(best: np.ndarray, how: np.ndarray, skip: float) -> None:
+    """Lets each cell of a row take the one before it for `skip` where that is less, as a walk from left to right would, to the last bit."""
+    pre, at = best.copy(), np.arange(len(best))
+    level = pre - skip * at
+    later = np.concatenate([[False], level[1:] > np.minimum.accumulate(level)[:-1]])
+    edges = np.flatnonzero(np.diff(np.concatenate([later, [False]]).astype(np.int8)))
+    for first, last in edges.reshape(-1, 2).tolist():  # runs of skips behind `first`
+        if last - first > 8:
+            best[first : last + 1] = np.add.accumulate(np.concatenate([best[first : first + 1], np.full(last - first, skip)]))
+    for _ in range(12):
+        step = best[:-1] + skip
+        less = step < pre[1:]
+        new = np.where(less, step, pre[1:])
+        if np.array_equal(new, best[1:]):
+            how[1:][less] = 4
+            return
+        best[1:] = new
+    best[:] = pre
+    for j in range(1, len(best)):
+        if best[j - 1] + skip < best[j]:
+            best[j], how[j] = best[j - 1] + skip, 4
+
+
+#: Cells of a table that is kept whole, a byte each; larger ones are halved.
+WHOLE_CELLS = 1 << 24
+
+
+class _Table:
+    """Least costs of monotone paths between cells of two texts' paragraphs; one byte for each cell that is kept remembers the move."""
+
+    def __init__(self, source: list[str], target: list[str]):
+        pair = lambda xs: [f"{a}\n{b}" for a, b in zip(xs, xs[1:], strict=False)]
+        self.one, self.two = _features(source), _features(pair(source))
+        self.ones, self.twos = _features(target), _features(pair(target))
+
+    def rows(self, i0: int, j0: int, i1: int, j1: int, base: float):
+        """(costs, moves) of each row from i0 to i1, columns j0 to j1, of paths that start in (i0, j0) with the cost `base`."""
+        width = j1 - j0 + 1
+        part = lambda x, low, high: (x[0][low:high], x[1][low:high])
+        ones, twos = part(self.ones, j0, j1), part(self.twos, j0, max(j1 - 1, j0))
+        above = [np.full(width, np.inf) for _ in range(2)]  # two rows above, one above
+        for i in range(i0, i1 + 1):
+            best, how = np.full(width, np.inf), np.full(width, -1, np.int8)
+            if i == i0:
+                best[0] = base
+            else:
+                offers = np.full((3, width), np.inf)
+                mine = (self.one[0][i - 1], self.one[1][i - 1])
+                if i > i0 + 1 and width > 1:
+                    offers[0, 1:] = above[0][:-1] + _costs((self.two[0][i - 2], self.two[1][i - 2]), ones) + MOVES[0][2]
+                if width > 2:
+                    offers[1, 2:] = above[1][:-2] + _costs(mine, twos) + MOVES[1][2]
+                if width > 1:
+                    offers[2, 1:] = above[1][:-1] + _costs(mine, ones)
+                for k in range(3):
+                    less = offers[k] < best
+                    best, how = np.where(less, offers[k], best), np.where(less, np.int8(k), how)
+                down = above[1] + MOVES[3][2]
+                less = down < best
+                best, how = np.where(less, down, best), np.where(less, np.int8(3), how)
+            _with_skips(best, how, MOVES[4][2])
+            above = [above[1], best]
+            yield best, how
+
+    def path(self, i0: int, j0: int, i1: int, j1: int, base: float) -> list[int]:
+        """Moves of the path of least cost from (i0, j0) to (i1, j1), ties by the order of MOVES from the end.
+
+        A table of over WHOLE_CELLS is read once with, for each cell of its lower half, the last cell of its path in the upper half; the path goes
+        through that of (i1, j1), and both parts are tables of their own, the second with the cost so far, so that all sums and ties are those
+        of the whole table. Memory is that of some rows and of one small table; the work is at most twice that of the whole table.
+        """
+        if (i1 - i0 + 1) * (j1 - j0 + 1) <= max(WHOLE_CELLS, 4 * (j1 - j0 + 1)):
+            moves = [how for _, how in self.rows(i0, j0, i1, j1, base)]
+            out, i, j = [], i1, j1
+            while (i, j) != (i0, j0):
+                k = int(moves[i - i0][j - j0])
+                out.append(k)
+                i, j = i - MOVES[k][0], j - MOVES[k][1]
+            return out[::-1]
+        middle, at = (i0 + i1) // 2, np.arange(j1 - j0 + 1)
+        kept: list[tuple] = []  # (row, costs) of the two rows above the cut
+        behind: list[np.ndarray] = []  # for the last two rows, the cell at the cut: column, and row as 0 or 1
+        for i, (best, how) in enumerate(self.rows(i0, j0, i1, j1, base), i0):
+            if i <= middle:
+                kept, cell = [*kept[-1:], best], 2 * at + 1
+                behind = [2 * at, cell]  # by then the row before is the first of the two
+                continue
+            before = np.concatenate([behind[0][:1], behind[0][:-1]]), np.concatenate([behind[1][:2], behind[1][:-2]])[: len(at)], np.concatenate([behind[1][:1], behind[1][:-1]])
+            cell = np.select([how == 0, how == 1, how == 2], before, behind[1])
+            runs = how == 4  # these take the cell of where their run of skips began
+            cell = cell[np.maximum.accumulate(np.where(runs, 0, at))]
+            behind = [behind[1], cell]
+        last = int(behind[1][-1])
+        row, column = middle - 1 + last % 2, last // 2
+        cost = float(kept[last % 2][column])
+        return self.path(i0, j0, row, j0 + column, base) + self.path(row, j0 + column, i1, j1, cost)
 
-    Costs come in rows of numpy; one byte for each cell remembers the move.
-    """
-    n, m = len(source), len(target)
-    pair = lambda xs: [f"{a}\n{b}" for a, b in zip(xs, xs[1:], strict=False)]
-    s1, s2, t1, t2 = (_features(x) for x in (source, pair(source), target, pair(target)))
-    move = np.full((n + 1, m + 1), -1, np.int8)
-    rows = [np.full(m + 1, np.inf) for _ in range(3)]  # two rows above, one above, this one
-    for i in range(n + 1):
-        two, one, _ = rows
-        best, how = np.full(m + 1, np.inf), np.full(m + 1, -1, np.int8)
-        if i == 0:
-            best[0] = 0.0
-        offers = np.full((3, m + 1), np.inf)
-        if i > 1 and m:
-            offers[0, 1:] = two[:-1] + (_costs((s2[0][i - 2], s2[1][i - 2]), t1)) + MOVES[0][2]
-        if i and m > 1:
-            offers[1, 2:] = one[:-2] + (_costs((s1[0][i - 1], s1[1][i - 1]), t2)) + MOVES[1][2]
-        if i and m:
-            offers[2, 1:] = one[:-1] + _costs((s1[0][i - 1], s1[1][i - 1]), t1)
-        for k in range(3):
-            less = offers[k] < best
-            best, how = np.where(less, offers[k], best), np.where(less, np.int8(k), how)
-        if i:
-            skip = one + MOVES[3][2]
-            less = skip < best
-            best, how = np.where(less, skip, best), np.where(less, np.int8(3), how)
-        for j in range(1, m + 1):  # along the row: each cell may take the one before it
-            step = best[j - 1] + MOVES[4][2]
-            if step < best[j]:
-                best[j], how[j] = step, 4
-        move[i] = how
-        rows = [one, best, two]
-    out, i, j = [], n, m
-    while i or j:
-        a, b, penalty = MOVES[move[i, j]]
-        i, j = i - a, j - b
+
+def align(source: list[str], target: list[str]) -> list[tuple[list[int], list[int], str, str, float, str]]:
+    """(source indices, target indices, texts, confidence, hash) of the matched groups, in order."""
+    out, i, j = [], 0, 0
+    for k in _Table(source, target).path(0, 0, len(source), len(target), 0.0):
+        a, b, penalty = MOVES[k]
         if a and b:
             x, y = "\n".join(source[i : i + a]), "\n".join(target[j : j + b])
             fx, fy = _features([x]), _features([y])
             cost = float(_costs((fx[0][0], fx[1][0]), fy)[0]) + penalty
             digest = hashlib.sha256(f"{x.strip()}\x1f{y.strip()}".encode()).hexdigest()
             out.append((list(range(i, i + a)), list(range(j, j + b)), x, y, max(0.0, min(1.0, math.exp(-cost))), digest))
-    return out[::-1]
+        i, j = i + a, j + b
+    return out
 
 
 ALIGNED = "pairing_id {kind}, group_no int, source_indices array<int>, target_indices array<int>, source_text string, target_text string, confidence double, content_hash string"
@@ -89,7 +154,7 @@ ALIGNED = "pairing_id {kind}, group_no int, source_indices array<int>, target_in
 def align_paragraphs(pairings: DataFrame) -> DataFrame:
     """Matched groups of pairings(pairing_id, source_paragraphs, target_paragraphs): moves 1:1, 1:2, 2:1; skips give no row.
 
-    A pairing is one row and one task's work at a time; rows are dealt out evenly, the largest first. Null arrays are empty, null paragraphs too.
+    A pairing is one row and one task's work at a time, in memory that grows with its paragraphs, not with their product; rows are dealt out evenly, the largest first. Null arrays are empty, null paragraphs too.
     """
     kind = pairings.schema["pairing_id"].dataType.simpleString()
 

@@ -174,10 +174,39 @@ def _pairings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy(F.col("conv_id").alias("pairing_id")).agg(side("user").alias("source_paragraphs"), side("assistant").alias("target_paragraphs"))
 
 
-@register()
+def _features_sql(text: str) -> str:
+    bare = f"trim({text}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    return f"""greatest(length(regexp_replace({text}, '\\s', '', 'g')), 1)::DOUBLE AS n, regexp_matches({bare}, '^[「『“"]')::INT AS opens, regexp_matches({bare}, '[」』”"]$')::INT AS closes, regexp_matches({bare}, '[。！？!?]$')::INT AS ends"""
+
+
+#: All monotone paths of a pairing, a move at a time; the one of least cost, ties by the order of moves from its end. Costs add up in the order of the path.
+PATHS_SQL = f"""WITH RECURSIVE turns AS (SELECT conv_id, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations WHERE role IN ('user', 'assistant')),
+c AS (SELECT conv_id, count(*) FILTER (role = 'user') AS n, count(*) FILTER (role = 'assistant') AS m FROM turns GROUP BY 1),
+one AS (SELECT conv_id, role, k, 1 AS size, text FROM turns UNION ALL SELECT a.conv_id, a.role, b.k, 2, a.text || chr(10) || b.text FROM turns a JOIN turns b ON a.conv_id = b.conv_id AND a.role = b.role AND b.k = a.k + 1),
+f AS (SELECT *, {_features_sql("text")} FROM one),
+g AS (SELECT s.conv_id, s.k AS i, t.k AS j, s.size AS a, t.size AS b, s.text AS x, t.text AS y,
+  least(abs(ln(t.n / greatest(s.n * 0.72, 1.0))), 2.5) + CASE WHEN (s.opens, s.closes) = (t.opens, t.closes) THEN 0.0 ELSE 0.28 END + CASE WHEN s.ends = t.ends THEN 0.0 ELSE 0.12 END AS cost
+  FROM f s JOIN f t ON s.conv_id = t.conv_id AND s.role = 'user' AND t.role = 'assistant' AND s.size + t.size < 4),
+moves AS (SELECT * FROM (VALUES (0, 2, 1, 0.22::DOUBLE), (1, 1, 2, 0.22::DOUBLE), (2, 1, 1, 0.0::DOUBLE), (3, 1, 0, 1.35::DOUBLE), (4, 0, 1, 1.35::DOUBLE)) AS v(move, a, b, penalty)),
+p AS (SELECT conv_id, n, m, 0 AS i, 0 AS j, 0.0::DOUBLE AS total, []::INT[] AS back FROM c
+  UNION ALL SELECT p.conv_id, n, m, p.i + v.a, p.j + v.b, total + coalesce(g.cost, 0.0) + v.penalty, list_prepend(v.move, back) FROM p JOIN moves v ON p.i + v.a <= n AND p.j + v.b <= m
+    LEFT JOIN g ON g.conv_id = p.conv_id AND g.i = p.i + v.a AND g.j = p.j + v.b AND g.a = v.a AND g.b = v.b),
+best AS (SELECT conv_id, list_reverse(arg_min(back, (total, back))) AS path FROM p WHERE i = n AND j = m GROUP BY 1),
+steps AS (SELECT conv_id, unnest(range(len(path))) AS k, path FROM best),
+placed AS (SELECT conv_id, k, path[k + 1] AS move, list_sum(list_transform(path[:k + 1], lambda q: CASE q WHEN 0 THEN 2 WHEN 4 THEN 0 ELSE 1 END))::INT AS i, list_sum(list_transform(path[:k + 1], lambda q: CASE q WHEN 1 THEN 2 WHEN 3 THEN 0 ELSE 1 END))::INT AS j FROM steps),
+groups AS (SELECT g.*, penalty, row_number() OVER (PARTITION BY g.conv_id ORDER BY q.k) - 1 AS group_no FROM placed q JOIN moves v USING (move) JOIN g ON g.conv_id = q.conv_id AND g.i = q.i AND g.j = q.j AND g.a = v.a AND g.b = v.b)
+SELECT conv_id AS pairing_id, group_no::INT AS group_no, CASE a WHEN 2 THEN (i - 2) || ',' || (i - 1) ELSE (i - 1)::VARCHAR END AS source_indices, CASE b WHEN 2 THEN (j - 2) || ',' || (j - 1) ELSE (j - 1)::VARCHAR END AS target_indices,
+  sha256(x || chr(31) || y) AS h, floor(exp(-(cost + penalty)) * 1000 + 1e-6)::BIGINT AS confidence_milli, sha256(trim(x, ' ' || chr(9) || chr(10) || chr(13)) || chr(31) || trim(y, ' ' || chr(9) || chr(10) || chr(13))) AS content_hash FROM groups"""
+
+
+@register(PATHS_SQL)
 def align_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns of each conversation against its assistant turns."""
-    return align.align_paragraphs(_pairings(spark, sf_dir))
+    found = align.align_paragraphs(_pairings(spark, sf_dir))
+    return found.select(
+        "pairing_id", "group_no", F.array_join("source_indices", ",").alias("source_indices"), F.array_join("target_indices", ",").alias("target_indices"),
+        F.sha2(F.concat_ws("\u001f", "source_text", "target_text"), 256).alias("h"), F.floor(F.col("confidence") * 1000 + 1e-6).alias("confidence_milli"), "content_hash",
+    )
 
 
 @register()

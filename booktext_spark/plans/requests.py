@@ -52,7 +52,7 @@ def build_translation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = _batches(spark, sf_dir)
     references = batches.select("batch_id", F.array(F.struct(F.lit("s").alias("source"), F.lit("t").alias("target"))).alias("pairs"))
     made = requests.build_translation_requests(batches, _blocks(spark, sf_dir), references, "zh-TW")
-    return made.select("batch_id", F.size("expected_ids").alias("n"), F.get_json_object("payload", "$.locale").alias("locale"), _listed("source").alias("texts"), F.get_json_object("payload", "$.reference_pairs[0].target").alias("reference"), F.contains("system", F.lit("Taiwan")).alias("told"))
+    return made.select("batch_id", F.size("expected_ids").alias("n"), F.get_json_object("payload", "$.locale").alias("locale"), _listed("source").alias("texts"), F.get_json_object("payload", "$.reference_pairs[0].target").alias("reference"), F.contains("system", F.lit("Traditional Chinese")).alias("told"))
 
 
 @register(BATCH_SQL + "SELECT conv_id || '/' || batch AS batch_id, count(*)::INT AS n, sha256(string_agg(conv_id || ':' || turn || chr(10) || text, chr(10) ORDER BY b.r)) AS texts, sha256(string_agg(conv_id || ':' || turn || chr(10) || 'draft of ' || text, chr(10) ORDER BY b.r)) AS drafts FROM b JOIN conversations USING (conv_id, turn) GROUP BY ALL")

@@ -44,6 +44,55 @@ def test_alignment_is_optimal():
         assert [x for g in groups for x in g[0]] == sorted(x for g in groups for x in g[0])
 
 
+def whole_table(source, target):
+    """Moves of the path of least cost, by a table of all cells; of equal costs the first move counts, at each cell."""
+    best, how = {(0, 0): 0.0}, {}
+    for i in range(len(source) + 1):
+        for j in range(len(target) + 1):
+            for k, (a, b, penalty) in enumerate(align.MOVES):
+                if (i - a, j - b) not in best:
+                    continue
+                cost = best[i - a, j - b]
+                if a and b:
+                    fx, fy = align._features(["\n".join(source[i - a : i])]), align._features(["\n".join(target[j - b : j])])
+                    cost += float(align._costs((fx[0][0], fx[1][0]), fy)[0])
+                cost += penalty
+                if (i, j) not in best or cost < best[i, j]:
+                    best[i, j], how[i, j] = cost, k
+    out, at = [], (len(source), len(target))
+    while at != (0, 0):
+        out.append(how[at])
+        a, b, _ = align.MOVES[how[at]]
+        at = at[0] - a, at[1] - b
+    return out[::-1]
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1 << 24])
+def test_halved_tables_give_the_path_of_the_whole_table(monkeypatch, cells):
+    monkeypatch.setattr(align, "WHOLE_CELLS", cells)
+    rng = random.Random(cells)
+    text = lambda: rng.choice(["「", ""]) + "x" * rng.choice([0, 1, 2, 8, 8, 8, 30, 100]) + rng.choice(["。", "」", "", ""])
+    for _ in range(60):
+        s, t = [text() for _ in range(rng.randrange(15))], [text() for _ in range(rng.choice([0, 1, 4, 9, 14, 30]))]
+        t = s if rng.random() < 0.3 else t
+        assert align._Table(s, t).path(0, 0, len(s), len(t), 0.0) == whole_table(s, t)
+
+
+def test_long_pairings_take_little_memory(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(align, "WHOLE_CELLS", 1 << 16)
+    rng = random.Random(8)
+    s, t = (["x" * rng.randrange(1, 60) + rng.choice(["。", ""]) for _ in range(n)] for n in (1500, 1600))
+    tracemalloc.start()
+    path = align._Table(s, t).path(0, 0, len(s), len(t), 0.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_500_000 < len(s) * len(t)
+    monkeypatch.setattr(align, "WHOLE_CELLS", 1 << 24)
+    assert path == align._Table(s, t).path(0, 0, len(s), len(t), 0.0)
+
+
 def test_alignment_of_dialogue(spark):
     df = spark.createDataFrame([("p", ["「明日も山に登ろうか」", "弟はうなずいた。"], ["“明天也去爬山吧。”", "弟弟点了点头。"]), ("q", [], ["x"]), ("r", None, None)], "pairing_id string, source_paragraphs array<string>, target_paragraphs array<string>")
     rows = align.align_paragraphs(df).orderBy("group_no").collect()
@@ -122,6 +171,37 @@ def test_batches(spark):
     assert [r.block_ids for r in got] == [["b0", "b1"], ["b2"], ["b3"], ["b4", "b5"]]
 
 
+@pytest.mark.parametrize("max_chars", [1, 7, 20, 100])
+def test_batches_of_sections_that_lie_in_many_ranges(spark, max_chars):
+    rng = random.Random(max_chars)
+    rows = [(s, o, f"{s}{o}", rng.choice([None, *("x" * n for n in (0, 0, 1, 2, 3, 5, 9, 12, 30))])) for s, n in ((None, 30), ("a", 1), ("b", 900), ("c", 60)) for o in range(n)]
+    want = {}
+    for s in {r[0] for r in rows}:
+        batch, used = -1, 0
+        for _, o, i, t in sorted((r for r in rows if r[0] == s), key=lambda r: r[1]):
+            n = len(t or "")
+            if batch < 0 or used + n > max_chars:
+                batch, used = batch + 1, 0
+            used += n
+            ids, _ = want.get((s, batch), ([], 0))
+            want[s, batch] = ([*ids, i], used)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "section_id string, ordinal int, stable_id string, source_text string").repartition(4)
+        got = requests.pack_batches(df, max_chars).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.section_id, r.batch_no): (list(r.block_ids), r.n_chars) for r in got} == want
+
+
+def test_instructions_are_the_callers_or_short_ones(spark):
+    one = spark.range(1)
+    assert one.select(requests.system_message("translate", "zh-TW", "My words.")).first()[0] == f"My words. {requests.ANSWER_RULE}"
+    assert "Simplified Chinese" in one.select(requests.system_message("review", "zh-CN")).first()[0]
+    with pytest.raises(ValueError):
+        requests.system_message("review", "en")
+
+
 GOOD = '{"translations":[{"block_id":"a","text":"x"},{"block_id":"b","text":""}]}'
 
 
