@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,8 @@ from booktext_spark.llm.common import cut, stored
 SAMPLE = 20_000
 #: Queries that are scored together, and those that are broadcast at once.
 QUERY_BLOCK, QUERIES_AT_ONCE = 512, 8192
+#: Vectors of one length that are compared with each other without codes.
+FEW = 2048
 
 
 def _smallest(cost: np.ndarray, number: int, block: int = 16) -> np.ndarray:
@@ -54,6 +57,10 @@ class Codebooks:
         rows = np.arange(n)
         return codes[rows, at], (sums[rows, at] ** 2).sum(-1)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The sums that codes stand for."""
+        return sum(book[codes[:, m]] for m, book in enumerate(self.books))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Dot products of queries with all entries: (queries, m, k)."""
         return np.einsum("qd,mkd->qmk", queries, self.books, optimize=True).astype(np.float32)
@@ -130,7 +137,7 @@ def _first_of_equal(same: np.ndarray, number: int) -> np.ndarray:
 
 
 class Best:
-    """The `keep` rows of largest lookup score of each query so far, ties to the smaller id.
+    """The `keep` rows of largest lookup score of each query so far, ties to the smaller id, then row.
 
     Of rows with one vector the `copies` of the smallest ids are kept: no other of them can be among as many neighbours.
     """
@@ -138,47 +145,78 @@ class Best:
     def __init__(self, queries: int, keep: int, copies: int):
         self.keep, self.copies = keep, copies
         self.scores = np.full((queries, 0), -np.inf, np.float32)
-        self.ids = np.zeros((queries, 0), np.int64)
-        self.same = np.zeros((queries, 0), np.int64)
+        self.ids, self.rows, self.same = (np.zeros((queries, 0), np.int64) for _ in range(3))
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, same: np.ndarray) -> None:
-        """scores (queries, rows) of rows with these ids and vector keys."""
+    def add(self, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, same: np.ndarray) -> None:
+        """scores (queries, rows) of rows with these ids, row numbers and vector keys."""
         if self.scores.shape[1] == self.keep:  # what is under the worst so far cannot enter
             columns = np.flatnonzero((scores >= self.scores[:, -1:]).any(0))
-            scores, ids, same = scores[:, columns], ids[columns], same[columns]
+            scores, ids, rows, same = scores[:, columns], ids[columns], rows[columns], same[columns]
         if scores.shape[1] > self.keep:
             some = np.argpartition(-scores, self.keep - 1, axis=1)[:, : self.keep]
         else:
             some = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
         scores = np.concatenate([self.scores, np.take_along_axis(scores, some, 1)], 1)
-        ids, same = np.concatenate([self.ids, ids[some]], 1), np.concatenate([self.same, same[some]], 1)
-        order = np.lexsort((ids, -scores), axis=-1)
-        scores, ids, same = (np.take_along_axis(x, order, 1) for x in (scores, ids, same))
+        ids, rows, same = (np.concatenate([old, new[some]], 1) for old, new in ((self.ids, ids), (self.rows, rows), (self.same, same)))
+        order = np.lexsort((rows, ids, -scores), axis=-1)
+        scores, ids, rows, same = (np.take_along_axis(x, order, 1) for x in (scores, ids, rows, same))
         scores = np.where(_first_of_equal(same, self.copies), scores, -np.inf)
         order = np.argsort(-scores, axis=1, kind="stable")[:, : self.keep]
-        self.scores, self.ids, self.same = (np.take_along_axis(x, order, 1) for x in (scores, ids, same))
+        self.scores, self.ids, self.rows, self.same = (np.take_along_axis(x, order, 1) for x in (scores, ids, rows, same))
+
 
+FOUND = "query_id bigint, rank int, vec_id bigint, score double"
 
-def search(vectors: DataFrame, query_every: int = 50, k: int = 5, keep: int = 400, books: int = 16, entries: int = 256, beam: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+
+def search(vectors: DataFrame, query_every: int = 50, k: int = 5, keep: int = 400, books: int = 16, entries: int = 256, beam: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of largest cosine found for each row whose id is divisible by query_every.
 
     Unit vectors are coded as sums of one entry of each codebook. Each task scores its rows for blocks of queries by
     table lookups alone (dot product over the stored norm of the sum) and keeps the `keep` best of each query; these
     meet, the `keep` best of all tasks stay for each query, and only they are scored exactly. More codebooks or a larger keep
-    find more; the README has the recall that was measured. All rows are candidates but
-    those of the query's id. Ties go to the smaller id. Rows of another length than the most frequent one
-    have no cosine with the rest and take no part. Rows that repeat an id count once, by the least vector. Empty tables give no rows.
+    find more; the README has the recall that was measured. exact: a second pass over the codes scores every row whose lookup product and
+    coding error could beat the k-th found, so that the result is that of brute force, at a cost that grows with the errors.
+
+    Every row but the query's own is a candidate: rows that repeat an id are rows of their own, as candidates and as queries. Vectors meet those of their
+    length only; where another length is more frequent, FEW or fewer of one length are compared without codes. Ties go to the smaller id. Empty tables give no rows.
     """
     spark = vectors.sparkSession
-    rows = usable_vectors(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = stored(rows, "ann-rows")
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if lengths is None:
-        return spark.createDataFrame([], schema)
-    rows, total = rows.where(F.size("v") == lengths.d), lengths["count"]
+    rows = stored(usable_vectors(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()).withColumn("d", F.size("v")), "ann-rows")
+    lengths = {r.d: r["count"] for r in rows.groupBy("d").count().collect()}  # a row for each length
+    if not lengths:
+        return spark.createDataFrame([], FOUND)
+    most = max(lengths, key=lambda d: (lengths[d], -d))
+    many = sorted(d for d, n in lengths.items() if n > FEW or d == most)
+    parts = [_coded_search(rows.where(F.col("d") == d), lengths[d], query_every, k, keep, books, entries, beam, exact) for d in many]
+    if len(many) < len(lengths):
+        parts.append(_compared(rows.where(~F.col("d").isin(many)), query_every, k))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _compared(rows: DataFrame, query_every: int, k: int) -> DataFrame:
+    """The nearest rows among those of each length, of which there are few, by all cosines."""
+
+    def run(group):
+        import pyarrow as pa
+
+        ids, row = group.column("vec_id").to_numpy(), group.column("row").to_numpy()
+        unit = _unit(_matrix(group.column("v").combine_chunks()))
+        asked = np.flatnonzero(ids % query_every == 0)
+        score = unit[asked] @ unit.T
+        score[np.arange(len(asked)), asked] = -np.inf
+        order = np.lexsort((np.broadcast_to(row, score.shape), np.broadcast_to(ids, score.shape), -score), axis=-1)[:, : min(k, len(ids) - 1)]
+        query = np.repeat(ids[asked], order.shape[1])
+        rank = np.tile(np.arange(1, order.shape[1] + 1), len(asked)).astype(np.int32)
+        return pa.table([pa.array(query), pa.array(rank), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], names=["query_id", "rank", "vec_id", "score"])
+
+    return rows.groupBy("d").applyInArrow(run, FOUND)
+
+
+def _coded_search(rows: DataFrame, total: int, query_every: int, k: int, keep: int, books: int, entries: int, beam: int, exact: bool) -> DataFrame:
+    """search among rows(vec_id, v, row) of one length."""
+    spark = rows.sparkSession
     share = min(1.0, SAMPLE / total)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("v").toArrow().column(0).combine_chunks()
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", "row"), F.lit(1 << 20)) < max(1, int(share * (1 << 20)))).select("v").toArrow().column(0).combine_chunks()
     if not len(sample):
         sample = rows.select("v").limit(1).toArrow().column(0).combine_chunks()
     ship = spark.sparkContext.broadcast(pickle.dumps(fit_codebooks(_unit(_matrix(sample)), books, entries)))
@@ -190,73 +228,108 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, keep: int = 40
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                codes, norms = fitted.encode(_unit(_matrix(part.column(2))).astype(np.float32), beam)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt(np.maximum(norms, 1e-12)), pa.float32())], names=["vec_id", "same", "codes", "norm"])
-
-    coded = stored(rows.select("vec_id", F.xxhash64("v").alias("same"), "v").mapInArrow(code, "vec_id bigint, same bigint, codes binary, norm float"), "ann-codes")
-    queries = cut(rows.where(F.col("vec_id") % query_every == 0))
-    number = queries.count()
-    out = None
-    parts = -(-number // QUERIES_AT_ONCE)
+                unit = _unit(_matrix(part.column(3))).astype(np.float32)
+                codes, norms = fitted.encode(unit, beam)
+                off = np.linalg.norm(unit - fitted.decode(codes), axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt(np.maximum(norms, 1e-12)), pa.float32()), pa.array(off, pa.float32())], names=["vec_id", "row", "same", "codes", "norm", "off"])
+
+    kind = "vec_id bigint, row bigint, same bigint, codes binary, norm float, off float"
+    coded = stored(rows.select("vec_id", "row", F.xxhash64("v").alias("same"), "v").mapInArrow(code, kind), "ann-codes")
+    queries = cut(rows.where(F.col("vec_id") % query_every == 0).select("vec_id", "row", "v"))
+    parts, out = -(-queries.count() // QUERIES_AT_ONCE), None
     for block in range(parts):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == block).toArrow()
+        mine = queries.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == block).toArrow()
         if not mine.num_rows:
             continue
-        asked = spark.sparkContext.broadcast(pickle.dumps((mine.column(0).to_numpy(), _unit(_matrix(mine.column(1).combine_chunks())))))
+        asked = spark.sparkContext.broadcast(pickle.dumps((mine.column(0).to_numpy(), mine.column(1).to_numpy(), _unit(_matrix(mine.column(2).combine_chunks())))))
         best = _exact(_shortlist(coded, ship, asked, k, keep), rows, asked, k)
+        if exact:
+            best = cut(best)
+            reached = {r.query_row: r.score for r in best.groupBy("query_row").agg(F.when(F.count("*") == k, F.min("score")).alias("score")).collect()}  # a row for each query
+            best = _exact(_reachable(coded, ship, asked, reached), rows, asked, k)
         out = best if out is None else out.unionByName(best)
-    return spark.createDataFrame([], schema) if out is None else out
+    return spark.createDataFrame([], FOUND) if out is None else out.select("query_id", "rank", "vec_id", "score")
+
+
+def _products(fitted: Codebooks, table: np.ndarray, part) -> np.ndarray:
+    """Dot products (queries, rows) of a block's queries with the sums that rows' codes stand for, by lookups."""
+    codes = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+    out = np.zeros((len(table), len(codes)), np.float32)
+    for m in range(codes.shape[1]):
+        out += table[:, m, :][:, codes[:, m]]
+    return out
 
 
 def _shortlist(coded: DataFrame, ship, asked, k: int, keep: int) -> DataFrame:
-    """query_id, vec_id: the `keep` rows of largest lookup score for each query, of all tasks."""
+    """query_row, row: the `keep` rows of largest lookup score for each query, of all tasks."""
 
     def run(batches):
         import pyarrow as pa
 
         fitted: Codebooks = pickle.loads(ship.value)
-        ids, unit = pickle.loads(asked.value)
+        ids, numbers, unit = pickle.loads(asked.value)
         blocks = [slice(at, at + QUERY_BLOCK) for at in range(0, len(ids), QUERY_BLOCK)]
         tables = [fitted.tables(unit[b].astype(np.float32)) for b in blocks]
         best = [Best(len(ids[b]), keep + 1, k + 1) for b in blocks]  # the query itself may be one
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                own, same = part.column(0).to_numpy(), part.column(1).to_numpy()
-                first = np.argsort(own, kind="stable")
+                own, number, same = (part.column(i).to_numpy() for i in range(3))
+                first = np.lexsort((number, own))
                 first = first[_first_of_equal(same[first], k + 1)]
-                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(own), -1)[first]
-                norms, own, same = part.column(3).to_numpy()[first], own[first], same[first]
+                part = part.take(pa.array(first))
+                own, number, same, norms = (part.column(i).to_numpy() for i in (0, 1, 2, 4))
                 for table, top in zip(tables, best, strict=True):
-                    guess = np.zeros((len(table), len(own)), np.float32)
-                    for m in range(codes.shape[1]):
-                        guess += table[:, m, :][:, codes[:, m]]
-                    top.add(guess / norms, own, same)
+                    top.add(_products(fitted, table, part) / norms, own, number, same)
         for b, top in zip(blocks, best, strict=True):
-            rows, columns = np.nonzero(np.isfinite(top.scores) & (top.ids != ids[b][:, None]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[b][rows]), pa.array(top.ids[rows, columns]), pa.array(top.same[rows, columns]), pa.array(top.scores[rows, columns])], names=["query_id", "vec_id", "same", "guess"])
+            rows, columns = np.nonzero(np.isfinite(top.scores) & (top.rows != numbers[b][:, None]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (numbers[b][rows], top.ids[rows, columns], top.rows[rows, columns], top.same[rows, columns], top.scores[rows, columns])], names=["query_row", "vec_id", "row", "same", "guess"])
 
-    found = coded.mapInArrow(run, "query_id bigint, vec_id bigint, same bigint, guess float")
-    copies = found.withColumn("copy", F.row_number().over(Window.partitionBy("query_id", "same").orderBy("vec_id"))).where(F.col("copy") <= k)
-    order = Window.partitionBy("query_id").orderBy(F.desc("guess"), "vec_id")
-    return copies.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).select("query_id", "vec_id")
+    found = coded.mapInArrow(run, "query_row bigint, vec_id bigint, row bigint, same bigint, guess float")
+    copies = found.withColumn("copy", F.row_number().over(Window.partitionBy("query_row", "same").orderBy("vec_id", "row"))).where(F.col("copy") <= k)
+    order = Window.partitionBy("query_row").orderBy(F.desc("guess"), "vec_id", "row")
+    return copies.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).select("query_row", "row")
 
 
-def _exact(pairs: DataFrame, rows: DataFrame, asked, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest of the pairs, by cosines of the vectors themselves."""
+def _reachable(coded: DataFrame, ship, asked, reached: dict[int, float | None]) -> DataFrame:
+    """query_row, row of all rows whose cosine may reach the query's score: a unit query's product with what a row's codes leave out is at most its length."""
 
     def run(batches):
         import pyarrow as pa
 
-        ids, unit = pickle.loads(asked.value)
-        order = np.argsort(ids)
+        fitted: Codebooks = pickle.loads(ship.value)
+        _, numbers, unit = pickle.loads(asked.value)
+        least = np.array([-2.0 if reached.get(n) is None else reached[n] for n in numbers.tolist()], np.float32)
+        blocks = [slice(at, at + QUERY_BLOCK) for at in range(0, len(numbers), QUERY_BLOCK)]
+        tables = [fitted.tables(unit[b].astype(np.float32)) for b in blocks]
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                place = order[np.searchsorted(ids, part.column(0).to_numpy(), sorter=order)]
-                score = np.einsum("nd,nd->n", _unit(_matrix(part.column(2))), unit[place])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
+                number, off = part.column(1).to_numpy(), part.column(5).to_numpy()
+                for b, table in zip(blocks, tables, strict=True):
+                    near = (_products(fitted, table, part) + off + 1e-4 >= least[b][:, None]) & (number != numbers[b][:, None])
+                    rows, columns = np.nonzero(near)
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[b][rows]), pa.array(number[columns])], names=["query_row", "row"])
+
+    return coded.mapInArrow(run, "query_row bigint, row bigint")
+
+
+def _exact(pairs: DataFrame, rows: DataFrame, asked, k: int) -> DataFrame:
+    """query_row, query_id, rank, vec_id, score of the k nearest of the pairs, by cosines of the vectors themselves."""
 
-    scored = stored(pairs, "ann-pairs").join(rows, "vec_id").select("query_id", "vec_id", "v").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def run(batches):
+        import pyarrow as pa
+
+        ids, numbers, unit = pickle.loads(asked.value)
+        order = np.argsort(numbers)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                place = order[np.searchsorted(numbers, part.column(0).to_numpy(), sorter=order)]
+                score = np.einsum("nd,nd->n", _unit(_matrix(part.column(3))), unit[place])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids[place]), part.column(1), part.column(2), pa.array(score)], names=["query_row", "query_id", "vec_id", "row", "score"])
+
+    joined = stored(pairs, "ann-pairs").join(rows, "row").select("query_row", "vec_id", "row", "v")
+    scored = joined.mapInArrow(run, "query_row bigint, query_id bigint, vec_id bigint, row bigint, score double")
+    nearest = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    return scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")

@@ -685,6 +685,36 @@ def test_copies_of_a_vector_go_by_id(spark):
     assert [r.vec_id for r in got] == [1, 3, 5, 7, 9]
 
 
+def plain_neighbours(rows, every, k):
+    """Sorted (query_id, rank, vec_id, score) of all rows of equal length, each but the query's own."""
+    out = []
+    for q, (i, v) in enumerate(rows):
+        if i % every == 0:
+            near = sorted((-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 12), j) for r, (j, w) in enumerate(rows) if r != q and len(w) == len(v))
+            out += [(i, rank, j, round(-s, 8)) for rank, (s, j) in enumerate(near[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("few", [2048, 30])
+def test_repeated_ids_and_lengths_of_their_own(spark, monkeypatch, few):
+    monkeypatch.setattr(ann, "FEW", few)
+    rng = np.random.default_rng(8)
+    rows = [(int(i), rng.normal(size=d).tolist()) for d, n in ((6, 300), (3, 60), (2, 9), (1, 1)) for i in rng.integers(0, 90, n)]
+    rows += [rows[0]] * 2 + [(50, [1.0, 2.0, 3.0])] * 3 + [(50, [3.0, 1.0, 2.0]), (51, [2.0, 4.0, 6.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = ann.search(df, 50, 5, keep=300, exact=True).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 8)) for r in got) == plain_neighbours(rows, 50, 5)
+
+
+def test_the_exact_way_finds_what_a_short_list_misses(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(2500)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = {(q, v) for q, _, v, _ in plain_neighbours(rows, 100, 5)}
+    found = [{(r.query_id, r.vec_id) for r in ann.search(df, 100, 5, keep=6, books=2, entries=16, exact=way).collect()} for way in (False, True)]
+    assert len(found[0] & want) < len(want) == len(found[1] & want) == len(found[1])
+
+
 def test_the_shortlist_is_that_of_all_lookup_scores():
     rng = np.random.default_rng(5)
     scores = rng.integers(0, 60, (7, 400)).astype(np.float32)
@@ -694,7 +724,7 @@ def test_the_shortlist_is_that_of_all_lookup_scores():
     ids = rng.permutation(400)
     best = ann.Best(7, 25, 3)
     for at in range(0, 400, 40):
-        best.add(scores[:, at : at + 40], ids[at : at + 40], same[at : at + 40])
+        best.add(scores[:, at : at + 40], ids[at : at + 40], ids[at : at + 40], same[at : at + 40])
     for q in range(7):
         seen, want = Counter(), []
         for j in np.lexsort((ids, -scores[q])):
