@@ -16,14 +16,32 @@ from pyspark.sql import functions as F
 
 from booktext_spark.llm.common import stored
 
-#: Letters of other scripts that look like Latin ones.
-HOMOGLYPHS = dict(
-    zip(
-        "аеорсухіјѕһԁԛԝвкмнтαενορτυχικ",
-        "aeopcyxijshdqwbkmhtaevoptuxik",
-        strict=True,
+#: Letters of other scripts that look like Latin ones: Cyrillic, Greek, Armenian, Cherokee and others, in lower case.
+HOMOGLYPHS = {
+    look.casefold(): letter
+    for looks, letters in (
+        ("аеорсухіјѕһԁԛԝвкмнтгпѵүӏґєз", "aeopcyxijshdqwbkmhtrnvyirez"),
+        ("αενορτυχικβγδηλμπωϲϳθ", "aevoptuxikbydnlmnwcjq"),
+        ("ոսցզհաօքեյտղռկ", "nugqhaopejunnl"),
+        ("ꭰꭱꭺꭼꮃꮇꮋꮍꮐꮒꮓꮖꮟꮢꮤꮩꮪꮮꮯꮲꮳꮴꮶ", "dragwmhyghzibrsvslcpvzk"),
+        ("ⲁⲃⲉⲓⲕⲙⲛⲟⲣⲥⲧⲩⲭⲏ", "abeikmnopctyxh"),
+        ("ıȷꞁʟᴏ", "ijllo"),
     )
-)
+    for look, letter in zip(looks, letters, strict=True)
+}
+#: A letter of Latin kind by its Unicode name: what stands behind LETTER, styles left out, and before WITH. The rule takes small capitals, strokes and hooks, turned and
+#: open letters, letters in circles, squares and brackets, and regional signs, several hundred in all.
+LATIN_NAME = re.compile(r"(?:LATIN|REGIONAL INDICATOR SYMBOL|NEGATIVE|SQUARED|CIRCLED|PARENTHESIZED|MODIFIER|TAG).*? (?:LETTER|CAPITAL|SMALL)(?: (?:SMALL|CAPITAL|DOTLESS|TURNED|REVERSED|INVERTED|OPEN|LONG|BARRED|SCRIPT|INSULAR|SIDEWAYS|BOTTOM|TOP|HALF))* ([A-Z])(?: WITH .+)?")
+
+
+def looks_like(c: str) -> str:
+    """The Latin letter that a sign looks like, by the list or by its name, else the sign."""
+    if c in HOMOGLYPHS or c.isascii():
+        return HOMOGLYPHS.get(c, c)
+    found = LATIN_NAME.fullmatch(unicodedata.name(c, ""))
+    return found[1].lower() if found else c
+
+
 #: Digits that stand for letters, and signs that do where a letter follows.
 SUBSTITUTES = dict(zip("013457", "oieast", strict=True))
 SIGNS = dict(zip("@$!|", "asii", strict=True))
@@ -32,6 +50,9 @@ SIGN = re.compile(r"[@$!|](?=[^\W\d_])")
 MERGED = {"l": "i"}
 
 
+#: Letters by which prefixes grow in one pass.
+BAND = 24
+
 #: Signs that are not seen, in code points.
 UNSEEN = {0xAD, 0x200B, 0x200C, 0x200D, 0xFEFF}
 
@@ -43,7 +64,7 @@ class _Fold(dict):
         out = ""
         for c in unicodedata.normalize("NFKD", chr(code)).casefold():
             if not unicodedata.combining(c) and ord(c) not in UNSEEN:
-                c = SUBSTITUTES.get(c, HOMOGLYPHS.get(c, c))
+                c = SUBSTITUTES.get(c) or looks_like(c)
                 out += MERGED.get(c, c) if c.isalpha() else " "
         self[code] = out
         return out
@@ -129,7 +150,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return w
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 60_000, stem: int = 4, longest: int = 24, share: float = 0.01, weight: float = 3.0, terms: int = 4000, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 60_000, stem: int = 4, longest: int | None = None, share: float = 0.01, weight: float = 3.0, terms: int | None = None, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learns terms, weights, exception phrases and the score's scale from labelled rows.
 
     At most about `sample` labelled rows are used, chosen by hash, equal texts once; an id or text with several labels is
@@ -137,8 +158,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 60_000, stem
     words, from `stem` letters on, that occur in `share` of the toxic rows or more. A term's weight is its
     log odds; terms below `weight` go, as do stems that a longer one replaces at the same frequency and
     extensions that add no weight to their stem. Bigrams of words that hold a term but were seen in
-    several clean rows and no toxic one become exceptions. The `terms` of largest weight times frequency are kept, a bound
-    on the lexicon; prefixes end at `longest` letters, where stems of any language have parted. Null labels and texts
+    several clean rows and no toxic one become exceptions. Prefixes of any length are candidates: they are counted BAND letters at a time, longer ones of the words
+    whose shorter one was frequent only. longest and terms, if given, end prefixes at so many letters and keep the terms of largest weight times frequency. Null labels and texts
     teach nothing; without labels the lexicon has no term.
     """
     spark = docs.sparkSession
@@ -151,26 +172,18 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 60_000, stem
     # about `sample` labels at most: a broadcast of known size
     known = stored(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(toxic), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
 
-    def prefixes(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            counts: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                here = set()
-                for w in set(fold(text).split()):
-                    here.update(w[:n] for n in range(stem, min(len(w), longest) + 1))
-                    if 2 < len(w) < stem:
-                        here.add(f"{w} ")
-                counts.update(here)
-            yield pa.RecordBatch.from_pydict({"term": list(counts), "n": pa.array(counts.values(), pa.int64())})
-
     positive = known.where("toxic = 1").select("text")
     n_pos = known.where("toxic = 1").count()
     n_neg = known.where("toxic = 0").count()
     least = max(5, math.ceil(share * n_pos))
-    counted = positive.mapInArrow(prefixes, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    candidates = {r.term: r.n for r in counted.collect()}  # at most longest / share for each toxic row's mean number of words
+    candidates: dict[str, int] = {}
+    low, grown = stem, None
+    while grown is None or grown:
+        high = low + BAND - 1 if longest is None else min(low + BAND - 1, longest)
+        found = _counted_prefixes(positive, stem, low, high, grown, least)  # at most BAND / share for each toxic row's mean number of words
+        candidates |= found
+        grown = {t for t in found if len(t) == high and t[-1] != " "} if longest is None or high < longest else set()
+        low = high + 1
 
     ship = spark.sparkContext.broadcast(pickle.dumps(set(candidates)))
 
@@ -178,12 +191,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 60_000, stem
         import pyarrow as pa
 
         wanted = pickle.loads(ship.value)
+        deepest = max(map(len, wanted), default=0)
         for batch in batches:
             counts: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 here = set()
                 for w in set(fold(text).split()):
-                    here.update(p for n in range(stem, min(len(w), longest) + 1) if (p := w[:n]) in wanted)
+                    here.update(p for n in range(stem, min(len(w), deepest) + 1) if (p := w[:n]) in wanted)
                     if len(w) < stem and f"{w} " in wanted:
                         here.add(f"{w} ")
                 counts.update(here)
@@ -214,6 +228,33 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 60_000, stem
     return lexicon
 
 
+def _counted_prefixes(rows: DataFrame, stem: int, low: int, high: int, grown: set[str] | None, least: int) -> dict[str, int]:
+    """Rows of text for each prefix of `low` to `high` letters of their words, from `least` rows on; of words with a prefix in `grown` where that is given.
+
+    Words of fewer letters than a stem, but more than two, count whole, with a space behind.
+    """
+    ship = rows.sparkSession.sparkContext.broadcast(grown)
+
+    def prefixes(batches):
+        import pyarrow as pa
+
+        start = ship.value
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                here = set()
+                for w in set(fold(text).split()):
+                    if start is None or w[: low - 1] in start:
+                        here.update(w[:n] for n in range(low, min(len(w), high) + 1))
+                    if start is None and 2 < len(w) < stem:
+                        here.add(f"{w} ")
+                counts.update(here)
+            yield pa.RecordBatch.from_pydict({"term": list(counts), "n": pa.array(counts.values(), pa.int64())})
+
+    counted = rows.mapInArrow(prefixes, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return {r.term: r.n for r in counted.collect()}
+
+
 def _exceptions(known: DataFrame, lexicon: Lexicon, least: int = 5) -> list[str]:
     """Pairs of words around a term that only clean rows have."""
     ship = known.sparkSession.sparkContext.broadcast(pickle.dumps(lexicon))

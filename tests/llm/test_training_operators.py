@@ -140,6 +140,28 @@ def test_labels_that_differ_for_equal_texts(spark):
     assert learnt[0] == learnt[1]
 
 
+def test_look_alikes_by_list_and_by_name():
+    for word in ("ѕсυm", "sсum", "ꮪcum", "ⓢⓒⓤⓜ", "🅂🄲🅄🄼", "🇸🇨🇺🇲", "ꜱᴄᴜᴍ", "şçũm", "5cum", "$cum", "ѕ\u200bcum", "ＳＣＵＭ", "𝓼𝓬𝓾𝓶", "SCUM"):
+        assert toxicity.fold(word).replace(" ", "") == "scum", word
+    assert toxicity.fold("ŁØĐ ħ") == " iod h "
+    assert toxicity.fold("þ 漢") == " þ 漢 "
+
+
+def test_terms_of_any_length_and_number_unless_told(spark):
+    """Words that part from clean ones far behind their first 24 letters, and more terms than any list would hold."""
+    long = "abcdefghij" * 6
+    bad = [f"{long}{'xy' * 20} {' '.join(f'zz{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}q' for k in range(20))}" for i in range(60)]
+    good = [f"{long}{'pq' * 20} fine words {i % 7}" for i in range(60)]
+    docs = spark.createDataFrame([(i, f"{t} n{i}") for i, t in enumerate(bad + good)], DOCS)
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id bigint, toxic int")
+    learnt = toxicity.learn_lexicon(docs, labels)
+    assert any(len(t) > 60 and t.startswith(f"{long}x") for t in learnt.terms)
+    assert all(len(t) <= 24 for t in toxicity.learn_lexicon(docs, labels, longest=24).terms)
+    assert len(toxicity.learn_lexicon(docs, labels, terms=1).terms) == 1
+    scores = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(docs, learnt).collect()}
+    assert min(scores[i] for i in range(60)) > max(scores[i] for i in range(60, 120))
+
+
 # 3: packing
 
 
