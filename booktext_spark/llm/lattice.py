@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -269,7 +270,7 @@ def score_texts(docs: DataFrame, vocabulary: str, held_out: F.Column, id_col: st
     weights are fitted to the training words and their counts by `rounds` of expectation maximisation, and of the end,
     which has its share of the training tokens (one in 100 without any). blend_score smooths
     the token counts by that probability, (c + a * p) / (N + a). Nothing is sampled. The most
-    frequent HEAD words are broadcast, all others are joined by hash. Repeated rows are scored each; without training rows
+    frequent HEAD words are broadcast, all others are joined by two hashes. Repeated rows are scored each; without training rows
     every count is 0; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -331,21 +332,24 @@ def score_texts(docs: DataFrame, vocabulary: str, held_out: F.Column, id_col: st
                 found = space_words(text)
                 places = np.fromiter(map(place.__getitem__, found), np.int64, len(found))
                 k, b, s, x = (values[:, places].sum(1) + of_end).tolist()
-                rest = [xxhash.xxh64_intdigest(found[i], 42) for i in np.flatnonzero(places < 0)]
-                out.append((at, len(found) + 1, round(k), b, s, x, np.array(rest, np.uint64).view(np.int64)))
+                rest = [found[i] for i in np.flatnonzero(places < 0)]
+                names = np.array([xxhash.xxh64_intdigest(w, 42) for w in rest], np.uint64).view(np.int64)
+                out.append((at, len(found) + 1, round(k), b, s, x, names, np.array([zlib.crc32(w) for w in rest], np.int64)))
                 at += 1
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "lattice", "blend", "rest"])
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "lattice", "blend", "rest", "checks"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    part = stored(rows.select("doc_id", "text", "held_out").mapInArrow(partial, f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base double, lattice double, blend double, rest array<bigint>"), "lm-rows")
-    tail = part.select("row", F.explode("rest").alias("hash")).join(weighed.select(F.xxhash64("word").alias("hash"), "n_train", "log_lattice"), "hash")
+    part = stored(rows.select("doc_id", "text", "held_out").mapInArrow(partial, f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base double, lattice double, blend double, rest array<bigint>, checks array<bigint>"), "lm-rows")
+    # words by a hash of 64 bits and a checksum of 32, which do not meet by chance among any number of words that can be stored
+    wanted = part.select("row", F.explode(F.arrays_zip("rest", "checks")).alias("w")).select("row", F.col("w.rest").alias("hash"), F.col("w.checks").alias("check"))
+    tail = wanted.join(weighed.select(F.xxhash64("word").alias("hash"), F.crc32("word").alias("check"), "n_train", "log_lattice"), ["hash", "check"])
     c, x = F.col("n_train"), F.col("log_lattice")
     blend = F.when(c > 0, F.log10((c + a * F.exp(x)) / (n + a))).otherwise((math.log(a / (n + a)) + x) / LOG10)
     sums = tail.groupBy("row").agg(F.sum((c > 0).cast("bigint")).alias("k"), F.sum(F.log10(c + 1) - base_log).alias("b"), F.sum(x / LOG10).alias("x"), F.sum(blend).alias("s"))
     plus = lambda one, other: F.col(one) + F.coalesce(F.col(other), F.lit(0))
-    return part.drop("rest").join(sums, "row", "left").select(
+    return part.drop("rest", "checks").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
         plus("base", "b").alias("base_score"), plus("lattice", "x").alias("score"), plus("blend", "s").alias("blend_score"),
     )

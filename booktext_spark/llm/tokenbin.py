@@ -137,8 +137,8 @@ def _files(rows: DataFrame, file_bytes: int) -> int:
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int | None = 1, files: int | None = None, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 128 << 20, memory: int = 160 << 20, specials: bool = True) -> DataFrame:
     """Encodes every text and writes the ids, in ascending doc_id order, into `files` files.
 
-    Where `files` is None, there is a file for each `file_bytes` of text, so that files keep their size as the
-    corpus grows. The order is that of a range partition by doc_id (nulls first, ties by text). Ids take the fewest
+    Where `files` is None, there is a task for each `file_bytes` of text, so that files keep their size as the corpus grows; a task begins a
+    new file where the next text would pass `file_bytes` characters, as ranges of ids can hold very different amounts. The order is that of a range partition by doc_id (nulls first, ties by text). Ids take the fewest
     bits that hold the vocabulary. A task writes under a name of its own and renames at its end, so a
     repeated task replaces equal bytes. memory: bytes that a worker's memory of encoded words takes. specials: whether the string
     of a special token inside a text has that token's id, as in the library's plain call (else it is ordinary text). Returns the
@@ -163,21 +163,27 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
         part = TaskContext.get().partitionId()
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
-        path = f"{base}/{part:06d}.tokbin"
-        trial = f"{base}/_{part:06d}-{uuid.uuid4().hex}"
-        with store.open_output_stream(trial) as sink:
-            writer = Writer(sink, bits)
-            for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    writer.add(doc, np.frombuffer(enc.encode(text.as_py()) + tail, "<u4"))
-            writer.close()
-        if store.get_file_info(path).type != fs.FileType.NotFound:  # of a lost try of this task; not every store moves onto a file
-            store.delete_file(path)
-        store.move(trial, path)
-        yield pa.RecordBatch.from_pydict({"file_no": pa.array([part], pa.int32()), "path": [path], "n_docs": pa.array([len(writer.ends)], pa.int64()), "n_ids": pa.array([writer.n], pa.int64())})
+        documents = ((doc, text.as_py() or "") for batch in batches for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        waiting, k = next(documents, None), 0
+        while waiting or not k:
+            path, held = f"{base}/{part:06d}-{k:04d}.tokbin", 0
+            trial = f"{base}/_{part:06d}-{uuid.uuid4().hex}"
+            with store.open_output_stream(trial) as sink:
+                writer = Writer(sink, bits)
+                while waiting and (not held or held + len(waiting[1]) <= file_bytes):
+                    doc, text = waiting
+                    held += len(text)
+                    writer.add(doc, np.frombuffer(enc.encode(text) + tail, "<u4"))
+                    waiting = next(documents, None)
+                writer.close()
+            if store.get_file_info(path).type != fs.FileType.NotFound:  # of a lost try of this task; not every store moves onto a file
+                store.delete_file(path)
+            store.move(trial, path)
+            yield pa.RecordBatch.from_pydict({"file_no": pa.array([(part << 32) + k], pa.int64()), "path": [path], "n_docs": pa.array([len(writer.ends)], pa.int64()), "n_ids": pa.array([writer.n], pa.int64())})
+            k += 1
 
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "file_no int, path string, n_docs bigint, n_ids bigint")
+    return ordered.mapInArrow(run, "file_no bigint, path string, n_docs bigint, n_ids bigint")
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
@@ -210,7 +216,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str) -> D
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    files = spark.createDataFrame(starts, "file_no int, path string, first bigint")
+    files = spark.createDataFrame(starts, "file_no bigint, path string, first bigint")
     files = files.repartition(max(1, len(starts))) if starts else files
     return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 

@@ -338,7 +338,7 @@ def test_simhash_rows(spark):
     assert {(r.doc_id, r.component_id) for r in simhash.simhash_components(twice).collect()} == {(7, 7), (8, 7), (9, 7)}
     assert simhash.drop_near_copies(twice.limit(0)).count() == simhash.simhash_components(twice.limit(0)).count() == 0
     kept = simhash.drop_near_copies(odd(spark))
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 6]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 6, 7]
     assert kept.where("doc_id is null").count() == 1
 
 
@@ -590,6 +590,18 @@ def test_token_files(spark):
     assert tokenbin.round_trip(odd(spark).limit(0), WORD, 1).count() == 0
 
 
+def test_files_end_before_they_are_too_long(spark, tmp_path):
+    texts = ["word " * n for n in (10, 3000, 5, 400, 400, 400, 1, 0, 2500, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    manifest = tokenbin.write_token_files(docs, WORD, str(tmp_path / "tokens"), files=2, file_bytes=6000)
+    rows = sorted(manifest.collect())
+    assert len(rows) > 4 and sum(r.n_docs for r in rows) == len(texts) and all(r.n_docs == 1 or r.n_ids < 2000 for r in rows)
+    got = tokenbin.read_token_files(spark, spark.createDataFrame(rows, manifest.schema), str(tmp_path / "tokens")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == list(range(len(texts))) and [r.n_tokens for r in got] == [len(t.split()) + 1 for t in texts]
+    starts = np.cumsum([0] + [len(t.split()) + 1 for t in texts])
+    assert [r.start for r in got] == starts[:-1].tolist()
+
+
 def test_encoder_equals_the_library():
     rng = random.Random(12)
     odd_texts = ["", " ", "a  b\n\n c", "it's \x1c x\x1dy <|endoftext|>", "déja\u0301 Σας ΟΔΟΣ İx ١٢ ½", "\x85x ", "\n", "A.B,c!! d.", " lead", "trail ", "x's '' 's x'", "\nAb*** \n Ab***\nab_c d-e", "a\n b", "Ĳ ß'S ŉx,"]
