@@ -289,7 +289,7 @@ def write_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/parsed-{uuid.uuid4().hex}"
     for part in (blocks.where(F.crc32("book_id") % 2 == 0), blocks):
         files.write_parsed({"blocks": part}, path)
-    return spark.read.parquet(f"{path}/blocks").select("book_id", "ordinal", "stable_id", F.sha2("source_text", 256).alias("h"))
+    return files.read_parsed(spark, path, "blocks").select("book_id", "ordinal", "stable_id", F.sha2("source_text", 256).alias("h"))
 
 
 @register(

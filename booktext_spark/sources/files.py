@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import codecs
+import uuid
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -114,19 +116,72 @@ def split_text_blocks(df: DataFrame, separator: str = r"\n{2,}", id_col: str = "
     )
 
 
-def write_parsed(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes sections and blocks of the books that have none at the path yet; a repeated run adds nothing."""
+def write_parsed(tables: dict[str, DataFrame], path: str) -> int:
+    """Writes sections and blocks of the books that have none at the path yet, all tables at once; a repeated run adds nothing. Returns the version.
+
+    A run writes its tables into a folder of its own, which nobody reads until a version names it. A version is a small file that lists the runs; it
+    is written under another name and moved to its number, which fails if another writer has that number already. Then the books that the others have
+    brought are left out of a new run, and the next number is tried. So a run that breaks off leaves nothing to be seen, and two runs at once
+    leave each book once and whole. read_parsed reads what the latest version lists.
+    """
     spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        target = f"{path}/{name}"
-        try:
-            old = spark.read.parquet(target).select("book_id").distinct()
-        except Exception as e:  # nothing is written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        new = df if old is None else df.join(old, "book_id", "left_anti")
-        new.write.mode("append").parquet(target)
+    while True:
+        version, runs = _latest(spark, path)
+        run = f"run-{uuid.uuid4().hex}"
+        for name, df in tables.items():
+            old = read_parsed(spark, path, name, runs)
+            new = df if old is None else df.join(old.select("book_id").distinct(), "book_id", "left_anti")
+            new.write.parquet(f"{path}/{run}/{name}")
+        if _commit(spark, path, version + 1, [*runs, run]):
+            return version + 1
+
+
+def read_parsed(spark: SparkSession, path: str, name: str, runs: list[str] | None = None) -> DataFrame | None:
+    """A table of what write_parsed has committed at the path, of the latest version or of given runs; None if no run has it."""
+    runs = _latest(spark, path)[1] if runs is None else runs
+    at = [f"{path}/{run}/{name}" for run in runs]
+    there = [p for p in at if _file_system(spark, p).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    return spark.read.parquet(*there) if there else None
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _latest(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """(number, runs) of the latest version; (0, none) before the first."""
+    folder, fs = f"{path}/_versions", _file_system(spark, path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    numbers = [int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()] if fs.exists(at) else []
+    if not numbers:
+        return 0, []
+    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{max(numbers):08d}"))
+    try:
+        return max(numbers), str(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).split()
+    finally:
+        stream.close()
+
+
+def _commit(spark: SparkSession, path: str, version: int, runs: list[str]) -> bool:
+    """Whether the version with these runs could be put in place: not if its number is taken."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    trial, final = hadoop.Path(f"{path}/_versions/.{uuid.uuid4().hex}"), hadoop.Path(f"{path}/_versions/{version:08d}")
+    out = _file_system(spark, path).create(trial, False)
+    try:
+        out.write(" ".join(runs).encode())
+    finally:
+        out.close()
+    context = hadoop.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration())
+    kind = getattr(hadoop, "Options$Rename")
+    never_over = spark.sparkContext._gateway.new_array(kind, 1)
+    never_over[0] = kind.NONE
+    try:
+        context.rename(context.makeQualified(trial), context.makeQualified(final), never_over)
+        return True
+    except Py4JJavaError as e:
+        if not e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            raise
+        return False
 
 
 def export_text(blocks: DataFrame, effective: DataFrame | None = None) -> DataFrame:

@@ -60,52 +60,62 @@ def job_change_feed(snapshots: DataFrame, key: str, order: str, state: str, term
     return rows.groupBy(key).applyInPandasWithState(run, rows.schema, "last string, done boolean", "append", timeout)
 
 
+class Held:
+    """What an upload has accepted, by index and by key, so that a chunk is judged in one step however many there are."""
+
+    def __init__(self, chunks=()):
+        self.by_index, self.by_key = {}, {}
+        for c in chunks:
+            self.take(c)
+
+    def take(self, chunk: tuple) -> None:
+        self.by_index[chunk[0]] = chunk
+        if chunk[1] is not None:
+            self.by_key[chunk[1]] = chunk
+
+    def judge(self, index: int | None, key, digest: str | None, n_chunks: int | None) -> str:
+        """accepted, duplicate, CONFLICT or VALIDATION_ERROR; an accepted chunk is held."""
+        if index is None or n_chunks is None or not 0 <= index < n_chunks:
+            return "VALIDATION_ERROR"
+        me = (index, key, digest)
+        near = [c for c in (self.by_index.get(index), self.by_key.get(key)) if c is not None]
+        if not near:
+            self.take(me)
+            return "accepted"
+        return "duplicate" if all(c == me for c in near) else "CONFLICT"
+
+
 def check_chunks(chunks: DataFrame, uploads: DataFrame) -> DataFrame:
     """Batch form: chunks with outcome: accepted, duplicate, CONFLICT or VALIDATION_ERROR, judged in order of arrival.
 
     The first chunk with a usable index and key is accepted; one that is equal in index, key and hash to the first holder of
-    both is a duplicate. chunks: upload_id, index, idempotency_key, sha256, arrival.
+    both is a duplicate. chunks: upload_id, index, idempotency_key, sha256, arrival. An upload's chunks meet in one task, which takes a step for each.
     """
     size = uploads.select("upload_id", F.ceil(F.col("expected_size") / F.col("chunk_size")).alias("n_chunks"))
     rows = chunks.join(size, "upload_id", "left").withColumn("sha256", F.lower("sha256"))
-    good = (F.col("index") >= 0) & (F.col("index") < F.col("n_chunks"))
-    row = F.struct("index", "idempotency_key", "sha256", "arrival")
-
-    def step(s, x):
-        same = lambda y: (y["index"] == x["index"]) | (y["idempotency_key"] == x["idempotency_key"])
-        holders = F.filter(s["held"], same)
-        equal = F.exists(holders, lambda y: (y["index"] == x["index"]) & (y["idempotency_key"] == x["idempotency_key"]) & (y["sha256"] == x["sha256"]))
-        outcome = F.when(F.size(holders) == 0, "accepted").when(equal & (F.size(holders) == 1), "duplicate").otherwise("CONFLICT")
-        held = F.when(F.size(holders) == 0, F.concat(s["held"], F.array(x))).otherwise(s["held"])
-        return F.struct(held.alias("held"), F.concat(s["out"], F.array(F.struct(x["index"].alias("index"), x["idempotency_key"].alias("idempotency_key"), x["sha256"].alias("sha256"), x["arrival"].alias("arrival"), outcome.alias("outcome")))).alias("out"))
-
-    item = "struct<index:{0},idempotency_key:{1},sha256:string,arrival:{2}>".format(*(chunks.schema[c].dataType.simpleString() for c in ("index", "idempotency_key", "arrival")))
-    outs = item[:-1] + ",outcome:string>"
-    start = F.struct(F.array().cast(f"array<{item}>").alias("held"), F.array().cast(f"array<{outs}>").alias("out"))
-    lists = rows.where(good).groupBy("upload_id").agg(F.sort_array(F.collect_list(F.struct("arrival", row.alias("r")))).alias("l"))
-    judged = lists.select("upload_id", F.explode(F.aggregate(F.transform("l", lambda x: x["r"]), start, step)["out"]).alias("r")).select("upload_id", "r.*")
-    bad = rows.where(~F.coalesce(good, F.lit(False))).select("upload_id", "index", "idempotency_key", "sha256", "arrival", F.lit("VALIDATION_ERROR").alias("outcome"))
-    return judged.unionByName(bad)
+    columns = ["upload_id", "index", "idempotency_key", "sha256", "arrival"]
+
+    def run(page):
+        import pyarrow as pa
+
+        page = page.sort_by([(c, "ascending") for c in ("arrival", "index", "idempotency_key", "sha256")])
+        held = Held()
+        outcomes = [held.judge(*c) for c in zip(*(page.column(c).to_pylist() for c in ("index", "idempotency_key", "sha256", "n_chunks")), strict=True)]
+        return page.select(columns).append_column("outcome", pa.array(outcomes, pa.string()))
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + ", outcome string"
+    return rows.select(*columns, "n_chunks").groupBy("upload_id").applyInArrow(run, schema)
 
 
 def ingest_chunks(chunks: DataFrame) -> DataFrame:
     """Stream form over chunks that carry n_chunks: the same outcomes; the state of an upload is what it has accepted."""
 
     def run(_, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*kept.get, strict=True)) if kept.exists else []
+        held = Held(zip(*kept.get, strict=True) if kept.exists else ())
         page = pd.concat(list(batches)).sort_values("arrival", kind="stable")
-        outcomes = []
-        for r in page.itertuples(index=False):
-            me = (int(r.index_no), r.idempotency_key, r.sha256.lower())
-            near = [h for h in held if h[0] == me[0] or h[1] == me[1]]
-            if not 0 <= me[0] < r.n_chunks:
-                outcomes.append("VALIDATION_ERROR")
-            elif not near:
-                held.append(me)
-                outcomes.append("accepted")
-            else:
-                outcomes.append("duplicate" if near == [me] else "CONFLICT")
-        kept.update(tuple(map(list, zip(*held, strict=True))) if held else ([], [], []))
+        outcomes = [held.judge(int(r.index_no), r.idempotency_key, r.sha256.lower(), r.n_chunks) for r in page.itertuples(index=False)]
+        taken = list(held.by_index.values())
+        kept.update(tuple(map(list, zip(*taken, strict=True))) if taken else ([], [], []))
         yield page.assign(outcome=outcomes)[["upload_id", "index_no", "idempotency_key", "sha256", "outcome"]]
 
     rows = chunks.withColumnRenamed("index", "index_no")

@@ -158,7 +158,45 @@ def test_write_parsed_twice(spark, tmp_path):
     blocks = files.split_text_blocks(spark.createDataFrame([("k", "a\n\nb")], "source_hash string, text string"))
     for _ in range(2):
         files.write_parsed({"blocks": blocks}, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/blocks").count() == 2
+    assert files.read_parsed(spark, str(tmp_path), "blocks").count() == 2
+
+
+def _books(spark, *names):
+    blocks = files.split_text_blocks(spark.createDataFrame([(n, f"{n} a\n\n{n} b") for n in names], "source_hash string, text string"))
+    return {"sections": blocks.select("book_id", "section_id").distinct(), "blocks": blocks}
+
+
+def _stored(spark, path):
+    return [sorted(r.book_id for r in t.collect()) if (t := files.read_parsed(spark, path, name)) is not None else None for name in ("sections", "blocks")]
+
+
+def test_a_run_that_breaks_off_between_tables_leaves_nothing(spark, tmp_path):
+    path, one = str(tmp_path), _books(spark, "k", "l")
+    with pytest.raises(Exception, match="broken"):
+        files.write_parsed({"sections": one["sections"], "blocks": one["blocks"].withColumn("kind", F.raise_error(F.lit("broken")).cast("string"))}, path)
+    assert _stored(spark, path) == [None, None]
+    assert files.write_parsed(_books(spark, "k"), path) == 1
+    before = _stored(spark, path)
+    with pytest.raises(Exception, match="broken"):
+        files.write_parsed({"sections": one["sections"], "blocks": one["blocks"].withColumn("kind", F.raise_error(F.lit("broken")).cast("string"))}, path)
+    assert _stored(spark, path) == before
+    assert files.write_parsed(one, path) == 2
+    sections, blocks = _stored(spark, path)
+    assert len(sections) == len(set(sections)) == 2 and len(blocks) == 4
+
+
+def test_two_writers_leave_each_book_once_and_whole(spark, tmp_path, monkeypatch):
+    path, commit, others = str(tmp_path), files._commit, [_books(spark, "l", "m")]
+
+    def late(*args):
+        if others:  # another writer is done between this one's tables and its commit
+            files.write_parsed(others.pop(), path)
+        return commit(*args)
+
+    monkeypatch.setattr(files, "_commit", late)
+    assert files.write_parsed(_books(spark, "k", "l"), path) == 2
+    sections, blocks = _stored(spark, path)
+    assert len(sections) == len(set(sections)) == 3 and len(blocks) == 6 and len(set(blocks)) == 3
 
 
 def test_json_round_trip(spark):

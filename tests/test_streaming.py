@@ -78,3 +78,20 @@ def test_first_pair_of_a_hash_is_that_of_least_order(spark):
     df = spark.createDataFrame(rows, "k int, source_text string, target_text string, target_locale string, more string")
     assert [(r.k, r.more) for r in feeds.incremental_dedup(df, order_by=["k"]).collect()] == [(3, "row 3")]
     assert feeds.incremental_dedup(df.limit(0), order_by=["k"]).count() == 0
+
+
+def test_many_chunks_of_one_upload_take_a_step_each(spark):
+    """A hundred thousand chunks, each sent twice, and one with another hash."""
+    n = 100_000
+    sent = spark.range(n).select(F.lit("u").alias("upload_id"), F.col("id").alias("index"), F.concat(F.lit("k"), "id").alias("idempotency_key"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"), F.col("id").alias("arrival"))
+    again = sent.withColumn("arrival", F.col("arrival") + n)
+    other = sent.where("index = 7").withColumns({"sha256": F.lit("x"), "arrival": F.lit(3 * n).cast("bigint")})
+    uploads = spark.createDataFrame([("u", n * 10, 10)], "upload_id string, expected_size bigint, chunk_size bigint")
+    got = {r.outcome: r["count"] for r in feeds.check_chunks(sent.unionByName(again).unionByName(other), uploads).groupBy("outcome").count().collect()}
+    assert got == {"accepted": n, "duplicate": n, "CONFLICT": 1}
+
+
+def test_chunks_without_index_key_or_upload(spark):
+    rows = [("u", None, "a", "x", 1), ("u", 0, None, "x", 2), ("u", 1, None, "x", 3), ("w", 0, "a", "x", 4), ("u", 9, "b", "x", 5), (None, 0, "c", "x", 6)]
+    got = feeds.check_chunks(spark.createDataFrame(rows, "upload_id string, index int, idempotency_key string, sha256 string, arrival int"), spark.createDataFrame([("u", 50, 10)], "upload_id string, expected_size int, chunk_size int"))
+    assert {r.arrival: r.outcome for r in got.collect()} == {1: "VALIDATION_ERROR", 2: "accepted", 3: "accepted", 4: "VALIDATION_ERROR", 5: "VALIDATION_ERROR", 6: "VALIDATION_ERROR"}
