@@ -177,7 +177,20 @@ def pdf_reading_order_horizontal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.pdf_reading_order_horizontal(_items(spark, sf_dir)).select("doc_id", "page", "ordinal", "position")
 
 
-@register()
+#: Items of vertical pages from the right, one at a time: each to the first column whose mean is near, or to a new one.
+COLUMNS_SQL = (PAGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)) + """,
+v AS (SELECT items.*, greatest(0.8 * coalesce(median(CASE WHEN x1 > x0 THEN x1 - x0 END) OVER (PARTITION BY doc_id, page), 8.0), 3.0) AS near,
+  row_number() OVER (PARTITION BY doc_id, page ORDER BY x0 DESC, y0, ordinal) AS k FROM (SELECT *, x0 + 10 AS x1 FROM items) items JOIN pg USING (doc_id, page) WHERE vertical),
+s AS (SELECT DISTINCT doc_id, page, 0::BIGINT AS k, 0::BIGINT AS c, []::DOUBLE[] AS total, []::DOUBLE[] AS size FROM v
+  UNION ALL SELECT doc_id, page, nk, CASE WHEN near_to = 0 THEN len(total) + 1 ELSE near_to END,
+    CASE WHEN near_to = 0 THEN list_append(total, x) ELSE list_transform(range(1, len(total) + 1), lambda q: total[q] + CASE WHEN q = near_to THEN x ELSE 0.0 END) END,
+    CASE WHEN near_to = 0 THEN list_append(size, 1.0) ELSE list_transform(range(1, len(size) + 1), lambda q: size[q] + CASE WHEN q = near_to THEN 1.0 ELSE 0.0 END) END
+  FROM (SELECT s.*, v.x0 AS x, v.k AS nk, coalesce(list_position(list_transform(range(1, len(total) + 1), lambda q: abs(total[q] / size[q] - v.x0) <= v.near), true), 0) AS near_to FROM s JOIN v ON s.doc_id = v.doc_id AND s.page = v.page AND v.k = s.k + 1)),
+last AS (SELECT doc_id, page, arg_max(total, k) AS total, arg_max(size, k) AS size FROM s GROUP BY ALL)
+SELECT doc_id, page, v.ordinal, row_number() OVER (PARTITION BY doc_id, page ORDER BY last.total[c] / last.size[c] DESC, c, y0, x0 DESC, v.ordinal)::INT AS position FROM v JOIN s USING (doc_id, page, k) JOIN last USING (doc_id, page)"""
+
+
+@register(COLUMNS_SQL)
 def pdf_reading_order_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
     vertical = layout.page_orientation(items).where("vertical").select("doc_id", "page")

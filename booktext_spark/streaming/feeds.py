@@ -136,30 +136,43 @@ def incremental_dedup(pairs: DataFrame, watermark: tuple[str, str] | None = None
     return first.select("row.*", "pair_hash")
 
 
+#: Folders of a store of pairs.
+BUCKETS = 256
+
+
+def stored_rows(spark, path: str, touched: DataFrame, key: str) -> DataFrame | None:
+    """key of what is stored at the path in the buckets of touched(bucket), of which there are at most BUCKETS; None before anything is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    buckets = [r.bucket for r in touched.select("bucket").distinct().collect()]
+    return spark.read.parquet(path).where(F.col("bucket").isin(buckets)).select("bucket", key)
+
+
 def append_new_pairs(path: str, index_path: str | None = None, order_by: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends the pairs of a batch whose hash is not stored yet; a repeated batch adds nothing.
 
-    With index_path, the search tokens of what is new are appended there, as `ranked` takes them for its index, so that no search has
-    to make those of all pairs; what is in the index already is not added again. Pairs then have the columns of search_references.
+    The store has a folder for each of BUCKETS ranges of the hash, and a batch reads the hashes of those folders only that its own pairs fall into, so
+    that the work of a small batch does not grow with the store. With index_path, the search tokens of what is new are appended there in the
+    same folders, as `ranked` takes them for its index, so that no search has to make those of all pairs; what is in the index already is not added
+    again. Pairs then have the columns of search_references. Both stores have the column `bucket` besides.
     """
+    bucket = F.conv(F.substring("pair_hash", 1, 2), 16, 10).cast("int") % BUCKETS
 
-    def stored(spark, at: str, column: str) -> DataFrame | None:
-        try:
-            return spark.read.parquet(at).select(column)
-        except Exception as e:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
+    def append(rows: DataFrame, to: str) -> None:
+        rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(to)
 
     def write(batch: DataFrame, _: int) -> None:
-        first = incremental_dedup(batch, order_by=order_by)
-        old = stored(batch.sparkSession, path, "pair_hash")
-        new = kept(first if old is None else first.join(old, "pair_hash", "left_anti"))
-        new.write.mode("append").parquet(path)
+        spark = batch.sparkSession
+        first = kept(incremental_dedup(batch, order_by=order_by).withColumn("bucket", bucket))
+        old = stored_rows(spark, path, first, "pair_hash")
+        append(kept(first if old is None else first.join(old, ["bucket", "pair_hash"], "left_anti")), path)
         if index_path is not None:
-            mine = batch.sparkSession.read.parquet(path).join(first.select("pair_hash"), "pair_hash", "left_semi")  # a batch that broke off before its index too
-            old = stored(batch.sparkSession, index_path, "pair_id")
-            index_rows(mine if old is None else mine.join(old, "pair_id", "left_anti")).write.mode("append").parquet(index_path)
+            touched = [r.bucket for r in first.select("bucket").distinct().collect()]
+            mine = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(first.select("bucket", "pair_hash"), ["bucket", "pair_hash"], "left_semi")  # a batch that broke off before its index too
+            old = stored_rows(spark, index_path, first, "pair_id")
+            new = mine if old is None else mine.join(old, ["bucket", "pair_id"], "left_anti")
+            append(index_rows(new).join(new.select("pair_id", "bucket"), "pair_id"), index_path)
 
     return write
 

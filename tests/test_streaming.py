@@ -95,3 +95,19 @@ def test_chunks_without_index_key_or_upload(spark):
     rows = [("u", None, "a", "x", 1), ("u", 0, None, "x", 2), ("u", 1, None, "x", 3), ("w", 0, "a", "x", 4), ("u", 9, "b", "x", 5), (None, 0, "c", "x", 6)]
     got = feeds.check_chunks(spark.createDataFrame(rows, "upload_id string, index int, idempotency_key string, sha256 string, arrival int"), spark.createDataFrame([("u", 50, 10)], "upload_id string, expected_size int, chunk_size int"))
     assert {r.arrival: r.outcome for r in got.collect()} == {1: "VALIDATION_ERROR", 2: "accepted", 3: "accepted", 4: "VALIDATION_ERROR", 5: "VALIDATION_ERROR", 6: "VALIDATION_ERROR"}
+
+
+def test_a_batch_reads_the_buckets_of_its_own_pairs_only(spark, tmp_path):
+    kinds = "k int, source_text string, target_text string, target_locale string"
+    pairs = lambda low, high: spark.createDataFrame([(k, f"source {k}", f"target {k}", "zh-CN") for k in range(low, high)], kinds)
+    path = f"{tmp_path}/pairs"
+    write = feeds.append_new_pairs(path, order_by=["k"])
+    write(pairs(0, 400), 0)
+    one = feeds.incremental_dedup(pairs(7, 8), order_by=["k"]).withColumn("bucket", F.conv(F.substring("pair_hash", 1, 2), 16, 10).cast("int"))
+    read = feeds.stored_rows(spark, path, one, "pair_hash")
+    assert 0 < read.count() < 30
+    assert {f.split("bucket=")[1].split("/")[0] for f in read.inputFiles()} >= {str(one.first().bucket)}
+    assert "PartitionFilters: [" in (plan := read._jdf.queryExecution().executedPlan().toString()) and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    for batch in (pairs(7, 8), pairs(390, 410), pairs(0, 410)):
+        write(batch, 1)
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == list(range(410))
