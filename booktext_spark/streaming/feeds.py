@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from booktext_spark.functions.ids import pair_hash
@@ -60,29 +61,14 @@ def job_change_feed(snapshots: DataFrame, key: str, order: str, state: str, term
     return rows.groupBy(key).applyInPandasWithState(run, rows.schema, "last string, done boolean", "append", timeout)
 
 
-class Held:
-    """What an upload has accepted, by index and by key, so that a chunk is judged in one step however many there are."""
-
-    def __init__(self, chunks=()):
-        self.by_index, self.by_key = {}, {}
-        for c in chunks:
-            self.take(c)
-
-    def take(self, chunk: tuple) -> None:
-        self.by_index[chunk[0]] = chunk
-        if chunk[1] is not None:
-            self.by_key[chunk[1]] = chunk
-
-    def judge(self, index: int | None, key, digest: str | None, n_chunks: int | None) -> str:
-        """accepted, duplicate, CONFLICT or VALIDATION_ERROR; an accepted chunk is held."""
-        if index is None or n_chunks is None or not 0 <= index < n_chunks:
-            return "VALIDATION_ERROR"
-        me = (index, key, digest)
-        near = [c for c in (self.by_index.get(index), self.by_key.get(key)) if c is not None]
-        if not near:
-            self.take(me)
-            return "accepted"
-        return "duplicate" if all(c == me for c in near) else "CONFLICT"
+def judged(index: int | None, key, digest: str | None, n_chunks: int | None, held_index: tuple | None, held_key: tuple | None) -> str:
+    """accepted, duplicate, CONFLICT or VALIDATION_ERROR, for a chunk and what an upload has accepted under its index and under its key."""
+    if index is None or n_chunks is None or not 0 <= index < n_chunks:
+        return "VALIDATION_ERROR"
+    near = [c for c in (held_index, held_key) if c is not None]
+    if not near:
+        return "accepted"
+    return "duplicate" if all(c == (index, key, digest) for c in near) else "CONFLICT"
 
 
 def check_chunks(chunks: DataFrame, uploads: DataFrame) -> DataFrame:
@@ -99,29 +85,58 @@ def check_chunks(chunks: DataFrame, uploads: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         page = page.sort_by([(c, "ascending") for c in ("arrival", "index", "idempotency_key", "sha256")])
-        held = Held()
-        outcomes = [held.judge(*c) for c in zip(*(page.column(c).to_pylist() for c in ("index", "idempotency_key", "sha256", "n_chunks")), strict=True)]
+        by_index, by_key, outcomes = {}, {}, []
+        for index, key, digest, n_chunks in zip(*(page.column(c).to_pylist() for c in ("index", "idempotency_key", "sha256", "n_chunks")), strict=True):
+            outcomes.append(judged(index, key, digest, n_chunks, by_index.get(index), by_key.get(key)))
+            if outcomes[-1] == "accepted":
+                by_index[index] = (index, key, digest)
+                if key is not None:
+                    by_key[key] = (index, key, digest)
         return page.select(columns).append_column("outcome", pa.array(outcomes, pa.string()))
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + ", outcome string"
     return rows.select(*columns, "n_chunks").groupBy("upload_id").applyInArrow(run, schema)
 
 
-def ingest_chunks(chunks: DataFrame) -> DataFrame:
-    """Stream form over chunks that carry n_chunks: the same outcomes; the state of an upload is what it has accepted."""
-
-    def run(_, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        held = Held(zip(*kept.get, strict=True) if kept.exists else ())
-        page = pd.concat(list(batches)).sort_values("arrival", kind="stable")
-        outcomes = [held.judge(int(r.index_no), r.idempotency_key, r.sha256.lower(), r.n_chunks) for r in page.itertuples(index=False)]
-        taken = list(held.by_index.values())
-        kept.update(tuple(map(list, zip(*taken, strict=True))) if taken else ([], [], []))
+class _Ingest(StatefulProcessor):
+    """Two maps for each upload, by index and by key, of which a chunk reads and writes its own entries only."""
+
+    def __init__(self, index: str, key: str, ttl: int | None):
+        self.kinds, self.ttl = (index, key), ttl
+
+    def init(self, handle) -> None:
+        index, key = (f"{name} {kind}" for name, kind in zip(("index_no", "idempotency_key"), self.kinds, strict=True))
+        self.by_index = handle.getMapState("by_index", index, f"{key}, sha256 string", self.ttl)
+        self.by_key = handle.getMapState("by_key", key, f"{index}, sha256 string", self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        page = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        outcomes = []
+        for r in page.itertuples(index=False):
+            index, name, digest = int(r.index_no), r.idempotency_key, r.sha256.lower()
+            there, under = self.by_index.getValue((index,)), None if name is None else self.by_key.getValue((name,))
+            outcomes.append(judged(index, name, digest, r.n_chunks, there and (index, *there), under and (under[0], name, under[1])))
+            if outcomes[-1] == "accepted":
+                self.by_index.updateValue((index,), (name, digest))
+                if name is not None:
+                    self.by_key.updateValue((name,), (index, digest))
         yield page.assign(outcome=outcomes)[["upload_id", "index_no", "idempotency_key", "sha256", "outcome"]]
 
+    def close(self) -> None:
+        pass
+
+
+def ingest_chunks(chunks: DataFrame, ttl: int | None = None) -> DataFrame:
+    """Stream form over chunks that carry n_chunks: the same outcomes.
+
+    The state of an upload is keyed: a batch reads and writes the entries of its own chunks, however many the upload has. ttl: milliseconds after
+    which an accepted chunk is forgotten. Keyed state needs spark.sql.streaming.stateStore.providerClass to be the RocksDB provider.
+    """
     rows = chunks.withColumnRenamed("index", "index_no")
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("upload_id", "index_no", "idempotency_key", "sha256")}
     schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", outcome string"
-    return rows.groupBy("upload_id").applyInPandasWithState(run, schema, "indices array<bigint>, keys array<string>, hashes array<string>", "append", GroupStateTimeout.NoTimeout)
+    processor = _Ingest(kinds["index_no"], kinds["idempotency_key"], ttl)
+    return rows.groupBy("upload_id").transformWithStateInPandas(processor, schema, "Append", "None" if ttl is None else "ProcessingTime")
 
 
 def incremental_dedup(pairs: DataFrame, watermark: tuple[str, str] | None = None, order_by: Sequence[str] = ()) -> DataFrame:

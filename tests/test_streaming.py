@@ -1,5 +1,8 @@
 """Batch forms, and the same as streams over files."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from booktext_spark.operators import search
@@ -9,6 +12,14 @@ SNAP = "job string, at timestamp, state string, progress int"
 ROWS = [("a", 1, "queued", 0), ("a", 2, "queued", 0), ("a", 3, "translating", 1), ("a", 4, "completed", 9), ("a", 5, "queued", 0), ("b", 1, "failed", 0), ("b", 2, "failed", 0)]
 
 
+@pytest.fixture
+def keyed_state(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name)
+
+
 def run(spark, df, name, tmp_path):
     q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
@@ -31,7 +42,7 @@ CHUNKS = [("u", 0, "k0", "aa", 1, 2), ("u", 0, "k0", "AA", 2, 2), ("u", 0, "k1",
 OUTCOMES = ["accepted", "duplicate", "CONFLICT", "CONFLICT", "accepted", "VALIDATION_ERROR"]
 
 
-def test_chunks(spark, tmp_path):
+def test_chunks(spark, tmp_path, keyed_state):
     df = spark.createDataFrame(CHUNKS, "upload_id string, index int, idempotency_key string, sha256 string, arrival int, n_chunks int")
     ups = spark.createDataFrame([("u", 10, 5)], "upload_id string, expected_size long, chunk_size long")
     got = feeds.check_chunks(df.drop("n_chunks"), ups).orderBy("arrival").collect()
@@ -41,6 +52,30 @@ def test_chunks(spark, tmp_path):
     assert [r.outcome for r in run(spark, feeds.ingest_chunks(stream), "chunks", tmp_path)] == OUTCOMES
 
 
+CHUNK = "upload_id string, index int, idempotency_key string, sha256 string, n_chunks int, arrival int"
+
+
+def test_chunks_are_known_after_a_restart_and_forgotten_in_time(spark, tmp_path, keyed_state):
+    def sent(*rows):
+        spark.createDataFrame(rows, CHUNK).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def ingested(ttl):
+        stream = spark.readStream.schema(CHUNK).parquet(str(tmp_path / "in"))
+        out = str(tmp_path / f"out{ttl}")
+        query = feeds.ingest_chunks(stream, ttl).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"ck{ttl}")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return sorted((r.index_no, r.outcome) for r in spark.read.parquet(out).collect())
+
+    sent(("u", 0, "a", "X", 3, 1), ("u", 1, None, "y", 3, 2))
+    assert ingested(None) == ingested(1000) == [(0, "accepted"), (1, "accepted")]
+    time.sleep(2)
+    sent(("u", 0, "a", "x", 3, 3), ("u", 2, "a", "z", 3, 4), ("u", 1, None, "y", 3, 5), ("w", 0, "a", "x", 1, 6))
+    before = [(0, "accepted"), (1, "accepted")]
+    assert ingested(None) == sorted([*before, (0, "duplicate"), (2, "CONFLICT"), (1, "duplicate"), (0, "accepted")])
+    # forgotten: index 0 is free again, and so is its key until then
+    assert ingested(1000) == sorted([*before, (0, "accepted"), (2, "CONFLICT"), (1, "accepted"), (0, "accepted")])
+
+
 def test_incremental_dedup(spark, tmp_path):
     df = spark.createDataFrame([("a", "b", "zh-CN"), ("a ", "b", "zh-cn"), ("c", "d", "zh-CN")], "source_text string, target_text string, target_locale string")
     assert feeds.incremental_dedup(df).count() == 2
