@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from booktext_spark.llm.common import cut, stored
+from booktext_spark.llm.common import cut, slices, stored
 
 #: Rows that the codebooks are fitted on, at most (about; chosen by hash).
 SAMPLE = 20_000
@@ -18,6 +18,8 @@ SAMPLE = 20_000
 QUERY_BLOCK, QUERIES_AT_ONCE = 512, 8192
 #: Vectors of one length that are compared with each other without codes.
 FEW = 2048
+#: Numbers of the vectors that are scored in pairs at once.
+PAIR_NUMBERS = 1 << 21
 
 
 def _smallest(cost: np.ndarray, number: int, block: int = 16) -> np.ndarray:
@@ -165,7 +167,51 @@ class Best:
         self.scores, self.ids, self.rows, self.same = (np.take_along_axis(x, order, 1) for x in (scores, ids, rows, same))
 
 
+class Nearest:
+    """The k rows of largest cosine of each query so far, ties to the smaller id, then row."""
+
+    def __init__(self, queries: np.ndarray, numbers: np.ndarray, k: int):
+        self.queries, self.numbers, self.k = queries, numbers, k
+        self.least = np.full(len(queries), -np.inf)
+        self.at, self.ids, self.rows = (np.zeros(0, np.int64) for _ in range(3))
+        self.scores = np.zeros(0)
+
+    def _cosines(self, unit: np.ndarray, at: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        size = max(1, PAIR_NUMBERS // unit.shape[1])
+        parts = [slice(lo, lo + size) for lo in range(0, len(at), size)]
+        return np.concatenate([np.zeros(0), *(np.einsum("nd,nd->n", unit[columns[p]], self.queries[at[p]]) for p in parts)])
+
+    def add(self, products: np.ndarray, norms: np.ndarray, off: np.ndarray, slack: float, unit: np.ndarray, ids: np.ndarray, rows: np.ndarray, keep: int) -> None:
+        """Rows with lookup products (queries, rows), of which all are scored whose product and coding error may reach the k-th best.
+
+        A unit query's product with what a row's codes leave out is at most that rest's length. The `keep` best by lookup score of the first
+        rows give the first bound; where it spares few pairs, a matrix product finds those that reach it.
+        """
+        other = rows != self.numbers[:, None]
+        least = self.least
+        if not len(self.at) and len(ids) > keep + 1 > self.k:
+            some = np.argpartition(-products / norms, keep, axis=1)[:, : keep + 1]
+            at = np.repeat(np.arange(len(some)), keep + 1)
+            first = np.where(np.take_along_axis(other, some, 1), self._cosines(unit, at, some.ravel()).reshape(some.shape), -np.inf)
+            least = np.partition(first, keep + 1 - self.k, axis=1)[:, keep + 1 - self.k]
+        near = other & ~(products + (off + slack) < least[:, None])
+        if np.count_nonzero(near) * 32 > near.size:
+            near &= self.queries @ unit.T >= least[:, None] - 1e-9
+        at, columns = np.nonzero(near)
+        if not len(at):
+            return
+        at, ids, rows, scores = (np.concatenate(x) for x in ((self.at, at), (self.ids, ids[columns]), (self.rows, rows[columns]), (self.scores, self._cosines(unit, at, columns))))
+        order = np.lexsort((rows, ids, -scores, at))
+        at = at[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        order = order[place < self.k]
+        self.ids, self.rows, self.scores = ids[order], rows[order], scores[order]
+        self.at, last = at[place < self.k], place[place < self.k] == self.k - 1
+        self.least[self.at[last]] = self.scores[last]
+
+
 FOUND = "query_id bigint, rank int, vec_id bigint, score double"
+SCORED = "query_row bigint, query_id bigint, vec_id bigint, row bigint, score double"
 
 
 def search(vectors: DataFrame, query_every: int = 50, k: int = 5, keep: int = 400, books: int = 16, entries: int = 256, beam: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False) -> DataFrame:
@@ -174,8 +220,8 @@ def search(vectors: DataFrame, query_every: int = 50, k: int = 5, keep: int = 40
     Unit vectors are coded as sums of one entry of each codebook. Each task scores its rows for blocks of queries by
     table lookups alone (dot product over the stored norm of the sum) and keeps the `keep` best of each query; these
     meet, the `keep` best of all tasks stay for each query, and only they are scored exactly. More codebooks or a larger keep
-    find more; the README has the recall that was measured. exact: a second pass over the codes scores every row whose lookup product and
-    coding error could beat the k-th found, so that the result is that of brute force, at a cost that grows with the errors.
+    find more; wide vectors without structure need many more, see the README. exact: each task scores every row whose lookup product and
+    coding error may reach the k-th best that it has found, so that the result is that of brute force, at a cost that grows with the errors.
 
     Every row but the query's own is a candidate: rows that repeat an id are rows of their own, as candidates and as queries. Vectors meet those of their
     length only; where another length is more frequent, FEW or fewer of one length are compared without codes. Ties go to the smaller id. Empty tables give no rows.
@@ -231,9 +277,9 @@ def _coded_search(rows: DataFrame, total: int, query_every: int, k: int, keep: i
                 unit = _unit(_matrix(part.column(3))).astype(np.float32)
                 codes, norms = fitted.encode(unit, beam)
                 off = np.linalg.norm(unit - fitted.decode(codes), axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt(np.maximum(norms, 1e-12)), pa.float32()), pa.array(off, pa.float32())], names=["vec_id", "row", "same", "codes", "norm", "off"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt(np.maximum(norms, 1e-12)), pa.float32()), pa.array(off, pa.float32()), *part.columns[3 : 3 + exact]], names=["vec_id", "row", "same", "codes", "norm", "off", "v"][: 6 + exact])
 
-    kind = "vec_id bigint, row bigint, same bigint, codes binary, norm float, off float"
+    kind = "vec_id bigint, row bigint, same bigint, codes binary, norm float, off float" + ", v array<double>" * exact
     coded = stored(rows.select("vec_id", "row", F.xxhash64("v").alias("same"), "v").mapInArrow(code, kind), "ann-codes")
     queries = cut(rows.where(F.col("vec_id") % query_every == 0).select("vec_id", "row", "v"))
     parts, out = -(-queries.count() // QUERIES_AT_ONCE), None
@@ -242,11 +288,8 @@ def _coded_search(rows: DataFrame, total: int, query_every: int, k: int, keep: i
         if not mine.num_rows:
             continue
         asked = spark.sparkContext.broadcast(pickle.dumps((mine.column(0).to_numpy(), mine.column(1).to_numpy(), _unit(_matrix(mine.column(2).combine_chunks())))))
-        best = _exact(_shortlist(coded, ship, asked, k, keep), rows, asked, k)
-        if exact:
-            best = cut(best)
-            reached = {r.query_row: r.score for r in best.groupBy("query_row").agg(F.when(F.count("*") == k, F.min("score")).alias("score")).collect()}  # a row for each query
-            best = _exact(_reachable(coded, ship, asked, reached), rows, asked, k)
+        best = _reachable(coded, ship, asked, k, keep) if exact else _exact(_shortlist(coded, ship, asked, k, keep), rows, asked)
+        best = _ranked(best, k)
         out = best if out is None else out.unionByName(best)
     return spark.createDataFrame([], FOUND) if out is None else out.select("query_id", "rank", "vec_id", "score")
 
@@ -291,31 +334,34 @@ def _shortlist(coded: DataFrame, ship, asked, k: int, keep: int) -> DataFrame:
     return copies.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).select("query_row", "row")
 
 
-def _reachable(coded: DataFrame, ship, asked, reached: dict[int, float | None]) -> DataFrame:
-    """query_row, row of all rows whose cosine may reach the query's score: a unit query's product with what a row's codes leave out is at most its length."""
+def _reachable(coded: DataFrame, ship, asked, k: int, keep: int) -> DataFrame:
+    """query_row, query_id, vec_id, row, score: for each query the k nearest rows of each task, by bounds from the codes and cosines of what they leave."""
 
     def run(batches):
         import pyarrow as pa
 
         fitted: Codebooks = pickle.loads(ship.value)
-        _, numbers, unit = pickle.loads(asked.value)
-        least = np.array([-2.0 if reached.get(n) is None else reached[n] for n in numbers.tolist()], np.float32)
-        blocks = [slice(at, at + QUERY_BLOCK) for at in range(0, len(numbers), QUERY_BLOCK)]
+        ids, numbers, unit = pickle.loads(asked.value)
+        slack = 1e-4 + 1e-5 * float(np.linalg.norm(fitted.books, axis=2).max(1).sum())  # rounding of single precision
+        blocks = [slice(at, at + QUERY_BLOCK) for at in range(0, len(ids), QUERY_BLOCK)]
         tables = [fitted.tables(unit[b].astype(np.float32)) for b in blocks]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                number, off = part.column(1).to_numpy(), part.column(5).to_numpy()
-                for b, table in zip(blocks, tables, strict=True):
-                    near = (_products(fitted, table, part) + off + 1e-4 >= least[b][:, None]) & (number != numbers[b][:, None])
-                    rows, columns = np.nonzero(near)
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers[b][rows]), pa.array(number[columns])], names=["query_row", "row"])
+        best = [Nearest(unit[b], numbers[b], k) for b in blocks]
+        for part in slices(batches, 4096):
+            own, number, same = (part.column(i).to_numpy() for i in range(3))
+            first = np.lexsort((number, own))
+            part = part.take(pa.array(first[_first_of_equal(same[first], k + 1)]))  # the query itself may be one
+            own, number, norms, off = (part.column(i).to_numpy() for i in (0, 1, 4, 5))
+            vectors = _unit(_matrix(part.column(6)))
+            for table, top in zip(tables, best, strict=True):
+                top.add(_products(fitted, table, part), norms, off, slack, vectors, own, number, keep)
+        for b, top in zip(blocks, best, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (numbers[b][top.at], ids[b][top.at], top.ids, top.rows, top.scores)], names=["query_row", "query_id", "vec_id", "row", "score"])
 
-    return coded.mapInArrow(run, "query_row bigint, row bigint")
+    return coded.mapInArrow(run, SCORED)
 
 
-def _exact(pairs: DataFrame, rows: DataFrame, asked, k: int) -> DataFrame:
-    """query_row, query_id, rank, vec_id, score of the k nearest of the pairs, by cosines of the vectors themselves."""
+def _exact(pairs: DataFrame, rows: DataFrame, asked) -> DataFrame:
+    """query_row, query_id, vec_id, row, score of the pairs, by cosines of the vectors themselves."""
 
     def run(batches):
         import pyarrow as pa
@@ -330,6 +376,10 @@ def _exact(pairs: DataFrame, rows: DataFrame, asked, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids[place]), part.column(1), part.column(2), pa.array(score)], names=["query_row", "query_id", "vec_id", "row", "score"])
 
     joined = stored(pairs, "ann-pairs").join(rows, "row").select("query_row", "vec_id", "row", "v")
-    scored = joined.mapInArrow(run, "query_row bigint, query_id bigint, vec_id bigint, row bigint, score double")
+    return joined.mapInArrow(run, SCORED)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    """query_row, query_id, rank, vec_id, score of the k nearest of the rows that are scored for each query."""
     nearest = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")

@@ -66,7 +66,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.search(table(spark, sf_dir, "embeddings"), 50, 5)
+    return ann.search(table(spark, sf_dir, "embeddings"), 50, 5, exact=True)
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,3 +171,20 @@ def test_op10_is_brute_force_on_small_tables(spark, sf_dir):
         for _, v, score in found:
             assert score == pytest.approx(s[np.flatnonzero(ids == v)[0]])
     assert right >= 0.95 * total
+
+
+@pytest.mark.parametrize("kind", ["wide", "close"])
+def test_op10_finds_all_of_the_nearest(spark, tmp_path, kind):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 256)) if kind == "wide" else rng.normal(size=(30, 48))[rng.integers(0, 30, 6000)] + 1e-3 * rng.normal(size=(6000, 48))
+    x[5000:5040] = x[100]  # copies, of which a query is one
+    frame = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    frame.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {}
+    for r in queries.QUERIES["op10_ann"](spark, str(tmp_path)).collect():
+        found.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 6000, 50):
+        s = np.round(unit @ unit[q], 13)
+        s[q] = -9
+        assert [found[q][rank] for rank in range(1, 6)] == np.lexsort((np.arange(6000), -s))[:5].tolist()
