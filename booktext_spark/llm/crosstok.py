@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,8 +15,10 @@ from booktext_spark.llm.common import slices, stored
 
 #: A space or line end after a sign that is no white space, and all up to the next one: neither tokenizer has a token across.
 CHUNK = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
-#: Bytes of text of which the links are counted together, non-zero elements of a product at a time, and bytes that a chunk in memory takes besides its links and groups.
-BLOCK_BYTES, NONZEROS, ENTRY = 8 << 20, 1 << 18, 360
+#: Bytes of text of which the links are counted together, non-zero elements of a product at a time, and bytes that a chunk in memory takes besides its letters and codes.
+BLOCK_BYTES, NONZEROS, ENTRY = 8 << 20, 1 << 18, 190
+#: Letters of chunks that A encodes as one string.
+JOINED = 1 << 16
 #: Code of a linked pair: id of A times this, plus id of B.
 PAIR = 1 << 20
 
@@ -124,103 +127,139 @@ class Tokens:
         self.space = [m.piece_to_id("▁")]
         self.bytes_b = [bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("▁", " ").encode() for i in range(m.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        # a group's text: ids of A, a bar, ids of B, a semicolon; commas between ids
-        self.parts = [f"{i}{end}" for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(n)]
-
-    def ids(self, chunks: list[str]) -> tuple[list, list]:
-        """Ids of strings that begin with a space or line end, arrays or lists. B puts a space before what it encodes, which is the string's own or goes again."""
-        parts = self.encoder._parts
-        a = [None if got is None else np.frombuffer(got, "<u4") for got in map(parts, chunks)]
-        rest = [k for k, ids in enumerate(a) if ids is None]
-        for k, e in zip(rest, self.a.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False) if rest else [], strict=True):
-            a[k] = e.ids
+        # codes of a group's tokens: ids of A, the last behind a bar, then ids of B, the last behind a semicolon; commas between ids
+        self.bar, self.of_b, self.end = len(self.bytes_a), 2 * len(self.bytes_a), 2 * len(self.bytes_a) + len(self.bytes_b)
+        self.spelling = np.array([f"{i}{end}".encode() for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(n)])
+
+    def _joined(self, chunks: list[str]):
+        """Ids of A, a list for each string of chunks: one goes on behind a chunk whose end is no white space, as in a text."""
+        low = size = 0
+        for k, c in enumerate(chunks):
+            size += len(c)
+            if size > JOINED or k + 1 == len(chunks) or c[-1].isspace():
+                yield self.a.encode_batch_fast(["".join(chunks[low : k + 1])], add_special_tokens=False)[0].ids
+                low, size = k + 1, 0
+
+    def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and how many each chunk has, ids of B and how many. Chunks begin with a space or line end. B puts a space before what it encodes,
+        which is the chunk's own or goes again."""
+        a = _flat(list(self._joined(chunks)))
+        ends, tops = np.cumsum(self.size_a[a]), np.cumsum([len(c.encode()) for c in chunks])
+        at = np.searchsorted(ends, tops) + 1
+        if len(a) == at[-1] and np.array_equal(ends[at - 1], tops):
+            n_a = np.diff(at, prepend=0)
+        else:  # a token across chunks, or one without its bytes
+            alone = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+            a, n_a = _flat(alone), np.array(list(map(len, alone)))
         b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        return a, [self.space if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, b, strict=True)]
+        b = [self.space if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, b, strict=True)]
+        return a, n_a, _flat(b), np.array(list(map(len, b)))
+
+    def spelt(self, chunks: list[str], a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether ids of both sides spell the chunks."""
+        text = "".join(chunks).encode()
+        return all(b"".join(map(table.__getitem__, ids.tolist())) == text for ids, table in ((a, self.bytes_a), (b, self.bytes_b)))
+
+    def read(self, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """codes, which are of A, which end a group, and the pair that ends each group."""
+        v = np.frombuffer(codes, "<u4").astype(np.int64)
+        of_a, ends = v < self.of_b, v >= self.end
+        return v, of_a, ends, (v[of_a & (v >= self.bar)] - self.bar) * PAIR + v[ends] - self.end
+
+    def groups(self, v: np.ndarray) -> bytes:
+        """`a1,a2|b1;a3|b2,b3;` of codes."""
+        return self.spelling[v].tobytes().translate(None, b"\0")
+
+
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
 
 
-#: Links and groups of a chunk: numbers of tokens, codes of the pairs that end together, and the groups' text.
+#: Links and groups of a text: numbers of tokens, codes of the pairs that end together, and the groups' text.
 Aligned = tuple[int, int, bytes, str]
 
 
 class Aligner:
     """Aligns texts chunk by chunk; each distinct chunk once, as long as it is remembered.
 
-    Both tokenizers end a token at the end of a chunk, so links and groups of a text are those of its chunks. Chunks are remembered in two
-    generations of `room` / 2 bytes: when the younger one is full it becomes the older one, whose chunks go unless they are met again.
+    Both tokenizers end a token at the end of a chunk, so links and groups of a text are those of its chunks. A chunk is remembered as one code for
+    each of its tokens, which says its id, its side and whether it ends its side of a group: every link ends a group, and every group ends with one.
+    Chunks are kept in two generations of `room` bytes, the first one of half of it: when the younger one is full it becomes the older one, whose
+    chunks go unless they are met again.
     """
 
     def __init__(self, a_path: str, b_path: str, room: int = 48 << 20):
         self.tokens = Tokens(a_path, b_path)
-        self.room = self.left = room // 2
-        self.known: dict[str, Aligned | None] = {}
-        self.older: dict[str, Aligned | None] = {}
+        self.room, self.left = room, room // 2
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def align(self, texts: list[str | None]) -> list[list[Aligned] | None]:
-        """For each text its chunks' links and groups; None for a text without tokens: null, empty, or told differently by a tokenizer's bytes."""
+        """For each text its links and groups, as a list of one; None for a text without tokens: null, empty, or told differently by a tokenizer's bytes."""
+        out = []
+        for codes in self.codes(texts):
+            v, of_a, _, pairs = self.tokens.read(codes)
+            n_a = int(of_a.sum())
+            out.append([(n_a, len(v) - n_a, pairs.astype("<i8").tobytes(), self.tokens.groups(v).decode())] if codes else None)
+        return out
+
+    def codes(self, texts: list[str | None]) -> list[bytes]:
+        """For each text the codes of its tokens, as unsigned 32-bit numbers; none for a text without tokens."""
         if self.left < 0:
             self.known, self.older, self.left = {}, self.known, self.room
+        known, older, missing = self.known, self.older, []
         cut = [CHUNK.findall(f" {t}") if t else [] for t in texts]
-        here: dict[str, Aligned | None] = {}
-        missing = []
-        for c in {c for chunks in cut for c in chunks}:
-            if c in self.known:
-                here[c] = self.known[c]
-            elif c in self.older:
-                here[c] = self._keep(c, self.older[c])
-            else:
+        for c in dict.fromkeys(chain.from_iterable(cut)):
+            if c in known:
+                continue
+            got = older.get(c)
+            if got is None:
                 missing.append(c)
+            else:
+                known[c] = got
+                self.left -= len(c) + len(got) + ENTRY
         at = size = 0
         for k, c in enumerate(missing):
             size += len(c)
             if size > 1 << 20 or k + 1 == len(missing):
-                for x, found in self._learn(missing[at : k + 1]):
-                    here[x] = self._keep(x, found)
+                self._learn(missing[at : k + 1])
                 at, size = k + 1, 0
         out = []
         for chunks in cut:
-            found = [here[c] for c in chunks]
-            out.append(found if found and None not in found else None)
+            found = list(map(known.__getitem__, chunks))
+            out.append(b"" if b"" in found else b"".join(found))
         return out
 
-    def _keep(self, chunk: str, found: Aligned | None) -> Aligned | None:
-        self.known[chunk] = found
-        self.left -= len(chunk) + ENTRY + (len(found[2]) + len(found[3]) if found else 0)
-        return found
-
-    def _learn(self, chunks: list[str]):
-        """(chunk, links and groups) of chunks: one product of the matrices of all of them, which lie on its diagonal."""
-        t, good = self.tokens, chunks
-        all_a, all_b = t.ids(chunks)
-        flat = lambda ids: np.concatenate([np.asarray(x, np.int64) for x in ids])
-        ids_a, ids_b = flat(all_a), flat(all_b)
-        spelt = lambda ids, table: b"".join(map(table.__getitem__, ids.tolist()))
-        if not spelt(ids_a, t.bytes_a) == "".join(chunks).encode() == spelt(ids_b, t.bytes_b):
-            same = [spelt(np.asarray(a), t.bytes_a) == c.encode() == spelt(np.asarray(b), t.bytes_b) for c, a, b in zip(chunks, all_a, all_b, strict=True)]
-            yield from ((c, None) for c, ok in zip(chunks, same, strict=True) if not ok)
-            good, all_a, all_b = ([x for x, ok in zip(xs, same, strict=True) if ok] for xs in (chunks, all_a, all_b))
-            if not good:
+    def _learn(self, chunks: list[str]) -> None:
+        """Remembers chunks: one product of the matrices of all of them, which lie on its diagonal. One that a side spells differently has no codes."""
+        t = self.tokens
+        ids_a, n_a, ids_b, n_b = t.ids(chunks)
+        if not t.spelt(chunks, ids_a, ids_b):
+            at_a, at_b = (np.cumsum(n)[:-1] for n in (n_a, n_b))
+            same = np.array([t.spelt([c], a, b) for c, a, b in zip(chunks, np.split(ids_a, at_a), np.split(ids_b, at_b), strict=True)])
+            wrong = [c for c, ok in zip(chunks, same, strict=True) if not ok]
+            self.known.update(dict.fromkeys(wrong, b""))
+            self.left -= sum(map(len, wrong)) + ENTRY * len(wrong)
+            chunks = [c for c, ok in zip(chunks, same, strict=True) if ok]
+            if not chunks:
                 return
-            ids_a, ids_b = flat(all_a), flat(all_b)
-        n_a, n_b = (list(map(len, ids)) for ids in (all_a, all_b))
+            ids_a, ids_b, n_a, n_b = ids_a[np.repeat(same, n_a)], ids_b[np.repeat(same, n_b)], n_a[same], n_b[same]
         ends_a, ends_b = np.cumsum(t.size_a[ids_a]), np.cumsum(t.size_b[ids_b])
-        i, j = end_links(ends_a, ends_b)
-        pairs = (ids_a[i] * PAIR + ids_b[j]).astype("<i8").tobytes()
+        i, _ = end_links(ends_a, ends_b)
         a, b = group_matrices(ends_a, ends_b, ends_a[i])
         first_a, first_b = (m.transposed().indptr for m in (a, b))
-        text = np.empty(len(ids_a) + len(ids_b), np.int64)
+        codes = np.empty(len(ids_a) + len(ids_b), "<u4")
         last_a, last_b = (np.zeros(len(ids), np.int64) for ids in (ids_a, ids_b))
-        last_a[first_a[1:] - 1] = len(t.bytes_a)
-        last_b[first_b[1:] - 1] = len(t.bytes_b)
-        text[np.arange(len(ids_a)) + first_b[a.indices]] = ids_a + last_a
-        text[np.arange(len(ids_b)) + first_a[b.indices + 1]] = ids_b + last_b + 2 * len(t.bytes_a)
-        parts = [t.parts[k] for k in text.tolist()]
-        at_a, at_b = np.cumsum(n_a), np.cumsum(n_b)
-        ends, tops = np.searchsorted(i, at_a).tolist(), (at_a + at_b).tolist()
-        low = link = 0
-        for k, c in enumerate(good):
-            high = tops[k]
-            yield c, (n_a[k], n_b[k], pairs[8 * link : 8 * ends[k]], "".join(parts[low:high]))
-            low, link = high, ends[k]
+        last_a[first_a[1:] - 1] = t.bar
+        last_b[first_b[1:] - 1] = t.end - t.of_b
+        codes[np.arange(len(ids_a)) + first_b[a.indices]] = ids_a + last_a
+        codes[np.arange(len(ids_b)) + first_a[b.indices + 1]] = ids_b + last_b + t.of_b
+        joined = codes.tobytes()
+        low = 0
+        for c, high in zip(chunks, (4 * np.cumsum(n_a + n_b)).tolist(), strict=True):
+            self.known[c] = joined[low:high]
+            low = high
+        self.left -= sum(map(len, chunks)) + len(joined) + ENTRY * len(chunks)
 
 
 _ALIGNERS: dict[tuple[str, str, int], Aligner] = {}
@@ -255,8 +294,8 @@ def token_links(docs: DataFrame, a_path: str, b_path: str, kind: str = "overlap"
             if not text:
                 continue
             chunks = CHUNK.findall(f" {text}")
-            a, b = (np.concatenate([np.asarray(ids, np.int64) for ids in x]) for x in tokens.ids(chunks))
-            if not b"".join(tokens.bytes_a[i] for i in a) == f" {text}".encode() == b"".join(tokens.bytes_b[i] for i in b):
+            a, _, b, _ = tokens.ids(chunks)
+            if not tokens.spelt(chunks, a, b):
                 continue
             i, j, n = find(np.cumsum(tokens.size_a[a]), np.cumsum(tokens.size_b[b]))
             n = np.ones(len(i), np.int64) if n is None else n
@@ -285,20 +324,20 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
         block, held = TaskContext.get().partitionId() << 33, 0
         for part in slices(batches, 200):
             texts = part.column(1).to_pylist()
-            rows, pairs, sizes = [], [], []
-            for text, found in zip(texts, both.align(texts), strict=True):
-                n_a, n_b, codes, groups = zip(*found, strict=True) if found else ((), (), (), ())
-                joined, groups = b"".join(codes), "".join(groups)
-                n = len(joined) // 8
-                rows.append((block, sum(n_a), sum(n_b), groups.count(";"), n, hashlib.sha256(groups[:-1].encode()).hexdigest() if found else ""))
-                pairs.append(joined)
-                sizes.append(n)
+            codes = both.codes(texts)
+            v, of_a, ends, pairs = both.tokens.read(b"".join(codes))
+            tops = np.cumsum([0, *(len(c) // 4 for c in codes)])
+            n_a, n_links = (np.diff(np.concatenate([[0], np.cumsum(x)])[tops]) for x in (of_a, ends))
+            blocks, digests = [], []
+            for text, low, high in zip(texts, tops[:-1].tolist(), tops[1:].tolist(), strict=True):
+                blocks.append(block)
+                digests.append(hashlib.sha256(both.tokens.groups(v[low:high])[:-1]).hexdigest() if high > low else "")
                 held += len(text or "")
                 if held > BLOCK_BYTES:
                     block, held = block + 1, 0
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.string()], strict=True)]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            listed = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(pairs), "<i8")))
+            columns = [pa.array(c, kind) for c, kind in zip((blocks, n_a, np.diff(tops) - n_a, n_links, n_links, digests), [pa.int64()] * 5 + [pa.string()], strict=True)]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32))
+            listed = pa.ListArray.from_arrays(offsets, pa.array(pairs))
             yield pa.RecordBatch.from_arrays([columns[0], part.column(0), *columns[1:], listed], names=["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
 
     return _rows(docs, id_col, text_col).mapInArrow(run, "block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>")

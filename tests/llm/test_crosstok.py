@@ -81,6 +81,25 @@ def test_chunks_give_what_whole_texts_give():
         assert np.frombuffer(b"".join(x[2] for x in found), "<i8").tolist() == [i * crosstok.PAIR + j for i, j in links]
 
 
+def test_chunks_of_many_texts_are_encoded_together(monkeypatch):
+    library, texts = Library(), [None, "", *random_texts(6, 400), "x" * 3000, "  ", "a ", "a  b\n"]
+    want = [plain(t, library) for t in texts]
+    for joined, room in ((1 << 16, 48 << 20), (40, 20_000)):
+        monkeypatch.setattr(crosstok, "JOINED", joined)
+        aligner = crosstok.Aligner(A, B, room=room)
+        calls, encode = [], aligner.tokens._joined
+        monkeypatch.setattr(aligner.tokens, "_joined", lambda chunks, encode=encode, calls=calls: (calls.append(ids) or ids for ids in encode(chunks)))
+        for _ in range(2):  # the second time most are remembered
+            for t, (n_a, n_b, groups, links), codes in zip(texts, want, aligner.codes(texts), strict=True):
+                v, of_a, ends, pairs = aligner.tokens.read(codes)
+                assert (int(of_a.sum()), len(v) - int(of_a.sum()), int(ends.sum())) == (n_a, n_b, len(groups)), t
+                assert aligner.tokens.groups(v)[:-1].decode() == ";".join(groups), t
+                assert pairs.tolist() == [i * crosstok.PAIR + j for i, j in links]
+        if joined == 1 << 16:  # not a call for each chunk
+            chunks = {c for t in texts if t for c in crosstok.CHUNK.findall(f" {t}")}
+            assert len(calls) <= 2 + sum(c[-1].isspace() for c in chunks) < len(chunks)
+
+
 def test_products_are_plain_ones():
     rng = np.random.default_rng(4)
     for _ in range(100):
