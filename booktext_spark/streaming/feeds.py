@@ -75,27 +75,38 @@ def check_chunks(chunks: DataFrame, uploads: DataFrame) -> DataFrame:
     """Batch form: chunks with outcome: accepted, duplicate, CONFLICT or VALIDATION_ERROR, judged in order of arrival.
 
     The first chunk with a usable index and key is accepted; one that is equal in index, key and hash to the first holder of
-    both is a duplicate. chunks: upload_id, index, idempotency_key, sha256, arrival. An upload's chunks meet in one task, which takes a step for each.
+    both is a duplicate. chunks: upload_id, index, idempotency_key, sha256, arrival. uploads has a row for each upload_id; of more, the least
+    size holds. Both are dealt out together by upload and sorted, and a task walks its uploads one behind the other, a step for each chunk.
     """
-    size = uploads.select("upload_id", F.ceil(F.col("expected_size") / F.col("chunk_size")).alias("n_chunks"))
-    rows = chunks.join(size, "upload_id", "left").withColumn("sha256", F.lower("sha256"))
     columns = ["upload_id", "index", "idempotency_key", "sha256", "arrival"]
-
-    def run(page):
+    rows = chunks.withColumn("sha256", F.lower("sha256")).select(*columns)
+    kinds = {c: rows.schema[c].dataType for c in columns}
+    size = F.ceil(F.col("expected_size") / F.col("chunk_size")).cast("bigint")
+    sizes = uploads.select(F.col("upload_id").try_cast(kinds["upload_id"]).alias("upload_id"), size.alias("n_chunks"), F.lit(False).alias("chunk")).where("upload_id is not null")
+    both = rows.withColumn("chunk", F.lit(True)).unionByName(sizes, allowMissingColumns=True)
+    placed = both.repartition("upload_id").sortWithinPartitions("upload_id", "chunk", *[F.col(c).asc_nulls_last() for c in ("n_chunks", "arrival", "index", "idempotency_key", "sha256")])
+
+    def run(batches):
         import pyarrow as pa
 
-        page = page.sort_by([(c, "ascending") for c in ("arrival", "index", "idempotency_key", "sha256")])
-        by_index, by_key, outcomes = {}, {}, []
-        for index, key, digest, n_chunks in zip(*(page.column(c).to_pylist() for c in ("index", "idempotency_key", "sha256", "n_chunks")), strict=True):
-            outcomes.append(judged(index, key, digest, n_chunks, by_index.get(index), by_key.get(key)))
-            if outcomes[-1] == "accepted":
-                by_index[index] = (index, key, digest)
-                if key is not None:
-                    by_key[key] = (index, key, digest)
-        return page.select(columns).append_column("outcome", pa.array(outcomes, pa.string()))
-
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + ", outcome string"
-    return rows.select(*columns, "n_chunks").groupBy("upload_id").applyInArrow(run, schema)
+        now, n_chunks, by_index, by_key = None, None, {}, {}
+        for batch in batches:
+            outcomes = []
+            for upload, chunk, size, index, key, digest in zip(*(batch.column(c).to_pylist() for c in ("upload_id", "chunk", "n_chunks", "index", "idempotency_key", "sha256")), strict=True):
+                if upload != now:
+                    now, n_chunks, by_index, by_key = upload, None, {}, {}
+                if not chunk:
+                    n_chunks = size if n_chunks is None else n_chunks
+                    continue
+                outcomes.append(judged(index, key, digest, n_chunks, by_index.get(index), by_key.get(key)))
+                if outcomes[-1] == "accepted":
+                    by_index[index] = (index, key, digest)
+                    if key is not None:
+                        by_key[key] = (index, key, digest)
+            page = batch.filter(batch.column("chunk"))
+            yield pa.RecordBatch.from_arrays([*(page.column(c) for c in columns), pa.array(outcomes, pa.string())], names=[*columns, "outcome"])
+
+    return placed.mapInArrow(run, ", ".join(f"`{c}` {kind.simpleString()}" for c, kind in kinds.items()) + ", outcome string")
 
 
 class _Ingest(StatefulProcessor):

@@ -146,3 +146,31 @@ def test_a_batch_reads_the_buckets_of_its_own_pairs_only(spark, tmp_path):
     for batch in (pairs(7, 8), pairs(390, 410), pairs(0, 410)):
         write(batch, 1)
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == list(range(410))
+
+
+def test_chunks_of_many_uploads_are_walked_in_batches(spark):
+    """An upload goes on in the next Arrow batch, and no upload is a group of its own, which takes Python a call each."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(12), rng.choice([None, *range(5)]), rng.choice([None, *"abc"]), rng.choice("xXy"), k) for k in range(400)]
+    sizes = {u: 1 + u % 5 for u in range(10)}
+    want = {}
+    for upload in range(12):
+        by_index, by_key = {}, {}
+        for _, index, key, digest, k in (r for r in rows if r[0] == upload):
+            want[k] = feeds.judged(index, key, digest.lower(), sizes.get(upload), by_index.get(index), by_key.get(key))
+            if want[k] == "accepted":
+                by_index[index] = (index, key, digest.lower())
+                if key is not None:
+                    by_key[key] = by_index[index]
+    chunks = spark.createDataFrame(rows, "upload_id int, index int, idempotency_key string, sha256 string, arrival int").repartition(3)
+    judged = feeds.check_chunks(chunks, spark.createDataFrame([(u, 8 * n - 3, 8) for u, n in sizes.items()], "upload_id bigint, expected_size int, chunk_size int"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = judged.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.arrival: r.outcome for r in got} == want and len(got) == 400
+    assert judged.columns == ["upload_id", "index", "idempotency_key", "sha256", "arrival", "outcome"]
+    assert "FlatMapGroups" not in judged._jdf.queryExecution().executedPlan().toString()
