@@ -68,3 +68,18 @@ def test_common_run_against_brute_force():
         a, b = ("".join(random.choices("ab𠮷", k=random.randrange(0, 14))) for _ in "xy")
         best = max((j - i for i in range(len(a)) for j in range(i + 1, len(a) + 1) if a[i:j] in b), default=0)
         assert T.common_run(a, b) == best
+
+
+def test_review_at_the_threshold_is_that_of_the_sql(spark, tmp_path):
+    """A target of 9 characters for 8 has a confidence of 0.64, up to the last place."""
+    import duckdb
+
+    from booktext_spark.plans import registry
+
+    turns = [(k, turn, "user", "ab"[turn] * (8 + turn) * k) for k in range(1, 200) for turn in (0, 1)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.QUERIES["match_cost"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLE_SQL["match_cost"]).fetchall())
+    assert not {r.conv_id: r.needs_review for r in got}[5]
