@@ -17,6 +17,8 @@ LADDER = ((80, 28, 0.58, None), (200, 42, 0.40, 0.55), (None, 64, 0.30, 0.44))
 
 #: Bits of a filter of grams (16 MB), a fixed size; characters of references in an automaton, of outputs that meet one at a time, and rows of a gram in a task.
 FILTER_BITS, SHARD_CHARS, PORTION, HEAVY = 1 << 27, 1 << 16, 1 << 22, 20_000
+#: Rows of numbers that are broadcast (8 to 24 bytes each); larger tables are shuffled.
+SMALL = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,6 +72,28 @@ def gram_rows(texts: DataFrame, n: int, distinct: bool = True, keep=None) -> Dat
     return texts.select("id", "text").mapInArrow(run, f"id {kind}, gram bigint, {more}")
 
 
+def gram_sets(texts: DataFrame, n: int, keep=None) -> DataFrame:
+    """id, grams: the distinct runs of n characters of each text(id, text), by name, in one array; with `keep` those only that gram_filter lets through. Texts without any have no row."""
+    kind = texts.schema["id"].dataType.simpleString()
+    bits = None if keep is None else texts.sparkSession.sparkContext.broadcast(keep)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, 100):
+                part = batch.slice(low, 100)
+                named = [gram_names(t or "", n) for t in part.column(1).to_pylist()]
+                if bits is not None:
+                    named = [x[bits.value[(x & (FILTER_BITS - 1)) >> 3] >> (x & 7).astype(np.uint8) & 1 > 0] for x in named]
+                named = [np.unique(x) for x in named]
+                ends = np.cumsum([0, *map(len, named)]).astype(np.int32)
+                sets = pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(named)))], names=["id", "grams"])
+                yield sets.filter(pa.array(np.diff(ends) > 0))
+
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, grams array<bigint>")
+
+
 def gram_filter(grams: DataFrame) -> np.ndarray:
     """A filter of FILTER_BITS bits for gram_rows: one for each name of grams(gram), by its lowest bits.
 
@@ -177,19 +201,34 @@ def copying_verdict(pairs: DataFrame) -> DataFrame:
     return pairs.select("output_id", "ref_id", "lcs", "shared", "size", F.bround(share, 6).alias("lcs_ratio"), F.bround("overlap", 6).alias("ngram_overlap_ratio"), verdict(size, F.col("lcs"), share, F.col("overlap")).alias("suspicious"))
 
 
-def overlap_candidates(outputs: DataFrame, refs: DataFrame, n: int, threshold: float) -> DataFrame:
+def characters(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+
+
+def small(df: DataFrame, what: str) -> DataFrame:
+    """The rows, stored, and broadcast where they are few."""
+    rows = stored(df, what)
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
+
+
+def overlap_candidates(outputs: DataFrame, refs: DataFrame, n: int, threshold: float, counted: bool = False) -> DataFrame:
     """output_id, ref_id of all pairs of which `threshold` of the output's n-grams or more are the reference's, and of some others.
 
     A set-similarity join. Grams are ordered by the number of references that have them, rare ones first. An output of which `need` grams must be
     common has one of these among its grams that references have, without the last need - 1 (prefix filter); the reference has
     need grams (length filter); and behind the first common gram both have need - 1 more (position filter). So frequent grams meet
     only where a text has little else. A gram that still has over HEAVY outputs is dealt out in as many parts.
+
+    Where outputs are fewer than references, the grams that no output has do not leave the references' tasks, and a reference counts by the others: what
+    is written grows with what both sides share. counted: with shared and size, from the grams; no text is shuffled for them.
     """
-    theirs = stored(gram_rows(refs, n).select(F.col("id").alias("ref_id"), "gram", F.col("size").alias("ref_size")), "copying-grams")
+    keep = gram_filter(gram_rows(outputs, n)) if characters(outputs) < characters(refs) else None
+    sets = stored(gram_sets(refs, n, keep).withColumnRenamed("id", "ref_id"), "copying-grams")
+    theirs = sets.select("ref_id", F.explode("grams").alias("gram"), F.size("grams").alias("ref_size"))
     ours = gram_rows(outputs, n, keep=gram_filter(theirs)).withColumnRenamed("id", "output_id")
-    common = theirs.groupBy("gram").agg(F.count("*").alias("df"), F.max("ref_size").alias("largest"))
+    common = small(theirs.groupBy("gram").agg(F.count("*").alias("df"), F.max("ref_size").alias("largest")), "copying-common")
     need = F.greatest(F.ceil(F.col("size") * threshold - 1e-9), F.lit(1))
-    met = ours.join(common, "gram").where(F.col("largest") >= need).select("output_id", "gram", "df", need.alias("need"))
+    met = ours.join(common, "gram").where(F.col("largest") >= need).select("output_id", "gram", "df", need.alias("need"), "size")
     met = stored(met, "copying-grams")  # read twice, and a small part of the outputs' grams
     enough = met.groupBy("output_id").agg(F.count("*").alias("held"), F.first("need").alias("need")).where("held >= need")
     place = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("df", "gram"))
@@ -197,11 +236,17 @@ def overlap_candidates(outputs: DataFrame, refs: DataFrame, n: int, threshold: f
     rare = stored(rare, "copying-prefixes")
     heavy = rare.groupBy("gram").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("parts")).where("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
-    ranked = theirs.join(common.select("gram", "df"), "gram").withColumn("ref_place", place("ref_id")).drop("df")
+    ranked = theirs.join(common, "gram").withColumn("ref_place", place("ref_id")).drop("df", "largest")
+    ranked = ranked.join(small(rare.select("gram").distinct(), "copying-rare"), "gram", "left_semi")
     right = ranked.join(heavy, "gram", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     left = rare.join(heavy, "gram", "left").withColumn("part", F.pmod(F.xxhash64("output_id"), parts).cast("int")).drop("parts")
     left_over = F.least(F.col("held") - F.col("place"), F.col("ref_size") - F.col("ref_place"))
-    return left.join(right, ["gram", "part"]).where((F.col("ref_size") >= F.col("need")) & (left_over + 1 >= F.col("need"))).select("output_id", "ref_id").distinct()
+    pairs = left.join(right, ["gram", "part"]).where((F.col("ref_size") >= F.col("need")) & (left_over + 1 >= F.col("need"))).select("output_id", "ref_id").distinct()
+    if not counted:
+        return pairs
+    mine = met.join(enough.select("output_id"), "output_id", "left_semi").groupBy("output_id").agg(F.collect_list("gram").alias("ours"), F.first("size").cast("bigint").alias("size"))
+    mine = F.broadcast(mine) if met.count() <= SMALL else mine
+    return stored(pairs, "copying-pairs").join(sets, "ref_id").join(mine, "output_id").select("output_id", "ref_id", F.size(F.array_intersect("grams", "ours")).cast("bigint").alias("shared"), "size")
 
 
 def similar_pairs(outputs: DataFrame, refs: DataFrame, n: int = 8, threshold: float = 0.44) -> DataFrame:
@@ -212,12 +257,13 @@ def similar_pairs(outputs: DataFrame, refs: DataFrame, n: int = 8, threshold: fl
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    named = [stored(df.withColumn("name", F.sha2("text", 256)), "copying-texts") for df in (outputs, refs)]
-    ours, theirs = (df.groupBy("name").agg(F.first("text").alias("text")).select(F.col("name").alias("id"), "text") for df in named)
-    near = with_texts(overlap_candidates(ours, theirs, n, threshold), ours, theirs).withColumn("__n", shared_grams("output_text", "ref_text", F.lit(n)))
-    found = ngram_overlap(near.select("output_id", "ref_id", "__n.*")).where(F.col("shared") >= threshold * F.col("size") - 1e-9)
-    members = [df.select(F.col("name").alias(f"{side}_id"), F.col("id").alias(f"{side}_row")) for df, side in zip(named, ("output", "ref"), strict=True)]
-    return found.join(members[0], "output_id").join(members[1], "ref_id").select(F.col("output_row").alias("output_id"), F.col("ref_row").alias("ref_id"), "shared", "size", "overlap")
+    named = [stored(df.select("id", "text", F.sha2("text", 256).alias("name"), F.monotonically_increasing_id().alias("row")), "copying-texts") for df in (outputs, refs)]
+    members = [stored(df.select("id", "row", "name").join(df.groupBy("name").agg(F.min("row").alias("first")), "name").select("id", "row", "first"), "copying-members") for df in named]
+    # texts do not leave their tasks: the copies are left out by their numbers, which are few
+    ours, theirs = (df.select(F.col("row").alias("id"), "text").join(small(m.where("row <> first").select(F.col("row").alias("id")), "copying-copies"), "id", "left_anti") for df, m in zip(named, members, strict=True))
+    found = ngram_overlap(overlap_candidates(ours, theirs, n, threshold, counted=True)).where(F.col("shared") >= threshold * F.col("size") - 1e-9)
+    rows = [m.select(F.col("first").alias(f"{side}_id"), F.col("id").alias(f"{side}_row")) for m, side in zip(members, ("output", "ref"), strict=True)]
+    return found.join(rows[0], "output_id").join(rows[1], "ref_id").select(F.col("output_row").alias("output_id"), F.col("ref_row").alias("ref_id"), "shared", "size", "overlap")
 
 
 def audit(outputs: DataFrame, refs: DataFrame, output_id: str, ref_id: str, n: int = 8) -> DataFrame:

@@ -107,3 +107,25 @@ def test_filter_keeps_every_gram_of_the_references(spark):
     names = {r.gram for r in theirs.collect()}
     assert {(r.id, r.gram, r.size) for r in copying.gram_rows(outs, 5, keep=bits).collect()} == {(r.id, r.gram, r.size) for r in copying.gram_rows(outs, 5).collect() if r.gram in names}
     assert {(r.id, r.at) for r in copying.gram_rows(outs, 5, False, bits).collect()} == {(r.id, r.at) for r in copying.gram_rows(outs, 5, False).collect() if r.gram in names}
+
+
+def test_grams_that_no_output_has_are_not_written(spark, monkeypatch):
+    """A few outputs against many references, some of them copies: the pairs of brute force, and no table with a row for each gram of the references."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=400))
+    outs = [(k, word()[:120]) for k in range(4)]
+    refs = [(100 + k, word()) for k in range(60)]
+    refs += [(200 + k, refs[k][1][:50] + outs[k][1][: 70 + 20 * k] + refs[k][1]) for k in range(4)] + [(300, refs[0][1]), (301, outs[0][1]), (302, outs[0][1])]
+    written = []
+
+    def counted(df, what, stored=copying.stored):
+        written.append((what, (out := stored(df, what)).count()))
+        return out
+
+    monkeypatch.setattr(copying, "stored", counted)
+    frames = [spark.createDataFrame(rows, "id int, text string") for rows in (outs, refs)]
+    got = {(r.output_id, r.ref_id): (r.shared, r.size) for r in copying.similar_pairs(*frames).collect()}
+    sets = [[(k, {t[i : i + 8] for i in range(len(t) - 7)}) for k, t in rows] for rows in (outs, refs)]
+    want = {(a, b): (len(x & y), len(x)) for a, x in sets[0] for b, y in sets[1] if len(x & y) >= 0.44 * len(x)}
+    assert got == want and len(want) >= 6
+    assert max(n for _, n in written) < 1000, written
