@@ -316,3 +316,25 @@ def test_columns_are_those_of_a_plain_walk():
         columns.sort(key=lambda c: -sum(rows[j][0] for j in c) / len(c))
         want = [i for c in columns for i in sorted(c, key=lambda i: (rows[i][1], -rows[i][0], i))]
         assert layout.columns_right_to_left(rows) == want
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 22])
+@pytest.mark.parametrize("source, target, groups", [("x x x xxxxx? xxxxx x", "x?", ([1, 2], [0])), ("xx.", "xx xx xx xx xx xxxxx. xx? xx?", ([0], [2, 3])), ("xx xxxxxxxxx. xx? xxxxxxxxx? xx.", "xxxxxxxxx?", ([2, 3], [0]))])
+def test_sums_that_become_equal_further_on_are_ties(monkeypatch, cells, source, target, groups):
+    """The SQL compares whole paths: of equal sums the first move from the end counts, though one of them was less in a cell before."""
+    monkeypatch.setattr(align, "WHOLE_CELLS", cells)
+    s, t = source.split(), target.split()
+
+    def paths(i, j, total, back):
+        if (i, j) == (len(s), len(t)):
+            yield total, back
+        for k, (a, b, penalty) in enumerate(align.MOVES):
+            if i + a <= len(s) and j + b <= len(t):
+                cost = 0.0
+                if a and b:
+                    fx, fy = align._features(["\n".join(s[i : i + a])]), align._features(["\n".join(t[j : j + b])])
+                    cost = float(align._costs((fx[0][0], fx[1][0]), fy)[0])
+                yield from paths(i + a, j + b, total + cost + penalty, [k, *back])
+
+    assert align._Table(s, t).path(0, 0, len(s), len(t), 0.0) == min(paths(0, 0, 0.0, []))[1][::-1]
+    assert [g[:2] for g in align.align(s, t)] == [groups]
