@@ -338,3 +338,19 @@ def test_sums_that_become_equal_further_on_are_ties(monkeypatch, cells, source,
 
     assert align._Table(s, t).path(0, 0, len(s), len(t), 0.0) == min(paths(0, 0, 0.0, []))[1][::-1]
     assert [g[:2] for g in align.align(s, t)] == [groups]
+
+
+def test_ocr_gate_has_a_row_for_each_row_of_documents(spark, tmp_path):
+    import duckdb
+
+    from booktext_spark.plans import registry
+
+    rows = [(1, "some text", "src3"), (5, "some text", None), (7, "twice", "src3"), (7, "twice", "src3"), (7, "once more", "src1"), (8, "abc", "src1"), (9, None, "src2")]
+    blank = [(20, "", "src3"), (21, None, "src3"), (22, " ", "src4")]
+    spark.createDataFrame(rows + blank, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in registry.QUERIES["ocr_gate"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.ORACLE_SQL["ocr_gate"]).fetchall()
+    assert sorted((r for r in got if r[0] < 20), key=str) == sorted((r for r in want if r[0] < 20), key=str)
+    assert sorted(r for r in got if r[0] >= 20) == [(20, True), (21, True), (22, True)]
